@@ -10,6 +10,7 @@ Characters without a piece, and a literal U+2581, become byte pieces: decoding r
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -126,7 +127,10 @@ class MergeDropout:
             keep[hit + 1] = False
             moved = hit - np.arange(len(hit))
             sym, word, start, r = sym[keep], word[keep], start[keep], r[keep]
-            redo = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[moved] = True
+            touched[moved[moved > 0] - 1] = True
+            redo = np.flatnonzero(touched)
             r[redo] = NONE
             redo = redo[redo < len(sym) - 1]
             redo = redo[word[redo] == word[redo + 1]]
@@ -173,9 +177,11 @@ class MergeDropout:
         out = []
         for chunks, pick in zip(split, picks, strict=True):
             out.append(b"".join([self.cache[0][c] for c in chunks] if one else [self.cache[v][c] for c, v in zip(chunks, pick.tolist(), strict=True)]))
-        if sum(map(len, self.cache)) > self.limit:
-            for c in self.cache:
-                c.clear()
+        if sum(map(len, self.cache)) > self.limit:  # the chunks at hand stay, the frequent ones among them
+            recent = set().union(*split)
+            self.cache = [{c: x for c, x in old.items() if c in recent} for old in self.cache]
+            if sum(map(len, self.cache)) > self.limit // 2:
+                self.cache = [{} for _ in self.cache]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -183,6 +189,12 @@ class MergeDropout:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+@functools.cache
+def coder_of(file: str, dropout: float, seed: int, streams: int) -> MergeDropout:
+    """One coder for each worker process and setting."""
+    return MergeDropout(file, dropout, seed, streams)
+
+
 def encode_pieces(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, streams: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, n_pieces, ids_crc32, restored) of every row: the ids, and whether decoding them gives the text.
 
@@ -190,7 +202,7 @@ def encode_pieces(df: DataFrame, model_file: str, dropout: float = 0.1, seed: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder = MergeDropout(model_file, dropout, seed, streams)
+        coder = coder_of(model_file, dropout, seed, streams)
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
@@ -205,7 +217,7 @@ def decode_pieces(df: DataFrame, model_file: str, id_col: str = "id", ids_col: s
     """(id, text) of rows of piece ids (binary, little-endian unsigned 32-bit); null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder = MergeDropout(model_file, 0.0)
+        coder = coder_of(model_file, 0.0, 0, 1)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 

@@ -12,6 +12,7 @@ A reader takes the footer, then the two tables, and decompresses only the frames
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -35,8 +36,15 @@ FRAME_BYTES = 1 << 20
 # Fixed values of the public seekable zstandard format.
 SEEK_MAGIC, FOOTER_MAGIC, DOCS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 END_ID = 0
-#: Between two characters that aren't white space, a single space always begins a new pre-token of the byte-level pattern.
-BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: Between two characters that aren't white space, a single space always begins a new pre-token of the byte-level pattern,
+#: and a single line end is one: a chunk is a space (left out) or a line end (kept) and what follows up to the next one.
+BREAK = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet by its rule: printable bytes stand for themselves, the others for the code points from 256 on.
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+SPACE = chr(BYTE_CHARS[32])
 
 
 class ChunkEncoder:
@@ -46,42 +54,79 @@ class ChunkEncoder:
     The cache is emptied at ``limit`` chunks: memory is bounded, results don't depend on it.
     """
 
-    def __init__(self, file: str, limit: int = 250_000) -> None:
+    def __init__(self, file: str, limit: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.cache = limit, {}
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _word(self, word: str) -> bytes:
+        """The ids of letters, with a space before or not, which are one pre-token: the library's BPE model takes its byte form."""
+        if word.isascii():
+            word = word.replace(" ", SPACE)
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, need: set[str]) -> None:
+        """Letters and a run of punctuation after them are two pre-tokens; chunks of another kind go through the whole tokenizer."""
+        rest, cache, word, marks = [], self.cache, self._word, self.marks
+        if len(marks) > 10_000:
+            marks.clear()
+            marks[""] = b""
+        for c in need:
+            base = c.rstrip(PUNCTUATION)
+            letters = base[1:] if c[:1] == "\n" else base
+            if not letters.isalpha():
+                rest.append(c)
+                continue
+            mark = c[len(base) :]
+            if mark not in marks:
+                marks[mark] = self._plain(mark)
+            if letters is base:
+                cache[c] = (cache.get(base) or word(" " + base)) + marks[mark]
+            else:
+                if "\n" not in marks:
+                    marks["\n"] = self._plain("\n")
+                cache[c] = marks["\n"] + word(letters) + marks[mark]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            got = self.tokenizer.encode_batch([c if c[:1] == "\n" else " " + c for c in part], add_special_tokens=False)
+            cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        split = [BREAK.split(t) for t in texts]
+        split = [BREAK.split(t) if DOUBLE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         heads = {c[0] for c in split if c[0]}
         need: set[str] = set()
         for chunks in split:
             need.update(chunks[1:])
-        need.difference_update(self.cache)
-        if need:
-            wanted = list(need)
-            for i in range(0, len(wanted), 20_000):
-                part = wanted[i : i + 20_000]
-                got = self.tokenizer.encode_batch([" " + c for c in part], add_special_tokens=False)
-                self.cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got, strict=True))
+        if len(self.cache) + len(need) > self.limit:  # the chunks at hand stay, the frequent ones among them
+            self.cache = {c: self.cache[c] for c in need if c in self.cache}
+        self._learn(need.difference(self.cache))
         first = list(heads)
         head = dict(zip(first, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(first, add_special_tokens=False)), strict=True))
         head[""] = b""
         at = self.cache.__getitem__
-        out = [head[chunks[0]] + b"".join(map(at, chunks[1:])) for chunks in split]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        return out
+        return [head[chunks[0]] + b"".join(map(at, chunks[1:])) for chunks in split]
+
+
+@functools.cache
+def encoder(file: str) -> ChunkEncoder:
+    """One encoder for each worker process."""
+    return ChunkEncoder(file)
 
 
 class ShardWriter:
     """Writes one token file to a binary stream."""
 
-    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3) -> None:
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 1) -> None:
         self.out, self.frame_bytes = out, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.buffer, self.frames = bytearray(), []
@@ -191,7 +236,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, id_col: s
 
         writer = sink = None
         tokens, last, name = 0, None, ""
-        encoder = ChunkEncoder(tokenizer_file)
+        coder = encoder(tokenizer_file)
         end = array("I", [END_ID]).tobytes()
         try:
             for b in batches:
@@ -203,7 +248,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, id_col: s
                     writer, first = ShardWriter(sink, frame_bytes), b.column(0)[0].as_py()
                 ids = b.column(0).to_pylist()
                 for k in range(0, len(ids), 256):
-                    for i, raw in zip(ids[k : k + 256], encoder.ids(b.column(1)[k : k + 256].to_pylist()), strict=True):
+                    for i, raw in zip(ids[k : k + 256], coder.ids(b.column(1)[k : k + 256].to_pylist()), strict=True):
                         writer.add(i, raw + end)
                         tokens += len(raw) // 4 + 1
                 last = ids[-1]
