@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op5_chat_formatting
 from .langid import op10_language_id
+from .merge_dropout import op8_sentencepiece
+from .quality import op1_quality
 from .seekable_tokens import op6_token_output
+from .spotsigs import op9_fingerprints
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_token_output": op6_token_output,
     "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
