@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op5_chat_formatting
+from .decontam import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .langid import op10_language_id
 from .merge_dropout import op8_sentencepiece
@@ -17,6 +18,7 @@ from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_output": op6_token_output,
