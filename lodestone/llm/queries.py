@@ -11,6 +11,7 @@ from .decontam import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .langid import op10_language_id
 from .merge_dropout import op8_sentencepiece
+from .ngram_lm import op4_lm_scoring
 from .quality import op1_quality
 from .seekable_tokens import op6_token_output
 from .spotsigs import op9_fingerprints
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_output": op6_token_output,
     "op7_toxicity": op7_toxicity,
