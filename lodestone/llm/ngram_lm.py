@@ -217,7 +217,14 @@ def build_vocabulary(docs: DataFrame, path: str, held_out_mod: int, top: int = T
         files[r["bucket"]] = (r["uri"], words)
         first[r["bucket"]] = words
         words, tokens, train, every = words + r["n"], tokens + r["tokens"], train + r["train"], every + r["every"]
-    ranked = levels.select("bucket", F.explode(F.arrays_zip("best", "counts")).alias("p")).select("bucket", F.col("p.best").alias("at"), F.col("p.counts").alias("c")).orderBy(F.desc("c"), "bucket", "at").limit(top).collect()
+    # the frequent words: a histogram of counts tells where the first ``top`` end, so that no task sends more than it has of them
+    counted = levels.select("bucket", F.explode(F.arrays_zip("best", "counts")).alias("p")).select("bucket", F.col("p.best").alias("at"), F.col("p.counts").alias("c")).withColumn("step", F.floor(F.log2("c") * 16))
+    least, have = 0, 0
+    for r in sorted(counted.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        least, have = r["step"], have + r["count"]
+        if have >= top:
+            break
+    ranked = counted.where(F.col("step") >= least).orderBy(F.desc("c"), "bucket", "at").limit(top).collect()
     pos = np.array([(first[r["bucket"]] + r["at"], k) for k, r in enumerate(ranked)], np.int64).reshape(-1, 2)
     return Vocabulary(files, words, train, tokens + train, every, pos[np.argsort(pos[:, 0])], np.array([r["c"] for r in ranked], np.int64))
 
