@@ -4,8 +4,13 @@ Sets of word shingles are linked when their Jaccard similarity reaches a thresho
 
 1. *Meeting*. Sets fall into size classes so that linked sets lie in the same or neighbouring classes. In a class, sets
    that are linked differ in at most H shingles; the shingles are dealt by hash into H + 1 + SPARE parts, so linked sets
-   have an equal part. Sets that share an equal part are joined to one candidate group. Each map task first joins its own
-   sets, so a key that many sets share crosses the shuffle once per batch. Equal sets are represented by one of them.
+   have at least 1 + SPARE equal parts. Sets that share an equal part are joined to one candidate group. Each map task
+   first joins its own sets, so a key that many sets share crosses the shuffle once per batch. Equal sets are represented
+   by one of them. Parts leave out shingles that are frequent in the corpus (by a sketch of counts over all documents),
+   else a passage that many documents share would join them all. This loses nothing: without frequent shingles linked
+   sets differ in no more than before. A set that has more than SPARE empty parts then goes on to a level at which only
+   more frequent shingles are left out, at last none; it has keys at every level up to its own, where sets of lower
+   levels find it.
 2. *Join in a group*, in one task, of representatives only: an inverted index whose lists hold the sets by size. Runs of
    sets of like sizes read only the blocks of a list between the first and the last position that a partner can have.
    Overlap counts of a set are derived from those of the set before it, when the two are highly similar: the lists of
@@ -16,18 +21,25 @@ Sets of word shingles are linked when their Jaccard similarity reaches a thresho
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, arrow_map, mix64, partitions, table, written
+from .common import MASK, arrow_map, fresh_path, mix64, partitions, table, written
 from .components import components
+from .elias_fano import map_arrays, save_arrays
 
 SPARE = 2
 SKIP = 64
+#: Counters of the sketch, its slices, and how far above the mean counter frequent shingles begin at each level.
+WIDTH = 1 << 22
+SLICES = 16
+LEVELS = (8, 64, 512)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -82,20 +94,89 @@ class Threshold:
         return self.den * both >= self.num * (a + b - both)
 
 
-def meeting_keys(s: np.ndarray, t: Threshold, tops: np.ndarray) -> np.ndarray:
-    """The keys of a set: equal parts of its own and the next size class. Empty parts count only where more than SPARE are."""
+@dataclass
+class Sketch:
+    """Counts of all shingles of the corpus by hash, in files that all tasks map into memory; ``limits`` of the levels."""
+
+    files: list[str]
+    limits: list[float]
+    slices: list | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "slices": None}
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        if self.slices is None:
+            self.slices = [map_arrays(f)["n"] for f in self.files]
+        at = (s & np.uint64(WIDTH - 1)).astype(np.int64)
+        out = np.zeros(len(s), np.int64)
+        which, size = at // (WIDTH // SLICES), WIDTH // SLICES
+        order = np.argsort(which, kind="stable")
+        cut = np.searchsorted(which[order], np.arange(SLICES + 1))
+        for j in range(SLICES):
+            own = order[cut[j] : cut[j + 1]]
+            out[own] = self.slices[j][at[own] - j * size]
+        return out
+
+
+def build_sketch(docs: DataFrame, n: int) -> Sketch:
+    """Counts the shingles of all documents (columns i, t)."""
+    path = fresh_path(docs.sparkSession, "sketch")
+    size = WIDTH // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total, held, many = np.zeros(WIDTH, np.uint32), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingles(t, n))
+                many += len(held[-1])
+                if many > 1_000_000:
+                    total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
+                    held, many = [], 0
+        if held:
+            total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
+        z = zstandard.ZstdCompressor(level=1)
+        for j in range(SLICES):
+            part = np.ascontiguousarray(total[j * size : (j + 1) * size].view(np.uint8).reshape(-1, 4).T)
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for j, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = np.frombuffer(z.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+                sums[j] = sums[j] + part if j in sums else part.astype(np.uint64)
+        for j, v in sums.items():
+            name = f"{path}/slice-{j}-{np.random.default_rng().integers(1 << 62):x}"
+            save_arrays(name, {"n": np.minimum(v, (1 << 32) - 1).astype(np.uint32)})
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([name]), pa.array([int(v.sum())], pa.int64())], ["slice", "uri", "total"])
+
+    rows = written(arrow_map(arrow_map(docs.select("t"), count, "slice int, n binary").repartition(SLICES, "slice"), add, "slice int, uri string, total long"), "sketch").collect()
+    mean = sum(r["total"] for r in rows) / WIDTH
+    return Sketch([r["uri"] for r in sorted(rows, key=lambda r: r["slice"])], [mean + 4 * mean**0.5 + x for x in LEVELS])
+
+
+def meeting_keys(s: np.ndarray, t: Threshold, tops: np.ndarray, counts: np.ndarray, limits: list[float]) -> np.ndarray:
+    """The keys of a set: non-empty parts of its own and the next size class, level by level, until few parts are empty."""
     k = int(np.searchsorted(tops, len(s)))
-    spread = mix64(s ^ _C)
+    spread = mix64(s ^ _C) >> np.uint64(32)
     low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
+    masks = [counts <= x for x in limits]
     out = []
     for c in (k, k + 1):
         m = t.parts(int(tops[c]))
-        part = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        count = np.bincount(part, minlength=m)
-        total = np.bincount(part, low, m).astype(np.uint64) + (np.bincount(part, high, m).astype(np.uint64) << np.uint64(32))
-        key = mix64(total * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(int(tops[c]) * int(_C) & MASK))
-        full = count > 0
-        out.append(key if m - full.sum() > SPARE else key[full])
+        part = (spread * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        for level in range(len(limits) + 1):
+            last = level == len(limits)
+            p, a, b = (part, low, high) if last else (part[masks[level]], low[masks[level]], high[masks[level]])
+            full = np.bincount(p, minlength=m) > 0
+            few = m - full.sum() <= SPARE
+            total = np.bincount(p, a, m).astype(np.uint64) + (np.bincount(p, b, m).astype(np.uint64) << np.uint64(32))
+            key = mix64(total * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64((int(tops[c]) * 8 + level) * int(_C) & MASK))
+            out.append(key if last and not few else key[full])
+            if few:
+                break
     return np.unique(np.concatenate(out))
 
 
@@ -178,25 +259,33 @@ def join_group(sets: list[np.ndarray], weight: np.ndarray, t: Threshold, side: n
     return out_root, out_links
 
 
-def _pairs_of(bucket: np.ndarray, rows: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    """Packs arrays of equal length by bucket into one row per bucket."""
+def _planes(a: np.ndarray) -> bytes:
+    """64-bit numbers as byte planes, whose empty ones compress to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _pairs_of(bucket: np.ndarray, rows: list[np.ndarray], n: int, planes: int) -> Iterator[pa.RecordBatch]:
+    """Packs arrays of equal length by bucket into one row per bucket; from column ``planes`` on in byte planes."""
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(n + 1))
     cols = [r[order] for r in rows]
     live = [j for j in range(n) if cut[j + 1] > cut[j]]
     for a in range(0, len(live), 64):
         part = live[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([c[cut[j] : cut[j + 1]].tobytes() for j in part], pa.binary()) for c in cols), pa.array([b""] * len(part), pa.binary())], ["bucket", "keys", "ids", "facts"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([_planes(c[cut[j] : cut[j + 1]]) if k >= planes else c[cut[j] : cut[j + 1]].tobytes() for j in part], pa.binary()) for k, c in enumerate(cols)), pa.array([b""] * len(part), pa.binary())], ["bucket", "keys", "ids", "facts"])
 
 
 FACT = np.dtype([("id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
 
 
-def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, flush: int = 600_000) -> DataFrame:
+def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, sketch: Sketch, flush: int = 600_000) -> DataFrame:
     """Rows kind 1: edges (a, b) of the candidate graph; kind 2: facts of each document (a id, b set size, s1, s2 signature)."""
 
+    held_sketch = docs.sparkSession.sparkContext.broadcast(sketch)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         tops = t.tops(1000)
+        sk = held_sketch.value
         keys, ids, facts, held = [], [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -206,7 +295,7 @@ def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, flush: int = 600_
             first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
             head = i[first][np.cumsum(first) - 1] if len(key) else i
             edge = np.unique(np.stack([i, head], 1)[~first & (i != head)], axis=0)
-            yield from _pairs_of((key[first] % np.uint64(buckets)).astype(np.int64), [key[first], i[first]], buckets)
+            yield from _pairs_of((key[first] % np.uint64(buckets)).astype(np.int64), [key[first], i[first]], buckets, planes=1)
             raw = np.array(facts, FACT)
             yield pa.RecordBatch.from_arrays([pa.array([len(raw) * 7919 % buckets], pa.int32()), pa.array([edge.astype("<i8").tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([raw.tobytes()], pa.binary())], ["bucket", "keys", "ids", "facts"])
 
@@ -219,7 +308,7 @@ def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, flush: int = 600_
                 if len(s):
                     if len(s) > tops[-3]:
                         tops = t.tops(2 * len(s))
-                    k = meeting_keys(s, t, tops)
+                    k = meeting_keys(s, t, tops, sk.counts(s), sk.limits)
                     keys.append(k)
                     ids.append(np.full(len(k), i, np.int64))
                     held += len(k)
@@ -241,7 +330,7 @@ def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, flush: int = 600_
                 else:
                     k, v = rows.setdefault(bucket, ([], []))
                     k.append(np.frombuffer(key, np.uint64))
-                    v.append(np.frombuffer(i, np.int64))
+                    v.append(np.frombuffer(i, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(-1))
         for bucket in list(rows):
             k, v = rows.pop(bucket)
             key, i = np.concatenate(k), np.concatenate(v)
@@ -269,7 +358,8 @@ def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int
     """
     t = Threshold(num, den)
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    met = written(_meet(docs.where("i is not null"), n, t, 4 * partitions(documents.sparkSession)), "met")
+    live = docs.where("i is not null")
+    met = written(_meet(live, n, t, 4 * partitions(documents.sparkSession), build_sketch(live, n)), "met")
     facts = met.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"), "s1", "s2")
     equal = written(facts.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "equal")
     groups = components(met.where("kind = 1").select("a", "b"))
@@ -320,7 +410,9 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document, that of the smallest id, of each group of near-duplicates (five words, 0.8) stays; rows without id stay."""
-    found = jaccard_components(docs, n=5, num=80)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    one = docs.dropDuplicates(["doc_id"]).join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    found = written(jaccard_components(docs, n=5, num=80).select("doc_id", "component_id"), "classes")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+    if not stay.groupBy("_stay").count().where("count > 1").isEmpty():  # rows of one id: one of them stays
+        docs = docs.where("doc_id is null").union(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    one = docs.join(stay.distinct(), F.col("doc_id") == F.col("_stay"), "left_semi")
     return one.union(docs.where("doc_id is null"))
