@@ -3,12 +3,12 @@
 Sets of word shingles are linked when their Jaccard similarity reaches a threshold. Three steps:
 
 1. *Meeting*. Sets fall into size classes so that linked sets lie in the same or neighbouring classes. In a class, sets
-   that are linked differ in at most H shingles; the shingles are dealt by hash into H + 1 + SPARE parts, so linked sets
-   have at least 1 + SPARE equal parts. Sets that share an equal part are joined to one candidate group. Each map task
+   that are linked differ in at most H shingles; the shingles are dealt by hash into H + 1 + spare parts, so linked sets
+   have at least 1 + spare equal parts. Sets that share an equal part are joined to one candidate group. Each map task
    first joins its own sets, so a key that many sets share crosses the shuffle once per batch. Equal sets are represented
    by one of them. Parts leave out shingles that are frequent in the corpus (by a sketch of counts over all documents),
    else a passage that many documents share would join them all. This loses nothing: without frequent shingles linked
-   sets differ in no more than before. A set that has more than SPARE empty parts then goes on to a level at which only
+   sets differ in no more than before. A set that has more than the spare number of empty parts goes on to a level at which only
    more frequent shingles are left out, at last none; it has keys at every level up to its own, where sets of lower
    levels find it.
 2. *Join in a group*, in one task, of representatives only: an inverted index whose lists hold the sets by size. Runs of
@@ -34,7 +34,7 @@ from .common import MASK, arrow_map, fresh_path, mix64, partitions, table, writt
 from .components import components
 from .elias_fano import map_arrays, save_arrays
 
-SPARE = 2
+SPARE = 3
 SKIP = 64
 #: Counters of the sketch, its slices, and how far above the mean counter frequent shingles begin at each level.
 WIDTH = 1 << 22
@@ -87,8 +87,15 @@ class Threshold:
         return np.array([*tops, max(tops[-1] + 1, tops[-1] * self.den // self.num)])
 
     def parts(self, top: int) -> int:
-        """More parts than linked sets of at most ``top`` shingles can have differences, and SPARE more."""
-        return 2 * top * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+        """More parts than linked sets of at most ``top`` shingles can have differences, and spare ones."""
+        return self.most_differences(top) + 1 + self.spare(top)
+
+    def most_differences(self, top: int) -> int:
+        return 2 * top * (self.den - self.num) // (self.den + self.num)
+
+    def spare(self, top: int) -> int:
+        """Empty parts that a set may have at a level: linked sets then still have an equal part that isn't empty."""
+        return SPARE + self.most_differences(top) // 8
 
     def linked(self, both: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
         return self.den * both >= self.num * (a + b - both)
@@ -171,7 +178,7 @@ def meeting_keys(s: np.ndarray, t: Threshold, tops: np.ndarray, counts: np.ndarr
             last = level == len(limits)
             p, a, b = (part, low, high) if last else (part[masks[level]], low[masks[level]], high[masks[level]])
             full = np.bincount(p, minlength=m) > 0
-            few = m - full.sum() <= SPARE
+            few = m - full.sum() <= t.spare(int(tops[c]))
             total = np.bincount(p, a, m).astype(np.uint64) + (np.bincount(p, b, m).astype(np.uint64) << np.uint64(32))
             key = mix64(total * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64((int(tops[c]) * 8 + level) * int(_C) & MASK))
             out.append(key if last and not few else key[full])
