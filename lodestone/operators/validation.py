@@ -172,10 +172,7 @@ def _reconcile(out: Validated, record: T.StructType, scope: Scope, r: dict, scal
     base_c = F.col(f"`{col}_base`")
     parts: list[Column] = []
     if r.get("group_by"):
-        grouped, err = _grouped(record, scope, r["group_by"], base_c)
-        if err is not None:
-            out.errors.append(err)
-        out.df = out.df.withColumn(f"{col}_groups", grouped)
+        out.errors.append(_grouped(out, col, record, scope, r["group_by"], base_c))
         groups = F.col(f"`{col}_groups`")
         parts.append(F.transform(groups, lambda g: F.struct(g["name"].alias("name"), g["description"].alias("description"), g["value"].alias("value"))))
         scalars[f"{name}_group_components_total"] = Typed(F.aggregate(groups, F.lit(0.0), lambda a, g: a + g["value"]), "number")
@@ -232,8 +229,16 @@ def group_items(schema: T.StructType, path: str) -> tuple[Column, T.StructType]:
     return F.coalesce(F.filter(here, lambda v: v.isNotNull()), F.array().cast(T.ArrayType(t))), t
 
 
-def _grouped(record: T.StructType, scope: Scope, g: dict, base: Column) -> tuple[Column, Column | None]:
-    """Components by group: name, description, value and slug, ascending by group; sums in item order."""
+def _grouped(out: Validated, col: str, record: T.StructType, scope: Scope, g: dict, base: Column) -> Column:
+    """Adds components by group (name, description, value, slug), ascending by group, sums in item order; returns the error.
+
+    Each step is a column of its own, so that no array is folded twice.
+    """
+
+    def step(name: str, c: Column) -> Column:
+        out.df = out.df.withColumn(f"{col}_{name}", c)
+        return F.col(f"`{col}_{name}`")
+
     if str(g.get("aggregation") or "sum").strip().lower() != "sum":
         raise X.ExpressionError(f"group_by aggregation {g.get('aggregation')!r} isn't supported")
     items, t = group_items(record, str(g["source"]))
@@ -259,14 +264,15 @@ def _grouped(record: T.StructType, scope: Scope, g: dict, base: Column) -> tuple
     error = F.array_max(F.transform(items, problem))
     live = F.filter(items, lambda x: compile_node(keep, own(x)).value) if keep else items
     rows = F.transform(
-        live,
+        step("live", live),
         lambda x: F.struct(
             F.coalesce(F.nullif(text(x, str(g["field"])), F.lit("")), F.lit(missing)).alias("k"),
             F.nullif(text(x, str(g["label_field"])) if str(g.get("label_field") or "").strip() else F.lit(None).cast("string"), F.lit("")).alias("l"),
             X._number(compile_node(value_node, own(x)), "group value")[0].alias("v"),
         ),
     )
-    keys = F.array_sort(F.array_distinct(F.transform(rows, lambda p: p["k"])))
+    rows = step("rows", rows)
+    keys = step("keys", F.array_sort(F.array_distinct(F.transform(rows, lambda p: p["k"]))))
     sums = F.transform(
         keys,
         lambda k: F.struct(
@@ -275,10 +281,13 @@ def _grouped(record: T.StructType, scope: Scope, g: dict, base: Column) -> tuple
             F.aggregate(F.filter(rows, lambda p: p["k"] == k), F.lit(0.0), lambda a, p: a + p["v"]).alias("v"),
         ),
     )
+    sums = step("sums", sums)
     total = F.aggregate(sums, F.lit(0.0), lambda a, s: a + s["v"])
     limit = F.abs(base)
     scale = F.when((total > 0) & (limit < total), limit / total).otherwise(F.lit(1.0)) if str(g.get("overflow_strategy") or "").strip().lower() == "cap_to_base" else F.lit(1.0)
 
+    scale = step("scale", scale)
+
     def filled(template: str, s: Column) -> Column:
         return F.replace(F.replace(F.lit(template.strip()), F.lit("{{group}}"), s["k"]), F.lit("{{label}}"), s["l"])
 
@@ -287,14 +296,18 @@ def _grouped(record: T.StructType, scope: Scope, g: dict, base: Column) -> tuple
         return F.coalesce(n, F.nullif(F.trim(s["l"]), F.lit("")), F.concat(F.lit("component_"), (k + 1).cast("string")))
 
     parts = F.transform(sums, lambda s, k: F.struct(named(s, k).alias("name"), filled(str(g.get("description_template") or ""), s).alias("description"), F.when(F.abs(s["v"] * scale) < 1e-9, F.lit(0.0)).otherwise(s["v"] * scale).alias("value")))
+    parts = step("parts", parts)
     slugs = F.transform(parts, lambda p, k: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(p["name"])), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.concat(F.lit("component_"), (k + 1).cast("string"))))
 
+    slugs = step("slugs", slugs)
+
     def slug(k: Column) -> Column:
         mine = F.get(slugs, k)
         before = F.size(F.filter(F.slice(slugs, F.lit(1), k), lambda s: s == mine))
         return F.when(before > 0, F.concat(mine, F.lit("_"), (before + 1).cast("string"))).otherwise(mine)
 
-    return F.transform(parts, lambda p, k: F.struct(p["name"].alias("name"), p["description"].alias("description"), p["value"].alias("value"), slug(k).alias("slug"))), error
+    step("groups", F.transform(parts, lambda p, k: F.struct(p["name"].alias("name"), p["description"].alias("description"), p["value"].alias("value"), slug(k).alias("slug"))))
+    return step("problem", error)
 
 
 RESULT = "struct<name:string,severity:string,result:string,value:boolean,message:string>"
