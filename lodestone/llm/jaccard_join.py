@@ -421,5 +421,6 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
     if not stay.groupBy("_stay").count().where("count > 1").isEmpty():  # rows of one id: one of them stays
         docs = docs.where("doc_id is null").union(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    one = docs.join(stay.distinct(), F.col("doc_id") == F.col("_stay"), "left_semi")
+    stay = stay.distinct()
+    one = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
     return one.union(docs.where("doc_id is null"))

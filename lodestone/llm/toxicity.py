@@ -78,13 +78,26 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, least_docs: in
     if not len(keep):
         return plain
     slot[keep] = np.arange(1, len(keep) + 1)
-    cols = [slot[r] for r in rows]
-    cols = [c[c > 0].astype(np.int64) - 1 for c in cols]
-    lens = np.array([len(c) for c in cols])
-    idx, doc = np.concatenate(cols), np.repeat(np.arange(len(cols)), lens)
     r = ratio[keep]
-    scaled = r[idx]
-    w, bias = fit_logistic(lambda w: np.bincount(doc, w[idx] * scaled, len(cols)), lambda g: np.bincount(idx, g[doc] * scaled, len(keep)), y, len(keep), l2, rounds=60)
+    chunks = []  # features of some hundred texts each: (feature, text, ratio), so that no step needs large arrays
+    for k in range(0, len(rows), 250):
+        cols = [slot[x] for x in rows[k : k + 250]]
+        cols = [c[c > 0].astype(np.int32) - 1 for c in cols]
+        idx = np.concatenate(cols)
+        chunks.append((idx, np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), r[idx].astype(np.float32), len(cols)))
+    del rows
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(doc, w[idx] * scaled, n) for idx, doc, scaled, n in chunks])
+
+    def back(g: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(keep)), 0
+        for idx, doc, scaled, n in chunks:
+            out += np.bincount(idx, g[at : at + n][doc] * scaled, len(keep))
+            at += n
+        return out
+
+    w, bias = fit_logistic(forward, back, y, len(keep), l2, rounds=60)
     v = r * w
     live = np.abs(v) > 1e-3 * np.abs(v).max()
     slot[keep] = np.where(live, np.cumsum(live), 0)
