@@ -20,7 +20,8 @@ Sets of word shingles are linked when their Jaccard similarity reaches a thresho
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,8 +127,8 @@ class Sketch:
         return out
 
 
-def build_sketch(docs: DataFrame, n: int) -> Sketch:
-    """Counts the shingles of all documents (columns i, t)."""
+def build_sketch(docs: DataFrame, make: Callable[[str], np.ndarray]) -> Sketch:
+    """Counts the set elements of all documents (columns i, t)."""
     path = fresh_path(docs.sparkSession, "sketch")
     size = WIDTH // SLICES
 
@@ -135,7 +136,7 @@ def build_sketch(docs: DataFrame, n: int) -> Sketch:
         total, held, many = np.zeros(WIDTH, np.uint32), [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.append(shingles(t, n))
+                held.append(make(t))
                 many += len(held[-1])
                 if many > 1_000_000:
                     total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
@@ -285,7 +286,7 @@ def _pairs_of(bucket: np.ndarray, rows: list[np.ndarray], n: int, planes: int) -
 FACT = np.dtype([("id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
 
 
-def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, sketch: Sketch, flush: int = 600_000) -> DataFrame:
+def _meet(docs: DataFrame, make: Callable[[str], np.ndarray], t: Threshold, buckets: int, sketch: Sketch, flush: int = 600_000) -> DataFrame:
     """Rows kind 1: edges (a, b) of the candidate graph; kind 2: facts of each document (a id, b set size, s1, s2 signature)."""
 
     held_sketch = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -308,7 +309,7 @@ def _meet(docs: DataFrame, n: int, t: Threshold, buckets: int, sketch: Sketch, f
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, n)
+                s = make(text)
                 raw = s.tobytes()
                 sig = xxhash.xxh3_128_intdigest(raw) if len(s) else 0
                 facts.append((i, len(s), np.uint64(sig >> 64).astype(np.int64), np.uint64(sig & (1 << 64) - 1).astype(np.int64)))
@@ -357,16 +358,18 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), zero, zero], ["kind", "a", "b", "s1", "s2"])
 
 
-def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 4_000_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 4_000_000, make: Callable[[str], np.ndarray] | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links, representative (of equal sets).
 
     Null and empty texts have no shingles and no links. Rows of one id are one vertex, each row is returned. A null id is
-    returned with a null component. Links count documents, equal sets included.
+    returned with a null component. Links count documents, equal sets included. ``make`` gives a text's set (ascending
+    distinct 64-bit numbers) where it isn't word shingles.
     """
+    make = make or functools.partial(shingles, n=n)
     t = Threshold(num, den)
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     live = docs.where("i is not null")
-    met = written(_meet(live, n, t, 4 * partitions(documents.sparkSession), build_sketch(live, n)), "met")
+    met = written(_meet(live, make, t, 4 * partitions(documents.sparkSession), build_sketch(live, make)), "met")
     facts = met.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"), "s1", "s2")
     equal = written(facts.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "equal")
     groups = components(met.where("kind = 1").select("a", "b"))
@@ -396,7 +399,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int
                     if len(held) > 1:
                         yield out()
                     at, held = (label, x, y), []
-                held.append((rep, copies, own, shingles(text, n)))
+                held.append((rep, copies, own, make(text)))
         if len(held) > 1:
             yield out()
 

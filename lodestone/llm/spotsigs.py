@@ -120,6 +120,20 @@ def similar(sets: list[np.ndarray], least: float = 0.8) -> list[tuple[int, int,
     return sorted(out)
 
 
+def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Classes of documents whose fingerprints are at least ``percent`` alike: doc_id, n_shingles (spots), component_id, n_links.
+
+    Fingerprints are partitioned by set length and meet by equal parts, as in the Jaccard join; no list of a spot is paired out.
+    """
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents, num=percent, id_col=id_col, text_col=text_col, make=_wide_spots)
+
+
+def _wide_spots(text: str) -> np.ndarray:
+    return spots(text).astype(np.uint64)
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last quarter replaced by as many first code points of the following one, or all it has."""
     k = len(text) // 4

@@ -418,6 +418,15 @@ def test_similar_pairs_are_exact():
     assert [(a, b) for a, b, _ in spotsigs.similar(sets, 0.8) if len(sets[a])] == want
 
 
+def test_near_duplicates_by_spots(spark):
+    rows = near_copies()
+    got = {r.doc_id: (r.component_id, r.n_links) for r in spotsigs.near_duplicates(rows_of(spark, rows)).collect()}
+    sets = {i: spotsigs.spots(x or "") for i, x in rows}
+    links = {i: {j for j in sets if j != i and len(sets[i]) and len(sets[j]) and spotsigs.likeness(sets[i], sets[j]) >= 0.8} for i in sets}
+    assert {i: n for i, (_, n) in got.items()} == {i: len(v) for i, v in links.items()}
+    assert all(got[i][0] == got[j][0] for i, v in links.items() for j in v)
+
+
 # ---- 10 language identification -------------------------------------------------------------------------------
 
 TONGUES = {"en": ["the", "thing", "with", "other", "when"], "de": ["und", "nicht", "schön", "über", "für"], "fr": ["été", "où", "leçon", "nous", "quand"]}
