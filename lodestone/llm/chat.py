@@ -57,7 +57,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def token_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token whether it meets a span, and the part of it that lies in the span (start, end; 0, 0 outside)."""
-    mask, a, b = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    mask, a, b = np.zeros(len(starts), bool), np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
     for s, e in spans:
         i, j = int(np.searchsorted(ends, s, "right")), int(np.searchsorted(starts, e, "left"))
         mask[i:j] = True
@@ -76,6 +76,12 @@ def _tokenizer(file: str):
     return t
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column of arrays, without a Python object per element."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
+
+
 SCHEMA = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss_mask array<boolean>, loss_starts array<int>, loss_ends array<int>"
 
 
@@ -94,13 +100,13 @@ def format_conversations(rows: DataFrame, tokenizer_file: str, id_col: str = "co
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 made = [render(list(zip(r, t, strict=True))) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                out = []
-                for e, (text, spans) in zip(coder.encode_batch([m[0] for m in made], add_special_tokens=False), made, strict=True):
-                    at = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    out.append((text, e.ids, at[:, 0], at[:, 1], *token_mask(at[:, 0], at[:, 1], spans)))
-                ints = pa.list_(pa.int32())
-                kinds = (pa.string(), ints, ints, ints, pa.list_(pa.bool_()), ints, ints)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds))], [c.split()[0] for c in SCHEMA.split(", ")])
+                cols: list[list] = [[] for _ in range(6)]
+                for e, (_, spans) in zip(coder.encode_batch([m[0] for m in made], add_special_tokens=False), made, strict=True):
+                    at = np.array(e.offsets, np.int32).reshape(-1, 2)
+                    for c, x in zip(cols, (np.array(e.ids, np.int32), at[:, 0], at[:, 1], *token_mask(at[:, 0], at[:, 1], spans)), strict=True):
+                        c.append(x)
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made]), *(_lists(c, t) for c, t in zip(cols, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return arrow_map(whole, run, SCHEMA)
 
@@ -118,16 +124,21 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_loss(formatted: str, mask: list[bool], starts: list[int], ends: list[int]) -> list[str]:
+def read_loss(formatted: str, mask: np.ndarray | list[bool], starts: np.ndarray | list[int], ends: np.ndarray | list[int]) -> list[str]:
     """The unescaped texts under the loss mask, one for each run of masked characters."""
-    runs: list[list[int]] = []
-    for live, a, b in zip(mask, starts, ends, strict=True):
-        if live:
-            if runs and a <= runs[-1][1]:  # tokens of one character share its span
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
-    return [unescape(formatted[a:b]) for a, b in runs]
+    live = np.asarray(mask, bool)
+    a, b = np.asarray(starts)[live], np.asarray(ends)[live]
+    if not len(a):
+        return []
+    reach = np.maximum.accumulate(b)  # tokens of one character share its span
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(a)) - 1
+    return [unescape(formatted[i:j]) for i, j in zip(a[first].tolist(), reach[last].tolist(), strict=True)]
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -136,7 +147,8 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             out = []
-            for c, text, mask, starts, ends in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            masks, starts_of, ends_of = (_arrays(x) for x in b.columns[2:])
+            for c, text, mask, starts, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), masks, starts_of, ends_of, strict=True):
                 turns = read_turns(text)
                 loss = "".join(read_loss(text, mask, starts, ends))
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
