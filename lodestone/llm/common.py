@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Deletes what this driver's operators have put in the shared folder, once their results are written elsewhere."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from tests.llm.conftest import LONG, crc, odd_texts, prose, rows_of
 
 from lodestone.llm import chat, decontam, jaccard_join, langid, merge_dropout, ngram_lm, quality, seekable_tokens, spotsigs, toxicity
-from lodestone.llm.common import fresh_path
+from lodestone.llm.common import fresh_path, remove_work, written
 from lodestone.llm.components import components
 from lodestone.llm.elias_fano import EliasFano
 
@@ -457,3 +457,11 @@ def test_languages_over_odd_tables(spark, odd, none):
     nothing = langid.train(none)
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
     assert len(LONG) > 100_000
+
+
+def test_work_is_removed(spark):
+    remove_work(spark)
+    df = written(spark.range(3), "some")
+    assert df.count() == 3 and remove_work(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.exist|no such file"):
+        df.count()
