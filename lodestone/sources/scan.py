@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -76,14 +77,45 @@ def coerce(v: Any, kind: str, name: str) -> Any:
     return int(v)
 
 
+PLAIN = re.compile(r"(?:@[^\W\d][\w.\-]*|[^\W\d][\w.\-]*(?:/[^\W\d][\w.\-]*)*(?:/@[^\W\d][\w.\-]*)?)\Z")
+
+
+class PlainPath:
+    """A path of unprefixed child steps with an attribute at its end at most: the common case, without the evaluator."""
+
+    def __init__(self, text: str) -> None:
+        *self.steps, last = text.split("/")
+        self.attribute = last[1:] if last.startswith("@") else None
+        if self.attribute is None:
+            self.steps.append(last)
+
+    def nodes(self, node: Node) -> list[Node]:
+        now = [node]
+        for name in self.steps:
+            now = [c for n in now for c in n.children if c.kind == "element" and c.name == name and not c.prefix]
+        if self.attribute is not None:
+            now = [a for n in now for a in n.attrs if a.name == self.attribute and not a.prefix]
+        return now
+
+    evaluate = nodes
+
+
 class Extractor:
     """Evaluates a recipe's selectors and XPath mappings; built once per task."""
 
     def __init__(self, recipe: Recipe) -> None:
         self.r, self.ns = recipe, recipe.namespaces
+        self.compiled: dict[str, Any] = {}
+
+    def xpath(self, text: str) -> Any:
+        """The compiled expression, or a walk over children where it is a plain relative path."""
+        p = self.compiled.get(text)
+        if p is None:
+            p = self.compiled[text] = PlainPath(text) if PLAIN.match(text) else compile_xpath(text, self.ns)
+        return p
 
     def value(self, node: Node, m: Mapping) -> Any:
-        p = compile_xpath(m.xpath, self.ns)
+        p = self.xpath(m.xpath)
         if m.transform == "exists":
             v = p.evaluate(node)
             return coerce(len(v) > 0 if isinstance(v, list) else to_boolean(v), m.type, m.name)
@@ -115,7 +147,7 @@ class Extractor:
 
     def _targets(self, n: Node, v) -> list[Node]:
         if v.match_xpath:
-            return compile_xpath(v.match_xpath, self.ns).nodes(n)
+            return self.xpath(v.match_xpath).nodes(n)
         if v.element_type:
             want = v.element_type.lower()
             return [x for x in ([n] if n.name.lower() == want else []) + [c for c in n.elements() if c.name.lower() == want]]
@@ -169,7 +201,7 @@ class Extractor:
             for k, s in enumerate(self.r.selectors):
                 found = 0
                 for doc, _, _ in docs:
-                    for n in [next(doc.elements())] if record and self.r.format != "ndjson" else [doc] if record else compile_xpath(s.xpath, self.ns).nodes(doc):
+                    for n in [next(doc.elements())] if record and self.r.format != "ndjson" else [doc] if record else self.xpath(s.xpath).nodes(doc):
                         number, found = number + 1, found + 1
                         fields = {m.name: self.value(n, m) for m in self.r.mappings if m.xpath}
                         out.append({"record_num": number, "selector": k, "fields": fields, "confidence": confidence, "disposition": "applied"})
