@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 MASK = (1 << 64) - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, through Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A table of the data folder, through Spark's own reader.
+
+    Texts of fewer splits than half the cores (a small table in one file) are dealt over all cores, since the work is in
+    the Python behind the scan; a table of more splits, or without ``spread``, is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and name in ("documents", "conversations") and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

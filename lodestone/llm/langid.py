@@ -112,5 +112,5 @@ def identify(df: DataFrame, model: KernelRidge, id_col: str = "doc_id", text_col
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Predicts the language of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs, train(docs))
+    out = identify(docs, train(table(spark, sf_dir, "documents", spread=False)))
     return out.select(F.col("id").alias("doc_id"), (id_crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")

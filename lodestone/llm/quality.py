@@ -176,13 +176,13 @@ def score_quality(documents: DataFrame, model: CoTrained, id_col: str = "doc_id"
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     """Scores every document; ``keep`` is false for those more likely of quality 0."""
     docs = table(spark, sf_dir, "documents")
-    out = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    out = score_quality(docs, train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def filter_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a quality score below 0.5 go; all columns of ``docs`` stay."""
-    held = spark.sparkContext.broadcast(train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    held = spark.sparkContext.broadcast(train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:

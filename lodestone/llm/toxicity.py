@@ -125,13 +125,13 @@ def score_toxicity(df: DataFrame, model: NbLinear, id_col: str = "doc_id", text_
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"))
+    model = train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select(F.col("id").alias("doc_id"), (id_crc("id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a toxicity score of at least 0.5 go; all columns of ``docs`` stay."""
-    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels"))
     held = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
