@@ -106,7 +106,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
-    """At most ``rows`` labelled documents (id, text, label, extra): the rows whose ids hash lowest.
+    """At most ``rows`` labels' documents (id, text, label, extra): those whose ids hash lowest; twice as many where ids repeat.
 
     The choice is made on ids alone; the ids broadcast for the join are at most ``rows``.
     """
@@ -115,4 +115,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
         picked = picked.where(where)
     picked = picked.orderBy(F.xxhash64(F.col("_sid"), F.lit(17)), "_sid", "_label").limit(rows)
     docs = documents.select(F.col(id_col).alias("_did"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *(F.col(c).alias(f"_x_{c}") for c in extra))
-    return docs.join(F.broadcast(picked), F.col("_did") == F.col("_sid")).select(F.col("_did").alias("id"), F.col("_text").alias("text"), F.col("_label").alias("label"), *(F.col(f"_x_{c}").alias(c) for c in extra))
+    own = docs.join(F.broadcast(picked), F.col("_did") == F.col("_sid")).select(F.col("_did").alias("id"), F.col("_text").alias("text"), F.col("_label").alias("label"), *(F.col(f"_x_{c}").alias(c) for c in extra))
+    return own.orderBy("id", "label", "text").limit(2 * rows)

@@ -137,12 +137,12 @@ def _features(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(documents: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 3000) -> CoTrained:
-    """Trains on at most so many labelled and unlabelled documents: those of the lowest id hashes."""
+    """Trains on at most so many labelled and unlabelled documents, those of the lowest id hashes; twice as many where ids repeat."""
     docs = documents.select("doc_id", "text", *_COLS)
     rows = sorted(labelled_sample(docs, labels, "quality", labelled, extra=_COLS).collect(), key=lambda r: (r["id"], r["label"], r["text"]))
     ids = docs.where("doc_id is not null").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(unlabelled).distinct()
-    free = sorted(docs.join(F.broadcast(ids), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).collect(), key=lambda r: (r["doc_id"], r["text"]))[: 2 * unlabelled]
+    free = sorted(docs.join(F.broadcast(ids), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).orderBy("doc_id", "text").limit(2 * unlabelled).collect(), key=lambda r: (r["doc_id"], r["text"]))
     order = np.random.default_rng(5).permutation(len(rows))
     rows = [rows[k] for k in order]
     xt, xm = _features(rows)
