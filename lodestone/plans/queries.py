@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.functions.expressions import Scope, Typed, compile_expression
 from lodestone.functions.transforms import apply_transform

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import expressions as X
 from lodestone.functions.transforms import REGISTRY
-from lodestone.sources.xpath import XPath, XPathError, compile_xpath
+from lodestone.sources.xpath import XPathError, compile_xpath
 
 TYPES = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
 FORMATS = ("xml", "json", "ndjson")
@@ -263,7 +263,3 @@ def load_workspace(path: str) -> Recipe:
     manifest = read("recipe.yaml")
     assets = manifest.get("assets") or {}
     return build(read(assets["extract"]), read(assets["signature"]) if assets.get("signature") else None, manifest, read(assets["applicability"]) if assets.get("applicability") else None)
-
-
-def compiled(text: str, namespaces: dict[str, str]) -> XPath:
-    return compile_xpath(text, namespaces)
