@@ -3,8 +3,10 @@
 A text is cut where no piece of the model can lie across (before runs of spaces after other characters, and at line
 ends), so every chunk is segmented by itself. Chunks are merged many at a time: each round takes, in every chunk, the
 best-scored adjacent pair (leftmost on ties) off its agenda. A candidate merge is skipped when a hash keyed by seed,
-stream, chunk, position and merged piece falls below ``dropout``. An occurrence's stream comes from a hash of seed,
-document and position, so a word is cut in up to ``streams`` ways under one seed. Dropout 0 gives the model's own pieces.
+document, the chunk's position in it, place and merged piece falls below ``dropout``: every occurrence of a word is drawn
+by itself. What the draws lead to is kept as a tree for each chunk met again (a node is the next merge, with a branch
+where it is made and one where it is skipped), which all occurrences walk at once; those that leave the tree are segmented
+by themselves, with the same result. Dropout 0 gives the model's own pieces.
 Characters without a piece, and a literal U+2581, become byte pieces: decoding restores every text exactly.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,19 +29,54 @@ from .common import MASK, arrow_map, mix64, table
 SPACE = 0x2581
 NONE = np.int64(1 << 40)
 CHUNK = re.compile(r"\n[^ \n]*| +[^ \n]*")
+#: Longer chunks have no tree; a node is laid out when occurrences have left the tree there so often; characters dealt with at once.
+LONGEST, OFTEN, AT_ONCE = 32, 6, 2_000_000
+OPEN, LEAF = -1, -2
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Trees(dict):
+    """The root of each chunk's tree, in arrays of nodes: what is hashed, the branches (``take``: OPEN, LEAF), and the
+    state behind an open node (a chunk, or a way down a tree and the step that is skipped) or the ids of a leaf."""
+
+    def __init__(self) -> None:
+        self.draw, self.left = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.take, self.skip = np.full(1024, OPEN, np.int64), np.full(1024, OPEN, np.int64)
+        self.state: list = [None]  # node 0 stands for the chunks without a tree
+        self.new: list[tuple[int, int, int, int]] = []
+
+    def fit(self) -> None:
+        """Room for all nodes, and the branches laid out since."""
+        more = len(self.state) - len(self.take)
+        if more > 0:
+            more += len(self.take)
+            self.draw, self.left = np.concatenate([self.draw, np.zeros(more, np.uint64)]), np.concatenate([self.left, np.zeros(more, np.int64)])
+            self.take, self.skip = (np.concatenate([x, np.full(more, OPEN, np.int64)]) for x in (self.take, self.skip))
+        if self.new:
+            at, draw, take, skip = np.array(self.new, np.int64).T
+            self.draw[at], self.take[at], self.skip[at] = draw.astype(np.uint64), take, skip
+            self.new = []
+
+    def __missing__(self, chunk: str) -> int:
+        if len(chunk) > LONGEST:
+            return 0
+        self[chunk] = n = len(self.state)
+        self.state.append(chunk)
+        return n
 
 
 class MergeDropout:
-    """Encoder and decoder for one model file; ``limit`` bounds the cache of cut chunks, results don't depend on it."""
+    """Encoder and decoder for one model file; ``limit`` bounds the nodes of kept trees, results don't depend on it."""
 
-    def __init__(self, file: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, limit: int = 400_000) -> None:
+    def __init__(self, file: str, dropout: float = 0.1, seed: int = 0, limit: int = 1_000_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=file)
         n = sp.get_piece_size()
         if sp.decode(sp.encode("  a  b \n")) != "  a  b \n":
             raise ValueError("the model changes white space; its decoding isn't lossless")
-        self.vocab, self.dropout, self.seed, self.streams, self.limit = n, dropout, seed, streams, limit
+        self.vocab, self.dropout, self.seed, self.limit = n, dropout, seed, limit
+        self.below = np.uint64(min(MASK, int(dropout * 2.0**64)))
         self.byte_id = np.full(256, -1, np.int64)
         self.bytes: list[bytes] = []
         text_of: dict[str, int] = {}
@@ -67,39 +105,53 @@ class MergeDropout:
                 a, b = text_of.get(p[:k]), text_of.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
-        keys = sorted(pairs)
-        self.pair = np.array(keys, np.int64)
-        self.pair_piece = np.array([pairs[k] for k in keys], np.int64)
+        bits = max(4, (8 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slots: list[int] = [-1] * (1 << bits)
+        for key in sorted(pairs):
+            at = (key * int(SPREAD) & MASK) >> 64 - bits
+            while slots[at] >= 0:
+                at = at + 1 & (1 << bits) - 1
+            slots[at] = key
+        self.slot_key = np.array(slots, np.int64)
+        self.slot_piece = np.array([pairs.get(k, -1) for k in slots], np.int64)
         self.rank = np.full(n, NONE, np.int64)
         self.rank[list(rank)] = list(rank.values())
         self.piece = np.full(n, -1, np.int64)
         self.piece[list(rank.values())] = list(rank)
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(streams)]
+        self.pairs, self.ranks = pairs, self.rank.tolist()
+        self.single = {chr(c): i for c, i in zip(self.cp.tolist(), self.cp_id.tolist(), strict=True)}
+        self.trees = _Trees()
 
     def _ranks(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Of each candidate merge its rank, or NONE where there is no such piece or the merge is skipped."""
         out = np.full(len(left), NONE, np.int64)
         ok = np.flatnonzero((left < self.vocab) & (right < self.vocab))
         key = left[ok] << 32 | right[ok]
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        hit = self.pair[at] == key
-        ok, piece = ok[hit], self.pair_piece[at[hit]]
+        slot = (key.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
+        found = self.slot_key[slot]
+        off = np.flatnonzero((found != key) & (found >= 0))
+        while len(off):
+            slot[off] = (slot[off] + 1) & (len(self.slot_key) - 1)
+            found[off] = self.slot_key[slot[off]]
+            off = off[(found[off] != key[off]) & (found[off] >= 0)]
+        hit = np.flatnonzero(found == key)
+        ok, piece = ok[hit], self.slot_piece[slot[hit]]
         if self.dropout > 0:
             u = mix64(salt[ok] ^ (start[ok].astype(np.uint64) << np.uint64(32)) ^ piece.astype(np.uint64))
-            stay = u >= np.uint64(min(MASK, int(self.dropout * 2.0**64)))
+            stay = u >= self.below
             ok, piece = ok[stay], piece[stay]
         out[ok] = self.rank[piece]
         return out
 
-    def segment(self, chunks: list[str], stream: int) -> list[bytes]:
-        """Piece ids (little-endian unsigned 32-bit) of each chunk; a chunk that doesn't begin with a line end has one more space before it."""
+    def segment(self, chunks: list[str], salts: np.ndarray) -> list[bytes]:
+        """Piece ids (little-endian unsigned 32-bit) of each chunk under its salt; a chunk that doesn't begin with a line end has one more space before it."""
         lengths = np.array([len(c) + (c[:1] != "\n") for c in chunks], np.int64)
         text = "".join(c if c[:1] == "\n" else " " + c for c in chunks)
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         cp = np.where(cp == 32, SPACE, np.where(cp == SPACE, 32, cp))  # 32 now stands for a literal U+2581, which has no piece
         at = np.minimum(np.searchsorted(self.cp, cp), len(self.cp) - 1)
         sym = np.where((self.cp[at] == cp) & (cp != 32), self.cp_id[at], self.vocab + cp)
-        salts = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + stream & MASK) for c in chunks), np.uint64, len(chunks)) if self.dropout > 0 else np.zeros(len(chunks), np.uint64)
         word = np.repeat(np.arange(len(chunks)), lengths)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         done_word, done_start, done_sym = [], [], []
@@ -136,8 +188,10 @@ class MergeDropout:
             redo = redo[word[redo] == word[redo + 1]]
             r[redo] = self._ranks(sym[redo], sym[redo + 1], salts[word[redo]], start[redo])
         word, start, sym = np.concatenate(done_word), np.concatenate(done_start), np.concatenate(done_sym)
-        order = np.lexsort((start, word))
-        word, sym = word[order], sym[order]
+        placed = np.full(int(lengths.sum()), -1, np.int64)
+        placed[(np.cumsum(lengths) - lengths)[word] + start] = sym
+        live = np.flatnonzero(placed >= 0)
+        word, sym = np.repeat(np.arange(len(chunks)), lengths)[live], placed[live]
         raw = np.flatnonzero(sym >= self.vocab)
         if len(raw):
             parts = [chr(SPACE if c == 32 else c).encode("utf-8", "surrogatepass") for c in (sym[raw] - self.vocab).tolist()]
@@ -151,58 +205,131 @@ class MergeDropout:
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Piece ids of whole texts; ``keys`` are the documents' ids (or any numbers) that steer the streams."""
+        """Piece ids of whole texts; ``keys`` are the documents' ids (or any numbers) that key the draws with the place of each chunk."""
         split = []
         for t in texts:
             s = " " + t
             split.append([] if not t else [c[1:] if c[0] == " " else c for c in CHUNK.findall(s)] if "  " in s else t.replace("\n", " \n").split(" "))
-        one = self.streams == 1 or self.dropout <= 0
-        picks = []
-        for chunks, k in zip(split, keys, strict=True):
-            base = np.uint64(xxhash.xxh64_intdigest(int(k).to_bytes(16, "little", signed=True), self.seed & MASK))
-            picks.append(np.zeros(len(chunks), np.int64) if one else (mix64(base + np.arange(len(chunks), dtype=np.uint64)) % np.uint64(self.streams)).astype(np.int64))
-        need: list[set[str]] = [set() for _ in self.cache]
-        if one:
-            for chunks in split:
-                need[0].update(chunks)
-        else:
-            for chunks, pick in zip(split, picks, strict=True):
-                for c, v in zip(chunks, pick.tolist(), strict=True):
-                    if c not in self.cache[v]:
-                        need[v].add(c)
-        for v, wanted in enumerate(need):
-            todo = [c for c in wanted if c not in self.cache[v]]
-            for a in range(0, len(todo), 100_000):
-                self.cache[v].update(zip(todo[a : a + 100_000], self.segment(todo[a : a + 100_000], v), strict=True))
-        out = []
-        for chunks, pick in zip(split, picks, strict=True):
-            out.append(b"".join([self.cache[0][c] for c in chunks] if one else [self.cache[v][c] for c, v in zip(chunks, pick.tolist(), strict=True)]))
-        if sum(map(len, self.cache)) > self.limit:  # the chunks at hand stay, the frequent ones among them
-            recent = set().union(*split)
-            self.cache = [{c: x for c, x in old.items() if c in recent} for old in self.cache]
-            if sum(map(len, self.cache)) > self.limit // 2:
-                self.cache = [{} for _ in self.cache]
+        out, a = [], 0
+        while a < len(texts):
+            z, size = a, 0
+            while z < len(texts) and (z == a or size + len(texts[z]) <= AT_ONCE):
+                size += len(texts[z])
+                z += 1
+            out += self._encode(split[a:z], keys[a:z])
+            a = z
         return out
 
+    def _encode(self, split: list[list[str]], keys: list[int]) -> list[bytes]:
+        chunks = [c for part in split for c in part]
+        salts = np.zeros(len(chunks), np.uint64)
+        ends = np.cumsum([len(part) for part in split]).tolist()
+        if self.dropout > 0:
+            for part, k, z in zip(split, keys, ends, strict=True):
+                salts[z - len(part) : z] = np.uint64(xxhash.xxh64_intdigest(int(k).to_bytes(16, "little", signed=True), self.seed & MASK)) + np.arange(len(part), dtype=np.uint64)
+            salts = mix64(salts)
+        trees = self.trees
+        node = np.fromiter(map(trees.__getitem__, chunks), np.int64, len(chunks))
+        trees.fit()
+        alone, at = [], np.arange(len(chunks))
+        while len(at):
+            left = []
+            while len(at):
+                here = node[at]
+                take = trees.take[here]
+                left.append(at[take == OPEN])
+                inner = take >= 0
+                if not inner.all():
+                    at, here, take = at[inner], here[inner], take[inner]
+                if self.dropout > 0:
+                    take = np.where(mix64(salts[at] ^ trees.draw[here]) < self.below, trees.skip[here], take)
+                node[at] = take
+            at = np.sort(np.concatenate(left))
+            wanted, n = np.unique(node[at], return_counts=True)
+            trees.left[wanted] += n
+            lay = wanted[(trees.left[wanted] >= OFTEN) & (wanted > 0)]
+            for k in lay.tolist():
+                self._lay_out(k)
+            trees.fit()
+            known = trees.take[node[at]] != OPEN
+            alone.append(at[~known])
+            at = at[known]
+        got = list(map(trees.state.__getitem__, node.tolist()))
+        rest = np.concatenate(alone) if alone else at
+        for a in range(0, len(rest), 100_000):
+            part = rest[a : a + 100_000]
+            for k, ids in zip(part.tolist(), self.segment([chunks[k] for k in part.tolist()], salts[part]), strict=True):
+                got[k] = ids
+        if len(trees.state) > self.limit:
+            self.trees = _Trees()
+        return [b"".join(got[z - len(part) : z]) for part, z in zip(split, ends, strict=True)]
+
+    def _lay_out(self, node: int) -> None:
+        """Adds the nodes from an open one down to the leaf where no more merges are skipped."""
+        trees, none = self.trees, int(NONE)
+        state = trees.state[node]
+        if isinstance(state, str):
+            chars = state if state[:1] == "\n" else " " + state
+            sym = [self.single[x] if (x := "▁" if c == " " else " " if c == "▁" else c) in self.single and x != " " else self.vocab + ord(x) for c in chars]
+            start, dead = list(range(len(sym))), frozenset()
+        else:
+            (sym, start, dead, steps), skipped = state
+            sym, start = list(sym), list(start)
+            for k, piece in steps[:skipped]:
+                sym[k : k + 2] = [piece]
+                del start[k + 1]
+            k, piece = steps[skipped]
+            dead = dead | {start[k] << 32 | piece}
+        way = (tuple(sym), tuple(start), dead, [])
+
+        def candidate(k: int) -> tuple[int, int]:
+            p = self.pairs.get(sym[k] << 32 | sym[k + 1], -1)
+            return (p, self.ranks[p]) if p >= 0 and start[k] << 32 | p not in dead else (-1, none)
+
+        agenda = [candidate(k) for k in range(len(sym) - 1)]
+        rank = [r for _, r in agenda]
+        all_states = trees.state
+        all_states[node] = None
+        while rank:
+            least = min(rank)
+            if least >= none:
+                break
+            k = rank.index(least)
+            piece = agenda[k][0]
+            n = len(all_states)
+            all_states += (None, (way, len(way[3])))
+            trees.new.append((node, start[k] << 32 | piece, n, n + 1))
+            way[3].append((k, piece))
+            node = n
+            sym[k : k + 2] = [piece]
+            del start[k + 1], agenda[k], rank[k]
+            for j in (k - 1, k):
+                if 0 <= j < len(agenda):
+                    agenda[j] = candidate(j)
+                    rank[j] = agenda[j][1]
+        ids = [i for v in sym for i in ([v] if v < self.vocab else self.byte_id[list(chr(SPACE if v - self.vocab == 32 else v - self.vocab).encode("utf-8", "surrogatepass"))].tolist())]
+        trees.new.append((node, 0, LEAF, OPEN))
+        all_states[node] = array("I", ids).tobytes()
+
     def decode(self, ids: bytes) -> str:
         """The text of piece ids."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 @functools.cache
-def coder_of(file: str, dropout: float, seed: int, streams: int) -> MergeDropout:
+def coder_of(file: str, dropout: float, seed: int) -> MergeDropout:
     """One coder for each worker process and setting."""
-    return MergeDropout(file, dropout, seed, streams)
+    return MergeDropout(file, dropout, seed)
 
 
-def encode_pieces(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, streams: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, n_pieces, ids_crc32, restored) of every row: the ids, and whether decoding them gives the text.
 
-    Null and empty texts have no ids and are restored as empty; a null id steers the streams as 0; repeated rows are kept.
+    Null and empty texts have no ids and are restored as empty; a null id keys the draws as 0; repeated rows are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder = coder_of(model_file, dropout, seed, streams)
+        coder = coder_of(model_file, dropout, seed)
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
@@ -217,7 +344,7 @@ def decode_pieces(df: DataFrame, model_file: str, id_col: str = "id", ids_col: s
     """(id, text) of rows of piece ids (binary, little-endian unsigned 32-bit); null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder = coder_of(model_file, 0.0, 0, 1)
+        coder = coder_of(model_file, 0.0, 0)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 

@@ -374,6 +374,20 @@ def test_dropout_is_seeded_varied_and_lossless():
     assert [m.bytes[i] for i in np.frombuffer(every[0], "<u4")] == [b" ", b"a", b"b", b" ", b"c", b"d"]
 
 
+def test_dropout_is_drawn_for_every_occurrence():
+    m = merge_dropout.MergeDropout(PIECES, 0.3, 7)
+    words = " ".join(["internationalization"] * 400)
+    cuts = {m.encode(["internationalization"], [k])[0] for k in range(400)}
+    assert len(cuts) > 20
+    # the trees give what each occurrence has by itself
+    x = [*texts8(), words]
+    own = merge_dropout.MergeDropout(PIECES, 0.3, 7)
+    for _ in range(3):
+        got = m.encode(x, list(range(len(x))))
+    salts = merge_dropout.mix64(np.uint64(merge_dropout.xxhash.xxh64_intdigest((len(x) - 1).to_bytes(16, "little"), 7)) + np.arange(400, dtype=np.uint64))
+    assert got[-1] == b"".join(own.segment(["internationalization"] * 400, salts)) and got == [own.encode([t], [k])[0] for k, t in enumerate(x)]
+
+
 def test_pieces_over_odd_tables(odd, none):
     got = merge_dropout.encode_pieces(odd, PIECES).cache()
     assert got.count() == odd.count() and got.where("not restored").count() == 0
