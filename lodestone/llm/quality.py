@@ -2,14 +2,15 @@
 
 Two logistic models see each document from sides that don't share features: the text content (hashed byte pairs and word
 statistics) and the page metadata (source, language, recorded length, lines and shares of character classes). Starting
-from the labelled sample, each model labels in every round the unlabelled documents that it is most sure of, for the other
-one. On labelled rows set aside both are calibrated (Platt) and a logistic model combines the two calibrated views.
-The training samples are bounded (``labelled`` and ``unlabelled`` rows); every document is scored whole.
+from the labelled sample, each model labels in every round those of all unlabelled documents that it is most sure of, for
+the other one: one pass over the corpus a round. On labelled rows set aside both are calibrated (Platt) and a logistic model combines the two calibrated views.
+The rows that reach a fit are bounded (``labelled`` rows, shares of ``unlabelled`` pseudo-labelled ones); every document is
+offered and scored whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, labelled_sample, sigmoid, table
+from .common import arrow_map, labelled_sample, sigmoid, table, written
 from .linear import fit_dense
 
 PAIRS = 1024
@@ -82,11 +83,17 @@ class CoTrained:
         return p, q, sigmoid(self.both[0] * _logit(p) + self.both[1] * _logit(q) + self.both[2])
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 4, share: float = 0.1, sure: float = 0.95, l2: float = 1e-4) -> CoTrained:
-    """Co-trains on labelled rows (views ``xt``, ``xm``, labels ``y``) and unlabelled ones (``ut``, ``um``).
+Model = tuple[np.ndarray, float]
+#: From both models, the rows wanted of label 1 and 0 and the keys that each view has: of each view's model (key, label) of
+#: its surest rows for the other view, and the views' features by key.
+Offer = Callable[[list[Model], dict[int, int], list[dict[int, float]]], tuple[list[list[tuple[int, float]]], dict[int, tuple[np.ndarray, np.ndarray]]]]
 
-    Every fourth labelled row is set aside for calibration. A round gives each model at most ``share`` of the unlabelled
-    rows, for each label, whose probability under the other model is at least ``sure``. Fewer than eight labelled rows, or
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, offer: Offer, most: int, rounds: int = 4, l2: float = 1e-4) -> CoTrained:
+    """Co-trains on labelled rows (views ``xt``, ``xm``, labels ``y``) and the unlabelled ones that ``offer`` finds.
+
+    Every fourth labelled row is set aside for calibration. A round gives each model at most ``most`` rows in all, by the
+    labels' shares, of which the other model is surest. Fewer than eight labelled rows, or
     one class only, give a constant score (the smoothed share of label 1; 1 without labels, so that nothing is rejected).
     """
     if len(y) < 8 or len(np.unique(y)) < 2 or len(np.unique(y[3::4])) < 2 or len(np.unique(np.delete(y, np.s_[3::4]))) < 2:
@@ -96,24 +103,22 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
     aside = np.zeros(len(y), bool)
     aside[3::4] = True
     x, own = (xt[~aside], xm[~aside]), y[~aside].astype(np.float64)
-    pool = (ut, um)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     taken: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view's model has got
     models = []
     for r in range(rounds + 1):
         models = []
         for v in (0, 1):
             rows = sorted(taken[v])
-            data = np.concatenate([x[v], pool[v][rows]]) if rows else x[v]
+            data = np.concatenate([x[v], np.stack([held[k][v] for k in rows])]) if rows else x[v]
             models.append(fit_dense(data, np.concatenate([own, [taken[v][k] for k in rows]]), l2, np.concatenate([np.ones(len(own)), np.full(len(rows), 0.5)]), rounds=60))
-        if r == rounds or not len(ut):
+        if r == rounds or most < 1:
             break
-        most = max(1, int(share * len(ut)))
+        share = {1: max(1, int(most * own.mean())), 0: max(1, int(most * (1 - own.mean())))}
+        found, features = offer(models, share, taken)
+        held |= features
         for v in (0, 1):
-            p = sigmoid(pool[v] @ models[v][0] + models[v][1])
-            for label, conf in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-conf, kind="stable")
-                best = [int(k) for k in best if int(k) not in taken[1 - v]][: max(1, int(most * (own.mean() if label else 1 - own.mean())))]
-                taken[1 - v].update({k: label for k in best if conf[k] >= sure})
+            taken[1 - v].update(found[v])
     cal = y[aside].astype(np.float64)
     platt = []
     for v, data in enumerate((xt[aside], xm[aside])):
@@ -136,27 +141,65 @@ def _features(rows: list) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def train(documents: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 3000) -> CoTrained:
-    """Trains on at most so many labelled and unlabelled documents, those of the lowest id hashes; twice as many where ids repeat."""
-    docs = documents.select("doc_id", "text", *_COLS)
+def _offer(docs: DataFrame, labels: DataFrame, sure: float) -> Offer:
+    """Offers all documents without a label, each distinct row once, by its hash; of every document only hash, id and the sure probabilities are shuffled."""
+    spark = docs.sparkSession
+    keyed = docs.withColumn("key", F.xxhash64("text", *_COLS))
+    marked = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+
+    def offer(models: list[Model], share: dict[int, int], taken: list[dict[int, float]]) -> tuple[list[list[tuple[int, float]]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        held = spark.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, b.num_rows, 1000):
+                    part = b.slice(a, 1000)
+                    x = _views(part)
+                    p = [sigmoid(x[v] @ held.value[v][0] + held.value[v][1]) for v in (0, 1)]
+                    live = np.flatnonzero(np.any([(q >= sure) | (1 - q >= sure) for q in p], axis=0))
+                    if len(live):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), part.column(1).take(pa.array(live)), *(pa.array(q[live].astype(np.float64)) for q in p)], ["id", "key", "p0", "p1"])
+
+        seen = arrow_map(keyed.select(F.col("doc_id").cast("long").alias("id"), "key", "text", *_COLS), run, "id long, key long, p0 double, p1 double")
+        seen = written(seen.join(marked, "id", "left_anti").groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1")), "sure")
+        found: list[list[tuple[int, float]]] = [[], []]
+        for v in (0, 1):
+            for label, conf in ((1, F.col(f"p{v}")), (0, 1 - F.col(f"p{v}"))):
+                best = seen.select("key", conf.alias("c")).where(F.col("c") >= sure).orderBy(F.desc("c"), "key").limit(share[label] + len(taken[1 - v])).collect()
+                found[v] += [(r["key"], float(label)) for r in best if r["key"] not in taken[1 - v]][: share[label]]
+        wanted = sorted({k for f in found for k, _ in f})
+        names = spark.createDataFrame([(k,) for k in wanted], "key long")
+        rows = keyed.join(F.broadcast(names), "key").dropDuplicates(["key"]).collect() if wanted else []
+        rows.sort(key=lambda r: r["key"])
+        return found, {r["key"]: x for r, *x in zip(rows, *_features(rows), strict=True)}
+
+    return offer
+
+
+def train(documents: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 3000, share: float = 0.1, sure: float = 0.95) -> CoTrained:
+    """Trains on at most so many labelled documents, those of the lowest id hashes (twice as many where ids repeat), and on
+    pseudo-labels of all others: a round gives each model at most ``share`` of ``unlabelled`` rows (or of all, where they are
+    fewer) whose probability under the other model is at least ``sure``, the surest of the whole corpus."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_COLS)
     rows = sorted(labelled_sample(docs, labels, "quality", labelled, extra=_COLS).collect(), key=lambda r: (r["id"], r["label"], r["text"]))
-    ids = docs.where("doc_id is not null").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(unlabelled).distinct()
-    free = sorted(docs.join(F.broadcast(ids), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).orderBy("doc_id", "text").limit(2 * unlabelled).collect(), key=lambda r: (r["doc_id"], r["text"]))
     order = np.random.default_rng(5).permutation(len(rows))
     rows = [rows[k] for k in order]
     xt, xm = _features(rows)
-    ut, um = _features(free)
-    return co_train(xt, xm, np.array([r["label"] for r in rows]), ut, um)
+    free = docs.select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").limit(unlabelled).count()
+    return co_train(xt, xm, np.array([r["label"] for r in rows]), _offer(docs, labels, sure), max(1, int(share * free)) if free else 0)
 
 
-def _scored(model: CoTrained, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     xt, xm = [], []
     cols = [b.column(b.schema.names.index(c)).to_pylist() for c in ("text", *_COLS)]
     for text, lang, source, n in zip(*cols, strict=True):
         xt.append(text_view(text or ""))
         xm.append(meta_view(text or "", lang, source, n))
-    return model.scores(np.stack(xt), np.stack(xm))
+    return np.stack(xt), np.stack(xm)
+
+
+def _scored(model: CoTrained, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return model.scores(*_views(b))
 
 
 def score_quality(documents: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFrame:

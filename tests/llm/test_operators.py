@@ -48,6 +48,32 @@ def test_quality_keeps_clean_documents(labelled):
     assert all(got[i] for i, q, _ in truth if q)
 
 
+def test_all_unlabelled_documents_are_offered(labelled, monkeypatch):
+    docs, labels, truth = labelled
+    passes, views = [], quality.co_train
+
+    def watched(xt, xm, y, offer, most, **more):
+        def every(models, share, taken):
+            found, features = offer(models, share, taken)
+            free = {(r.text, r.lang, r.source, r.n_chars) for r in docs.collect() if r.doc_id not in {i for i, _, _ in truth}}
+            for v in (0, 1):
+                x = [(quality.text_view(t), quality.meta_view(t, *m))[v] for t, *m in free]
+                p = quality.sigmoid(np.stack(x) @ models[v][0] + models[v][1])
+                for label, conf in ((1, p), (0, 1 - p)):
+                    got = [k for k, k_label in found[v] if k_label == label]
+                    own = [quality.sigmoid(features[k][v] @ models[v][0] + models[v][1]) for k in got]
+                    sure = sorted(conf[conf >= 0.5])[::-1]
+                    if not taken[1 - v]:
+                        assert np.allclose(sorted(own if label else [1 - q for q in own])[::-1], sure[: share[label]])
+                    passes.append(len(got))
+            return found, features
+
+        return views(xt, xm, y, every, most, **more)
+
+    monkeypatch.setattr(quality, "co_train", watched)
+    assert quality.train(docs, labels, 200, 30, share=0.5, sure=0.5).pseudo > 30 and sum(passes) > 30
+
+
 def test_toxicity_finds_held_out_toxic_documents(labelled):
     docs, labels, truth = labelled
     got = {r.id: r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
