@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 import zlib
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,44 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a URI and the path in it; the Hadoop names of S3 (``s3a``, ``s3n``) are known too."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
+def id_ranges(ids: DataFrame, n: int) -> Callable[[str, str], Column]:
+    """Cuts the one column of ``ids`` (long) into ``n`` ascending ranges of like numbers of rows; reads that column only.
+
+    Returns what gives a row's range from its id and a hash (long): null ids come first, and an id that fills several
+    ranges is dealt over them in the order of the hash. A row is compared with about two square roots of ``n`` bounds.
+    """
+    (c,) = ids.columns
+    low = -(1 << 63)
+    bounds = [int(x) for x in ids.select(F.coalesce(F.col(c), F.lit(low)).cast("double").alias("k")).approxQuantile("k", [j / n for j in range(1, n)], 0.25 / n)] if n > 1 else []
+    wide = max(1, math.isqrt(len(bounds)))
+    rows = [bounds[a : a + wide] for a in range(0, len(bounds), wide)]
+
+    def longs(x: list[int]) -> Column:
+        return F.array(*(F.lit(max(low, min((1 << 63) - 1, v))).cast("long") for v in x))
+
+    def of(col: str, tie: str) -> Column:
+        key = F.coalesce(F.col(col), F.lit(low))
+        if not rows:
+            return F.lit(0)
+
+        def before(test: Callable[[Column], Column]) -> Column:
+            """How many bounds meet the test, which the first ones do."""
+            whole = F.size(F.filter(longs([r[-1] for r in rows]), test))
+            part = F.when(whole < len(rows), F.size(F.filter(F.element_at(F.array(*map(longs, rows)), F.least(whole + 1, F.lit(len(rows)))), test))).otherwise(0)
+            return F.least(whole * wide, F.lit(len(bounds))) + part
+
+        first, last = before(lambda b: b < key), before(lambda b: b <= key)
+        share = F.col(tie) / F.lit(2.0**64) + 0.5
+        return F.when(first == last, first).otherwise(first + F.least(F.floor(share * (last - first + 1)), last - first)).cast("int")
+
+    return of
+
+
 def id_crc(col: str | Column) -> Column:
     """Unsigned crc32 of an id's decimal text; a null id counts as an empty text."""
     col = F.col(col) if isinstance(col, str) else col

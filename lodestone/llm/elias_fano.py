@@ -12,6 +12,8 @@ import tempfile
 import numpy as np
 from pyarrow import fs as pafs
 
+from .common import file_system
+
 _ONE = np.uint64(1)
 
 
@@ -117,7 +119,7 @@ class EliasFano:
 
 def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> int:
     """Writes named arrays to one file (aligned to 64 bytes, with a directory at the front); returns its size."""
-    store, path = pafs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     entries, at = {}, 0
     for k, a in arrays.items():
@@ -134,7 +136,7 @@ def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> int:
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory. A file of another store is copied first to an unnamed local one."""
-    store, path = pafs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     if isinstance(store, pafs.LocalFileSystem):
         f = open(path, "rb")  # noqa: SIM115
     else:

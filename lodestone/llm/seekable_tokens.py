@@ -24,13 +24,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, partitions
+from .common import arrow_map, file_system, fresh_path, id_ranges, partitions
 
 FRAME_BYTES = 1 << 20
 # Fixed values of the public seekable zstandard format.
@@ -39,82 +39,145 @@ END_ID = 0
 #: Between two characters that aren't white space, a single space always begins a new pre-token of the byte-level pattern,
 #: and a single line end is one: a chunk is a space (left out) or a line end (kept) and what follows up to the next one.
 BREAK = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
+#: Texts with runs of white space, or white space at an end, are cut by ``BREAK`` itself; others at every space and line end.
+RUNS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\A[\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s\p{Z}\x0b\x1c-\x1f\x{85}]\z"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The byte-level alphabet by its rule: printable bytes stand for themselves, the others for the code points from 256 on.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 SPACE = chr(BYTE_CHARS[32])
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 8 << 20
 
 
 class ChunkEncoder:
     """Encodes whole texts with a ``tokenizers`` file; equal space-separated chunks are encoded once.
 
     A byte-level tokenizer never merges over a pre-token's edge, so the ids of a text are those of its chunks in a row.
-    The cache is emptied at ``limit`` chunks: memory is bounded, results don't depend on it.
+    Texts that hold one of the tokenizer's added tokens go through the library as they are. Chunks are kept for as long as
+    they were met among the last ``limit`` ones: memory is bounded, results don't depend on it.
     """
 
-    def __init__(self, file: str, limit: int = 700_000) -> None:
+    def __init__(self, file: str, limit: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.limit, self.cache = limit, {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(re.escape(t) for t in added)
+        self.limit = limit
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _word(self, word: str) -> bytes:
-        """The ids of letters, with a space before or not, which are one pre-token: the library's BPE model takes its byte form."""
-        if word.isascii():
-            word = word.replace(" ", SPACE)
-            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, need: set[str]) -> None:
-        """Letters and a run of punctuation after them are two pre-tokens; chunks of another kind go through the whole tokenizer."""
-        rest, cache, word, marks = [], self.cache, self._word, self.marks
-        if len(marks) > 10_000:
-            marks.clear()
-            marks[""] = b""
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[mark] = self._plain(mark) if mark else b""
+        return self.marks[mark]
+
+    def _learn(self, need: list[str]) -> None:
+        """Letters and a run of punctuation after them are two pre-tokens; chunks of another kind, or with letters beyond
+        the common alphabets, go through the whole tokenizer."""
+        rest, cache, tokenize = [], self.cache, self.model.tokenize
         for c in need:
             base = c.rstrip(PUNCTUATION)
             letters = base[1:] if c[:1] == "\n" else base
-            if not letters.isalpha():
+            ascii_only = letters.isascii()
+            if not letters.isalpha() or not (ascii_only or max(letters) < "\u0500"):
                 rest.append(c)
                 continue
-            mark = c[len(base) :]
-            if mark not in marks:
-                marks[mark] = self._plain(mark)
-            if letters is base:
-                cache[c] = (cache.get(base) or word(" " + base)) + marks[mark]
-            else:
-                if "\n" not in marks:
-                    marks["\n"] = self._plain("\n")
-                cache[c] = marks["\n"] + word(letters) + marks[mark]
+            # letters are one pre-token, with the space before them or not: the library's BPE model takes their byte form
+            form = letters if ascii_only else letters.encode().decode("latin-1").translate(BYTE_CHARS)
+            got = cache.get(base) if letters is base else self._mark("\n")
+            if letters is not base or got is None:
+                got = (b"" if letters is base else got) + array("I", [t.id for t in tokenize(SPACE + form if letters is base else form)]).tobytes()
+            cache[c] = got if len(base) == len(c) else got + self._mark(c[len(base) :])
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             got = self.tokenizer.encode_batch([c if c[:1] == "\n" else " " + c for c in part], add_special_tokens=False)
             cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got, strict=True))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _table(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self.cache) > self.limit:
+            self.cache, self.older = {}, self.cache
+        found = list(map(self.cache.get, chunks))
+        missed = [k for k, v in enumerate(found) if v is None]
+        if missed:
+            names = [chunks[k] for k in missed]
+            kept = list(map(self.older.get, names))
+            self.cache.update((c, v) for c, v in zip(names, kept, strict=True) if v is not None)
+            self._learn([c for c, v in zip(names, kept, strict=True) if v is None])
+            for k, c in zip(missed, names, strict=True):
+                found[k] = self.cache[c]
+        return found
+
+    def _head(self, chunk: str) -> bytes:
+        if chunk not in self.heads:
+            if len(self.heads) > 100_000:
+                self.heads.clear()
+            self.heads[chunk] = self._plain(chunk)
+        return self.heads[chunk]
+
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        split = [BREAK.split(t) if DOUBLE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = {c[0] for c in split if c[0]}
-        need: set[str] = set()
-        for chunks in split:
-            need.update(chunks[1:])
-        if len(self.cache) + len(need) > self.limit:  # the chunks at hand stay, the frequent ones among them
-            self.cache = {c: self.cache[c] for c in need if c in self.cache}
-        self._learn(need.difference(self.cache))
-        first = list(heads)
-        head = dict(zip(first, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(first, add_special_tokens=False)), strict=True))
-        head[""] = b""
-        at = self.cache.__getitem__
-        return [head[chunks[0]] + b"".join(map(at, chunks[1:])) for chunks in split]
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        size, out, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, "right")))
+            out += self._part(texts[a:z])
+            a = z
+        return out
+
+    def _part(self, texts: pa.Array) -> list[bytes]:
+        runs = pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._plain(texts[k].as_py())
+        for k in np.flatnonzero(runs & ~whole).tolist():
+            chunks = BREAK.split(texts[k].as_py())
+            distinct = list(dict.fromkeys(chunks[1:]))
+            at = dict(zip(distinct, self._table(distinct), strict=True))
+            out[k] = self._head(chunks[0]) + b"".join(map(at.__getitem__, chunks[1:]))
+        plain = np.flatnonzero(~runs & ~whole)
+        if not len(plain):
+            return out
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().copy()
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        names = code[first]
+        distinct, code[first] = np.unique(names, return_inverse=True)
+        heads = [self._head(chunks[k]) for k in distinct.tolist()]
+        inner = np.ones(len(code), bool)
+        inner[first] = False
+        used = np.zeros(len(chunks), bool)
+        used[code[inner]] = True
+        live = np.flatnonzero(used)
+        place = np.zeros(len(chunks), np.int64)
+        place[live] = len(heads) + np.arange(len(live))
+        code = np.where(inner, place[np.where(inner, code, 0)], code)
+        table = heads + self._table([chunks[k] for k in live.tolist()])
+        ids = np.frombuffer(b"".join(table), "<u4")
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(length) - length
+        each = length[code]
+        end = np.cumsum(each)
+        flat = ids[np.repeat(begin[code] - (end - each), each) + np.arange(int(end[-1]))].tobytes()
+        cut = (4 * np.append(end, 0)[np.append(first[1:], len(code)) - 1]).tolist()
+        for k, a, z in zip(plain.tolist(), [0, *cut[:-1]], cut, strict=True):
+            out[k] = flat[a:z]
+        return out
 
 
 @functools.cache
@@ -224,12 +287,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, id_col: s
     """Writes every document's ids to files below ``path`` (a URI that all machines reach), ascending by id.
 
     Returns the manifest, one row per file: path, size, first and last id, n_docs, n_tokens, shard. Null texts count as
-    empty, null ids come first, rows with equal ids are ordered by text and all kept; no rows give no files. A task that
-    is run again writes a file of another name; the manifest names those of finished tasks only.
+    empty, null ids come first; rows of an id are ordered by a hash of their text, then the text, and all kept, so that an
+    id of many rows is spread over several files; no rows give no files. A task that is run again writes a file of another
+    name; the manifest names those of finished tasks only.
     """
     spark = documents.sparkSession
     n = shards or partitions(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    docs = docs.withColumn("h", F.xxhash64("t"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,13 +307,13 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, id_col: s
             for b in batches:
                 if writer is None:
                     name = f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
-                    store, at = pafs.FileSystem.from_uri(name)
+                    store, at = file_system(name)
                     store.create_dir(os.path.dirname(at), recursive=True)
                     sink = store.open_output_stream(at, compression=None)
                     writer, first = ShardWriter(sink, frame_bytes), b.column(0)[0].as_py()
                 ids = b.column(0).to_pylist()
-                for k in range(0, len(ids), 256):
-                    for i, raw in zip(ids[k : k + 256], coder.ids(b.column(1)[k : k + 256].to_pylist()), strict=True):
+                for a in range(0, len(ids), 1024):
+                    for i, raw in zip(ids[a : a + 1024], coder.ids(b.column(1)[a : a + 1024]), strict=True):
                         writer.add(i, raw + end)
                         tokens += len(raw) // 4 + 1
                 last = ids[-1]
@@ -262,13 +327,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, id_col: s
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [name], "size": [store.get_file_info(at).size], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [len(writer.docs)], "n_tokens": [tokens]})
 
-    found = arrow_map(docs.repartitionByRange(n, F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), "t"), write, "shard long, path string, size long, first_id long, last_id long, n_docs long, n_tokens long")
-    found.write.parquet(f"{path}/manifest")
+    ranges = id_ranges(docs.select("i"), n)
+    rows = docs.repartitionById(n, ranges("i", "h")).sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "t").select("i", "t")
+    arrow_map(rows, write, "shard long, path string, size long, first_id long, last_id long, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
-def read_tokens(manifest: DataFrame, ids_wanted: list[int] | None = None) -> DataFrame:
-    """Reads the files of a manifest: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (binary).
+def read_tokens(manifest: DataFrame, ids_wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """Reads the files of a manifest: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (binary).
 
     With ``ids_wanted`` only the frames of those documents are decompressed. The driver sees one row per file.
     """
@@ -281,15 +347,15 @@ def read_tokens(manifest: DataFrame, ids_wanted: list[int] | None = None) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for name, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                store, at = pafs.FileSystem.from_uri(name)
+                store, at = file_system(name)
                 with store.open_input_file(at) as src:
                     r = ShardReader(src, size)
                     pick = range(len(r.doc_ids)) if wanted is None else np.flatnonzero(np.isin(r.doc_ids, wanted) & ~r.null).tolist()
                     held, held_bytes = [], 0
                     for i in pick:
                         raw = r.read(i)
-                        held.append((None if r.null[i] else int(r.doc_ids[i]), start + int(r.first[i]) // 4, len(raw) // 4, zlib.crc32(raw), raw))
-                        held_bytes += len(raw)
+                        held.append((None if r.null[i] else int(r.doc_ids[i]), start + int(r.first[i]) // 4, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))
+                        held_bytes += len(raw) if with_ids else 64
                         if held_bytes > 8 << 20:
                             yield _rows(held)
                             held, held_bytes = [], 0
@@ -297,12 +363,12 @@ def read_tokens(manifest: DataFrame, ids_wanted: list[int] | None = None) -> Dat
                         yield _rows(held)
 
     names = spark.createDataFrame(rows, "path string, size long, start long").repartition(max(1, min(len(rows), 10_000)))
-    return arrow_map(names, read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return arrow_map(names, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], t) for k, t in enumerate(kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: len(held[0])]
+    return pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], t) for k, t in enumerate(kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(kinds)])
 
 
 def op6_token_output(spark, sf_dir: str) -> DataFrame:
@@ -312,4 +378,4 @@ def op6_token_output(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     manifest = write_tokens(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(manifest).drop("ids")
+    return read_tokens(manifest, with_ids=False)

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import LONG, crc, odd_texts, prose, rows_of
 
 from lodestone.llm import chat, decontam, jaccard_join, langid, merge_dropout, ngram_lm, quality, seekable_tokens, spotsigs, toxicity
-from lodestone.llm.common import fresh_path, remove_work, written
+from lodestone.llm.common import fresh_path, id_ranges, remove_work, written
 from lodestone.llm.components import components
 from lodestone.llm.elias_fano import EliasFano
 
@@ -321,6 +322,16 @@ def test_chat_round_trip_and_loss(spark):
         chat.read_turns("<|im_start|>user\nx")
 
 
+def test_ranges_ascend_and_divide_an_id_of_many_rows(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 500, if(id = 1, null, id)) as i", "xxhash64(id) as h")
+    got = df.withColumn("b", id_ranges(df.select("i"), 40)("i", "h")).orderBy(F.col("i").asc_nulls_first(), "h").collect()
+    assert [r.b for r in got] == sorted(r.b for r in got) and got[0].b == 0
+    many = Counter(r.b for r in got)
+    assert len(many) == 40 and max(many.values()) < 200
+    none = df.where("false")
+    assert none.withColumn("b", id_ranges(none.select("i"), 40)("i", "h")).count() == 0 and df.withColumn("b", id_ranges(df.select("i"), 1)("i", "h")).where("b <> 0").isEmpty()
+
+
 # ---- 6 token files --------------------------------------------------------------------------------------------
 
 
@@ -328,17 +339,21 @@ def test_token_files_read_back(spark, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
-    rows = odd_texts() + [(20, "a  b\n\nc 'tis don't I'll\t x<|endoftext|>y  "), (21, "word. word, Word!! w\nNext\n"), (22, "naïve café\x1cz 1234abc")]
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = odd_texts() + [(20, "a  b\n\nc 'tis don't I'll\t x<|endoftext|>y  "), (21, "word. word, Word!! w\nNext\n"), (22, "naïve café\x1cz 1234abc"), (23, "a<|endoftext|>b"), (24, "<|endoftext|> c"), (25, "x \u3000y\x85 z\n \nq"), (26, " a b "), (27, "Ᲊᲊ aᲉb Ωμ'ς привет, don't")]
+    left = defaultdict(list)
+    for i, x in rows:
+        left[i].append(np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
     manifest = seekable_tokens.write_tokens(rows_of(spark, rows), fresh_path(spark, "tok"), BYTE_BPE, shards=3, frame_bytes=4096).cache()
     got = sorted(seekable_tokens.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     start = 0
-    for (i, x), r in zip(rows, got, strict=True):
-        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
-        raw = np.array(ids, "<u4").tobytes()
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, start, len(ids), zlib.crc32(raw), raw)
-        start += len(ids)
+    for r in got:
+        raw = bytes(r.ids)
+        left[r.doc_id].remove(raw)  # rows of one id lie beside each other
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw))
+        start += len(raw) // 4
+    assert t.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65] and not any(left.values())
+    assert seekable_tokens.read_tokens(manifest, with_ids=False).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     few = seekable_tokens.read_tokens(manifest, [7, 6]).collect()
     assert sorted(r.doc_id for r in few) == [6, 7]
     empty = seekable_tokens.write_tokens(none, fresh_path(spark, "tok"), BYTE_BPE)
