@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chargrams import blocks, grams, joined
@@ -88,9 +88,16 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
 
 
 def train(documents: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelRidge:
-    """Fits on at most ``sample`` rows with a language, a text and crc32(id) mod 5 not 0: those of the lowest id hashes; twice as many where ids repeat."""
+    """Fits on at most ``sample`` rows with a language, a text and crc32(id) mod 5 not 0; twice as many where ids repeat.
+
+    Every language has an equal share of the sample (8 rows at least, or all it has): its rows of the lowest id hashes.
+    """
     rows = documents.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("g")).where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col(text_col).isNotNull() & (id_crc("i") % 5 != 0))
-    picked = rows.orderBy(F.xxhash64("i", F.lit(29)), "i", "g").limit(sample).select("i").distinct()
+    langs = rows.agg(F.count_distinct("g")).first()[0]
+    share = max(8, sample // max(1, langs))
+    first = Window.partitionBy("g").orderBy(F.xxhash64("i", F.lit(29)), "i")
+    picked = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= share).select("i").distinct()
+    sample = share * max(1, langs)
     own = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where("t is not null and g is not null")
     got = sorted(own.join(F.broadcast(picked), F.col("d") == F.col("i")).select("d", "g", "t").orderBy("d", "g", "t").limit(2 * sample).collect(), key=lambda r: (r["d"], r["g"], r["t"]))
     got = [r for r in got if LETTER.search(r["t"])]
@@ -98,7 +105,10 @@ def train(documents: DataFrame, sample: int = 2000, id_col: str = "doc_id", text
 
 
 def identify(df: DataFrame, model: KernelRidge, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
+    """(id, lang_pred, score) of every row; null texts and texts without a letter give ``und`` and 0, repeated rows are kept.
+
+    Ties go to the language that comes first in the alphabet; a model without languages gives ``und`` for all.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

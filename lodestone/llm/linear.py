@@ -56,4 +56,5 @@ def fit_logistic(forward: Callable[[np.ndarray], np.ndarray], back: Callable[[np
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, rounds: int = 80) -> tuple[np.ndarray, float]:
+    x = x.astype(np.float64)  # once, not in every step
     return fit_logistic(lambda w: x @ w, lambda g: x.T @ g, y, x.shape[1], l2, weight, rounds)

@@ -1,11 +1,14 @@
 """Quality classifier by co-training.
 
-Two logistic models see each document from sides that don't share features: the text content (hashed byte pairs and word
-statistics) and the page metadata (source, language, recorded length, lines and shares of character classes). Starting
+Two logistic models see each document from sides that don't share features: the text content (hashed byte pairs, word,
+line and character statistics) and the page metadata (recorded source, language and length; nothing of the text). Starting
 from the labelled sample, each model labels in every round those of all unlabelled documents that it is most sure of, for
 the other one: one pass over the corpus a round. On labelled rows set aside both are calibrated (Platt) and a logistic model combines the two calibrated views.
 The rows that reach a fit are bounded (``labelled`` rows, shares of ``unlabelled`` pseudo-labelled ones); every document is
 offered and scored whole.
+
+Null and empty texts have the features of an empty text, null metadata have places of their own; repeated rows are scored
+each, and offered once. Ties of equally sure rows go by a hash of the row.
 """
 
 from __future__ import annotations
@@ -22,39 +25,43 @@ from pyspark.sql import functions as F
 from .common import arrow_map, labelled_sample, sigmoid, table, written
 from .linear import fit_dense
 
-PAIRS = 1024
-SOURCES = 32
-LANGS = 8
+PAIRS, STATS = 1024, 13
+#: Hashed places of sources, languages and both together, and one of each power of two of the recorded length.
+SOURCES, LANGS, BOTH, LENGTHS = 256, 64, 512, 33
+META = 3 + SOURCES + LANGS + BOTH + LENGTHS
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _DIGITS = b"0123456789"
 _UPPER = bytes(range(65, 91))
 
 
 def text_view(text: str) -> np.ndarray:
-    """Roots of the shares of hashed byte pairs, and word statistics, of a whole text."""
+    """Roots of the shares of hashed byte pairs, and statistics of words, lines and characters, of a whole text."""
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    out = np.zeros(PAIRS + 4, np.float32)
+    out = np.zeros(PAIRS + STATS, np.float32)
     if len(b) > 1:
         pair = ((b[:-1] * np.uint32(257) + b[1:]) * np.uint32(2654435761)) >> np.uint32(22)
         out[:PAIRS] = np.sqrt(np.bincount(pair, minlength=PAIRS) / len(pair))
     words = raw.split()
     if words:
-        out[PAIRS:] = len(set(words)) / len(words), min(len(raw) / len(words), 40) / 10, min(len(words), 1000) / 1000, float(np.mean([w == v for w, v in zip(words, words[1:], strict=False)] or [0]))
+        out[PAIRS : PAIRS + 4] = len(set(words)) / len(words), min(len(raw) / len(words), 40) / 10, min(len(words), 1000) / 1000, float(np.mean([w == v for w, v in zip(words, words[1:], strict=False)] or [0]))
+    n, lines = max(1, len(raw)), raw.count(b"\n") + 1
+    share = [4 * np.sqrt(1 - len(raw.translate(None, cls)) / n) for cls in (_PUNCT, _DIGITS, _UPPER, b" ", b"|")]
+    out[PAIRS + 4 :] = np.log1p(lines) / 5, np.log1p(len(raw) / lines) / 10, len(text) / n, *share, 0.0 if raw else 1.0
     return out
 
 
-def meta_view(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """What is recorded about a document beside its wording; nulls have a place of their own."""
-    raw = text.encode("utf-8", "surrogatepass")
-    n = max(1, len(raw))
-    lines = raw.count(b"\n") + 1
-    share = [1 - len(raw.translate(None, cls)) / n for cls in (_PUNCT, _DIGITS, _UPPER, b" ", b"|")]
-    plain = [np.log1p(n_chars if n_chars and n_chars > 0 else len(text)) / 10, float(n_chars is None), np.log1p(lines) / 5, np.log1p(len(raw) / lines) / 10, len(text) / n, *(4 * np.sqrt(x) for x in share), 1.0 if not raw else 0.0]
-    out = np.zeros(len(plain) + SOURCES + LANGS, np.float32)
-    out[: len(plain)] = plain
-    out[len(plain) + xxhash.xxh32_intdigest(source or "", 3) % SOURCES] = 0.5
-    out[len(plain) + SOURCES + xxhash.xxh32_intdigest(lang or "", 5) % LANGS] = 0.5
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """What is recorded about a document beside its text; nulls have a place of their own."""
+    out = np.zeros(META, np.float32)
+    size = -1 if n_chars is None else max(0, n_chars)
+    out[:3] = np.log1p(max(0, size)) / 10, size < 0, source is None
+    at = 3
+    for name, wide, seed in ((source or "", SOURCES, 3), (lang or "", LANGS, 5), (f"{source}\n{lang}", BOTH, 7)):
+        out[at + xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), seed) % wide] = 0.5
+        at += wide
+    if size >= 0:
+        out[at + min(LENGTHS - 1, size.bit_length())] = 0.5
     return out
 
 
@@ -98,7 +105,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, offer: Offer, most:
     """
     if len(y) < 8 or len(np.unique(y)) < 2 or len(np.unique(y[3::4])) < 2 or len(np.unique(np.delete(y, np.s_[3::4]))) < 2:
         prior = float(_logit(np.array([(y.sum() + 1) / (len(y) + 1)]))[0])
-        zero = (np.zeros(xt.shape[1] if len(y) else PAIRS + 4), 0.0), (np.zeros(xm.shape[1] if len(y) else len(meta_view("", None, None, None))), 0.0)
+        zero = (np.zeros(PAIRS + STATS), 0.0), (np.zeros(META), 0.0)
         return CoTrained(*zero, (1.0, 0.0), (1.0, 0.0), (0.0, 0.0, prior))
     aside = np.zeros(len(y), bool)
     aside[3::4] = True
@@ -136,8 +143,8 @@ _COLS = ("lang", "source", "n_chars")
 
 def _features(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return (
-        np.stack([text_view(r["text"]) for r in rows]) if rows else np.zeros((0, PAIRS + 4), np.float32),
-        np.stack([meta_view(r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows]) if rows else np.zeros((0, len(meta_view("", None, None, None))), np.float32),
+        np.stack([text_view(r["text"]) for r in rows]) if rows else np.zeros((0, PAIRS + STATS), np.float32),
+        np.stack([meta_view(r["lang"], r["source"], r["n_chars"]) for r in rows]) if rows else np.zeros((0, META), np.float32),
     )
 
 
@@ -194,7 +201,7 @@ def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     cols = [b.column(b.schema.names.index(c)).to_pylist() for c in ("text", *_COLS)]
     for text, lang, source, n in zip(*cols, strict=True):
         xt.append(text_view(text or ""))
-        xm.append(meta_view(text or "", lang, source, n))
+        xm.append(meta_view(lang, source, n))
     return np.stack(xt), np.stack(xm)
 
 
@@ -217,14 +224,14 @@ def score_quality(documents: DataFrame, model: CoTrained, id_col: str = "doc_id"
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    """Scores every document; ``keep`` is false for those more likely of quality 0."""
+    """Scores every document; ``keep`` is false for those more likely of quality 0 (a score of exactly 0.5 keeps)."""
     docs = table(spark, sf_dir, "documents")
     out = score_quality(docs, train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def filter_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a quality score below 0.5 go; all columns of ``docs`` stay."""
+    """Pipeline stage: documents with a quality score below 0.5 go, those of exactly 0.5 stay; all columns of ``docs`` stay."""
     held = spark.sparkContext.broadcast(train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

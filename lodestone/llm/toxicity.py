@@ -57,7 +57,7 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, least_docs: in
     No texts give score 0 for all; one class alone gives its share, smoothed.
     """
     y = labels.astype(np.float64)
-    slot = np.zeros(1 << BITS, np.uint16)
+    slot = np.zeros(1 << BITS, np.int32)
     prior = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
     plain = NbLinear(slot, np.zeros(1), float(np.log(prior / (1 - prior))) if len(y) else -40.0)
     if not len(y) or y.min() == y.max():
@@ -73,8 +73,6 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, least_docs: in
     p, q = (alpha + pos) / (alpha + y.sum()), (alpha + neg) / (alpha + (1 - y).sum())
     ratio = np.log(p / q)
     keep = np.flatnonzero((pos + neg >= least_docs) & (np.abs(ratio) >= least_ratio))
-    if len(keep) > 60_000:
-        keep = np.sort(keep[np.argsort(-np.abs(ratio[keep]) * np.sqrt((pos + neg)[keep]), kind="stable")[:60_000]])
     if not len(keep):
         return plain
     slot[keep] = np.arange(1, len(keep) + 1)
@@ -82,7 +80,7 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, least_docs: in
     chunks = []  # features of some hundred texts each: (feature, text, ratio), so that no step needs large arrays
     for k in range(0, len(rows), 250):
         cols = [slot[x] for x in rows[k : k + 250]]
-        cols = [c[c > 0].astype(np.int32) - 1 for c in cols]
+        cols = [c[c > 0] - 1 for c in cols]
         idx = np.concatenate(cols)
         chunks.append((idx, np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), r[idx].astype(np.float32), len(cols)))
     del rows
@@ -130,7 +128,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def filter_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a toxicity score of at least 0.5 go; all columns of ``docs`` stay."""
+    """Pipeline stage: documents with a toxicity score of at least 0.5 go, ties at 0.5 too; all columns of ``docs`` stay."""
     model = train(table(spark, sf_dir, "documents", spread=False), table(spark, sf_dir, "labels"))
     held = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -58,7 +58,7 @@ def test_all_unlabelled_documents_are_offered(labelled, monkeypatch):
             found, features = offer(models, share, taken)
             free = {(r.text, r.lang, r.source, r.n_chars) for r in docs.collect() if r.doc_id not in {i for i, _, _ in truth}}
             for v in (0, 1):
-                x = [(quality.text_view(t), quality.meta_view(t, *m))[v] for t, *m in free]
+                x = [(quality.text_view(t), quality.meta_view(*m))[v] for t, *m in free]
                 p = quality.sigmoid(np.stack(x) @ models[v][0] + models[v][1])
                 for label, conf in ((1, p), (0, 1 - p)):
                     got = [k for k, k_label in found[v] if k_label == label]
@@ -75,6 +75,25 @@ def test_all_unlabelled_documents_are_offered(labelled, monkeypatch):
     assert quality.train(docs, labels, 200, 30, share=0.5, sure=0.5).pseudo > 30 and sum(passes) > 30
 
 
+def test_views_share_nothing_and_the_exchange_teaches(spark):
+    """Bad pages come from one source; half of the bad words occur in unlabelled pages only, so only metadata can teach them."""
+    r = random.Random(6)
+    docs, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        known = i < 60
+        text = prose(i, 40) + (" " + " ".join(r.choice(["qzx", "xqz"] if known else ["vkj", "jvk"]) for _ in range(12)) if bad else "")
+        docs.append((i, text, "en", ("spam" if bad else f"good{i % 4}") if i % 9 else None, 300))
+        if known:
+            labels.append((i, 0 if bad else 1))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    probe = [prose(5000 + k, 40) + " vkj jvk vkj vkj jvk vkj vkj jvk vkj" for k in range(30)]
+    x = np.stack([quality.text_view(t) for t in probe])
+    alone, taught = (quality.train(docs, labels, unlabelled=u, sure=0.8).text for u in (0, 900))
+    assert (quality.sigmoid(x @ taught[0] + taught[1]) < 0.5).mean() > 0.9 > (quality.sigmoid(x @ alone[0] + alone[1]) < 0.5).mean()
+
+
 def test_toxicity_finds_held_out_toxic_documents(labelled):
     docs, labels, truth = labelled
     got = {r.id: r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
@@ -82,6 +101,27 @@ def test_toxicity_finds_held_out_toxic_documents(labelled):
     assert all((got[i] >= 0.5) == bool(x) for i, x in held)
 
 
+def test_toxicity_is_a_regression_on_scaled_presence():
+    """The same scores from a table of one column per n-gram, scaled by its log-count ratio, and plain gradient descent's optimum."""
+    texts = [prose(k, 12) + (" you stupid moron" if k % 3 == 0 else "") for k in range(60)]
+    y = np.array([k % 3 == 0 for k in range(60)], float)
+    model = toxicity.fit(texts, y, l2=1e-2)
+    sets = []
+    for t in texts:
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in t.lower().encode())
+        sets.append({raw[a : a + n] for n in (4, 5, 6) for a in range(len(raw) - n + 1)})
+    pos, neg = (Counter(g for s, v in zip(sets, y, strict=True) if v == side for g in s) for side in (1, 0))
+    ratio = {g: math.log((1 + pos[g]) / (1 + y.sum()) * (1 + len(y) - y.sum()) / (1 + neg[g])) for g in {*pos, *neg} if pos[g] + neg[g] >= 3}
+    names = sorted(g for g, v in ratio.items() if abs(v) >= 0.7)
+    x = np.array([[ratio[g] * (g in s) for g in names] for s in sets])
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / 4 / len(y) + 1)
+    for _ in range(20_000):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - step * (x.T @ e / len(y) + 1e-2 * w), b - step * e.mean()
+    assert np.abs(1 / (1 + np.exp(-(x @ w + b))) - model.scores(texts)).max() < 0.03
+
+
 def test_toxicity_reads_whole_texts(labelled):
     docs, labels, _ = labelled
     model = toxicity.train(docs, labels)
@@ -236,6 +276,14 @@ def test_components(spark):
     assert got == {v: find(v) for v in root}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, prose(k, 30), "en" if k % 250 else "xx") for k in range(1000)]
+    rows = [(k, t if g == "en" else "".join(reversed(t)).replace("e", "ø").replace("t", "þ"), g) for k, t, g in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, 100)
+    assert model.langs == ["en", "xx"] and {r.id for r in langid.identify(docs, model).where("lang_pred = 'xx'").collect()} == {0, 250, 500, 750}
+
+
 # ---- 4 language model -----------------------------------------------------------------------------------------
 
 

@@ -46,7 +46,7 @@ def test_pipeline_equals_plain_python(spark, corpus):
     good, fair = quality.train(*tables), toxicity.train(*tables)
     import numpy as np
 
-    kept = [i for i, r in docs.items() if good.scores(quality.text_view(r.text)[None], quality.meta_view(r.text, r.lang, r.source, r.n_chars)[None])[2][0] >= 0.5]
+    kept = [i for i, r in docs.items() if good.scores(quality.text_view(r.text)[None], quality.meta_view(r.lang, r.source, r.n_chars)[None])[2][0] >= 0.5]
     kept = [i for i in kept if fair.scores([docs[i].text])[0] < 0.5]
     classes = brute_join([(i, docs[i].text) for i in kept], 5, 80)
     kept = [i for i in kept if classes[i][1] == i]
