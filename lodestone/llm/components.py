@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
+
+
+def _with_least(edges: DataFrame, spread: int) -> DataFrame:
+    """The edges (a, b, m): ``m`` is the smallest of a and all its neighbours b.
+
+    A vertex of many edges is dealt over up to ``spread`` places by its neighbours' hashes, each with a row of the minimum.
+    """
+    e = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int"))
+    low = e.groupBy("a", "s").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    low = low.select(F.col("a").alias("u"), F.least("a", "m").alias("m"), F.explode("s").alias("v"))
+    return e.join(low, (F.col("a") == F.col("u")) & (F.col("s") == F.col("v"))).select("a", "b", "m")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every vertex of the undirected ``edges`` (a, b): the smallest vertex that it reaches.
 
     Each round's edges are written to the shared folder, so a lost executor costs one round; the labels never meet on one
-    machine, and a vertex of many edges is aggregated partially before its shuffle. Self-loops keep a vertex in the result.
+    machine, and a vertex of many edges is aggregated partially before its shuffle and divided in the joins. Self-loops keep
+    a vertex in the result.
     """
+    spread = max(16, partitions(edges.sparkSession))
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "edges")
     seen = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # large star: every greater neighbour of a vertex points to the smallest neighbour
-        large = both.where("b >= a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both, spread).where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: the smaller neighbours of a vertex, and itself, point to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
+        small = _with_least(large, spread).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
         e = written(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -37,9 +37,9 @@ from .elias_fano import map_arrays, save_arrays
 
 SPARE = 3
 SKIP = 64
-#: Counters of the sketch, its slices, and how far above the mean counter frequent shingles begin at each level.
-WIDTH = 1 << 22
-SLICES = 16
+#: Counters of the sketch (about ``PER_ROW`` for each row, from ``NARROW`` to ``WIDE``) and of a slice of it, and how far
+#: above the mean counter frequent shingles begin at each level.
+PER_ROW, NARROW, WIDE, SLICE = 16, 1 << 22, 1 << 25, 1 << 18
 LEVELS = (8, 64, 512)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -107,6 +107,7 @@ class Sketch:
     """Counts of all shingles of the corpus by hash, in files that all tasks map into memory; ``limits`` of the levels."""
 
     files: list[str]
+    width: int
     limits: list[float]
     slices: list | None = None
 
@@ -116,36 +117,40 @@ class Sketch:
     def counts(self, s: np.ndarray) -> np.ndarray:
         if self.slices is None:
             self.slices = [map_arrays(f)["n"] for f in self.files]
-        at = (s & np.uint64(WIDTH - 1)).astype(np.int64)
+        at = (s & np.uint64(self.width - 1)).astype(np.int64)
         out = np.zeros(len(s), np.int64)
-        which, size = at // (WIDTH // SLICES), WIDTH // SLICES
+        which = at // SLICE
         order = np.argsort(which, kind="stable")
-        cut = np.searchsorted(which[order], np.arange(SLICES + 1))
-        for j in range(SLICES):
+        cut = np.searchsorted(which[order], np.arange(len(self.files) + 1))
+        for j in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[j] : cut[j + 1]]
-            out[own] = self.slices[j][at[own] - j * size]
+            out[own] = self.slices[j][at[own] - j * SLICE]
         return out
 
 
 def build_sketch(docs: DataFrame, make: Callable[[str], np.ndarray]) -> Sketch:
-    """Counts the set elements of all documents (columns i, t)."""
+    """Counts the set elements of all documents (columns i, t); the sketch's width grows with the number of rows up to ``WIDE``."""
     path = fresh_path(docs.sparkSession, "sketch")
-    size = WIDTH // SLICES
+    width = min(WIDE, max(NARROW, 1 << (PER_ROW * docs.count() - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total, held, many = np.zeros(WIDTH, np.uint32), [], 0
+        total, held, many = np.zeros(width, np.uint32), [], 0
+
+        def add_held() -> None:
+            np.add.at(total, (np.concatenate(held) & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.append(make(t))
                 many += len(held[-1])
                 if many > 1_000_000:
-                    total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
+                    add_held()
                     held, many = [], 0
         if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
+            add_held()
         z = zstandard.ZstdCompressor(level=1)
-        for j in range(SLICES):
-            part = np.ascontiguousarray(total[j * size : (j + 1) * size].view(np.uint8).reshape(-1, 4).T)
+        for j in range(width // SLICE):
+            part = np.ascontiguousarray(total[j * SLICE : (j + 1) * SLICE].view(np.uint8).reshape(-1, 4).T)
             yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], ["slice", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -160,9 +165,9 @@ def build_sketch(docs: DataFrame, make: Callable[[str], np.ndarray]) -> Sketch:
             save_arrays(name, {"n": np.minimum(v, (1 << 32) - 1).astype(np.uint32)})
             yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([name]), pa.array([int(v.sum())], pa.int64())], ["slice", "uri", "total"])
 
-    rows = written(arrow_map(arrow_map(docs.select("t"), count, "slice int, n binary").repartition(SLICES, "slice"), add, "slice int, uri string, total long"), "sketch").collect()
-    mean = sum(r["total"] for r in rows) / WIDTH
-    return Sketch([r["uri"] for r in sorted(rows, key=lambda r: r["slice"])], [mean + 4 * mean**0.5 + x for x in LEVELS])
+    rows = written(arrow_map(arrow_map(docs.select("t"), count, "slice int, n binary").repartition(width // SLICE, "slice"), add, "slice int, uri string, total long"), "sketch").collect()
+    mean = sum(r["total"] for r in rows) / width
+    return Sketch([r["uri"] for r in sorted(rows, key=lambda r: r["slice"])], width, [mean + 4 * mean**0.5 + x for x in LEVELS])
 
 
 def meeting_keys(s: np.ndarray, t: Threshold, tops: np.ndarray, counts: np.ndarray, limits: list[float]) -> np.ndarray:
@@ -283,11 +288,11 @@ def _pairs_of(bucket: np.ndarray, rows: list[np.ndarray], n: int, planes: int) -
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([_planes(c[cut[j] : cut[j + 1]]) if k >= planes else c[cut[j] : cut[j + 1]].tobytes() for j in part], pa.binary()) for k, c in enumerate(cols)), pa.array([b""] * len(part), pa.binary())], ["bucket", "keys", "ids", "facts"])
 
 
-FACT = np.dtype([("id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
+FACT = np.dtype([("id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("h", "<i8")])
 
 
 def _meet(docs: DataFrame, make: Callable[[str], np.ndarray], t: Threshold, buckets: int, sketch: Sketch, flush: int = 600_000) -> DataFrame:
-    """Rows kind 1: edges (a, b) of the candidate graph; kind 2: facts of each document (a id, b set size, s1, s2 signature)."""
+    """Rows kind 1: edges (a, b) of the candidate graph; kind 2: facts of each row (a id, b set size, s1, s2 the set's signature, h the text's hash)."""
 
     held_sketch = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -308,11 +313,11 @@ def _meet(docs: DataFrame, make: Callable[[str], np.ndarray], t: Threshold, buck
             yield pa.RecordBatch.from_arrays([pa.array([len(raw) * 7919 % buckets], pa.int32()), pa.array([edge.astype("<i8").tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([raw.tobytes()], pa.binary())], ["bucket", "keys", "ids", "facts"])
 
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, text, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = make(text)
                 raw = s.tobytes()
                 sig = xxhash.xxh3_128_intdigest(raw) if len(s) else 0
-                facts.append((i, len(s), np.uint64(sig >> 64).astype(np.int64), np.uint64(sig & (1 << 64) - 1).astype(np.int64)))
+                facts.append((i, len(s), np.uint64(sig >> 64).astype(np.int64), np.uint64(sig & (1 << 64) - 1).astype(np.int64), h))
                 if len(s):
                     if len(s) > tops[-3]:
                         tops = t.tops(2 * len(s))
@@ -334,7 +339,7 @@ def _meet(docs: DataFrame, make: Callable[[str], np.ndarray], t: Threshold, buck
                     e = np.frombuffer(key, "<i8").reshape(-1, 2)
                     yield _edges(e[:, 0], e[:, 1])
                     f = np.frombuffer(fact, FACT)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), 2, np.int32)), *(pa.array(f[c]) for c in ("id", "n", "s1", "s2"))], ["kind", "a", "b", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), 2, np.int32)), *(pa.array(f[c]) for c in ("id", "n", "s1", "s2", "h"))], ["kind", "a", "b", "s1", "s2", "h"])
                 else:
                     k, v = rows.setdefault(bucket, ([], []))
                     k.append(np.frombuffer(key, np.uint64))
@@ -350,64 +355,73 @@ def _meet(docs: DataFrame, make: Callable[[str], np.ndarray], t: Threshold, buck
             yield _edges(e[:, 0], e[:, 1])
 
     sent = arrow_map(docs, send, "bucket int, keys binary, ids binary, facts binary")
-    return arrow_map(sent.repartition(partitions(docs.sparkSession), "bucket"), meet, "kind int, a long, b long, s1 long, s2 long")
+    return arrow_map(sent.repartition(partitions(docs.sparkSession), "bucket"), meet, "kind int, a long, b long, s1 long, s2 long, h long")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     zero = pa.array(np.zeros(len(a), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), zero, zero], ["kind", "a", "b", "s1", "s2"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), zero, zero, zero], ["kind", "a", "b", "s1", "s2", "h"])
 
 
 def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 4_000_000, make: Callable[[str], np.ndarray] | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links, representative (of equal sets).
 
-    Null and empty texts have no shingles and no links. Rows of one id are one vertex, each row is returned. A null id is
-    returned with a null component. Links count documents, equal sets included. ``make`` gives a text's set (ascending
-    distinct 64-bit numbers) where it isn't word shingles.
+    Null and empty texts have no shingles and no links. Rows of one id are one vertex, each row is returned with the links
+    of its own text; links count rows, those of equal sets included. A null id is returned with a null component. ``make``
+    gives a text's set (ascending distinct 64-bit numbers) where it isn't word shingles. Every distinct set goes into its
+    group's join once, however many rows have it.
     """
     make = make or functools.partial(shingles, n=n)
     t = Threshold(num, den)
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    live = docs.where("i is not null")
+    live = docs.where("i is not null").withColumn("h", F.xxhash64("t"))
     met = written(_meet(live, make, t, 4 * partitions(documents.sparkSession), build_sketch(live, make)), "met")
-    facts = met.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"), "s1", "s2")
-    equal = written(facts.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "equal")
+    facts = met.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"), "s1", "s2", "h")
+    full = facts.where("n > 0")
+    equal = written(full.groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("copies"), F.max("n").alias("n")).select("s1", "s2", F.col("r.id").alias("rep"), F.col("r.h").alias("h"), "copies", "n"), "equal")
+    repeated = written(full.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated")
+    some_repeated = not repeated.isEmpty()
     groups = components(met.where("kind = 1").select("a", "b"))
     # representatives of groups in which two different sets meet, with their blocks
-    reps = equal.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"))
-    mine = groups.join(reps, F.col("id") == F.col("rep")).select("rep", "copies", "n", "label")
+    mine = groups.join(equal, F.col("id") == F.col("rep")).select("rep", "h", "s1", "s2", "copies", "n", "label")
     sizes = mine.groupBy("label").agg(F.count("*").alias("many"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")).where("many > 1")
-    cand = mine.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cand = mine.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"))))
-    texts = cand.select("rep", "copies", "label", "own", pairs.alias("p")).join(docs, F.col("rep") == F.col("i")).select("label", "rep", "copies", "own", "t", F.explode("p").alias("p"))
-    tasks = texts.select("label", "p.x", "p.y", "rep", "copies", "own", "t").repartition(partitions(documents.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y", "rep")
+    # one row of each representative's text
+    once = live.withColumnRenamed("h", "th")
+    if some_repeated:
+        once = once.dropDuplicates(["i", "th"])
+    texts = cand.select("rep", "h", "s1", "s2", "copies", "label", "own", pairs.alias("p")).join(once, (F.col("rep") == F.col("i")) & (F.col("h") == F.col("th"))).select("label", "rep", "s1", "s2", "copies", "own", "t", F.explode("p").alias("p"))
+    tasks = texts.select("label", "p.x", "p.y", "rep", "s1", "s2", "copies", "own", "t").repartition(partitions(documents.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y", "rep")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         at, held = None, []
 
         def out() -> pa.RecordBatch:
-            ids, w = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            side = np.array([h[2] for h in held]) if at[1] != at[2] else None
-            root, links = join_group([h[3] for h in held], w, t, side)
+            ids, s1, s2, w = (np.array([h[k] for h in held], np.int64) for k in range(4))
+            side = np.array([h[4] for h in held]) if at[1] != at[2] else None
+            root, links = join_group([h[5] for h in held], w, t, side)
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, root, ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least[root]), pa.array(links)], ["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, least[root], s1, s2, links)], ["a", "b", "s1", "s2", "links"])
 
         for b in batches:
-            for label, x, y, rep, copies, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for label, x, y, *row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != (label, x, y):
                     if len(held) > 1:
                         yield out()
                     at, held = (label, x, y), []
-                held.append((rep, copies, own, make(text)))
+                held.append((*row, make(text)))
         if len(held) > 1:
             yield out()
 
-    joined = written(arrow_map(tasks, join, "a long, b long, links long"), "joined")
-    label = components(joined.select("a", "b"))
-    links = joined.groupBy("a").agg(F.sum("links").alias("links"))
-    of = label.join(links, F.col("id") == F.col("a"), "left").select(F.col("id").alias("r"), "label", "links")
-    rows = facts.join(equal.select("s1", "s2", "rep", "copies"), ["s1", "s2"], "left").join(of, F.col("rep") == F.col("r"), "left")
+    joined = written(arrow_map(tasks, join, "a long, b long, s1 long, s2 long, links long"), "joined")
+    edges = joined.select("a", "b")
+    if some_repeated:  # an id with several sets is linked with the representatives of all of them
+        edges = edges.union(full.join(repeated, "id", "left_semi").join(equal.select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep"))
+    label = components(edges).withColumnRenamed("id", "v")
+    sets = equal.select("s1", "s2", "rep", "copies").join(joined.groupBy("s1", "s2").agg(F.sum("links").alias("links")), ["s1", "s2"], "left").join(label, F.col("rep") == F.col("v"), "left")
+    rows = facts.join(sets, ["s1", "s2"], "left")
     found = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("rep", "id").alias("representative"))
     lost = docs.where("i is null").select(F.col("i").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.col("i").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("i").alias("representative"))
     return found.union(lost)
@@ -419,11 +433,16 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document, that of the smallest id, of each group of near-duplicates (five words, 0.8) stays; rows without id stay."""
+    """Pipeline stage: one document, that of the smallest id, of each group of near-duplicates (five words, 0.8) stays; rows without id stay.
+
+    Of several rows of a staying id one stays: that of the smallest hash of all its columns.
+    """
     found = written(jaccard_components(docs, n=5, num=80).select("doc_id", "component_id"), "classes")
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    if not stay.groupBy("_stay").count().where("count > 1").isEmpty():  # rows of one id: one of them stays
-        docs = docs.where("doc_id is null").union(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    stay = stay.distinct()
-    one = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
-    return one.union(docs.where("doc_id is null"))
+    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
+    lost = docs.where("doc_id is null")
+    several = stay.where("_rows > 1")
+    if several.isEmpty():
+        return docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi").union(lost)
+    once = stay.where("_rows = 1")
+    first = docs.join(several, docs["doc_id"] == several["_stay"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return docs.join(once, docs["doc_id"] == once["_stay"], "left_semi").union(first).union(lost)

@@ -252,6 +252,27 @@ def test_join_counts_shared_passages_without_joining_them(spark):
     assert all(r.component_id == r.doc_id for r in got)
 
 
+def test_join_with_repeated_rows(spark):
+    a = prose(1, 60)
+    near = " ".join(["new", *a.split()[1:]])
+    far = prose(2, 50)
+    rows = [(1, a), (1, a), (2, a), (9, near), (9, near), (4, far), (4, near), (5, far), (0, None), (0, near + " x")]
+    sets = [set(jaccard_join.shingles(t or "").tolist()) for _, t in rows]
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        links = sum(10 * len(sets[k] & x) >= 9 * len(sets[k] | x) for j, x in enumerate(sets) if j != k) if sets[k] else 0
+        want[i, len(sets[k]), 0, links] += 1  # all are one component: id 4 has rows of both kinds
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(rows_of(spark, rows)).collect())
+    assert got == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (3, prose(3, 60)), (None, prose(3, 60)), (4, None)]
+    docs = rows_of(spark, rows)
+    got = [[(r.doc_id, r.text) for r in jaccard_join.one_of_each(spark, d, "").collect()] for d in (docs, docs.repartition(5, "text"))]
+    assert sorted(i or 0 for i, _ in got[0]) == [0, 1, 3, 4] and {t for i, t in got[0] if i == 1} == {t for i, t in got[1] if i == 1}
+
+
 def test_join_over_odd_tables(odd, none):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(odd).collect()}
     a = len(jaccard_join.shingles(odd_texts()[0][1]))
