@@ -1,32 +1,41 @@
 """Benchmark decontamination: a BM25 index of test items, searched by block-max WAND with every passage of the corpus.
 
 The items are the indexed documents, the passages the queries. Impacts are divided by an item's score against its own
-words, so one threshold holds for all items. Passages are windows of twice the longest item's words, half overlapping, so
-each item's copy lies whole in one of them. Before WAND, the largest impacts in ranges of items bound the scores of all of
-a text's passages in one product; only passages whose bound reaches the threshold are searched: this skips no hit. What is retrieved counts when question and answer both overlap.
-Items come in blocks of bounded size, each broadcast in turn; document frequencies cover all items.
+words, so one threshold holds for all items. Items fall into classes of length by powers of two; the passages that a class
+is searched with are windows of twice its longest possible item, half overlapping, so each item's copy lies whole in one of
+them, and what is found for an item doesn't depend on the other items' lengths or on how items are cut into blocks. Before
+WAND, the largest impacts in ranges of items bound the scores of the passages of many texts in one product; only passages
+whose bound reaches the threshold are searched: this skips no hit. What is retrieved counts when question and answer both
+overlap. Items of fewer than ``LEAST_WORDS`` words are no passages of their own: such an item is found in the texts that
+consist of just its words. Items come in blocks of bounded size, each a file in the shared folder; one scan of the texts
+goes through all of them. Document frequencies cover all items.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import pickle
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, file_system, fresh_path, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 BLOCK = 16
 RANGES = 64
 SENTENCE = re.compile(r"[.!?]\s+")
-#: Bytes of item texts in one index block.
+#: Bytes of item texts in one index block; characters of texts that are searched at once, and that meet a block at once.
 INDEX_BYTES = 8 << 20
+AT_ONCE, PER_BLOCK = 1 << 20, 32 << 20
+LEAST_WORDS, SHORTEST = 4, 16
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -46,17 +55,18 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 
 class BlockMaxIndex:
-    """Inverted index with block maxima; ``search`` returns all items whose normalised score reaches a threshold."""
-
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_len: float, threshold: float) -> None:
-        self.threshold = threshold
-        self.ids = [i for i, _ in items]
-        self.parts = [split_item(t) for _, t in items]
-        self.question = [grams(q) for q, _ in self.parts]
-        self.answer = [set(a) for _, a in self.parts]
-        self.longest = max((len(q) + len(a) for q, a in self.parts), default=1)
+    """Inverted index of the items of one length class, with block maxima; ``search`` returns all whose normalised score reaches a threshold.
+
+    Items are (id, question words, answer words), of at most ``longest`` words together.
+    """
+
+    def __init__(self, items: list[tuple[int | None, list[str], list[str]]], df: dict[str, int], n_items: int, mean_len: float, threshold: float, longest: int, ranges: int = RANGES) -> None:
+        self.threshold, self.longest = threshold, longest
+        self.ids = [i for i, _, _ in items]
+        self.question = [grams(q) for _, q, _ in items]
+        self.answer = [set(a) for _, _, a in items]
         posts: dict[str, list[tuple[int, float]]] = {}
-        for k, (q, a) in enumerate(self.parts):
+        for k, (_, q, a) in enumerate(items):
             words = q + a
             tf: dict[str, int] = {}
             for w in words:
@@ -72,9 +82,9 @@ class BlockMaxIndex:
         self.most = [max(v) for v in self.impact]
         self.block_max = [[max(v[a : a + BLOCK]) for a in range(0, len(v), BLOCK)] for v in self.impact]
         self.block_last = [[d[min(a + BLOCK, len(d)) - 1] for a in range(0, len(d), BLOCK)] for d in self.docs]
-        # the largest impact of each term in each of at most RANGES ranges of items: bounds for a whole passage at once
-        wide = -(-len(items) // RANGES)
-        self.range_max = np.zeros((len(names) + 1, -(-len(items) // wide)), np.float32)
+        # the largest impact of each term in each of the ranges of items: bounds for a whole passage at once
+        wide = -(-len(items) // ranges)
+        self.range_max = np.zeros((len(names), -(-len(items) // wide)), np.float32)
         for t, (docs, impacts) in enumerate(zip(self.docs, self.impact, strict=True)):
             np.maximum.at(self.range_max[t], np.array(docs) // wide, np.array(impacts, np.float32))
 
@@ -129,47 +139,85 @@ class BlockMaxIndex:
             p += 1
         cursor[0], cursor[1] = (docs[p], p) if p < len(docs) else (-1, p)
 
-    def hits(self, text: str, least_question: float = 0.5, least_answer: float = 0.5) -> list[tuple[int, float, float, float, int]]:
-        """(item id, score, question overlap, answer overlap, first word of the passage) of the verified items of a whole text."""
-        words = WORD.findall(text.lower())
-        none = len(self.docs)
-        terms = np.fromiter((self.term.get(w, none) for w in words), np.int64, len(words))
-        step = max(16, self.longest)
-        half = np.arange(len(terms)) // step
-        key = np.concatenate([half * (none + 1) + terms, (half - 1)[step:] * (none + 1) + terms[step:]])
-        key = np.unique(key[key % (none + 1) != none])
+    def passages(self, term: np.ndarray, doc: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, window) of the passages that an item may reach the threshold with; of each word its term here (-1: none), text and place."""
+        halves = -(-lengths // self.longest)
+        base = np.cumsum(halves) - halves
+        live = np.flatnonzero(term >= 0)
+        key = np.unique((base[doc[live]] + place[live] // self.longest) * len(self.docs) + term[live])
         if not len(key):
-            return []
-        window, term = key // (none + 1), key % (none + 1)
-        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-        bound = np.add.reduceat(self.range_max[term], first, axis=0).max(1)
-        best: dict[int, tuple[int, float, float, float, int]] = {}
-        ends = np.append(first[1:], len(key))
-        for at in np.flatnonzero(bound >= self.threshold - 1e-3).tolist():
-            k = int(window[first[at]])
-            passage = words[k * step : (k + 2) * step]
-            found = self.search(term[first[at] : ends[at]].tolist())
-            if not found:
-                continue
-            held, seen = [grams(passage, n) for n in (1, 2, 3)], set(passage)
-            for j, score in found:
-                q = self.question[j]
-                size = len(next(iter(q))) if q else 0
-                over_q = len(q & held[size - 1]) / len(q) if q else 1.0
-                over_a = len(self.answer[j] & seen) / len(self.answer[j]) if self.answer[j] else 1.0
-                if over_q >= least_question and over_a >= least_answer:
-                    row = (self.ids[j], score, over_q, over_a, k * step)
-                    if j not in best or row[1:4] > best[j][1:4]:
-                        best[j] = row
-        return [best[j] for j in sorted(best)]
-
-
-def index_blocks(items: DataFrame, threshold: float = 0.5, id_col: str = "item_id", text_col: str = "text") -> Iterator[BlockMaxIndex]:
-    """Indexes of the items, ``INDEX_BYTES`` of text each at the driver; items without words can't be found and are left out."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+            return key, key
+        half = key // len(self.docs)
+        first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
+        sums = np.zeros((int(halves.sum()) + 1, self.range_max.shape[1]), np.float32)
+        sums[half[first]] = np.add.reduceat(self.range_max[key % len(self.docs)], first, axis=0)
+        owner = np.repeat(np.arange(len(lengths)), halves)
+        last = np.append(owner[1:] != owner[:-1], True)
+        bound = np.where(last, sums[:-1].max(1), (sums[:-1] + sums[1:]).max(1))
+        at = np.flatnonzero(bound >= self.threshold - 1e-3)
+        return owner[at], at - base[owner[at]]
+
+
+class ItemIndex:
+    """The items of one block: an index for each length class, and the short items by their words."""
+
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_len: float, threshold: float) -> None:
+        by: dict[int, list] = {}
+        self.short: dict[tuple[str, ...], list[int | None]] = {}
+        for i, t in items:
+            q, a = split_item(t)
+            if len(q) + len(a) < LEAST_WORDS:
+                self.short.setdefault(tuple(q + a), []).append(i)
+            else:
+                by.setdefault(max(SHORTEST, 1 << (len(q) + len(a) - 1).bit_length()), []).append((i, q, a))
+        many = sum(map(len, by.values()))
+        self.classes = [BlockMaxIndex(part, df, n_items, mean_len, threshold, n, max(8, RANGES * len(part) // many)) for n, part in sorted(by.items())]
+        names = sorted({w for c in self.classes for w in c.term})
+        self.term = {w: j for j, w in enumerate(names)}
+        self.own = [np.array([*(c.term.get(w, -1) for w in names), -1], np.int64) for c in self.classes]
+
+    def hits(self, texts: list[list[str]], least_question: float = 0.5, least_answer: float = 0.5) -> list[list[tuple[int | None, float, float, float, int]]]:
+        """Of each text (its words) the verified items: (item id, score, question overlap, answer overlap, first word of the passage)."""
+        out: list[list] = [[(i, 1.0, 1.0, 1.0, 0) for i in self.short.get(tuple(w), ())] if len(w) < LEAST_WORDS else [] for w in texts]
+        lengths = np.array([len(w) for w in texts], np.int64)
+        get, none = self.term.get, len(self.term)
+        term = np.fromiter((get(w, none) for w in chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        known = np.flatnonzero(term < none)
+        doc = np.repeat(np.arange(len(texts)), lengths)[known]
+        place = known - (np.cumsum(lengths) - lengths)[doc]
+        term = term[known]
+        for c, own in zip(self.classes, self.own, strict=True):
+            best: dict[tuple[int, int], tuple] = {}
+            for d, k in zip(*(x.tolist() for x in c.passages(own[term], doc, place, lengths)), strict=True):
+                passage = texts[d][k * c.longest : (k + 2) * c.longest]
+                terms = sorted({c.term[w] for w in passage if w in c.term})
+                found = c.search(terms) if c.range_max[terms].sum(0).max() >= c.threshold - 1e-3 else []
+                if not found:
+                    continue
+                held, seen = [grams(passage, n) for n in (1, 2, 3)], set(passage)
+                for j, score in found:
+                    q = c.question[j]
+                    over_q = len(q & held[len(next(iter(q))) - 1]) / len(q)
+                    over_a = len(c.answer[j] & seen) / len(c.answer[j])
+                    if over_q >= least_question and over_a >= least_answer:
+                        row = (c.ids[j], score, over_q, over_a, k * c.longest)
+                        if (d, j) not in best or row[1:4] > best[d, j][1:4]:
+                            best[d, j] = row
+            for d, j in sorted(best):
+                out[d].append(best[d, j])
+        return out
+
+
+def build_index(items: DataFrame, threshold: float = 0.5, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Writes the items' index files, ``INDEX_BYTES`` of text each at the driver at a time; returns their URIs.
+
+    Items without id are indexed as any others; items without words can't be found and are left out.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
     if not size["n"]:
-        return
+        return []
     blocks = -(-size["b"] // INDEX_BYTES) or 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -186,41 +234,75 @@ def index_blocks(items: DataFrame, threshold: float = 0.5, id_col: str = "item_i
 
     df = arrow_map(rows.select("t"), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = {r["w"]: r["n"] for r in df.where("w in ('', ' ')").collect()}
-    block = F.pmod(F.xxhash64("i"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    path, out = fresh_path(spark, "items"), []
     for k in range(blocks):
-        part = sorted((r["i"], r["t"]) for r in rows.where(block == k).collect())
-        part = [(i, t) for i, t in part if WORD.search(t)]
+        part = sorted(((r["i"], r["t"]) for r in rows.where(block == k).collect() if WORD.search(r["t"])), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         if not part:
             continue
         own = {w for _, t in part for w in WORD.findall(t.lower())}
         if blocks == 1:
             known = {r["w"]: r["n"] for r in df.collect()}
         else:
-            names = rows.sparkSession.createDataFrame([(w,) for w in sorted(own)], "w string")
+            names = spark.createDataFrame([(w,) for w in sorted(own)], "w string")
             known = {r["w"]: r["n"] for r in df.join(F.broadcast(names), "w").collect()}
-        yield BlockMaxIndex(part, known, total[" "], total[""] / total[" "], threshold)
+        out.append(f"{path}/block-{k:06d}")
+        store, at = file_system(out[-1])
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(at, compression=None) as sink:
+            sink.write(pickle.dumps(ItemIndex(part, known, total[" "], total[""] / total[" "], threshold), 5))
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def load_index(uri: str) -> ItemIndex:
+    """One block's index; a worker keeps four of them."""
+    store, at = file_system(uri)
+    with store.open_input_stream(at, compression=None) as src:
+        return pickle.loads(src.read())
+
+
+def search_texts(uris: list[str], texts: list[str | None]) -> list[list[tuple[int | None, float, float, float, int]]]:
+    """The verified items of whole texts in all blocks; a block is read again after every ``PER_BLOCK`` characters only."""
+    out: list[list] = [[] for _ in texts]
+    a = 0
+    while a < len(texts):
+        z, size, parts = a, 0, [a]
+        while z < len(texts) and (z == a or size < PER_BLOCK):
+            size += len(texts[z] or "")
+            z += 1
+            if z == len(texts) or size >= PER_BLOCK or sum(len(t or "") for t in texts[parts[-1] : z]) >= AT_ONCE or z - parts[-1] >= 256:
+                parts.append(z)
+        for uri in uris:
+            index = load_index(uri)
+            for b, c in zip(parts, parts[1:], strict=False):
+                for k, found in enumerate(index.hits([WORD.findall((t or "").lower()) for t in texts[b:c]]), b):
+                    out[k] += found
+        a = z
+    return out
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
 def contaminated(documents: DataFrame, items: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The verified (document, item) pairs of all whole texts; null and empty texts have none, repeated rows have theirs each."""
+    """The verified (document, item) pairs of all whole texts; null and empty texts have none, repeated rows have theirs each.
+
+    Of passages with equal figures the first one counts; an item without id gives pairs with a null item_id.
+    """
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    spark, out = documents.sparkSession, None
-    for index in index_blocks(items, threshold):
-        held = spark.sparkContext.broadcast(index)
+    uris = build_index(items, threshold)
+    if not uris:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterable[pa.RecordBatch]:
-            for b in batches:
-                rows = [(i, *h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in held.value.hits(t)]
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *h) for i, found in zip(b.column(0).to_pylist(), search_texts(uris, b.column(1).to_pylist()), strict=True) for h in found]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        found = arrow_map(docs, run, SCHEMA)
-        out = found if out is None else out.union(found)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return arrow_map(docs, run, SCHEMA)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -229,14 +311,14 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go; all columns of ``docs`` stay."""
+    """Pipeline stage: documents that hold a test item go, those with null or empty texts stay; all columns of ``docs`` stay."""
     at = docs.columns.index("text")
-    for index in index_blocks(table(spark, sf_dir, "benchmark")):
-        held = spark.sparkContext.broadcast(index)
+    uris = build_index(table(spark, sf_dir, "benchmark"))
+    if not uris:
+        return docs
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterable[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not (t and held.value.hits(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not found for found in search_texts(uris, b.column(at).to_pylist())], pa.bool_()))
 
-        docs = arrow_map(docs, run, docs.schema)
-    return docs
+    return arrow_map(docs, run, docs.schema)

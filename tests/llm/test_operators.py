@@ -152,28 +152,75 @@ def items():
     return [(k, f"Which {prose(1000 + k, 24)} It is {prose(2000 + k, 4, [f'zq{k}a', f'zq{k}b', 'the'])}.") for k in range(60)]
 
 
-def index(rows, threshold=0.5):
-    words = {i: decontam.WORD.findall(x.lower()) for i, x in rows}
-    df = Counter(w for v in words.values() for w in set(v))
-    return decontam.BlockMaxIndex(rows, df, len(rows), sum(map(len, words.values())) / len(rows), threshold)
+def figures(rows):
+    words = {k: decontam.WORD.findall(x.lower()) for k, (_, x) in enumerate(rows) if x and decontam.WORD.search(x)}
+    return words, Counter(w for v in words.values() for w in set(v)), len(words), sum(map(len, words.values())) / len(words)
 
 
 def test_block_max_wand_finds_all_above_the_threshold():
-    ix, r = index(items()), random.Random(3)
+    rows, r = items(), random.Random(3)
+    ix = decontam.ItemIndex(rows, *figures(rows)[1:], 0.5)
+    (c,) = ix.classes
     found = 0
     for _ in range(200):
-        own = sum(ix.parts[r.randrange(60)], [])[: r.randrange(1, 30)]
-        terms = sorted({ix.term[w] for w in own} | set(r.sample(range(len(ix.term)), r.choice([0, 3, 20]))))
+        own = sum(decontam.split_item(rows[r.randrange(60)][1]), [])[: r.randrange(1, 30)]
+        terms = sorted({c.term[w] for w in own} | set(r.sample(range(len(c.term)), r.choice([0, 3, 20]))))
         score = Counter()
         for t in terms:
-            for d, v in zip(ix.docs[t], ix.impact[t], strict=True):
+            for d, v in zip(c.docs[t], c.impact[t], strict=True):
                 score[d] += v
         want = sorted(d for d, v in score.items() if v >= 0.5 - 1e-12)
-        assert [d for d, _ in ix.search(terms)] == want
+        assert [d for d, _ in c.search(terms)] == want
         found += len(want)
     assert found > 50
 
 
+def brute_contaminated(docs, rows, threshold=0.5):
+    """Every item against every passage of its length class, by the formula."""
+    words, df, n, mean = figures(rows)
+    out = set()
+    for d, text in docs:
+        w = decontam.WORD.findall((text or "").lower())
+        for k, own in words.items():
+            if len(own) < 4:
+                if w == own:
+                    out.add((d, rows[k][0], 1.0, 1.0, 1.0, 0))
+                continue
+            impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / mean)) for x, f in Counter(own).items()}
+            q, a = decontam.split_item(rows[k][1])
+            step, best = max(16, 1 << (len(own) - 1).bit_length()), None
+            for at in range(0, len(w), step):
+                p = w[at : at + 2 * step]
+                score = sum(v for x, v in impact.items() if x in set(p)) / sum(impact.values())
+                size = min(3, len(q))
+                runs = lambda x, size=size: {tuple(x[j : j + size]) for j in range(len(x) - size + 1)}
+                over = len(runs(q) & runs(p)) / len(runs(q)), len(set(a) & set(p)) / len(set(a))
+                if score >= threshold - 1e-9 and min(over) >= 0.5 and (best is None or (round(score, 9), *over) > best[:3]):
+                    best = round(score, 9), *over, at
+            if best:
+                out.add((d, rows[k][0], *best))
+    return out
+
+
+def test_whole_query_against_every_passage_whatever_the_blocks(spark, monkeypatch):
+    rows = [*items()[:25], (70, prose(3000, 150)), (71, prose(3001, 300)), (72, prose(3002, 9)), (73, "zq1a"), (74, "The of"), (None, prose(3003, 40)), (None, prose(3004, 40)), (76, None), (77, "!")]
+    r, docs = random.Random(4), [(900, "zq1a"), (901, "the OF!"), (902, "zq1a the"), (903, None), (904, ""), (905, f"y {rows[30][1]} x")]
+    for k in range(60):
+        own = r.choice(rows[:28])[1].split()
+        own = own[: r.randrange(len(own) // 2, len(own) + 1)]
+        for _ in range(r.randrange(4)):
+            own.insert(r.randrange(len(own)), prose(k, r.choice([1, 30])))
+        docs.append((k, f"{prose(k, r.randrange(200))} {' '.join(own)} {prose(k + 7, r.randrange(90))}"))
+    want = brute_contaminated(docs, rows)
+    assert len(want) > 20 and {(900, 73), (901, 74)} == {x[:2] for x in want if x[1] in (73, 74)} and any(x[1] is None for x in want)
+    df, bench = rows_of(spark, docs), spark.createDataFrame(rows, "item_id long, text string")
+    for size in (8 << 20, 1500):
+        monkeypatch.setattr(decontam, "INDEX_BYTES", size)
+        got = {(x.doc_id, x.item_id, round(x.score, 9), x.question_overlap, x.answer_overlap, x.first_word) for x in decontam.contaminated(df, bench).collect()}
+        assert got == want
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(df, bench.union(spark.createDataFrame([(99, prose(1, 5000))], bench.schema))).collect()} >= {x[:2] for x in want if x[2] > 0.6}
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     rows = items()
     docs = [(k, prose(k, 150)) for k in range(40)]
@@ -186,14 +233,6 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert got == {(100 + k, k) for k in range(20)} | {(200 + k, k) for k in range(10)} | {(300, 7)}
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    bench = spark.createDataFrame(items(), "item_id long, text string")
-    docs = rows_of(spark, [(k, f"{prose(k, 30)} {x}") for k, x in items()])
-    once = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontam, "INDEX_BYTES", 3000)
-    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.contaminated(docs, bench).collect()} == once and len(once) == 60
-
-
 def test_decontamination_over_odd_tables(spark, odd, none):
     bench = spark.createDataFrame(items(), "item_id long, text string")
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0
