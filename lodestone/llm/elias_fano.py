@@ -75,29 +75,23 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
         i = np.asarray(i, np.int64)
-        if 4 * len(i) >= self.n:
-            return self.decode()[i]
         high = (_select(self.high, self.ones, i) - i).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self._low(i)
 
     def decode(self) -> np.ndarray:
+        """All values."""
         high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
         return high.astype(np.uint64) << np.uint64(self.low_bits) | self._low(np.arange(self.n))
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """Positions of the values ``v``, -1 where one isn't in the sequence: the successor of each is looked up.
+        """Positions of the values ``v``, -1 where one isn't in the sequence: the successor of each is searched.
 
-        Few queries go to their high part's bucket by two selects and a binary search on low parts; many are merged with
-        the decoded sequence.
+        A value goes to its high part's bucket by two selects, and to its place there by a binary search on low parts.
         """
         v = v.astype(np.uint64)
         out = np.full(len(v), -1, np.int64)
         if not self.n or not len(v):
             return out
-        if 4 * len(v) >= self.n:
-            own = self.decode()
-            at = np.minimum(np.searchsorted(own, v), self.n - 1)
-            return np.where(own[at] == v, at, -1)
         k = (v >> np.uint64(self.low_bits)).astype(np.int64)
         last = len(self.high) * 64 - self.n - 1
         ok = np.flatnonzero(k <= last)

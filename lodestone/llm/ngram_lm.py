@@ -10,15 +10,17 @@ shard is one file, mapped by the task that answers the shard's queries:
 * children of a node: Elias-Fano of the *position of the word among the context's successors*, a number as small as the
   context has few successors, with a quantised log probability each.
 
-A query looks up the word among the context's successors, the node, then that position among the node's children.
-Probabilities are interpolated: p(w | h) = lambda c / T + (1 - lambda) p(w | shorter h); lambda depends on T and is fitted
-in each shard by leave-one-out EM. The unigram level is the smoothed base distribution itself.
+A query looks up the word among the context's successors, the node, then that position among the node's children, each by
+successor search in the compressed level (two selects and a binary search on low bits). Probabilities are interpolated by
+Witten and Bell: p(w | h) = (c + d p(w | shorter h)) / (T + d), with T the tokens and d the distinct words seen after h.
+The unigram level is the smoothed base distribution itself.
 
-A context so frequent that it would outgrow a shard is divided into classes by a hash of the word before it; each class is
-a context of its own, so that no shard has more than a bounded share of the text.
+A context so frequent that it would outgrow a shard is divided into classes by a hash of the word before it, so that no
+shard has more than a bounded share of the text. Its bigrams are counted over all classes in a pass of their own and kept
+in mapped files as the vocabulary is: estimates, and so scores, don't depend on the number of shards.
 
 One shuffle carries each token once, as (word before, context, word, document) in packed columns; one more carries sums
-per document and shard.
+per document and shard, and one the pre-aggregated bigrams of frequent contexts.
 """
 
 from __future__ import annotations
@@ -89,6 +91,22 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "maps": {}}
 
+    @property
+    def wide(self) -> int:
+        """More than any word's id."""
+        return FIRST + len(self.top_at) + self.words
+
+    def hashes_of(self, top: list[int]) -> np.ndarray:
+        """Hashes of frequent words, given by their places among them."""
+        pos, out = np.empty(len(self.top_at), np.int64), []
+        pos[self.top_at[:, 1]] = self.top_at[:, 0]
+        live = [j for j, f in enumerate(self.files) if f is not None]
+        starts = [self.files[j][1] for j in live]
+        for p in pos[top].tolist():
+            m = self._map(live[bisect.bisect_right(starts, p) - 1])
+            out.append(m[0].access(np.array([p - m[2]]))[0])
+        return np.array(out, np.uint64)
+
     @property
     def distinct(self) -> int:
         return self.words + (self.train_docs > 0)
@@ -240,57 +258,153 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 @dataclass
 class Routes:
-    """Where contexts live: frequent ones have several classes, each with a virtual id above all words."""
+    """Where contexts live: frequent ones (``hot``, ascending) have several classes, each with a virtual id above all words."""
 
     shards: int
-    hot: dict[int, tuple[int, int]]
     base: int
+    hot: np.ndarray
+    classes: np.ndarray
 
     @classmethod
     def of(cls, v: Vocabulary, shard_tokens: int) -> Routes:
         shards = max(1, -(-v.all_tokens // shard_tokens))
-        base, hot, at = FIRST + len(v.top_at) + v.words, {}, 0
-        frequent = [(FIRST + k, int(c)) for k, c in enumerate(v.top_count.tolist())] + [(BOS, v.train_docs)]
-        for w, c in frequent:
-            classes = -(-2 * c * shards // max(1, v.tokens))
-            if classes > 1:
-                hot[w] = (at, classes)
-                at += classes
-        return cls(shards, hot, base)
+        frequent = [(BOS, v.train_docs)] + [(FIRST + k, int(c)) for k, c in enumerate(v.top_count.tolist())]
+        hot = [(w, n) for w, c in frequent if (n := -(-2 * c * shards // max(1, v.tokens))) > 1]
+        return cls(shards, v.wide, np.array([w for w, _ in hot], np.int64), np.array([n for _, n in hot], np.int64))
 
     def contexts(self, before: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context ids and shards."""
         out = context.copy()
-        if self.hot:
-            names = np.array(sorted(self.hot), np.int64)
-            at = np.minimum(np.searchsorted(names, context), len(names) - 1)
-            hit = np.flatnonzero(names[at] == context)
-            offset = np.array([self.hot[w][0] for w in names.tolist()], np.int64)[at[hit]]
-            classes = np.array([self.hot[w][1] for w in names.tolist()], np.uint64)[at[hit]]
-            out[hit] = self.base + offset + (mix64(before[hit] + 77) % classes).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            hit = np.flatnonzero(self.hot[at] == context)
+            first = np.cumsum(self.classes) - self.classes
+            out[hit] = self.base + first[at[hit]] + (mix64(before[hit] + 77) % self.classes[at[hit]].astype(np.uint64)).astype(np.int64)
         return out, (mix64(out) % np.uint64(self.shards)).astype(np.int64)
 
+    def hot_of(self, context: np.ndarray) -> np.ndarray:
+        """Of context ids the place among the frequent ones, -1 for others."""
+        return np.where(context >= self.base, np.searchsorted(np.cumsum(self.classes), context - self.base, "right"), -1)
+
+
+@dataclass
+class HotBigrams:
+    """Training counts of all bigrams of frequent contexts, in mapped files by a hash of the word; tokens and distinct words of each context."""
+
+    wide: int
+    files: list[str | None]
+    tokens: np.ndarray
+    distinct: np.ndarray
+    maps: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "maps": {}}
+
+    def counts(self, hot: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(word), np.int64)
+        bucket = (mix64(word) % np.uint64(len(self.files))).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(len(self.files) + 1))
+        for j in np.flatnonzero(np.diff(cut)).tolist():
+            if self.files[j] is None:
+                continue
+            if j not in self.maps:
+                a = map_arrays(self.files[j])
+                self.maps[j] = EliasFano.of([a["n"], a["low"], a["high"]]), a["count"]
+            own = order[cut[j] : cut[j + 1]]
+            at = self.maps[j][0].find(hot[own] * self.wide + word[own])
+            out[own] = np.where(at >= 0, self.maps[j][1][np.maximum(at, 0)], 0)
+        return out
 
-def _fit_lambda(count: np.ndarray, total: np.ndarray, lower: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Interpolation weights by context size (classes of half powers of two), from entries with their leave-one-out estimates."""
-    classes = 64
-    size = np.maximum(total - 1, 1)
-    ml = np.where(total > 1, (count - 1) / size, 0.0)
-    cls = np.minimum((2 * np.log2(size)).astype(np.int64), classes - 1)
-    live = total > 1
-    cls, ml, low, w = cls[live], ml[live], lower[live], count[live].astype(np.float64)
-    weight = np.bincount(cls, w, classes)
-    lam = np.full(classes, 0.3)
-    for _ in range(rounds):
-        part = lam[cls] * ml
-        got = part / np.maximum(part + (1 - lam[cls]) * low, 1e-300)
-        # a pseudo-count of one half keeps rare classes near a small weight
-        lam = (np.bincount(cls, w * got, classes) + 0.05) / (weight + 0.5)
-    return np.clip(lam, 1e-4, 0.999)
 
+def build_hot(docs: DataFrame, path: str, v: Vocabulary, routes: Routes, held_out_mod: int) -> HotBigrams:
+    """Counts the bigrams of frequent contexts over all training texts (columns i, t), summed in each task before the shuffle."""
+    spark, hot = docs.sparkSession, routes.hot
+    counts = [v.train_docs if w == BOS else int(v.top_count[w - FIRST]) for w in hot.tolist()]
+    if not len(hot):
+        return HotBigrams(v.wide, [None], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    own = [k for k, w in enumerate(hot.tolist()) if w != BOS]
+    h = v.hashes_of([int(hot[k]) - FIRST for k in own])
+    order = np.argsort(h)
+    names, place = h[order], np.array(own, np.int64)[order]
+    first = hot.tolist().index(BOS) if BOS in hot else -1
+    buckets = partitions(spark)
+    held = spark.sparkContext.broadcast(v)
 
-def _class_of(total: np.ndarray) -> np.ndarray:
-    return np.minimum((2 * np.log2(np.maximum(total, 1))).astype(np.int64), 63)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        v = held.value
+        ctx, nxt, ends, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            c, n, end = np.concatenate(ctx), np.concatenate(nxt), np.concatenate(ends)
+            u, inv = np.unique(n, return_inverse=True)
+            word = v.look_up(u)[0][inv]
+            word[end] = END
+            key, many = np.unique(c * v.wide + word, return_counts=True)
+            bucket = (mix64(key % v.wide) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            live = np.flatnonzero(np.diff(cut)).tolist()
+            z = zstandard.ZstdCompressor(level=1)
+            cols = [[z.compress(np.diff(x[order[cut[j] : cut[j + 1]]], prepend=0).astype("<i8").tobytes()) for j in live] for x in (key, many)]
+            return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "key", "n"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not py_id_crc(i) % held_out_mod:
+                    continue
+                w = hashed(t)
+                at = np.searchsorted(names, w)
+                at[at == len(names)] = 0
+                hit = np.flatnonzero(names[at] == w) if len(names) else at[:0]
+                more = np.append(w[1:], np.uint64(0)) if len(w) else w
+                ctx.append(place[at[hit]])
+                nxt.append(more[hit])
+                ends.append(hit == len(w) - 1)
+                if first >= 0:
+                    ctx.append(np.array([first]))
+                    nxt.append(w[:1] if len(w) else np.zeros(1, np.uint64))
+                    ends.append(np.array([not len(w)]))
+                size += len(hit) + 1
+                if size > FLUSH:
+                    yield out()
+                    ctx, nxt, ends, size = [], [], [], 0
+        if size:
+            yield out()
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        at, keys, sums = -1, [], []
+
+        def out() -> pa.RecordBatch:
+            k, c = _summed(np.concatenate(keys), np.concatenate(sums))
+            name = f"{path}/bigrams-{at:06d}-{np.random.default_rng().integers(1 << 62):x}"
+            e = EliasFano.build(k).arrays()
+            save_arrays(name, {"n": e[0], "low": e[1], "high": e[2], "count": c.astype(np.int32 if c.max() < 1 << 31 else np.int64)})
+            distinct = np.bincount(k // v_wide, minlength=n_hot)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name]), pa.array([np.arange(n_hot).tolist()], pa.list_(pa.int64())), pa.array([distinct.tolist()], pa.list_(pa.int64()))], ["bucket", "uri", "hot", "n"])
+
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket != at:
+                    if at >= 0:
+                        yield out()
+                    at, keys, sums = bucket, [], []
+                keys.append(np.cumsum(np.frombuffer(z.decompress(k), "<i8")))
+                sums.append(np.cumsum(np.frombuffer(z.decompress(c), "<i8")))
+        if at >= 0:
+            yield out()
+
+    v_wide, n_hot = v.wide, len(hot)
+    sent = arrow_map(docs, count, "bucket int, key binary, n binary")
+    levels = written(arrow_map(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), level, "bucket int, uri string, hot array<long>, n array<long>"), "bigrams")
+    files: list[str | None] = [None] * buckets
+    for r in levels.select("bucket", "uri").collect():
+        files[r["bucket"]] = r["uri"]
+    distinct = np.zeros(n_hot, np.int64)
+    for r in levels.select(F.explode(F.arrays_zip("hot", "n")).alias("p")).groupBy("p.hot").agg(F.sum("p.n").alias("n")).collect():
+        distinct[r["hot"]] = r["n"]
+    return HotBigrams(v.wide, files, np.array(counts, np.int64), distinct)
 
 
 def _quantised(log10p: np.ndarray) -> np.ndarray:
@@ -307,60 +421,76 @@ class Trie:
             setattr(self, k, EliasFano.of([arrays[f"{k}.n"], arrays[f"{k}.low"], arrays[f"{k}.high"]]))
 
     @staticmethod
-    def build(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, words: int) -> dict[str, np.ndarray]:
-        """Levels of distinct trigrams (ascending by context, before, word), their counts and their words' unigram probabilities."""
+    def build(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, words: int, routes: Routes | None = None, hot: HotBigrams | None = None) -> dict[str, np.ndarray]:
+        """Levels from distinct trigrams (ascending by context, before, word), their training counts (0: asked for only) and their words' unigram probabilities."""
         ctx, ci = np.unique(context, return_inverse=True)
-        big = ci * words + word
-        bk, first, bi = np.unique(big, return_index=True, return_inverse=True)
+        bk, first, bi = np.unique(ci * words + word, return_index=True, return_inverse=True)
+        b_ctx, b_word = bk // words, bk % words
         c2 = np.bincount(bi, count, len(bk)).astype(np.int64)
-        b_ctx = bk // words
-        t2 = np.bincount(b_ctx, c2, len(ctx)).astype(np.int64)
-        low1 = p1[first] if len(first) else np.zeros(0)
-        lam2 = _fit_lambda(c2, t2[b_ctx], low1)
-        l2 = lam2[_class_of(t2)]
-        p2 = l2[b_ctx] * c2 / t2[b_ctx] + (1 - l2[b_ctx]) * low1
-        begin = np.searchsorted(bk, np.arange(len(ctx) + 1) * words)
-        nk, ni = np.unique(ci * words + before, return_inverse=True)
-        t3 = np.bincount(ni, count, len(nk)).astype(np.int64)
-        loo_t = np.maximum(t2[b_ctx] - 1, 1)
-        loo2 = np.maximum(np.where(t2[b_ctx] > 1, l2[b_ctx] * (c2 - 1) / loo_t, 0) + (1 - l2[b_ctx]) * low1, 1e-30)
-        lam3 = _fit_lambda(count, t3[ni], loo2[bi])
-        l3 = lam3[_class_of(t3)]
-        p3 = l3[ni] * count / t3[ni] + (1 - l3[ni]) * p2[bi]
-        rel = bi - begin[ci]
+        t2, d2 = np.bincount(b_ctx, c2, len(ctx)).astype(np.int64), np.bincount(b_ctx, c2 > 0, len(ctx)).astype(np.int64)
+        if routes is not None and len(routes.hot):
+            which = routes.hot_of(ctx)
+            t2, d2 = (np.where(which >= 0, x[np.maximum(which, 0)], y) for x, y in ((hot.tokens, t2), (hot.distinct, d2)))
+            own = np.flatnonzero(which[b_ctx] >= 0)
+            c2[own] = hot.counts(which[b_ctx[own]], b_word[own])
+        all2 = np.maximum(t2 + d2, 1)
+        p2 = (c2 + d2[b_ctx] * p1[first]) / all2[b_ctx] if len(bk) else np.zeros(0)
+        seen = c2 > 0  # successors of the context; of a frequent one those that this shard is asked for
+        at = np.cumsum(seen) - 1
+        begin = np.searchsorted(b_ctx[seen], np.arange(len(ctx) + 1))
+        live = np.flatnonzero(count > 0)
+        nk, ni = np.unique(ci[live] * words + before[live], return_inverse=True)
+        t3, d3 = np.bincount(ni, count[live], len(nk)), np.bincount(ni, minlength=len(nk))
+        p3 = (count[live] + d3[ni] * p2[bi[live]]) / (t3 + d3)[ni] if len(live) else np.zeros(0)
         wide = int(np.diff(begin).max(initial=0)) + 1
-        child = ni * wide + rel
+        child = ni * wide + at[bi[live]] - begin[ci[live]]
         order = np.argsort(child, kind="stable")
-        out = {"words": np.array([words, wide], np.int64), "p2": _quantised(np.log10(p2)), "back2": _quantised(np.log10(1 - l2)), "p3": _quantised(np.log10(p3[order])), "back3": _quantised(np.log10(1 - l3))}
-        levels = {"contexts": ctx, "successor_at": begin, "successors": bk, "nodes": nk, "child_at": np.concatenate([[0], np.cumsum(np.bincount(ni, minlength=len(nk)))]), "children": child[order]}
+        known = np.flatnonzero(t2 > 0)  # all that is left out comes from contexts never seen in training
+        out = {"words": np.array([words, wide], np.int64), "p2": _quantised(np.log10(p2[seen])), "back2": _quantised(np.log10(d2[known] / all2[known])), "p3": _quantised(np.log10(p3[order])), "back3": _quantised(np.log10(d3 / (t3 + d3)))}
+        new = np.zeros(len(ctx), np.int64)
+        new[known] = np.arange(len(known))
+        levels = {
+            "contexts": ctx[known], "successor_at": np.append(begin[known], begin[-1]), "successors": new[b_ctx[seen]] * words + b_word[seen], "nodes": new[nk // words] * words + nk % words,
+            "child_at": np.concatenate([[0], np.cumsum(d3)]), "children": child[order],
+        }
         for k, v in levels.items():
             e = EliasFano.build(v).arrays()
             out |= {f"{k}.n": e[0], f"{k}.low": e[1], f"{k}.high": e[2]}
         return out
 
     def score(self, before: np.ndarray, context: np.ndarray, word: np.ndarray, log1: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words (unigram ones given) after two words."""
+        """log10 probabilities of words (unigram ones given) after two words; runs of one context, and of one word before it, are looked up once."""
         out = log1.astype(np.float64).copy()
-        r = self.contexts.find(context)
+        run, of = _runs(context)
+        r = self.contexts.find(context[run])
+        start = self.successor_at.access(np.maximum(r, 0)).astype(np.int64) if self.successor_at.n else r
+        r, start = r[of], start[of]
         has = np.flatnonzero(r >= 0)
         if not len(has):
             return out
-        r = r[has]
+        r, start = r[has], start[has]
         pos = self.successors.find(r * self.words + word[has])
         seen = pos >= 0
-        out[has] = np.where(seen, -(self.a["p2"][np.maximum(pos, 0)] / QUANT), out[has] - self.a["back2"][r] / QUANT)
-        node = self.nodes.find(r * self.words + before[has])
+        out[has] = np.where(seen, -(self.a["p2"][np.maximum(pos, 0)] / QUANT) if self.successors.n else 0.0, out[has] - self.a["back2"][r] / QUANT)
+        key = r * self.words + before[has]
+        run, of = _runs(key)
+        node = self.nodes.find(key[run])[of]
         on = np.flatnonzero(node >= 0)
         if not len(on):
             return out
-        start = self.successor_at.access(r[on]).astype(np.int64)
         child = np.full(len(on), -1, np.int64)
         known = seen[on]
-        child[known] = self.children.find(node[on][known] * int(self.a["words"][1]) + pos[on][known] - start[known])
+        child[known] = self.children.find(node[on][known] * int(self.a["words"][1]) + pos[on][known] - start[on][known])
         out[has[on]] = np.where(child >= 0, -(self.a["p3"][np.maximum(child, 0)] / QUANT), out[has[on]] - self.a["back3"][node[on]] / QUANT)
         return out
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of runs of equal numbers, and of each place its run."""
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
 
@@ -368,19 +498,21 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Learns from all rows whose crc32(id) mod ``held_out_mod`` isn't 0 and scores every row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty texts have the end token
-    only; repeated rows are learned and scored each; without training rows every token is unknown.
+    only; repeated rows are learned and scored each; without training rows every token is unknown. Scores don't depend on
+    ``shard_tokens``, the tokens of a shard, up to the rounding of stored probabilities.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     path = fresh_path(spark, "lm")
     vocabulary = build_vocabulary(docs, path, held_out_mod)
     routes = Routes.of(vocabulary, shard_tokens)
-    held = spark.sparkContext.broadcast((vocabulary, routes))
+    hot = build_hot(docs, path, vocabulary, routes, held_out_mod)
+    held = spark.sparkContext.broadcast((vocabulary, routes, hot))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        v, routes = held.value
+        v, routes, _ = held.value
         chunk = TaskContext.get().partitionId() << 24
 
         def out(ids: list, hashes: list[np.ndarray], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -431,7 +563,7 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield from out(ids, hashes, chunk)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        v, _ = held.value
+        v, routes, hot = held.value
         at, rows = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -450,9 +582,8 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                 key, inv = np.unique(np.stack([ci, ib, iw], 1), axis=0, return_inverse=True)
                 qc, qb, qw = key.T
             count = np.bincount(inv, tag & 1, len(key)).astype(np.int64)
-            live = count > 0
             uri = f"{path}/trie-{at:06d}-{np.random.default_rng().integers(1 << 62):x}"
-            save_arrays(uri, Trie.build(ub[qb[live]], ctx[qc[live]], uw[qw[live]], count[live], p1[qw[live]], words))
+            save_arrays(uri, Trie.build(ub[qb], ctx[qc], uw[qw], count, p1[qw], words, routes, hot))
             trie = Trie(map_arrays(uri))
             score = trie.score(ub[qb], ctx[qc], uw[qw], np.log10(p1[qw]))[inv]
             a = 0
@@ -477,7 +608,7 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield from out()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        v, _ = held.value
+        v = held.value[0]
         at, facts, score = None, None, None
 
         def out() -> pa.RecordBatch:

@@ -376,6 +376,42 @@ def test_base_scores_and_counts_are_exact(spark, tokens):
     assert got == sorted((*w[:4], round(w[4], 6)) for w in reference_lm(rows, 10))
 
 
+def witten_bell(rows, mod):
+    """log10 probabilities of whole texts by counting n-grams in dictionaries."""
+    words = [[*(x or "").encode().lower().split(), None] for _, x in rows]
+    one, total = Counter(), [0]
+    after: dict = defaultdict(Counter)
+    for (i, _), w in zip(rows, words, strict=True):
+        if crc(i) % mod:
+            h = ["<", "<", *w]
+            for k in range(2, len(h)):
+                one[h[k]] += 1
+                after[h[k - 1],][h[k]] += 1
+                after[h[k - 2], h[k - 1]][h[k]] += 1
+    total = sum(one.values())
+
+    def p(h, x):
+        if not h:
+            return (one[x] + 0.1) / (total + 0.1 * (len(one) + 1))
+        c = after.get(h, {})
+        t, d = sum(c.values()), len(c)
+        return (c.get(x, 0) + d * p(h[1:], x)) / (t + d) if t else p(h[1:], x)
+
+    return [sum(math.log10(p((h[k - 2], h[k - 1]), h[k])) for h in [["<", "<", *w]] for k in range(2, len(h))) for w in words]
+
+
+def test_scores_are_those_of_the_model_whatever_the_shards(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(["the", "the", "of", *prose(k % 25, 6).split()]) for _ in range(r.randrange(60)))) for k in range(150)] + odd_texts()[:8]
+    want = sorted((r.held_out, n, s) for (r, n), s in zip([(type("R", (), {"held_out": crc(i) % 10 == 0}), len((x or "").split()) + 1) for i, x in rows], witten_bell(rows, 10), strict=True))
+    scores = []
+    for tokens in (1_500_000, 300, 60):
+        got = sorted((x.held_out, x.n_tokens, x.score) for x in ngram_lm.score_corpus(rows_of(spark, rows), shard_tokens=tokens).collect())
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * a[1] for a, b in zip(got, want, strict=True))
+        scores.append([round(x[2], 6) for x in got])
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_trie_holds_the_model_and_sums_to_one():
     r = np.random.default_rng(3)
     tri = np.unique(r.zipf(1.5, (4000, 3)) % 30, axis=0)
