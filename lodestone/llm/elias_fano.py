@@ -14,7 +14,8 @@ from pyarrow import fs as pafs
 
 from .common import file_system
 
-_ONE = np.uint64(1)
+#: Values that are packed or searched at once, a multiple of 8: temporary arrays stay small.
+AT_ONCE = 1 << 17
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -50,10 +51,11 @@ class EliasFano:
         bits = max(0, min(56, (top // n).bit_length() - 1))
         low = np.zeros((n * bits + 7) // 8 + 8, np.uint8)
         if bits:
-            part = v & np.uint64((1 << bits) - 1)
-            flat = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :bits].reshape(-1)
-            packed = np.packbits(flat, bitorder="little")
-            low[: len(packed)] = packed
+            for a in range(0, n, AT_ONCE):
+                part = (v[a : a + AT_ONCE] & np.uint64((1 << bits) - 1)).astype("<u8")
+                flat = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].reshape(-1)
+                packed = np.packbits(flat, bitorder="little")
+                low[a * bits // 8 : a * bits // 8 + len(packed)] = packed
         high = (v >> np.uint64(bits)).astype(np.int64)
         marks = np.zeros((n + int(high[-1]) + 2 + 63) // 64 * 64, np.uint8)
         marks[high + np.arange(n)] = 1
@@ -88,15 +90,17 @@ class EliasFano:
 
         A value goes to its high part's bucket by two selects, and to its place there by a binary search on low parts.
         """
-        v = v.astype(np.uint64)
-        out = np.full(len(v), -1, np.int64)
         if not self.n or not len(v):
-            return out
+            return np.full(len(v), -1, np.int64)
+        none = (~self.high).astype(np.uint64)
+        return np.concatenate([self._find(v[a : a + AT_ONCE].astype(np.uint64), none) for a in range(0, len(v), AT_ONCE)])
+
+    def _find(self, v: np.ndarray, none: np.ndarray) -> np.ndarray:
+        out = np.full(len(v), -1, np.int64)
         k = (v >> np.uint64(self.low_bits)).astype(np.int64)
         last = len(self.high) * 64 - self.n - 1
         ok = np.flatnonzero(k <= last)
         k = k[ok]
-        none = (~self.high).astype(np.uint64)
         begin = np.where(k > 0, _select(none, self.zeros, np.maximum(k - 1, 0)) - k + 1, 0)
         end = _select(none, self.zeros, k) - k
         low = v[ok] & np.uint64((1 << self.low_bits) - 1)

@@ -424,7 +424,9 @@ class Trie:
     def build(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, words: int, routes: Routes | None = None, hot: HotBigrams | None = None) -> dict[str, np.ndarray]:
         """Levels from distinct trigrams (ascending by context, before, word), their training counts (0: asked for only) and their words' unigram probabilities."""
         ctx, ci = np.unique(context, return_inverse=True)
-        bk, first, bi = np.unique(ci * words + word, return_index=True, return_inverse=True)
+        bk, bi = np.unique(ci * words + word, return_inverse=True)
+        low = np.zeros(len(bk))
+        low[bi] = p1
         b_ctx, b_word = bk // words, bk % words
         c2 = np.bincount(bi, count, len(bk)).astype(np.int64)
         t2, d2 = np.bincount(b_ctx, c2, len(ctx)).astype(np.int64), np.bincount(b_ctx, c2 > 0, len(ctx)).astype(np.int64)
@@ -434,27 +436,29 @@ class Trie:
             own = np.flatnonzero(which[b_ctx] >= 0)
             c2[own] = hot.counts(which[b_ctx[own]], b_word[own])
         all2 = np.maximum(t2 + d2, 1)
-        p2 = (c2 + d2[b_ctx] * p1[first]) / all2[b_ctx] if len(bk) else np.zeros(0)
+        p2 = (c2 + d2[b_ctx] * low) / all2[b_ctx]
         seen = c2 > 0  # successors of the context; of a frequent one those that this shard is asked for
         at = np.cumsum(seen) - 1
         begin = np.searchsorted(b_ctx[seen], np.arange(len(ctx) + 1))
         live = np.flatnonzero(count > 0)
+        del bk, low
         nk, ni = np.unique(ci[live] * words + before[live], return_inverse=True)
         t3, d3 = np.bincount(ni, count[live], len(nk)), np.bincount(ni, minlength=len(nk))
         p3 = (count[live] + d3[ni] * p2[bi[live]]) / (t3 + d3)[ni] if len(live) else np.zeros(0)
         wide = int(np.diff(begin).max(initial=0)) + 1
         child = ni * wide + at[bi[live]] - begin[ci[live]]
         order = np.argsort(child, kind="stable")
+        del bi, ci, at, ni
         known = np.flatnonzero(t2 > 0)  # all that is left out comes from contexts never seen in training
         out = {"words": np.array([words, wide], np.int64), "p2": _quantised(np.log10(p2[seen])), "back2": _quantised(np.log10(d2[known] / all2[known])), "p3": _quantised(np.log10(p3[order])), "back3": _quantised(np.log10(d3 / (t3 + d3)))}
         new = np.zeros(len(ctx), np.int64)
         new[known] = np.arange(len(known))
         levels = {
-            "contexts": ctx[known], "successor_at": np.append(begin[known], begin[-1]), "successors": new[b_ctx[seen]] * words + b_word[seen], "nodes": new[nk // words] * words + nk % words,
-            "child_at": np.concatenate([[0], np.cumsum(d3)]), "children": child[order],
+            "contexts": lambda: ctx[known], "successor_at": lambda: np.append(begin[known], begin[-1]), "successors": lambda: new[b_ctx[seen]] * words + b_word[seen],
+            "nodes": lambda: new[nk // words] * words + nk % words, "child_at": lambda: np.append(0, np.cumsum(d3)), "children": lambda: child[order],
         }
-        for k, v in levels.items():
-            e = EliasFano.build(v).arrays()
+        for k, values in levels.items():
+            e = EliasFano.build(values()).arrays()
             out |= {f"{k}.n": e[0], f"{k}.low": e[1], f"{k}.high": e[2]}
         return out
 
@@ -491,6 +495,32 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _shard_scores(cols: list[np.ndarray], trained: np.ndarray, v: Vocabulary, routes: Routes, hot: HotBigrams | None, uri: str) -> np.ndarray:
+    """log10 probability of every token of a shard; ``cols`` (word before, context, word) is emptied, ``trained`` marks training tokens (1)."""
+    words = int(max(c.max(initial=0) for c in cols)) + 1
+    uw, key = np.unique(cols.pop(), return_inverse=True)
+    p1 = 10 ** v.base(v.counts_of(uw))
+    ctx, ci = np.unique(cols.pop(), return_inverse=True)
+    ub, ib = np.unique(cols.pop(), return_inverse=True)
+    if len(ctx) * len(ub) * len(uw) < 1 << 62:
+        ci *= len(ub)
+        ci += ib
+        ci *= len(uw)
+        key += ci
+        del ci, ib
+        key, inv = np.unique(key, return_inverse=True)
+        qc, qb, qw = key // len(uw) // len(ub), key // len(uw) % len(ub), key % len(uw)
+    else:
+        key, inv = np.unique(np.stack([ci, ib, key], 1), axis=0, return_inverse=True)
+        qc, qb, qw = key.T
+    count = np.bincount(inv, trained, len(key)).astype(np.int64)
+    del key
+    before, context, word, p = ub[qb], ctx[qc], uw[qw], p1[qw]
+    del qc, qb, qw
+    save_arrays(uri, Trie.build(before, context, word, count, p, words, routes, hot))
+    return Trie(map_arrays(uri)).score(before, context, word, np.log10(p))[inv]
+
+
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
 
@@ -569,23 +599,8 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         def out() -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate([_numbers(r[k]) for r in rows]) for k in (1, 2, 3)]
             tags = [np.cumsum(_numbers(r[4]).astype(np.uint32).view(np.int32), dtype=np.int64) for r in rows]
-            tag = np.concatenate(tags)
-            words = int(max(c.max(initial=0) for c in cols)) + 1
-            uw, iw = np.unique(cols[2], return_inverse=True)
-            p1 = 10 ** v.base(v.counts_of(uw))
-            ctx, ci = np.unique(cols[1], return_inverse=True)
-            ub, ib = np.unique(cols[0], return_inverse=True)
-            if len(ctx) * len(ub) * len(uw) < 1 << 62:
-                key, inv = np.unique((ci * len(ub) + ib) * len(uw) + iw, return_inverse=True)
-                qc, qb, qw = key // len(uw) // len(ub), key // len(uw) % len(ub), key % len(uw)
-            else:
-                key, inv = np.unique(np.stack([ci, ib, iw], 1), axis=0, return_inverse=True)
-                qc, qb, qw = key.T
-            count = np.bincount(inv, tag & 1, len(key)).astype(np.int64)
-            uri = f"{path}/trie-{at:06d}-{np.random.default_rng().integers(1 << 62):x}"
-            save_arrays(uri, Trie.build(ub[qb], ctx[qc], uw[qw], count, p1[qw], words, routes, hot))
-            trie = Trie(map_arrays(uri))
-            score = trie.score(ub[qb], ctx[qc], uw[qw], np.log10(p1[qw]))[inv]
+            rows[:] = [r[:1] for r in rows]
+            score = _shard_scores(cols, np.concatenate(tags) & 1, v, routes, hot, f"{path}/trie-{at:06d}-{np.random.default_rng().integers(1 << 62):x}")
             a = 0
             for r, t in zip(rows, tags, strict=True):
                 d = t >> 1
