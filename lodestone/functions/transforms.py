@@ -38,6 +38,13 @@ def _replace(c: Column, p: dict) -> Column:
     return F.replace(c, F.lit(p["old"]), F.lit(p["new"]))
 
 
+def _title(c: Column, _: dict) -> Column:
+    """Capitalises the first letter of each word and lowers the rest; words end at all but letters, digits, ``_`` and marks between letters (``'``, ``.``)."""
+    end = "\ue000 "
+    cut = F.regexp_replace(c, r"([^\p{L}\p{M}\p{N}'’.:·_ ]|(?<![\p{L}\p{M}\p{N}])['’.:·])", f"$1{end}")
+    return F.replace(F.initcap(cut), F.lit(end), F.lit(""))
+
+
 #: Name: (category, description, function of a Column and the parameters).
 REGISTRY: dict[str, tuple[str, str, Callable[[Column, dict], Column]]] = {
     "trim": ("string", "Removes white space at both ends", _trim),
@@ -45,7 +52,7 @@ REGISTRY: dict[str, tuple[str, str, Callable[[Column, dict], Column]]] = {
     "rtrim": ("string", "Removes trailing blanks, tabs and line ends", lambda c, _: F.regexp_replace(c, r"[ \t\n\r]+\z", "")),
     "upper": ("string", "Upper case", lambda c, _: F.upper(c)),
     "lower": ("string", "Lower case", lambda c, _: F.lower(c)),
-    "title": ("string", "Title case by words", lambda c, _: F.initcap(c)),
+    "title": ("string", "Title case by words", _title),
     "replace": ("string", "Replaces all occurrences of 'old' by 'new'", _replace),
     "blind_string": ("string", "Masks all but a first or last part, the domain, or all", _blind),
 }

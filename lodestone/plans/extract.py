@@ -1,8 +1,9 @@
 """Extraction: a recipe over documents, as one DataFrame plan.
 
 Scan (Python, Arrow) -> transforms and expressions -> parameters and source fields -> filters -> schema checks ->
-validation and summaries. A bad record fails its input: its rows are dropped by the disposition of their document, which
-is found with one window per document. Other documents go on.
+validation and summaries. A bad record fails its input: its rows are dropped by the disposition of their document. The scan
+does that for its own errors, without a shuffle; where a recipe has errors of Columns (expressions, schemas, rules), one
+window per document finds them. Other documents go on.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from lodestone.functions.expressions import Scope, Typed, compile_node, first_er
 from lodestone.functions.transforms import apply_transform
 from lodestone.operators import validation as V
 from lodestone.sources import reference as R
-from lodestone.sources.scan import scan
+from lodestone.sources.scan import checked_fields, scan
 
 from .recipe import Mapping, Recipe, RecipeError
 
@@ -206,8 +207,9 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
     bad = schema_error(r.output_schema, public, of) if r.output_schema else None
     if bad is not None:
         errors.append(F.when(F.col("kept"), bad))
+    done_in_scan = {m.name for m in checked_fields(r)}
     for n, t in public.items():
-        nan = _nan(t, of(n))
+        nan = _nan(t, of(n)) if n not in done_in_scan else None
         if nan is not None:
             errors.append(F.when(F.col("kept") & nan, F.lit(f"{n}: NaN isn't a value")))
     df = df.withColumn("data", F.when(live, F.struct(*(of(n).alias(n) for n in public)))) if public else df.withColumn("data", F.lit(None).cast("struct<_:string>"))
@@ -241,12 +243,19 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
         df = df.withColumn("summary", F.when(F.col("kept"), F.struct(*(c.alias(k) for k, c in made.items()))))
         errors += [F.when(F.col("kept"), e) for e in bad_sums]
         extra.append("summary")
+    if len(errors) > 1 or set(by) != set(keys):
+        df = _whole_documents(df, errors, by)
+    # else: the scan alone can fail a document, and it gives such a document one row: nothing is to be told to its other rows
+    return Extraction(df.select(*(F.col(f"`{k}`") for k in keys), "record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "kept", *extra), r, list(public), keys)
+
+
+def _whole_documents(df: DataFrame, errors: list[Column], by: list[str]) -> DataFrame:
+    """Fails all rows of a document of which one has an error; the first record's error counts."""
     df = df.withColumn("_error", F.coalesce(*errors, F.lit(None).cast("string")))
     whole = Window.partitionBy(*(F.col(f"`{k}`") for k in by)) if by else Window.partitionBy(F.lit(1))
     df = df.withColumn("_first", F.min(F.struct(F.col("_error").isNull().alias("n"), F.col("record_num").alias("r"), F.col("_error").alias("e"))).over(whole))
     failed = ~F.col("_first.n")
-    df = df.withColumns({"disposition": F.when(failed, "failed").otherwise(F.col("disposition")), "reason": F.when(failed & (F.col("disposition") == "applied"), "extraction_error").otherwise(F.col("reason")), "error": F.col("_first.e")})
-    return Extraction(df.select(*(F.col(f"`{k}`") for k in keys), "record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "kept", *extra), r, list(public), keys)
+    return df.withColumns({"disposition": F.when(failed, "failed").otherwise(F.col("disposition")), "reason": F.when(failed & (F.col("disposition") == "applied"), "extraction_error").otherwise(F.col("reason")), "error": F.col("_first.e")})
 
 
 def _struct(cols: dict[str, Column]) -> Column:

@@ -500,3 +500,96 @@ def input_integrity(spark, sf_dir):
     k = F.col("source_file").cast("long") % 5
     declared = files.select(F.col("source_file").cast("long").alias("input_ordinal"), F.when(k == 2, F.concat(F.lit("x"), F.col("source_file"))).otherwise(F.col("source_file")).alias("uri"), F.when(k == 0, F.lit(1)).otherwise(F.col("size_bytes")).cast("long").alias("declared_size"), F.when(k == 1, F.lit("0" * 64)).otherwise(F.col("input_sha256")).alias("declared_sha256"))
     return I.verified(files, declared).groupBy(F.coalesce("input_problem", F.lit("fine")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT shard, order_id FROM (WITH RECURSIVE r AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS n, 10 + c_custkey * 7 % 90 AS s FROM customer), p AS (SELECT n, k, s AS used, CAST(0 AS BIGINT) AS shard FROM r WHERE n = 1 UNION ALL SELECT r.n, r.k, CASE WHEN p.used + r.s > 500 THEN r.s ELSE p.used + r.s END, CASE WHEN p.used + r.s > 500 THEN p.shard + 1 ELSE p.shard END FROM p JOIN r ON r.n = p.n + 1) SELECT shard, k AS order_id FROM p)""")
+def shard_by_bytes_of_rows(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("order_id"))
+    return S.shards_by_bytes(c, ["order_id"], 10 + F.col("order_id") * 7 % 90, 500).select("shard", "order_id")
+
+
+# ---- namespaces, presence, applicability and other forms of recipes ------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS order_id, o_totalprice AS total, o_orderstatus AS status FROM orders""")
+def xml_namespaces(spark, sf_dir):
+    """A bound prefix matches by URI, whatever the document's own prefix is."""
+    o = t(spark, sf_dir, "orders")
+    prefix = F.when(F.col("o_orderkey") % 2 == 0, F.lit("a")).otherwise(F.lit("b"))
+    x = F.concat(F.lit("<"), prefix, F.lit(":Orders xmlns:"), prefix, F.lit('="urn:orders" xmlns:z="urn:else"><z:Order id="0"/><'), prefix, F.lit(':Order id="'), F.col("o_orderkey").cast("string"), F.lit('"><'), prefix, F.lit(":Total>"), F.col("o_totalprice").cast("string"), F.lit("</"), prefix, F.lit(":Total><z:Status>"), F.col("o_orderstatus"), F.lit("</z:Status></"), prefix, F.lit(":Order></"), prefix, F.lit(":Orders>"))
+    r = recipe([BASIC[0], field("total", "o:Total", "number"), field("status", "e:Status")], "//o:Order", namespaces={"o": "urn:orders", "e": "urn:else"})
+    return run(spark, spread(o.select(F.col("o_orderkey").alias("doc"), x.alias("content"))), r).data.select("order_id", "total", "status")
+
+
+@query("""SELECT o_orderkey AS order_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_lines, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned, false AS has_note FROM orders""")
+def exists_transform(spark, sf_dir):
+    maps = [BASIC[0], field("has_lines", "Lines/Line", "boolean", transform="exists"), field("returned", "Lines/Line[Flag='R']", "boolean", transform="exists"), field("has_note", "Note", "boolean", transform="exists")]
+    return run(spark, order_xml(spark, sf_dir), recipe(maps)).data.select("order_id", "has_lines", "returned", "has_note")
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'not_applicable' END AS disposition, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'applicability' END AS reason, count(*) AS documents, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS records FROM orders GROUP BY 1, 2""")
+def applicability_predicate(spark, sf_dir):
+    r = build({"record_type": "order", "match_selectors": [{"xpath": "//Order"}], "field_mappings": BASIC}, None, {}, {"applicability": {"expression": "//Order[@status='F']"}})
+    d = run(spark, order_xml(spark, sf_dir, lines=False), r).dispositions
+    return d.groupBy("disposition", "reason").agg(F.count("*").alias("documents"), F.sum("records").alias("records"))
+
+
+@query("""SELECT o_orderkey AS order_id, '{"note":null,"order_id":' || CAST(o_orderkey AS VARCHAR) || ',"status":"' || o_orderstatus || '"}' AS uniform, '{"order_id":' || CAST(o_orderkey AS VARCHAR) || ',"status":"' || o_orderstatus || '"}' AS sparse FROM orders""")
+def uniform_schema(spark, sf_dir):
+    """Absent fields are nulls under a uniform schema and left out otherwise."""
+    docs, maps = order_xml(spark, sf_dir, lines=False), [*BASIC[:2], field("note", "Note")]
+    data = r'"data":(\{[^}]*\})'
+    both = [envelope(run(spark, docs, build({"record_type": "order", "match_selectors": [{"xpath": "//Order"}], "field_mappings": maps}, None, {"defaults": {"output": {"uniform_schema": u}}}))).select("doc", F.regexp_extract("value", data, 1).alias(n)) for n, u in (("uniform", True), ("sparse", False))]
+    return both[0].join(both[1], "doc").select(F.col("doc").alias("order_id"), "uniform", "sparse")
+
+
+@query("""SELECT o_custkey AS cust, selector, record_num, order_id FROM (SELECT o_custkey, s AS selector, row_number() OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) AS record_num, o_orderkey AS order_id FROM orders, (VALUES (0), (1)) v(s) WHERE s = 0 AND o_orderkey % 2 = 0 OR s = 1 AND o_orderkey % 3 = 0)""")
+def selectors_in_turn(spark, sf_dir):
+    """Records of several selectors follow each other; a node that two of them match gives two records."""
+    r = build({"record_type": "order", "match_selectors": [{"xpath": "//Order[@id mod 2 = 0]"}, {"xpath": "//Order[@id mod 3 = 0]"}], "field_mappings": [BASIC[0]]}, None, {})
+    return run(spark, customer_xml(spark, sf_dir), r).data.select(F.col("doc").alias("cust"), F.col("selector").cast("int").alias("selector"), "record_num", "order_id")
+
+
+@query("""SELECT o_custkey AS cust, CAST(count(*) FILTER (o_orderkey % 2 = 0) AS BIGINT) AS evens, CAST(count(*) FILTER (o_orderkey % 3 = 0) AS BIGINT) AS thirds FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) > 0""")
+def counts_per_selector(spark, sf_dir):
+    r = build({"record_type": "order", "match_selectors": [{"xpath": "//Order[@id mod 2 = 0]"}, {"xpath": "//Order[@id mod 3 = 0]"}], "field_mappings": [BASIC[0]]}, None, {})
+    rows = run(spark, customer_xml(spark, sf_dir), r).rows.where("record_num = 1")
+    return rows.select(F.col("doc").alias("cust"), F.col("selector_counts")[0].alias("evens"), F.col("selector_counts")[1].alias("thirds"))
+
+
+@query("""SELECT o_orderkey AS order_id, o_orderpriority LIKE '%T' AS ends_t, contains(o_orderpriority, 'IG') AS has_ig, o_totalprice > 100000 AS dear, o_orderstatus <> '' AS has_status FROM orders""")
+def xpath_booleans(spark, sf_dir):
+    maps = [BASIC[0], field("ends_t", "ends-with(Priority, 'T')", "boolean"), field("has_ig", "contains(Priority, 'IG')", "boolean"), field("dear", "boolean(Total[. > 100000])", "boolean"), field("has_status", "boolean(@status)", "boolean")]
+    return run(spark, order_xml(spark, sf_dir, lines=False), recipe(maps)).data.select("order_id", "ends_t", "has_ig", "dear", "has_status")
+
+
+@query("""SELECT n_nationkey AS nation, 'nï' AS part, CAST(strlen('Ünï–' || n_name) AS BIGINT) AS size, 'é' || n_name AS after, 'Ün' AS before FROM nation""")
+def xpath_beyond_ascii(spark, sf_dir):
+    """``substring`` and ``string-length`` count UTF-8 bytes."""
+    x = F.concat(F.lit("<N k='"), F.col("n_nationkey").cast("string"), F.lit("'><T>Ünï–"), F.col("n_name"), F.lit("</T><U>é"), F.col("n_name"), F.lit("</U></N>"))
+    maps = [field("nation", "@k", "integer"), field("part", "substring(T, 3, 3)"), field("size", "string-length(T)", "integer"), field("after", "U"), field("before", "substring-before(T, 'ï')")]
+    rows = run(spark, t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"), x.alias("content")), recipe(maps, "/N")).data
+    return rows.select("nation", "part", "size", "after", "before")
+
+
+@query("""SELECT o_orderkey AS order_id, left(o_orderpriority, 2) || array_to_string(list_transform(string_split(substr(o_orderpriority, 3), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS title, 'O''brien-Smith' AS name FROM orders""")
+def title_transform(spark, sf_dir):
+    """Words begin after hyphens too, but not after an apostrophe between letters."""
+    o = t(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("order_id"), apply_transform(F.col("o_orderpriority"), "title").alias("title"), apply_transform(F.lit("o'BRIEN-smith"), "title").alias("name"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal, o_orderkey AS order_id FROM orders""")
+def ordinals(spark, sf_dir):
+    """Numbers over a whole order, from ranges and one count each."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"))
+    return S.numbered(o, ["order_id"], "ordinal").select("ordinal", "order_id")
+
+
+@query("""SELECT o_orderkey AS order_id, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey + 1000000000, o_totalprice FROM orders WHERE o_orderkey % 3 = 1""")
+def concatenated_inputs(spark, sf_dir):
+    """Records of two sets of documents; a document that can't be parsed fails alone."""
+    docs = order_xml(spark, sf_dir, lines=False)
+    bad = docs.withColumn("content", F.when(F.col("doc") % 3 == 0, F.expr("substr(content, 1, length(content) - 3)")).otherwise(F.col("content")))
+    more = docs.where("doc % 3 = 1").select((F.col("doc") + 1000000000).alias("doc"), F.regexp_replace("content", 'id="\\d+"', "id=''").alias("content"))
+    return run(spark, bad.union(more), recipe(BASIC)).data.select(F.coalesce("order_id", "doc").alias("order_id"), "total")

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +27,8 @@ from .doctree import DocumentError, Node
 from .xpath import XPathError, compile_xpath, to_boolean
 
 GZIP_LIMIT = 1 << 30
+#: Names of files that are numbered in one task and broadcast (about 50 MB); more are numbered by ranges and joined by a shuffle.
+NAMES = 500_000
 
 
 class FieldError(ValueError):
@@ -106,6 +108,7 @@ class Extractor:
     def __init__(self, recipe: Recipe) -> None:
         self.r, self.ns = recipe, recipe.namespaces
         self.compiled: dict[str, Any] = {}
+        self.finite = [m.name for m in checked_fields(recipe)]
 
     def xpath(self, text: str) -> Any:
         """The compiled expression, or a walk over children where it is a plain relative path."""
@@ -204,6 +207,9 @@ class Extractor:
                     for n in [next(doc.elements())] if record and self.r.format != "ndjson" else [doc] if record else self.xpath(s.xpath).nodes(doc):
                         number, found = number + 1, found + 1
                         fields = {m.name: self.value(n, m) for m in self.r.mappings if m.xpath}
+                        for name in self.finite:
+                            if not finite(fields[name]):
+                                raise FieldError(f"{name}: NaN isn't a value")
                         out.append({"record_num": number, "selector": k, "fields": fields, "confidence": confidence, "disposition": "applied"})
                 counts.append(found)
             low = [f"selector {k} matched {c} records, at least {s.min_occurrences} are needed" for k, (s, c) in enumerate(zip(self.r.selectors, counts, strict=True)) if c < s.min_occurrences]
@@ -217,6 +223,21 @@ class Extractor:
             yield {"disposition": "failed", "reason": "extraction_error", "error": str(e)}
 
 
+def checked_fields(recipe: Recipe) -> list[Mapping]:
+    """Fields with numbers that the scan itself checks: those that go to the record as they are read, where no filter may drop it first."""
+    public = {m.name for m in recipe.public()}
+    return [m for m in recipe.mappings if m.xpath and not m.expression and not m.transform and m.name in public and "double" in m.spark_type().simpleString()] if not recipe.filters else []
+
+
+def finite(value: Any) -> bool:
+    """Whether a value, or what an array or struct holds, has no NaN and no infinity."""
+    if isinstance(value, float):
+        return math.isfinite(value)
+    if isinstance(value, dict):
+        return all(map(finite, value.values()))
+    return all(map(finite, value)) if isinstance(value, list) else True
+
+
 def outermost(doc: Node, name: str, fmt: str, xpath: str) -> list[Node]:
     """Records of a record route: XML the outermost elements of a local name; JSON those of a name, at the top only for ``Name``."""
     if fmt != "xml":
@@ -295,14 +316,23 @@ def scan(docs: DataFrame, recipe: Recipe, content: str = "content") -> DataFrame
 
 
 def read_files(spark: SparkSession, paths: list[str] | str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """Whole files as documents: source_file, size_bytes, input_ordinal (by path), input_sha256, content."""
+    """Whole files as documents: source_file, size_bytes, input_ordinal (by path), input_sha256, content.
+
+    Ordinals come from the names alone. Up to ``NAMES`` files they are broadcast, so no content is shuffled.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     raw = reader.load(paths)
-    names = raw.select("path", "length").withColumn("path", F.col("path"))
-    ordered = names.orderBy("path").rdd.map(lambda r: r[0]).zipWithIndex().toDF("path string, input_ordinal long")
-    return raw.join(ordered, "path").select(F.col("path").alias("source_file"), F.col("length").alias("size_bytes"), (F.col("input_ordinal") + 1).alias("input_ordinal"), F.sha2("content", 256).alias("input_sha256"), "content")
+    names = raw.select("path")
+    many = names.count()
+    if many <= NAMES:  # one sort of the names; each row is a name and a number
+        ordered = F.broadcast(names.withColumn("input_ordinal", F.row_number().over(Window.orderBy("path")).cast("long")))
+    else:
+        from lodestone.operators.sinks import numbered
+
+        ordered = numbered(names, ["path"], "input_ordinal")
+    return raw.join(ordered, "path").select(F.col("path").alias("source_file"), F.col("length").alias("size_bytes"), "input_ordinal", F.sha2("content", 256).alias("input_sha256"), "content")
 
 
 def read_records(spark: SparkSession, path: str, row_tag: str, fields: T.StructType | str) -> DataFrame:

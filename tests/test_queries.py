@@ -51,6 +51,14 @@ def test_one_scan_per_recipe_and_native_expressions(spark):
     assert "l_returnflag" not in pruned.split("ReadSchema")[1]
 
 
+def test_extraction_without_errors_of_columns_has_no_shuffle(spark):
+    from lodestone.plans.queries import BASIC, LINES, recipe, run
+
+    docs = spark.range(3).selectExpr("id as doc", "'<Order id=\"1\"><Total>2</Total></Order>' as content")
+    plan = run(spark, docs, recipe([*BASIC, LINES])).data._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from lodestone.plans.queries import customer_xml, recipe, run
 
