@@ -28,6 +28,8 @@ from .linear import fit_dense
 PAIRS, STATS = 1024, 13
 #: Hashed places of sources, languages and both together, and one of each power of two of the recorded length.
 SOURCES, LANGS, BOTH, LENGTHS = 256, 64, 512, 33
+#: Labelled ids that are broadcast, 8 bytes each.
+LABELS = 2_000_000
 META = 3 + SOURCES + LANGS + BOTH + LENGTHS
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _DIGITS = b"0123456789"
@@ -148,32 +150,49 @@ def _features(rows: list) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def _surest(keys: np.ndarray, conf: np.ndarray, sure: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` surest distinct keys of at least ``sure``, ties by key."""
+    live = np.flatnonzero(conf >= sure)
+    live = live[np.lexsort((keys[live], -conf[live]))]
+    _, first = np.unique(keys[live], return_index=True)
+    live = live[np.sort(first)][:most]
+    return keys[live], conf[live]
+
+
 def _offer(docs: DataFrame, labels: DataFrame, sure: float) -> Offer:
-    """Offers all documents without a label, each distinct row once, by its hash; of every document only hash, id and the sure probabilities are shuffled."""
+    """Offers all documents without a label, each distinct row once, by its hash.
+
+    A task sends no more than the surest rows that could be wanted, so a pass doesn't shuffle the corpus. Up to
+    ``LABELS`` labelled ids are broadcast; more are joined by a shuffle.
+    """
     spark = docs.sparkSession
     keyed = docs.withColumn("key", F.xxhash64("text", *_COLS))
-    marked = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    marked = labels.select(F.col("doc_id").cast("long").alias("_labelled")).where("_labelled is not null").distinct()
+    free = keyed.join(F.broadcast(marked) if marked.count() <= LABELS else marked, F.col("doc_id") == F.col("_labelled"), "left_anti").select("key", "text", *_COLS)
 
     def offer(models: list[Model], share: dict[int, int], taken: list[dict[int, float]]) -> tuple[list[list[tuple[int, float]]], dict[int, tuple[np.ndarray, np.ndarray]]]:
         held = spark.sparkContext.broadcast(models)
+        most = {(v, label): share[label] + len(taken[1 - v]) for v in (0, 1) for label in (0, 1)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            best = {x: (np.zeros(0, np.int64), np.zeros(0)) for x in most}
             for b in batches:
-                for a in range(0, b.num_rows, 1000):
-                    part = b.slice(a, 1000)
-                    x = _views(part)
-                    p = [sigmoid(x[v] @ held.value[v][0] + held.value[v][1]) for v in (0, 1)]
-                    live = np.flatnonzero(np.any([(q >= sure) | (1 - q >= sure) for q in p], axis=0))
-                    if len(live):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), part.column(1).take(pa.array(live)), *(pa.array(q[live].astype(np.float64)) for q in p)], ["id", "key", "p0", "p1"])
-
-        seen = arrow_map(keyed.select(F.col("doc_id").cast("long").alias("id"), "key", "text", *_COLS), run, "id long, key long, p0 double, p1 double")
-        seen = written(seen.join(marked, "id", "left_anti").groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1")), "sure")
+                for part in _parts(b):
+                    x, key = _views(part), part.column(0).to_numpy()
+                    for v in (0, 1):
+                        p = sigmoid(x[v] @ held.value[v][0] + held.value[v][1])
+                        for label, conf in ((1, p), (0, 1 - p)):
+                            k, c = best[v, label]
+                            best[v, label] = _surest(np.append(k, key), np.append(c, conf), sure, most[v, label])
+            for (v, label), (k, c) in best.items():
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(k), pa.int32()), pa.array([label] * len(k), pa.int32()), pa.array(k), pa.array(c)], ["v", "label", "key", "c"])
+
+        seen = written(arrow_map(free, run, "v int, label int, key long, c double").groupBy("v", "label", "key").agg(F.max("c").alias("c")), "sure")
         found: list[list[tuple[int, float]]] = [[], []]
-        for v in (0, 1):
-            for label, conf in ((1, F.col(f"p{v}")), (0, 1 - F.col(f"p{v}"))):
-                best = seen.select("key", conf.alias("c")).where(F.col("c") >= sure).orderBy(F.desc("c"), "key").limit(share[label] + len(taken[1 - v])).collect()
-                found[v] += [(r["key"], float(label)) for r in best if r["key"] not in taken[1 - v]][: share[label]]
+        for v, label in most:
+            rows = seen.where((F.col("v") == v) & (F.col("label") == label)).orderBy(F.desc("c"), "key").limit(most[v, label]).collect()
+            found[v] += [(r["key"], float(label)) for r in rows if r["key"] not in taken[1 - v]][: share[label]]
         wanted = sorted({k for f in found for k, _ in f})
         names = spark.createDataFrame([(k,) for k in wanted], "key long")
         rows = keyed.join(F.broadcast(names), "key").dropDuplicates(["key"]).collect() if wanted else []
@@ -196,13 +215,18 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = 3000, unlabel
     return co_train(xt, xm, np.array([r["label"] for r in rows]), _offer(docs, labels, sure), max(1, int(share * free)) if free else 0)
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, so that features take little memory."""
+    for a in range(0, b.num_rows, 256):
+        yield b.slice(a, 256)
+
+
 def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    xt, xm = [], []
+    xt, xm = np.empty((b.num_rows, PAIRS + STATS), np.float32), np.empty((b.num_rows, META), np.float32)
     cols = [b.column(b.schema.names.index(c)).to_pylist() for c in ("text", *_COLS)]
-    for text, lang, source, n in zip(*cols, strict=True):
-        xt.append(text_view(text or ""))
-        xm.append(meta_view(lang, source, n))
-    return np.stack(xt), np.stack(xm)
+    for k, (text, lang, source, n) in enumerate(zip(*cols, strict=True)):
+        xt[k], xm[k] = text_view(text or ""), meta_view(lang, source, n)
+    return xt, xm
 
 
 def _scored(model: CoTrained, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +239,7 @@ def score_quality(documents: DataFrame, model: CoTrained, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
+            for part in _parts(b):
                 p, q, s = _scored(held.value, part)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(np.float64)) for x in (p, q, s))], ["id", "text_score", "meta_score", "score"])
 
@@ -236,8 +259,7 @@ def filter_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
+            for part in _parts(b):
                 yield part.filter(pa.array(_scored(held.value, part)[2] >= 0.5))
 
     return arrow_map(docs, run, docs.schema)
