@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+#: Bytes of an Arrow batch, where the session sets no bound: the rows of a batch alone bound nothing where texts are long.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
@@ -123,10 +125,20 @@ def py_id_crc(value: int | None) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches that ``fn`` gets as Arrow record batches; empty batches are left out."""
+    """``mapInArrow`` over batches that ``fn`` gets as Arrow record batches; empty batches are left out.
+
+    Batches hold about ``BATCH_BYTES``, a longer row alone is one; results don't depend on it. The bound is set for the
+    session, unless that has one. A task gives unused Arrow memory back when it ends, since workers are used again.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(b for b in batches if b.num_rows)
+        try:
+            yield from fn(b for b in batches if b.num_rows)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

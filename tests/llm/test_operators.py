@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import LONG, crc, odd_texts, prose, rows_of
 
 from lodestone.llm import chat, decontam, jaccard_join, langid, merge_dropout, ngram_lm, quality, seekable_tokens, spotsigs, toxicity
-from lodestone.llm.common import fresh_path, id_ranges, remove_work, written
+from lodestone.llm.common import BATCH_BYTES, arrow_map, fresh_path, id_ranges, remove_work, written
 from lodestone.llm.components import components
 from lodestone.llm.elias_fano import EliasFano
 
@@ -658,6 +658,32 @@ def test_languages_over_odd_tables(spark, odd, none):
     assert len(LONG) > 100_000
 
 
+def test_batches_are_bounded_by_bytes_and_change_nothing(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    rows = near_copies()
+    docs = rows_of(spark, rows).coalesce(1)
+    name, texts = "spark.sql.execution.arrow.maxBytesPerBatch", docs.select("text")
+    had = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        assert arrow_map(texts, sizes, "n long, size long").count() == 1 and int(spark.conf.get(name)) == BATCH_BYTES
+        spark.conf.set(name, "4000")
+        got = arrow_map(texts, sizes, "n long, size long").collect()
+        assert len(got) > 10 and sum(r.n for r in got) == len(rows) and max(r.size for r in got if r.n > 1) < 12_000
+        joined = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect()}
+        assert joined == brute_join(rows, 3, 90)
+        pieces = {r.id: r.ids_crc32 for r in merge_dropout.encode_pieces(docs, PIECES).collect()}
+        own = merge_dropout.MergeDropout(PIECES, 0.1, 7)
+        assert pieces == {i: zlib.crc32(own.encode([x or ""], [i])[0]) for i, x in rows}
+    finally:
+        spark.conf.unset(name) if had is None else spark.conf.set(name, had)
+
+
 def test_work_is_removed(spark):
     remove_work(spark)
     df = written(spark.range(3), "some")
