@@ -12,7 +12,10 @@ from .jaccard_join import op3_jaccard_join
 from .langid import op10_language_id
 from .merge_dropout import op8_sentencepiece
 from .ngram_lm import op4_lm_scoring
+from .packing import op12_packing
 from .quality import op1_quality
+from .ranked_search import op13_ranked_search
+from .resampling import op11_resampling
 from .seekable_tokens import op6_token_output
 from .spotsigs import op9_fingerprints
 from .toxicity import op7_toxicity
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
+    "op11_resampling": op11_resampling,
+    "op12_packing": op12_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The join of operator 3 by pairs of equal shingles, and reachability by recursion.
@@ -49,4 +55,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id
 """
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JOIN, "op5_chat_formatting": _CHAT}
+#: Operator 11 by distinct words; crc32 by its rule, on a table of 256 remainders.
+_RESAMPLE = rf"""
+WITH w AS (SELECT row_number() OVER () AS u, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS x FROM benchmark),
+f AS (SELECT u, unnest(ws) AS x FROM w),
+d AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM b)),
+tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda j: CAST('0x' || substr(h, j, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) % 10000 AS k FROM d, tab),
+s AS (SELECT k, count(*) AS s FROM f JOIN k USING (x) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN k USING (x) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM b) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s FULL JOIN t USING (k)),
+v AS (SELECT u, CAST(sum(g) AS BIGINT) AS v FROM f JOIN k USING (x) JOIN g USING (k) GROUP BY u),
+r AS (SELECT u, doc_id, CAST(len(ws) AS BIGINT) AS n, coalesce(v, 0) AS v, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN v USING (u)),
+z AS (SELECT doc_id, n AS n_features, v AS weight, v + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score, n >= 20 AS e FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY e DESC, score DESC, doc_id NULLS LAST) AS p FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN e AND p <= (SELECT 10 * count(*) // 100 FROM z WHERE e) THEN p END AS rank FROM o
+"""
+_SEARCH = rf"""
+WITH w AS (SELECT row_number() OVER () AS u, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+s AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM w WHERE len(ws) > 0),
+qt AS (SELECT q, x, count(*) AS reps FROM (SELECT q, unnest(ws) AS x FROM q) GROUP BY q, x),
+tf AS (SELECT u, x, count(*) AS tf FROM (SELECT u, unnest(ws) AS x FROM w) WHERE x IN (SELECT x FROM qt) GROUP BY u, x),
+wt AS (SELECT x, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT x, count(*) AS df FROM tf GROUP BY x), s),
+g AS (SELECT u, x, w.doc_id, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * n) // l)) AS g FROM tf JOIN w USING (u), s),
+p AS (SELECT q, u, any_value(doc_id) AS doc_id, CAST(sum(reps * w * g) AS BIGINT) AS score FROM qt JOIN wt USING (x) JOIN g USING (x) GROUP BY q, u),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN q USING (q) WHERE rank <= 10
+"""
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JOIN, "op5_chat_formatting": _CHAT, "op11_resampling": _RESAMPLE, "op13_ranked_search": _SEARCH}
