@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +71,17 @@ def _forward(ids: pa.Array, texts: pa.Array) -> list | None:
     names = pa.record_batch([coded.dictionary.take(pa.array(order))], ["w"])
     with pa.ipc.new_stream(sink, names.schema) as out:
         out.write_batch(names)
-    return [len(live), int(lengths.sum()), pc.fill_null(held, 0).to_numpy().astype("<i8").tobytes(), held.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(), lengths[live].astype("<i8").tobytes(), per_doc[live].astype("<i8").tobytes(), (key % len(order)).astype("<i4").tobytes(), tf.astype("<i8").tobytes(), sink.getvalue()]
+    return [len(live), int(lengths.sum()), pc.fill_null(held, 0).to_numpy().astype("<i8").tobytes(), held.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(), lengths[live].astype("<i8").tobytes(), per_doc[live].astype("<i8").tobytes(), _packed((key % len(order)).astype("<i4")), _packed(tf.astype("<i8")), sink.getvalue()]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest one needs, compressed: the width comes first."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * w))
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(values.astype(f"<u{width}").tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def _dictionary(raw: bytes) -> pa.Array:
@@ -85,7 +96,8 @@ class Segment:
         src.seek(at)
         head = np.frombuffer(src.read(16), "<i8")
         maps = pickle.loads(src.read(int(head[0])))
-        self.terms, self.first, self.block, self.most = _dictionary(maps["dictionary"]), maps["first"], maps["block"], maps["most"]
+        self.terms = _dictionary(zstandard.ZstdDecompressor().decompress(maps["dictionary"]))
+        self.first, self.block, self.most = (_unpacked(maps[n]) for n in ("first", "block", "most"))
         self.ends, self.body = maps["ends"], at + 16 + int(head[0])
         self.held: dict[int, tuple] = {}
 
@@ -93,7 +105,8 @@ class Segment:
         """A block's ids, null marks, where each document begins, terms and impacts."""
         if b not in self.held:
             self.src.seek(self.body + int(self.ends[b]))
-            self.held[b] = pickle.loads(self.src.read(int(self.ends[b + 1] - self.ends[b])))
+            ids, nulls, first, terms, impacts = pickle.loads(self.src.read(int(self.ends[b + 1] - self.ends[b])))
+            self.held[b] = ids, nulls, first, _unpacked(terms), _unpacked(impacts)
         return self.held[b]
 
     @staticmethod
@@ -101,21 +114,21 @@ class Segment:
         """The file form of a segment of the forward table, with the table's totals."""
         ids, nulls = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["nulls"], "u1").astype(bool)
         lengths, per_doc = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["per_doc"], "<i8")
-        terms, tf = np.frombuffer(row["terms"], "<i4"), np.frombuffer(row["tf"], "<i8")
+        terms, tf = _unpacked(row["terms"]), _unpacked(row["tf"])
         at = starts_of(per_doc)
-        got = impact(tf, np.repeat(lengths, per_doc), documents, words).astype(np.int32)
+        got = impact(tf, np.repeat(lengths, per_doc), documents, words)
         edges = [*range(0, len(ids), BLOCK_DOCS), len(ids)]
         bodies = []
         for a, z in zip(edges, edges[1:], strict=False):
             own = slice(int(at[a]), int(at[z]))
-            bodies.append(pickle.dumps((ids[a:z], nulls[a:z], at[a:z] - at[a], terms[own], got[own]), 5))
+            bodies.append(pickle.dumps((ids[a:z], nulls[a:z], at[a:z] - at[a], _packed(terms[own]), _packed(got[own])), 5))
         block = np.repeat(np.arange(len(ids)) // BLOCK_DOCS, per_doc)
         order = np.lexsort((block, terms))
-        key = terms[order].astype(np.int64) * len(bodies) + block[order]
+        key = terms[order] * len(bodies) + block[order]
         head = np.flatnonzero(np.diff(key, prepend=-1))
         term_of = (key[head] // len(bodies)).astype(np.int64)
-        maps = {"dictionary": row["dictionary"], "block": (key[head] % len(bodies)).astype(np.int32), "most": np.maximum.reduceat(got[order], head), "ends": starts_of(np.array([len(b) for b in bodies]))}
-        maps["first"] = np.searchsorted(term_of, np.arange(len(_dictionary(row["dictionary"])) + 1))
+        maps = {"dictionary": zstandard.ZstdCompressor(level=1).compress(row["dictionary"]), "block": _packed(key[head] % len(bodies)), "most": _packed(np.maximum.reduceat(got[order], head)), "ends": starts_of(np.array([len(b) for b in bodies]))}
+        maps["first"] = _packed(np.searchsorted(term_of, np.arange(len(_dictionary(row["dictionary"])) + 1)))
         packed = pickle.dumps(maps, 5)
         return np.array([len(packed), len(bodies)], "<i8").tobytes() + packed + b"".join(bodies)
 
@@ -179,7 +192,7 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             for raw, terms in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 names = _dictionary(raw)
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(np.frombuffer(terms.as_buffer(), "<i4"), minlength=len(names)))], ["term", "n"])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(_unpacked(terms.as_py()), minlength=len(names)))], ["term", "n"])
 
     manifest = written(arrow_map(rows, seal, "path string, at long, nr int"), "segments")
     return Index(manifest, arrow_map(rows.select("dictionary", "terms"), count, "term string, n long"), n, words)
