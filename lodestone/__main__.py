@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from lodestone.operators import artifacts, index, inspect, sinks
     from lodestone.plans.extract import run_workspace
-    from lodestone.sources.scan import read_files
+    from lodestone.sources.scan import listed, read_files
 
     spark = SparkSession.builder.getOrCreate()
     if a.verb == "extract":
@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "starter":
         print(json.dumps(inspect.starter_recipe(read_files(spark, a.input), a.format), indent=2))
     elif a.verb == "index":
-        index.build(read_files(spark, a.input), a.record, a.format).write.parquet(a.out)
+        index.build(listed(spark, a.input), a.record, a.format).write.parquet(a.out)
     elif a.verb == "verify-index":
         bad = [r.asDict() for r in index.verify(index.load(spark, a.index)).limit(1000).collect()]
         for r in bad:

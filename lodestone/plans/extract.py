@@ -2,17 +2,24 @@
 
 Scan (Python, Arrow) -> transforms and expressions -> parameters and source fields -> filters -> schema checks ->
 validation and summaries. A bad record fails its input: its rows are dropped by the disposition of their document. The scan
-does that for its own errors, without a shuffle; where a recipe has errors of Columns (expressions, schemas, rules), one
-window per document finds them. Other documents go on.
+does that for its own errors; where a recipe has errors of Columns (expressions, schemas, rules) or floors, a pass over the
+rows does, without a shuffle, since a document's rows lie beside each other. Other documents go on. An input is a row of the
+documents, whatever its key: of two inputs with one key a bad one fails alone.
+
+Reasons are the closed set ``REASONS``: errors of the scan come before those of Columns, floors last; of equal ones the
+first record counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +34,9 @@ from lodestone.sources.scan import checked_fields, scan
 from .recipe import Mapping, Recipe, RecipeError
 
 
+REASONS = ("applicability_predicate_false", "signature_mismatch", "min_occurrences_violation", "parse_error", "validation_error", "internal_error", "route_unsupported", "input_unavailable")
+
+
 @dataclass
 class Extraction:
     """``rows``: all rows of the scan with data, validation, summary, disposition and error; see the properties."""
@@ -49,10 +59,10 @@ class Extraction:
     @property
     def dispositions(self) -> DataFrame:
         """One row per document: disposition, reason, error, records, confidence."""
-        return self.rows.groupBy(*(F.col(f"`{k}`") for k in self.keys)).agg(
-            F.first("disposition").alias("disposition"), F.min("reason").alias("reason"), F.min("error").alias("error"),
+        return self.rows.groupBy(*(F.col(f"`{k}`") for k in self.keys), "document").agg(
+            F.min("disposition").alias("disposition"), F.min("reason").alias("reason"), F.min("error").alias("error"),
             F.sum(F.when((F.col("disposition") == "applied") & F.col("kept"), 1).otherwise(0)).alias("records"), F.min("confidence").alias("confidence"),
-        )
+        ).drop("document")
 
 
 def converted(t: Typed, kind: str) -> tuple[Column, Column | None]:
@@ -154,20 +164,21 @@ def _nan(t: T.DataType, c: Column) -> Column | None:
     return None
 
 
-def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None = None, references: list[R.ReferenceTable] | None = None, content: str = "content", by: list[str] | None = None) -> Extraction:
-    """Applies a recipe to documents (a text or binary column; all other columns identify the document).
+def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None = None, references: list[R.ReferenceTable] | None = None, content: str = "content", settle: bool = True, run_on: list[str] | None = None) -> Extraction:
+    """Applies a recipe to documents (a text or binary column; all other columns go with the document's rows).
 
-    Without ``by`` the other columns together are a document's key. An empty table of documents gives no records.
+    An empty table of documents gives no records. Without ``settle`` each row tells its own error only;
+    ``run_on`` is the scan's.
     """
     r = recipe.with_parameters(parameters or {})
     keys = [c for c in docs.columns if c != content]
-    clash = set(keys) & {"record_num", "selector", "fields", "data", "disposition", "reason", "error", "confidence", "selector_counts", "kept"}
+    clash = set(keys) & {"record_num", "selector", "fields", "data", "disposition", "reason", "error", "confidence", "selector_counts", "kept", "late", "document"}
     if clash:
         raise RecipeError(f"columns of the documents have reserved names: {sorted(clash)}")
-    by = by or keys
-    df = scan(docs, r, content)
+    df = scan(docs, r, content, run_on)
     live = F.col("fields").isNotNull()
-    errors: list[Column] = [F.col("error")]
+    errors: list[Column] = []
+    invalid: list[Column] = []
     columns: dict[str, T.DataType] = {}
     scope = Scope()
     adds: dict[str, Column] = {}
@@ -182,7 +193,7 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
             columns[m.name] = m.spark_type()
     source, internal, lost = _source_fields(r)
     if lost is not None:
-        errors.append(lost)
+        invalid.append(F.when(F.col("disposition") == "applied", lost))
     external: dict[str, tuple[Column, T.DataType]] = {k: (F.array(*(F.lit(x) for x in v)) if isinstance(v, list) else F.lit(str(v)), T.ArrayType(T.StringType()) if isinstance(v, list) else T.StringType()) for k, v in r.parameters.items()}
     external |= {k: (c, T.StringType()) for k, c in source.items()}
     for k, (c, t) in external.items():
@@ -206,7 +217,7 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
     of = lambda n: F.col(f"`_f_{n}`")
     bad = schema_error(r.output_schema, public, of) if r.output_schema else None
     if bad is not None:
-        errors.append(F.when(F.col("kept"), bad))
+        invalid.append(F.when(F.col("kept"), bad))
     done_in_scan = {m.name for m in checked_fields(r)}
     for n, t in public.items():
         nan = _nan(t, of(n)) if n not in done_in_scan else None
@@ -235,7 +246,7 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
             q.alias("quality_summary"),
         )
         df = done.df.withColumn("validation", F.when(F.col("kept"), report))
-        errors += [F.when(F.col("kept"), e) for e in done.errors]
+        invalid += [F.when(F.col("kept"), e) for e in done.errors]
         summary_scope = Scope(done.scope)
         extra.append("validation")
     if r.summaries:
@@ -243,19 +254,68 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
         df = df.withColumn("summary", F.when(F.col("kept"), F.struct(*(c.alias(k) for k, c in made.items()))))
         errors += [F.when(F.col("kept"), e) for e in bad_sums]
         extra.append("summary")
-    if len(errors) > 1 or set(by) != set(keys):
-        df = _whole_documents(df, errors, by)
-    # else: the scan alone can fail a document, and it gives such a document one row: nothing is to be told to its other rows
-    return Extraction(df.select(*(F.col(f"`{k}`") for k in keys), "record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "kept", *extra), r, list(public), keys)
-
-
-def _whole_documents(df: DataFrame, errors: list[Column], by: list[str]) -> DataFrame:
-    """Fails all rows of a document of which one has an error; the first record's error counts."""
-    df = df.withColumn("_error", F.coalesce(*errors, F.lit(None).cast("string")))
-    whole = Window.partitionBy(*(F.col(f"`{k}`") for k in by)) if by else Window.partitionBy(F.lit(1))
-    df = df.withColumn("_first", F.min(F.struct(F.col("_error").isNull().alias("n"), F.col("record_num").alias("r"), F.col("_error").alias("e"))).over(whole))
-    failed = ~F.col("_first.n")
-    return df.withColumns({"disposition": F.when(failed, "failed").otherwise(F.col("disposition")), "reason": F.when(failed & (F.col("disposition") == "applied"), "extraction_error").otherwise(F.col("reason")), "error": F.col("_first.e")})
+    none = F.lit(None).cast("string")
+    if errors or invalid or any(x.min_occurrences for x in r.selectors):
+        df = df.withColumns({"_internal": F.coalesce(*errors, none), "_invalid": F.coalesce(*invalid, none)})
+        df = df.withColumn("_class", F.when(F.col("error").isNotNull(), 0).when(F.col("_internal").isNotNull() | F.col("_invalid").isNotNull(), 1).when(F.col("late").isNotNull(), 2))
+        df = df.withColumn("reason", F.when(F.col("_class") == 1, F.when(F.col("_internal").isNotNull(), "internal_error").otherwise("validation_error")).when(F.col("_class") == 2, "min_occurrences_violation").otherwise(F.col("reason")))
+        df = df.withColumn("error", F.coalesce("error", "_internal", "_invalid", "late"))
+    else:  # the scan alone can fail a document, and it gives such a document one row: nothing is to be told to its other rows
+        df, settle = df.withColumn("_class", F.when(F.col("error").isNotNull(), 0)), False
+    df = df.withColumn("disposition", F.when(F.col("_class").isNotNull(), "failed").otherwise(F.col("disposition")))
+    df = df.select(*(F.col(f"`{k}`") for k in keys), "record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "kept", "document", "_class", *extra)
+    if settle:
+        used = {str(c.args[0].value) for m in r.mappings if m.expression for c in _probes(parse(m.expression))}
+        df = _settled(df) if all(tables[n].rows <= R.BROADCAST_ROWS for n in used) else _settled_apart(df)
+    return Extraction(df, r, list(public), keys)
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """One row of each document that has an error, all rows of the others: documents are runs of rows, nothing is shuffled."""
+    doc_at, class_at = df.columns.index("document"), df.columns.index("_class")
+
+    def whole(held: list[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        if all(b.column(class_at).null_count == b.num_rows for b in held):
+            yield from held
+            return
+        doc = np.concatenate([b.column(doc_at).to_numpy() for b in held])
+        level = np.concatenate([b.column(class_at).fill_null(9).to_numpy() for b in held]).astype(np.int64)
+        order = np.lexsort((np.arange(len(doc)), level, doc))
+        first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+        bad = first[level[first] < 9]
+        keep = ~np.isin(doc, doc[bad])
+        keep[bad] = True
+        at = 0
+        for b in held:
+            if keep[at : at + b.num_rows].any():
+                yield b.filter(pa.array(keep[at : at + b.num_rows]))
+            at += b.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc = b.column(doc_at).to_numpy()
+            if held and held[-1].column(doc_at)[-1].as_py() != doc[0]:
+                yield from whole(held)
+                held = []
+            last = int(np.searchsorted(doc, doc[-1]))  # documents are numbered in the order of their rows
+            if last:
+                yield from whole([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from whole(held)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _settled_apart(df: DataFrame) -> DataFrame:
+    """The same where a join with a large reference table has parted a document's rows."""
+    order = F.struct(F.col("_class").isNull().alias("n"), F.col("_class").alias("c"), F.coalesce("record_num", F.lit(0)).alias("r"))
+    df = df.withColumn("_first", F.min(order).over(Window.partitionBy("document")))
+    return df.where(F.col("_first.n") | (order == F.col("_first"))).drop("_first")
 
 
 def _struct(cols: dict[str, Column]) -> Column:
@@ -334,12 +394,10 @@ def envelope(e: Extraction, meta: dict[str, Any] | None = None) -> DataFrame:
     return e.records.select(*(F.col(f"`{k}`") for k in e.keys), "record_num", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
 
 
-def run_workspace(spark: SparkSession, path: str, inputs: str | list[str], parameters: dict[str, Any] | None = None) -> Extraction:
-    """The recipe of a workspace over files."""
-    from lodestone.sources.scan import read_files
-
+def run_workspace(spark: SparkSession, path: str, inputs: str | list[str] | DataFrame, parameters: dict[str, Any] | None = None) -> Extraction:
+    """The recipe of a workspace over files (paths, or documents of a file list), each by the route that its size asks for."""
     from .recipe import load_workspace
+    from .routes import extract_files
 
     r = load_workspace(path)
-    tables = [R.load(spark, d, path) for d in r.reference_tables]
-    return extract(read_files(spark, inputs), r, parameters, tables, by=["source_file"])
+    return extract_files(spark, inputs, r, parameters, [R.load(spark, d, path) for d in r.reference_tables])

@@ -112,7 +112,7 @@ BASIC = [field("order_id", "@id", "integer"), field("status", "@status"), field(
 
 
 def run(spark: SparkSession, docs: DataFrame, r: Recipe, **more) -> Extraction:
-    return extract(docs, r, by=["doc"], **more)
+    return extract(docs, r, **more)
 
 
 # ---- scans, selectors and mappings ------------------------------------------------------------------------------
@@ -212,7 +212,7 @@ def parameters_and_source_fields(spark, sf_dir):
     return run(spark, docs, r, parameters={"tenant": "demo"}).data.select("order_id", "tenant", "shop", "year")
 
 
-@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 10 = 1 THEN 'not_applicable' ELSE 'applied' END AS disposition, CASE WHEN o_orderkey % 10 = 0 THEN 'parse_error' WHEN o_orderkey % 10 = 1 THEN 'signature' WHEN o_orderkey % 10 = 2 THEN 'no_records' END AS reason, CAST(CASE WHEN o_orderkey % 10 > 2 THEN 1 ELSE 0 END AS BIGINT) AS records, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST(0.25 AS DOUBLE) ELSE 1.0::DOUBLE END AS confidence FROM orders""")
+@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 10 = 1 THEN 'not_applicable' ELSE 'applied' END AS disposition, CASE WHEN o_orderkey % 10 = 0 THEN 'parse_error' WHEN o_orderkey % 10 = 1 THEN 'signature_mismatch' END AS reason, CAST(CASE WHEN o_orderkey % 10 > 2 THEN 1 ELSE 0 END AS BIGINT) AS records, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST(0.25 AS DOUBLE) ELSE 1.0::DOUBLE END AS confidence FROM orders""")
 def dispositions_and_signature(spark, sf_dir):
     k = F.col("doc") % 10
     c = F.col("content")
@@ -527,7 +527,7 @@ def exists_transform(spark, sf_dir):
     return run(spark, order_xml(spark, sf_dir), recipe(maps)).data.select("order_id", "has_lines", "returned", "has_note")
 
 
-@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'not_applicable' END AS disposition, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'applicability' END AS reason, count(*) AS documents, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS records FROM orders GROUP BY 1, 2""")
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'not_applicable' END AS disposition, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'applicability_predicate_false' END AS reason, count(*) AS documents, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS records FROM orders GROUP BY 1, 2""")
 def applicability_predicate(spark, sf_dir):
     r = build({"record_type": "order", "match_selectors": [{"xpath": "//Order"}], "field_mappings": BASIC}, None, {}, {"applicability": {"expression": "//Order[@status='F']"}})
     d = run(spark, order_xml(spark, sf_dir, lines=False), r).dispositions
@@ -593,3 +593,6 @@ def concatenated_inputs(spark, sf_dir):
     bad = docs.withColumn("content", F.when(F.col("doc") % 3 == 0, F.expr("substr(content, 1, length(content) - 3)")).otherwise(F.col("content")))
     more = docs.where("doc % 3 = 1").select((F.col("doc") + 1000000000).alias("doc"), F.regexp_replace("content", 'id="\\d+"', "id=''").alias("content"))
     return run(spark, bad.union(more), recipe(BASIC)).data.select(F.coalesce("order_id", "doc").alias("order_id"), "total")
+
+
+from . import file_queries  # noqa: E402, F401  registers its own

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -189,15 +190,20 @@ class Extractor:
         except (DocumentError, XPathError) as e:
             yield {"disposition": "failed", "reason": "parse_error", "error": str(e)}
             return
+        try:
+            applies = not self.r.applicability or to_boolean(compile_xpath(self.r.applicability, self.ns).evaluate(docs[0][0]))
+        except (XPathError, IndexError, RecursionError) as e:
+            yield {"disposition": "failed", "reason": "validation_error", "error": f"applicability: {e}"}
+            return
         try:
             confidence = None
-            if self.r.applicability and not to_boolean(compile_xpath(self.r.applicability, self.ns).evaluate(docs[0][0])):
-                yield {"disposition": "not_applicable", "reason": "applicability"}
+            if not applies:
+                yield {"disposition": "not_applicable", "reason": "applicability_predicate_false"}
                 return
             if self.r.signature and self.r.signature.get("match_patterns") and docs:
                 confidence = min(self.confidence(d) for d, _, _ in docs)
                 if confidence < float(self.r.signature.get("confidence_threshold") or 0):
-                    yield {"disposition": "not_applicable", "reason": "signature", "confidence": confidence}
+                    yield {"disposition": "not_applicable", "reason": "signature_mismatch", "confidence": confidence}
                     return
             number, counts, out = 0, [], []
             record = self.r.match_scope == "record"
@@ -213,14 +219,12 @@ class Extractor:
                         out.append({"record_num": number, "selector": k, "fields": fields, "confidence": confidence, "disposition": "applied"})
                 counts.append(found)
             low = [f"selector {k} matched {c} records, at least {s.min_occurrences} are needed" for k, (s, c) in enumerate(zip(self.r.selectors, counts, strict=True)) if c < s.min_occurrences]
-            if low:
-                yield {"disposition": "failed", "reason": "min_occurrences", "error": "; ".join(low)}
-                return
+            late = "; ".join(low) or None
             for row in out:
-                row["selector_counts"] = counts
-            yield from out or [{"disposition": "applied", "reason": "no_records", "selector_counts": counts, "confidence": confidence}]
+                row |= {"selector_counts": counts, "late": late}
+            yield from out or [{"disposition": "applied", "selector_counts": counts, "confidence": confidence, "late": late}]
         except (FieldError, DocumentError, XPathError, RecursionError) as e:
-            yield {"disposition": "failed", "reason": "extraction_error", "error": str(e)}
+            yield {"disposition": "failed", "reason": "internal_error", "error": str(e)}
 
 
 def checked_fields(recipe: Recipe) -> list[Mapping]:
@@ -258,7 +262,7 @@ def fields_type(recipe: Recipe) -> T.StructType:
 
 def scan_schema(recipe: Recipe, keep: T.StructType) -> T.StructType:
     text = T.StringType()
-    kinds = {"record_num": T.LongType(), "selector": T.IntegerType(), "confidence": T.DoubleType(), "selector_counts": T.ArrayType(T.LongType()), "disposition": text, "reason": text, "error": text}
+    kinds = {"record_num": T.LongType(), "selector": T.IntegerType(), "confidence": T.DoubleType(), "selector_counts": T.ArrayType(T.LongType()), "disposition": text, "reason": text, "error": text, "late": text, "document": T.LongType()}
     own = T.StructType([T.StructField(k, v) for k, v in kinds.items()])
     return T.StructType([*keep.fields, *own.fields, T.StructField("fields", fields_type(recipe))])
 
@@ -277,10 +281,14 @@ def unpacked(data: bytes, name: str) -> bytes:
         raise DocumentError(f"bad gzip data: {e}") from None
 
 
-def scan(docs: DataFrame, recipe: Recipe, content: str = "content") -> DataFrame:
+def scan(docs: DataFrame, recipe: Recipe, content: str = "content", run_on: list[str] | None = None) -> DataFrame:
     """Records of the documents in a string or binary column; all other columns are kept beside them.
 
-    A null document gives a failed row ``input_unavailable``; a document without records one row without fields.
+    With ``run_on`` records are numbered on, by selector, over documents beside each other that have equal values there.
+
+    A null document gives a failed row ``input_unavailable``; a document without records one row without fields. ``late``
+    is an error that counts where no other one does (too few records); ``document`` numbers the documents of the scan, the
+    rows of one lie beside each other.
     """
     keep = T.StructType([f for f in docs.schema.fields if f.name != content])
     schema = scan_schema(recipe, keep)
@@ -290,7 +298,10 @@ def scan(docs: DataFrame, recipe: Recipe, content: str = "content") -> DataFrame
     path_at = columns.index("source_file") if "source_file" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        ex = Extractor(recipe)
+        from pyspark import TaskContext
+
+        ex, number = Extractor(recipe), TaskContext.get().partitionId() << 36
+        group, upto = None, {}
         for b in batches:
             kept = [b.column(k).to_pylist() for k in range(len(columns))]
             out: list[dict] = []
@@ -304,7 +315,15 @@ def scan(docs: DataFrame, recipe: Recipe, content: str = "content") -> DataFrame
                         found = ex.rows(unpacked(data, str(row[path_at]) if path_at is not None else ""))
                     except DocumentError as e:
                         found = [{"disposition": "failed", "reason": "parse_error", "error": str(e)}]
-                out += [own | r for r in found]
+                if run_on:
+                    if [own[c] for c in run_on] != group:
+                        group, upto = [own[c] for c in run_on], {}
+                    found = list(found)
+                    for r in found:
+                        if "record_num" in r:
+                            r["record_num"] = upto[r["selector"]] = upto.get(r["selector"], 0) + 1
+                out += [own | {"document": number} | r for r in found]
+                number += 1
                 size += len(data or b"")
                 if size > 4 << 20 or len(out) > 5000:
                     yield pa.RecordBatch.from_pylist(out, arrow)
@@ -315,17 +334,48 @@ def scan(docs: DataFrame, recipe: Recipe, content: str = "content") -> DataFrame
     return src.mapInArrow(run, schema)
 
 
+def _empty(raw: DataFrame, counted: int) -> DataFrame | None:
+    """The empty files of a file source, of which ``counted`` others are read: Spark leaves them out. None where there are none."""
+    names = raw.inputFiles()
+    if len(names) <= counted:
+        return None
+    spark = raw.sparkSession
+    lost = spark.createDataFrame([(re.sub("^file:/+", "file:/", n),) for n in names], "file string").join(raw.select(F.col("_metadata.file_path").alias("file")), "file", "left_anti").collect()
+    rows = [(unquote(r["file"]), 0, r["file"], bytearray()) for r in lost]
+    return spark.createDataFrame(rows, "source_file string, size_bytes long, file string, content binary")
+
+
+def _reader(spark: SparkSession, pattern: str | None, recursive: bool):
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return reader.option("pathGlobFilter", pattern) if pattern else reader
+
+
+def listed(spark: SparkSession, paths: list[str] | str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
+    """Files without their contents: source_file, size_bytes, file (as ``_metadata.file_path`` has it); empty ones too."""
+    raw = _reader(spark, pattern, recursive).load(paths)
+    out = raw.select(F.col("path").alias("source_file"), F.col("length").alias("size_bytes"), F.col("_metadata.file_path").alias("file"))
+    empty = _empty(raw, out.count())
+    return out.unionByName(empty.select("source_file", "size_bytes", "file")) if empty is not None else out
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Lines as documents: file, block (where its split of the file begins), content. Files are split, a task reads a split in order."""
+    raw = spark.read.text(paths, lineSep="\n")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("content"))
+
+
 def read_files(spark: SparkSession, paths: list[str] | str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """Whole files as documents: source_file, size_bytes, input_ordinal (by path), input_sha256, content.
 
     Ordinals come from the names alone. Up to ``NAMES`` files they are broadcast, so no content is shuffled.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    raw = reader.load(paths)
+    files = _reader(spark, pattern, recursive).load(paths)
+    raw = files.select("path", "length", "content")
+    many = raw.select("path").count()
+    empty = _empty(files, many)
+    if empty is not None:
+        raw = raw.unionByName(empty.select(F.col("source_file").alias("path"), F.col("size_bytes").alias("length"), "content"))
     names = raw.select("path")
-    many = names.count()
     if many <= NAMES:  # one sort of the names; each row is a name and a number
         ordered = F.broadcast(names.withColumn("input_ordinal", F.row_number().over(Window.orderBy("path")).cast("long")))
     else:

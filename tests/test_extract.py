@@ -111,11 +111,11 @@ def test_validation_reconciliation_and_summary(spark):
     ("doc", "mappings", "more", "reason"),
     [
         ("<a><Order></a>", [field("id", "@id")], {}, "parse_error"),
-        ("<a><Order/></a>", [field("id", "@id")], {"output_schema": {"required": ["id"]}}, "extraction_error"),
-        ("<a><Order><N>TBD</N></Order></a>", [field("n", "number(N)", "number")], {}, "extraction_error"),
-        ("<a><Order><N>1e3</N></Order></a>", [field("n", "N", "integer")], {}, "extraction_error"),
-        ("<a><Order/></a>", [field("n", "N", "number"), field("m", type="number", expression="n + 1")], {}, "extraction_error"),
-        ("<a><Order><N>0</N></Order></a>", [field("n", "N", "number"), field("m", type="number", expression="1 / n")], {}, "extraction_error"),
+        ("<a><Order/></a>", [field("id", "@id")], {"output_schema": {"required": ["id"]}}, "validation_error"),
+        ("<a><Order><N>TBD</N></Order></a>", [field("n", "number(N)", "number")], {}, "internal_error"),
+        ("<a><Order><N>1e3</N></Order></a>", [field("n", "N", "integer")], {}, "internal_error"),
+        ("<a><Order/></a>", [field("n", "N", "number"), field("m", type="number", expression="n + 1")], {}, "internal_error"),
+        ("<a><Order><N>0</N></Order></a>", [field("n", "N", "number"), field("m", type="number", expression="1 / n")], {}, "internal_error"),
     ],
 )
 def test_a_bad_record_fails_its_input_only(spark, doc, mappings, more, reason):
@@ -135,9 +135,9 @@ def test_signature_floor_filter_numbers_and_namespaces(spark):
     r = recipe([field("id", "@id"), field("c", "Customer")], signature=sig, filters={"c": "> B"})
     e = run(spark, r, [ORDERS, "<Other/>"])
     assert [x.record_num for x in e.records.collect()] == []
-    assert {x.source_file: (x.disposition, x.reason, x.confidence) for x in e.dispositions.collect()} == {"f0": ("applied", None, 0.75), "f1": ("not_applicable", "signature", 0.0)}
+    assert {x.source_file: (x.disposition, x.reason, x.confidence) for x in e.dispositions.collect()} == {"f0": ("applied", None, 0.75), "f1": ("not_applicable", "signature_mismatch", 0.0)}
     r = build({"record_type": "t", "match_selectors": [{"xpath": "//Order", "min_occurrences": 3}], "field_mappings": [field("id", "@id")]})
-    assert run(spark, r, [ORDERS]).dispositions.first().reason == "min_occurrences"
+    assert run(spark, r, [ORDERS]).dispositions.first().reason == "min_occurrences_violation"
     r = build({"record_type": "t", "namespaces": {"k": "urn:x"}, "match_selectors": [{"xpath": "//k:O"}], "field_mappings": [field("v", "k:V")]})
     assert data(run(spark, r, ['<r xmlns:a="urn:x" xmlns="urn:y"><a:O><a:V>1</a:V><V>2</V></a:O><O><V>3</V></O></r>'])) == [{"v": "1"}]
 

@@ -36,7 +36,7 @@ RECIPE = build({"record_type": "o", "match_selectors": [{"xpath": "//Order"}], "
 
 
 def extraction(spark, shop):
-    return E.extract(SC.read_files(spark, str(shop)), RECIPE, by=["source_file"])
+    return E.extract(SC.read_files(spark, str(shop)), RECIPE)
 
 
 def test_ordinals_dispositions_and_manifest(spark, shop, tmp_path):
@@ -105,7 +105,7 @@ def test_gzip_and_index_routes_agree(spark, shop, tmp_path):
     z = tmp_path / "z"
     z.mkdir()
     (z / "a.xml.gz").write_bytes(gzip.compress((shop / "a.xml").read_bytes()))
-    assert E.extract(SC.read_files(spark, str(z)), RECIPE, by=["source_file"]).data.count() == 5
+    assert E.extract(SC.read_files(spark, str(z)), RECIPE).data.count() == 5
     (shop / "c.xml").unlink()
     ix = IX.build(SC.read_files(spark, str(shop)), "Order").cache()
     assert ix.count() == 8 and IX.verify(ix).count() == 0
@@ -119,6 +119,8 @@ def test_gzip_and_index_routes_agree(spark, shop, tmp_path):
     assert {r.problem for r in IX.verify(ix).collect()} == {"size 4, indexed " + str(ix.where("source_file like '%b.xml'").first().file_size)}
     with pytest.raises(Exception, match="can't be indexed"):
         IX.build(SC.read_files(spark, str(z)), "Order").count()
+    (z / "none.xml").write_bytes(b"")
+    assert {r.source_file[-6:]: r.reason for r in E.extract(SC.read_files(spark, str(z)), RECIPE).dispositions.collect()} == {"xml.gz": None, "ne.xml": "parse_error"}
 
 
 def test_namespaces_in_scope_go_with_a_record(spark, tmp_path):
@@ -138,7 +140,7 @@ def test_inspection_and_starter_recipe(spark, shop):
     raw = IN.starter_recipe(docs)
     assert raw["match_selectors"] == [{"xpath": "//Order"}]
     assert {m["output_field"]: m["type"] for m in raw["field_mappings"]} == {"id": "integer", "l_x": "array", "total": "integer"}
-    got = E.extract(docs, build(raw), by=["source_file"])
+    got = E.extract(docs, build(raw))
     assert got.data.count() == 8
     j = spark.createDataFrame([("d", b'{"a":[{"k":1,"m":null},{"k":"x"}]}')], "source_file string, content binary")
     kinds = {r.path: (r.n_string, r.n_number, r.n_null) for r in IN.value_kinds(IN.paths(j, "json")).collect()}

@@ -8,7 +8,7 @@ from lodestone.__main__ import main, parameters
 from lodestone.operators import artifacts as A
 from lodestone.plans import routes as RT
 from lodestone.plans.extract import extract
-from lodestone.plans.recipe import RecipeError, build
+from lodestone.plans.recipe import build
 from lodestone.sources.scan import read_files
 
 MAPS = [{"output_field": "id", "xpath": "@id", "type": "integer"}, {"output_field": "total", "xpath": "Total", "type": "number"}, {"output_field": "open", "xpath": "@open", "type": "boolean"}]
@@ -33,14 +33,13 @@ def rows(df):
 
 def test_routes_agree(spark, shop, monkeypatch):
     r = recipe()
-    whole = rows(extract(read_files(spark, str(shop)), r, by=["source_file"]).data)
+    whole = rows(extract(read_files(spark, str(shop)), r).data)
     assert len(whole) == 80 and rows(RT.extract_records(spark, str(shop), r).data) == whole
     assert rows(RT.extract_native(spark, str(shop), r)) == whole
     monkeypatch.setattr(RT, "LARGE", 1000)
-    by = RT.extract_files(spark, str(shop), r)
-    assert set(by) == {"records"} and rows(by["records"].data) == whole
+    assert rows(RT.extract_files(spark, str(shop), r).data) == whole
     monkeypatch.setattr(RT, "LARGE", 1 << 30)
-    assert set(RT.extract_files(spark, str(shop), r)) == {"document"}
+    assert rows(RT.extract_files(spark, str(shop), r).data) == whole
 
 
 def test_json_records_by_range(spark, tmp_path):
@@ -48,20 +47,18 @@ def test_json_records_by_range(spark, tmp_path):
     (tmp_path / "b.ndjson").write_text("\n".join(json.dumps({"id": k, "Total": k, "open": True}) for k in range(7)))
     maps = [{**m, "xpath": m["xpath"].removeprefix("@")} for m in MAPS]
     r = recipe(maps=maps, fmt="json")
-    assert rows(RT.extract_records(spark, str(tmp_path / "a.json"), r).data) == rows(extract(read_files(spark, str(tmp_path / "a.json")), r, by=["source_file"]).data) and len(rows(RT.extract_records(spark, str(tmp_path / "a.json"), r).data)) == 9
+    assert rows(RT.extract_records(spark, str(tmp_path / "a.json"), r).data) == rows(extract(read_files(spark, str(tmp_path / "a.json")), r).data) and len(rows(RT.extract_records(spark, str(tmp_path / "a.json"), r).data)) == 9
     n = recipe("row", maps, "ndjson")
     assert len(rows(RT.extract_records(spark, str(tmp_path / "b.ndjson"), n).data)) == 7
 
 
 def test_route_choice():
     assert RT.choose_route(recipe(), 10) == "document" and RT.choose_route(recipe(), RT.LARGE + 1) == "records"
-    assert RT.choose_route(recipe(maps=[{"output_field": "id", "xpath": "id"}], fmt="ndjson"), 1) == "records"
+    assert RT.choose_route(recipe(maps=[{"output_field": "id", "xpath": "id"}], fmt="ndjson"), 1) == "lines"
     for bad in (recipe("//Order[@id]"), recipe(maps=[{"output_field": "up", "xpath": "../@x"}])):
         assert RT.choose_route(bad, 10) == "document"
-        with pytest.raises(RecipeError):
-            RT.choose_route(bad, RT.LARGE + 1)
-    with pytest.raises(RecipeError):
-        RT.choose_route(recipe(), RT.LARGE // 9, "x.gz")
+        assert RT.choose_route(bad, RT.LARGE + 1) == "unsupported"
+    assert RT.choose_route(recipe(), RT.LARGE // 9, "x.gz") == "unsupported"
 
 
 def test_manifests_and_descriptors(spark, shop):
@@ -73,7 +70,7 @@ def test_manifests_and_descriptors(spark, shop):
     (shop / "b.xml").unlink()
     got = {r.uri[-5:]: r.problem for r in A.verify_manifest(read_files(spark, str(shop)), m).collect()}
     assert got == {"a.xml": "size differs", "b.xml": "missing", "c.xml": "not listed"}
-    d = A.descriptor(extract(read_files(spark, str(shop)), recipe(), by=["source_file"]), "out", "parquet")
+    d = A.descriptor(extract(read_files(spark, str(shop)), recipe()), "out", "parquet")
     assert (d["lifecycle"], d["records"]) == ("complete", 0) and A.check_descriptor(d) == []
     assert A.check_descriptor({"format": "csv", "fields": [{"name": "a"}, {"name": "a"}]})
 
@@ -93,3 +90,65 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert parameters(["a=1", "b=x", "b=y", "c="]) == {"a": "1", "b": ["x", "y"], "c": ""}
     with pytest.raises(SystemExit):
         parameters(["a"])
+
+
+def outcomes(e):
+    return {r.source_file.rsplit("/", 1)[-1].split(".")[0]: (r.disposition, r.reason, r.records) for r in e.dispositions.collect()}
+
+
+def told(e):
+    return sorted((r.source_file.rsplit("/", 1)[-1].split(".")[0], r.record_num, *(r[c] for c in ("id", "big"))) for r in e.data.collect())
+
+
+@pytest.mark.parametrize("fmt", ["xml", "json", "ndjson"])
+@pytest.mark.parametrize("floor", [0, 2])
+def test_dispositions_are_the_same_on_all_routes(spark, tmp_path, fmt, floor):
+    """Sound, empty, too few, a bad field in the second record, a bad expression in the first, broken at its end."""
+    files = {"sound": [1, 2, 3], "none": [], "few": [5], "field": [1, "x", 3], "expression": [0, 1], "broken": [1, 2]}
+    for name, ids in files.items():
+        if fmt == "xml":
+            text = "<R>" + "".join(f"<Order><id>{k}</id></Order>" for k in ids) + ("</R>" if name != "broken" else "")
+        elif fmt == "json":
+            text = json.dumps({"Order": [{"id": k} for k in ids]})[: -1 if name == "broken" else None]
+        else:
+            text = "".join(json.dumps({"id": k}) + "\n\n" for k in ids)[: -3 if name == "broken" else None]
+        (tmp_path / f"{name}.{fmt}").write_text(text)
+    maps = [{"output_field": "id", "xpath": "id", "type": "integer"}, {"output_field": "big", "type": "number", "expression": "10 / id"}]
+    selector = {"xpath": "//Order" if fmt != "ndjson" else "row", "min_occurrences": floor}
+    r = build({"record_type": "o", "match_selectors": [selector], "field_mappings": maps}, {"format_type": fmt})
+    whole = extract(read_files(spark, str(tmp_path)), r)
+    want = {"sound": ("applied", None, 3), "none": ("applied", None, 0), "few": ("applied", None, 1), "field": ("failed", "internal_error", 0), "expression": ("failed", "internal_error", 0), "broken": ("failed", "parse_error", 0)}
+    if floor:
+        want |= {k: ("failed", "min_occurrences_violation", 0) for k in ("none", "few")}
+    other = RT.extract_records(spark, str(tmp_path), r)
+    assert outcomes(whole) == want == outcomes(other) and told(whole) == told(other)
+    assert other.keys == whole.keys and set(other.rows.columns) == set(whole.rows.columns)
+    ran = RT.extract_files(spark, str(tmp_path), r)
+    assert outcomes(ran) == want and told(ran) == told(whole)
+
+
+def test_inputs_fail_alone_and_large_ones_may_be_unsupported(spark, shop, monkeypatch):
+    from lodestone.sources import inputs as I
+
+    listed = I.parse_file_list(f'{shop}/a.xml\n{shop}/none.xml\n{{"uri": "{shop}/b.xml", "size": 1}}\n')
+    docs = I.verified(read_files(spark, str(shop)), I.declared_frame(spark, listed))
+    e = RT.extract_files(spark, docs, recipe())
+    got = {(r.input_ordinal, r.disposition, r.reason, r.error, r.records) for r in e.dispositions.collect()}
+    assert got == {(1, "applied", None, None, 40), (2, "failed", "input_unavailable", "input_unavailable", 0), (3, "failed", "input_unavailable", "size_mismatch", 0)}
+    monkeypatch.setattr(RT, "LARGE", 1000)
+    bad = recipe(maps=[{"output_field": "up", "xpath": "../@x"}])
+    assert outcomes(RT.extract_files(spark, str(shop), bad)) == {k: ("failed", "route_unsupported", 0) for k in "ab"}
+
+
+def test_an_extraction_of_files_shuffles_no_data(spark, shop):
+    maps = [*MAPS, {"output_field": "twice", "type": "number", "expression": "total * 2"}]
+    for r in (recipe(), recipe(maps=maps)):
+        plan = RT.extract_files(spark, str(shop), r).data._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [") == 1 and "path#" in plan.split("Window [")[1][:100] and "hashpartitioning" not in plan  # names are numbered
+
+
+def test_of_two_inputs_with_one_key_the_bad_one_fails_alone(spark):
+    docs = spark.createDataFrame([("k", '<R><Order id="1"><Total>1</Total></Order></R>'), ("k", "<R>")], "source_file string, content string")
+    for maps in (MAPS, [*MAPS, {"output_field": "t", "type": "number", "expression": "total + 1"}]):
+        e = extract(docs, recipe(maps=maps))
+        assert [r.id for r in e.data.collect()] == [1] and sorted(r.disposition for r in e.dispositions.collect()) == ["applied", "failed"]
