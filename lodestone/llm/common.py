@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
@@ -124,11 +126,19 @@ def py_id_crc(value: int | None) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode())
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches that ``fn`` gets as Arrow record batches; empty batches are left out.
 
     Batches hold about ``BATCH_BYTES``, a longer row alone is one; results don't depend on it. The bound is set for the
-    session, unless that has one. A task gives unused Arrow memory back when it ends, since workers are used again.
+    session, unless that has one. A task gives unused memory back when it ends, Arrow's and the C library's, since workers
+    are used again by later stages.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
@@ -138,7 +148,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
         try:
             yield from fn(b for b in batches if b.num_rows)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
