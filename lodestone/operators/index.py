@@ -2,7 +2,8 @@
 
 Every file is cut into pieces of ``PIECE`` bytes that all tasks share (``sources/pieces.py``): one pass gives each piece's
 transition, its records and digests, the transitions are composed per file, and what is left of the records falls into place
-by a join on pieces. JSON files are read by one task each, incrementally. Files are read as bytes through the store's own API.
+by a join on pieces. JSON files are read by one task each, incrementally. Files are read as bytes
+through the store's own API.
 """
 
 from __future__ import annotations
@@ -10,17 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, islice
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import written
+from lodestone.plans.staging import open_file, written
 from lodestone.sources import pieces as P
 from lodestone.sources.doctree import DocumentError
 
@@ -43,14 +42,6 @@ class Index:
     files: DataFrame
 
 
-def open_file(path: str):
-    """A file of any store that Arrow knows, also by Hadoop's names for S3 (``s3a``, ``s3n``)."""
-    uri = re.sub(r"^s3[an]:", "s3:", path)
-    uri = uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}"
-    store, at = pafs.FileSystem.from_uri(uri)
-    return store.open_input_file(at)
-
-
 FOUND = "source_file string, piece long, kind string, state string, blob binary, start long, end long, after int, pops int, depth int, namespaces string, sha256 string"
 _KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
 

@@ -1,35 +1,48 @@
-"""Sinks: NDJSON per input, rolling shards, Parquet, dispositions and a manifest. Files are written to a staging folder's
-committed output by Spark, the manifest last; a reader that finds no manifest has an unfinished run."""
+"""Sinks: NDJSON per input, rolling shards, Parquet, dispositions and a manifest.
+
+Shards are staged and moved when all are whole, other files are committed by Spark; the manifest comes last: a reader that
+finds none has an unfinished run."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.extract import Extraction, envelope
+from lodestone.plans.staging import create_file, written
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_number", partitions: int | None = None) -> DataFrame:
-    """Adds a 1-based number over the whole order without one task seeing all rows.
+def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``df`` in ranges of an order, as a table: ``_p`` is a row's range, ``_k`` its place there from 0; and (range, rows) of each.
 
-    Ranges of the order are sorted by their tasks; counts per range (one row each) give the offsets. The ranges are kept
-    for the second use.
+    Ranges are sorted by their tasks; the driver gets one count for each of them.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_id", 33)
-    counts = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    offsets, at = [], 0
-    for p, c in counts:
-        offsets.append((p, at))
-        at += c
-    base = df.sparkSession.createDataFrame(offsets, "_p long, _base long")
-    return ranged.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_p", "_base")
+    number = F.monotonically_increasing_id()
+    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", number)
+    out = written(out.withColumns({"_p": F.shiftright("_id", 33).cast("int"), "_k": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "ranged")
+    return out, sorted((r["_p"], r["n"]) for r in out.groupBy("_p").agg(F.count("*").alias("n")).collect())
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "row_number", partitions: int | None = None) -> DataFrame:
+    """Adds a 1-based number over the whole order without one task seeing all rows."""
+    out, counts = ranged(df, order, partitions)
+    return _with_numbers(out, counts, name).drop("_p", "_k")
+
+
+def _with_numbers(out: DataFrame, counts: list[tuple[int, int]], name: str) -> DataFrame:
+    before = list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    base = out.sparkSession.createDataFrame(before, "_p int, _base long")
+    return out.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_k") + 1).drop("_base")
 
 
 def shards_by_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
@@ -39,26 +52,103 @@ def shards_by_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     return numbered(df, order, "_n").withColumn("shard", F.floor((F.col("_n") - 1) / rows).cast("long")).drop("_n")
 
 
+class _Range:
+    """The rows of one range: global numbers from ``first``, sums of sizes up to and with each row."""
+
+    def __init__(self, t: pa.Table, first: int, before: int, limit: int, rows: int) -> None:
+        size = t.column("_size").to_numpy()[np.argsort(t.column("_k").to_numpy())]
+        self.first, self.n, self.limit, self.rows = first, len(size), limit, rows
+        self.sums = before + np.cumsum(size)
+        self.before = self.sums - size
+        # a shard from each row: the sum it may reach (its first row counts however large) and the number it ends before
+        self.most = np.maximum(self.before + limit, self.sums)
+        at = np.arange(self.n)
+        self.next = np.minimum(np.searchsorted(self.sums, self.most, "right"), at + rows)
+
+    def entries(self) -> np.ndarray:
+        """Rows that a shard of an earlier range may end before."""
+        return np.flatnonzero((self.before - self.before[0] <= self.limit) & (np.arange(self.n) < self.rows))
+
+    def last_starts(self) -> np.ndarray:
+        """Of each row the last start that is reached from it in the range, by doubling pointers."""
+        at = np.arange(self.n)
+        to = np.where(self.next < self.n, self.next, at)
+        while True:
+            twice = to[to]
+            if (twice == to).all():
+                return to
+            to = twice
+
+    def starts(self, entry: int) -> list[int]:
+        out, k = [], entry
+        while k < self.n:
+            out.append(self.first + k)
+            k = int(self.next[k])
+        return out
+
+
 def shards_by_bytes(df: DataFrame, order: list[str], size: Column, limit: int, rows: int | None = None) -> DataFrame:
     """Adds ``shard``: greedy packing, a row that would exceed ``limit`` (or ``rows``) begins a new shard; a larger row has its own.
 
-    Packing is sequential by nature: one task streams over (number, size) pairs, 16 bytes a row; the rows stay where they are.
+    Ranges of the order find by themselves which start each possible first one leads to, and where the shard that leaves them
+    ends; pointers between ranges are doubled until every range knows its first start. Only (range, place, size) is
+    shuffled, 20 bytes a row; the driver gets sums and the first start of each range. The rows stay where they are.
     """
-    own = numbered(df, order, "_n").withColumn("_size", size.cast("long"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        shard, used, count = -1, 0, 0
-        for b in batches:
-            out = []
-            for s in b.column(1).to_pylist():
-                if shard < 0 or used + s > limit or (rows and count >= rows):
-                    shard, used, count = shard + 1, 0, 0
-                used, count = used + s, count + 1
-                out.append(shard)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["_m", "shard"])
-
-    packed = own.select("_n", "_size").repartitionByRange(1, "_n").sortWithinPartitions("_n").mapInArrow(pack, "_m long, shard long")
-    return own.join(packed, F.col("_n") == F.col("_m")).drop("_n", "_m", "_size")
+    spark = df.sparkSession
+    own, counts = ranged(df.withColumn("_size", size.cast("long")), order)
+    if not counts:
+        return own.withColumn("shard", F.lit(None).cast("long")).drop("_p", "_k", "_size")
+    slim = own.select("_p", "_k", "_size")
+    sums = {r["_p"]: r["s"] for r in slim.groupBy("_p").agg(F.sum("_size").alias("s")).collect()}
+    parts = [p for p, _ in counts]
+    number = np.cumsum([0, *(n for _, n in counts)])  # rows before each range, and all
+    total = np.cumsum([0, *(sums[p] for p in parts)])
+    place, most_rows = {p: j for j, p in enumerate(parts)}, rows or 1 << 62
+
+    def of(t: pa.Table) -> tuple[int, _Range]:
+        j = place[t.column("_p")[0].as_py()]
+        return j, _Range(t, int(number[j]), int(total[j]), limit, most_rows)
+
+    def leave(t: pa.Table) -> pa.Table:
+        """For each entry of a range where the shard that leaves the range ends: in which range, at what sum or number."""
+        j, r = of(t)
+        e = r.entries() if j else np.array([0])
+        last = r.last_starts()[e]
+        sum_to, upto = r.most[last], np.minimum(r.first + last, (1 << 62) - most_rows) + most_rows
+        to = np.minimum(np.searchsorted(total[1:], sum_to, "right"), np.searchsorted(number[1:], upto, "right"))
+        return pa.table({"p": pa.array(np.full(len(e), j), pa.int32()), "i": r.first + e, "to": pa.array(to, pa.int32()), "sum": sum_to, "upto": upto})
+
+    def enter(asked: pa.Table, t: pa.Table) -> pa.Table:
+        """The rows that shards from other ranges end before."""
+        if not asked.num_rows or not t.num_rows:
+            return pa.table({"p": pa.array([], pa.int32()), "i": pa.array([], pa.int64()), "q": pa.array([], pa.int32()), "m": pa.array([], pa.int64())})
+        j, r = of(t)
+        k = np.minimum(np.searchsorted(r.sums, asked.column("sum").to_numpy(), "right"), np.maximum(asked.column("upto").to_numpy() - r.first, 0))
+        return pa.table({"p": asked.column("p"), "i": asked.column("i"), "q": pa.array(np.full(len(k), j), pa.int32()), "m": r.first + k})
+
+    left = slim.groupBy("_p").applyInArrow(leave, "p int, i long, to int, sum long, upto long").where(F.col("to") < len(parts))
+    known = spark.createDataFrame([(j, p) for p, j in place.items()], "to int, _p int")
+    step = written(left.join(F.broadcast(known), "to").groupBy("_p").cogroup(slim.groupBy("_p")).applyInArrow(enter, "p int, i long, q int, m long"), "pointers")
+    reached = spark.createDataFrame([(0, 0)], "p int, i long")
+    for _ in range(max(1, len(parts) - 1).bit_length()):
+        on = reached.join(step, ["p", "i"]).select(F.col("q").alias("p"), F.col("m").alias("i"))
+        reached = written(reached.union(on).distinct(), "reached")
+        then = step.select(F.col("p").alias("q"), F.col("i").alias("m"), F.col("q").alias("q2"), F.col("m").alias("m2"))
+        step = written(step.join(then, ["q", "m"]).select("p", "i", F.col("q2").alias("q"), F.col("m2").alias("m")), "pointers")
+    first = {r["p"]: r["i"] for r in reached.collect()}  # one for each range that a shard begins in
+
+    def mark(t: pa.Table) -> pa.Table:
+        j, r = of(t)
+        got = r.starts(first[j] - r.first) if j in first else []
+        return pa.table({"_p": pa.array([parts[j]], pa.int32()), "_starts": pa.array([got], pa.list_(pa.int64()))})
+
+    starts = written(slim.groupBy("_p").applyInArrow(mark, "_p int, _starts array<long>"), "starts")
+    many = sorted((r["_p"], r["n"]) for r in starts.select("_p", F.size("_starts").alias("n")).collect())
+    upto = spark.createDataFrame(list(zip((p for p, _ in many), accumulate((n for _, n in many), initial=0), strict=False)), "_p int, _upto long")
+    # one number for each shard: as many as there will be files
+    rows_of = _with_numbers(own, counts, "_n").join(F.broadcast(starts.join(upto, "_p")), "_p")
+    inside = F.size(F.filter("_starts", lambda x: x < F.col("_n")))
+    return rows_of.withColumn("shard", F.col("_upto") + inside - 1).drop("_p", "_k", "_n", "_size", "_starts", "_upto")
 
 
 def write_ndjson(e: Extraction, path: str, meta: dict[str, Any] | None = None) -> None:
@@ -71,24 +161,86 @@ def write_ndjson(e: Extraction, path: str, meta: dict[str, Any] | None = None) -
 def write_shards(e: Extraction, path: str, rows: int | None = None, limit: int | None = None, meta: dict[str, Any] | None = None) -> dict[str, Any]:
     """Envelopes as ordered shards and a manifest with each one's rows, bytes, digest and span of inputs; returns the manifest.
 
-    Order: input_ordinal (else the key columns), then record_num; the result doesn't depend on the number of tasks.
+    Order: input_ordinal (else the key columns), then record_num; the result doesn't depend on the number of tasks. Nothing
+    is to be seen below ``shards`` before all shards are whole; the manifest, written last, commits the run.
     """
     order = (["input_ordinal"] if "input_ordinal" in e.keys else e.keys) + ["record_num"]
     env = envelope(e, meta)
     size = F.octet_length("value") + 1
     parts = shards_by_bytes(env, order, size, limit, rows) if limit else shards_by_rows(env, order, rows or 1 << 62)
-    parts.repartitionByRange("shard").sortWithinPartitions("shard", *order).select("shard", "value").write.mode("errorifexists").partitionBy("shard").text(f"{path}/shards")
-    spans = {r["shard"]: r for r in parts.groupBy("shard").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"), F.min(order[0]).cast("string").alias("first"), F.max(order[0]).cast("string").alias("last")).collect()}
-    files = env.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/shards") if spans else None
-    digests = {}
-    if files is not None:
-        for r in files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "path", F.sha2("content", 256).alias("sha")).orderBy("path").collect():
-            digests.setdefault(r["shard"], []).append(r["sha"])
-    manifest = manifest_of(e) | {"shards": [{"shard": k, "rows": s["rows"], "bytes": s["bytes"], "first_input": s["first"], "last_input": s["last"], "sha256": digests.get(k, [])} for k, s in sorted(spans.items())]}
+    shards = commit_shards(parts.select("shard", F.col(order[0]).cast("string").alias("input"), "value", *order), order, path)
+    manifest = manifest_of(e) | {"shards": shards}
     write_json(env, f"{path}/manifest", manifest)
     return manifest
 
 
+MESSAGE = "shard long, file string, rows long, bytes long, sha256 string, first_input string, last_input string"
+
+
+def commit_shards(rows: DataFrame, order: list[str], path: str) -> list[dict[str, Any]]:
+    """Writes rows (shard, input, value, order columns) as a file for each shard: staged by tasks, then moved by the driver.
+
+    A task hashes and counts a shard while it writes it, and tells so in one message (rows, bytes, sha256, span of inputs)
+    when it ends; a task that fails or runs again tells nothing of its first try. If any of them fails for good the staged
+    files are deleted and nothing is visible. Moving needs the name of each shard at the driver.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    if _fs(spark, path).exists(_path(spark, f"{path}/shards")):
+        raise FileExistsError(f"{path}/shards is there already")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        shard, sink, at = None, None, {}
+
+        def close() -> pa.RecordBatch:
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, at["file"], at["rows"], at["bytes"], at["sha"].hexdigest(), at["first"], at["last"]), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [c.split()[0] for c in MESSAGE.split(", ")])
+
+        try:
+            for b in batches:
+                for own, name, value in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    if own != shard:
+                        if sink is not None:
+                            yield close()
+                        shard = own
+                        at = {"file": f"shard-{own:06d}.ndjson-{uuid.uuid4().hex}", "rows": 0, "bytes": 0, "sha": hashlib.sha256(), "first": name, "last": name}
+                        sink = create_file(f"{staging}/{at['file']}")
+                    data = value.encode() + b"\n"
+                    sink.write(data)
+                    at["sha"].update(data)
+                    at |= {"rows": at["rows"] + 1, "bytes": at["bytes"] + len(data), "last": name}
+            if sink is not None:
+                yield close()
+                sink = None
+        finally:
+            if sink is not None:
+                sink.close()
+
+    try:
+        dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", *order).select("shard", "input", "value")
+        messages = written(dealt.mapInArrow(write, MESSAGE), "messages").orderBy("shard").collect()
+        fs = _fs(spark, path)
+        fs.mkdirs(_path(spark, f"{path}/shards"))
+        for m in messages:
+            if not fs.rename(_path(spark, f"{staging}/{m['file']}"), _path(spark, f"{path}/shards/{m['file'].rsplit('-', 1)[0]}")):
+                raise OSError(f"can't move {m['file']}")
+    except BaseException:
+        _fs(spark, path).delete(_path(spark, f"{path}/shards"), True)
+        raise
+    finally:
+        _fs(spark, path).delete(_path(spark, staging), True)
+    return [{"shard": m["shard"], "file": m["file"].rsplit("-", 1)[0], **{k: m[k] for k in ("rows", "bytes", "sha256", "first_input", "last_input")}} for m in messages]
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def manifest_of(e: Extraction) -> dict[str, Any]:
     """Recipe, counts by disposition and reason, records by selector; Σ of the counts is the number of inputs."""
     d = e.dispositions.groupBy("disposition", "reason").agg(F.count("*").alias("n"), F.sum("records").alias("records")).collect()

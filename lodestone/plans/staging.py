@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -29,3 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path and the place there: plain paths, URIs that Arrow knows, and Hadoop's names for S3 (``s3a``, ``s3n``)."""
+    uri = re.sub(r"^s3[an]:", "s3:", path)
+    uri = uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}"
+    return pafs.FileSystem.from_uri(uri)
+
+
+def open_file(path: str):
+    store, at = located(path)
+    return store.open_input_file(at)
+
+
+def create_file(path: str):
+    store, at = located(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(at, compression=None)

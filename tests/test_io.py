@@ -64,12 +64,50 @@ def test_shards(spark, shop, tmp_path, rows, limit):
         used, count = used + n, count + 1
     assert [s["rows"] for s in m["shards"]] == [len(w) for w in want]
     for k, w in enumerate(want):
-        (f,) = (tmp_path / "out/shards" / f"shard={k}").glob("part-*")
+        f = tmp_path / "out/shards" / m["shards"][k]["file"]
         assert f.read_text().splitlines() == w
-        assert m["shards"][k]["sha256"] == [hashlib.sha256(f.read_bytes()).hexdigest()]
+        assert m["shards"][k]["sha256"] == hashlib.sha256(f.read_bytes()).hexdigest() and m["shards"][k]["bytes"] == f.stat().st_size
     assert json.loads(spark.read.text(out + "/manifest").first()[0])["records"] == 8
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_by_bytes_are_greedy_whatever_the_ranges(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    sizes = [r.choice([0, 1, 3, 5, 40]) for _ in range(r.choice([1, 7, 200]))]
+    limit, most = r.choice([5, 12, 100]), r.choice([None, 1, 4])
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, s long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", r.choice(["2", "9", "30"]))
+    try:
+        got = {x.k: x.shard for x in S.shards_by_bytes(df, ["k"], df.s, limit, most).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, shard, used, count = {}, -1, 0, 0
+    for k, n in enumerate(sizes):
+        if shard < 0 or used + n > limit or (most and count >= most):
+            shard, used, count = shard + 1, 0, 0
+        used, count = used + n, count + 1
+        want[k] = shard
+    assert got == want
+    assert S.shards_by_bytes(df.where("false"), ["k"], df.s, 5).count() == 0
+
+
+def test_a_failed_run_leaves_no_shard(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20).selectExpr("id div 5 as shard", "'a' as input", "cast(id as string) as value", "id")
+    bad = rows.withColumn("value", F.when(F.col("id") == 17, F.raise_error(F.lit("no"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="no"):
+        S.commit_shards(bad, ["id"], str(tmp_path / "o"))
+    assert not list((tmp_path / "o").rglob("*shard*"))
+    got = S.commit_shards(rows, ["id"], str(tmp_path / "o"))
+    assert [(m["shard"], m["rows"], m["bytes"]) for m in got] == [(0, 5, 10), (1, 5, 10), (2, 5, 15), (3, 5, 15)]
+    assert sorted(p.name for p in (tmp_path / "o").rglob("*") if p.is_file() and not p.name.startswith(".")) == [m["file"] for m in got]
+    with pytest.raises(FileExistsError):
+        S.commit_shards(rows, ["id"], str(tmp_path / "o"))
+
+
 def test_ndjson_parquet_and_output_checks(spark, shop, tmp_path):
     e = extraction(spark, shop)
     S.write_ndjson(e, str(tmp_path / "n"))
