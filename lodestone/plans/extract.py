@@ -29,9 +29,10 @@ from lodestone.functions.expressions import Scope, Typed, compile_node, first_er
 from lodestone.functions.transforms import apply_transform
 from lodestone.operators import validation as V
 from lodestone.sources import reference as R
-from lodestone.sources.scan import checked_fields, scan
+from lodestone.sources.scan import checked_fields, scan, scan_many
 
 from .recipe import Mapping, Recipe, RecipeError
+from .staging import fresh_path, written
 
 
 REASONS = ("applicability_predicate_false", "signature_mismatch", "min_occurrences_violation", "parse_error", "validation_error", "internal_error", "route_unsupported", "input_unavailable")
@@ -164,18 +165,19 @@ def _nan(t: T.DataType, c: Column) -> Column | None:
     return None
 
 
-def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None = None, references: list[R.ReferenceTable] | None = None, content: str = "content", settle: bool = True, run_on: list[str] | None = None) -> Extraction:
+def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None = None, references: list[R.ReferenceTable] | None = None, content: str = "content", settle: bool = True, run_on: list[str] | None = None, scanned: bool = False) -> Extraction:
     """Applies a recipe to documents (a text or binary column; all other columns go with the document's rows).
 
     An empty table of documents gives no records. Without ``settle`` each row tells its own error only;
-    ``run_on`` is the scan's.
+    ``run_on`` is the scan's. ``scanned`` documents are rows of the recipe's scan that a table holds.
     """
     r = recipe.with_parameters(parameters or {})
-    keys = [c for c in docs.columns if c != content]
+    own = {"record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "late", "document", "fields"}
+    keys = [c for c in docs.columns if c != content and not (scanned and c in own)]
     clash = set(keys) & {"record_num", "selector", "fields", "data", "disposition", "reason", "error", "confidence", "selector_counts", "kept", "late", "document"}
     if clash:
         raise RecipeError(f"columns of the documents have reserved names: {sorted(clash)}")
-    df = scan(docs, r, content, run_on)
+    df = docs if scanned else scan(docs, r, content, run_on)
     live = F.col("fields").isNotNull()
     errors: list[Column] = []
     invalid: list[Column] = []
@@ -266,7 +268,7 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
     df = df.select(*(F.col(f"`{k}`") for k in keys), "record_num", "selector", "confidence", "selector_counts", "disposition", "reason", "error", "kept", "document", "_class", *extra)
     if settle:
         used = {str(c.args[0].value) for m in r.mappings if m.expression for c in _probes(parse(m.expression))}
-        df = _settled(df) if all(tables[n].rows <= R.BROADCAST_ROWS for n in used) else _settled_apart(df)
+        df = _settled_table(df) if scanned else _settled(df) if all(tables[n].rows <= R.BROADCAST_ROWS for n in used) else _settled_apart(df)
     return Extraction(df, r, list(public), keys)
 
 
@@ -311,6 +313,15 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def _settled_table(df: DataFrame) -> DataFrame:
+    """The same for rows that a table holds: documents with an error are gathered first, and prune the rows."""
+    order = F.struct(F.col("_class").alias("c"), F.coalesce("record_num", F.lit(0)).alias("r"))
+    bad = written(df.where("_class is not null").groupBy("document").agg(F.min(order).alias("_first")).withColumnRenamed("document", "_bad"), "failed")
+    few = bad.count() <= R.BROADCAST_ROWS
+    df = df.join(F.broadcast(bad) if few else bad, F.col("document") == F.col("_bad"), "left")
+    return df.where(F.col("_bad").isNull() | (F.col("_class").isNotNull() & (order == F.col("_first")))).drop("_bad", "_first")
+
+
 def _settled_apart(df: DataFrame) -> DataFrame:
     """The same where a join with a large reference table has parted a document's rows."""
     order = F.struct(F.col("_class").isNull().alias("n"), F.col("_class").alias("c"), F.coalesce("record_num", F.lit(0)).alias("r"))
@@ -358,9 +369,24 @@ def _probes(node: X.Node) -> list[X.Node]:
     return [*inner, *own]
 
 
-def extract_many(docs: DataFrame, recipes: list[Recipe], parameters: dict[str, Any] | None = None, content: str = "content") -> dict[str, Extraction]:
-    """Several recipes over the same documents; persist ``docs`` where reading them is dear. Results by recipe id or record type."""
-    return {r.id or r.record_type: extract(docs, r, parameters, content=content) for r in recipes}
+def extract_many(docs: DataFrame, recipes: list[Recipe], parameters: dict[str, Any] | None = None, references: list[R.ReferenceTable] | None = None, content: str = "content") -> dict[str, Extraction]:
+    """Several recipes over the same documents, by recipe id or record type: each document is read and parsed once.
+
+    One scan gives the rows of all recipes, which are staged by recipe in the shared folder; dispositions are by recipe and
+    document. A document that fails under one recipe may be applied under another.
+    """
+    names = [r.id or r.record_type for r in recipes]
+    if len(set(names)) < len(names):
+        raise RecipeError(f"recipes need names of their own: {names}")
+    if not recipes:
+        return {}
+    ready = [r.with_parameters({k: v for k, v in (parameters or {}).items()}) for r in recipes]
+    path = fresh_path(docs.sparkSession, "scanned")
+    rows = scan_many(docs, ready, content)
+    rows.write.partitionBy("recipe").parquet(path)
+    staged = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    shared = [c for c in rows.columns if c != "recipe" and not c.startswith("fields_")]
+    return {n: extract(staged.where(F.col("recipe") == k).select(*(F.col(f"`{c}`") for c in shared), F.col(f"fields_{k}").alias("fields")), r, None, references, scanned=True) for k, (n, r) in enumerate(zip(names, ready, strict=True))}
 
 
 def envelope(e: Extraction, meta: dict[str, Any] | None = None) -> DataFrame:

@@ -140,3 +140,18 @@ def lines_split(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     return rows.select(key_of().alias("nation"), "record_num", "order_id", "urgent")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'broken' WHEN o_orderkey % 4 = 0 THEN 'late' ELSE 'sound' END AS kind, recipe, CASE WHEN o_orderkey % 9 = 0 OR recipe = 'strict' AND o_orderkey % 4 = 0 THEN 'failed' ELSE 'applied' END AS disposition, CASE WHEN o_orderkey % 9 = 0 THEN 'parse_error' WHEN recipe = 'strict' AND o_orderkey % 4 = 0 THEN 'validation_error' END AS reason, count(*) AS documents, CAST(sum(CASE WHEN o_orderkey % 9 = 0 OR recipe = 'strict' AND o_orderkey % 4 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS records FROM orders, (VALUES ('strict'), ('loose')) v(recipe) GROUP BY ALL""")
+def recipes_and_documents(spark, sf_dir):
+    """Dispositions by recipe and document: a document that one recipe refuses may be applied by another."""
+    from .extract import extract_many
+    from .queries import order_xml
+
+    late = F.when(F.col("doc") % 9 == 0, "broken").when(F.col("doc") % 4 == 0, "late").otherwise("sound")
+    docs = order_xml(spark, sf_dir, lines=False).select(late.alias("kind"), "doc", F.when(F.col("doc") % 9 == 0, F.lit("<a>")).when(F.col("doc") % 4 == 0, F.regexp_replace("content", "<Priority>[^<]*", "<Priority>")).otherwise(F.col("content")).alias("content"))
+    maps = {"match_selectors": [{"xpath": "//Order"}], "field_mappings": [field("id", "@id"), field("priority", "Priority")]}
+    strict = build({"record_type": "strict", **maps, "output_schema": {"properties": {"priority": {"minLength": 1}}}})
+    made = extract_many(docs, [strict, build({"record_type": "loose", **maps})])
+    parts = [e.dispositions.withColumn("recipe", F.lit(n)) for n, e in made.items()]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "recipe", "disposition", "reason").agg(F.count("*").alias("documents"), F.sum("records").alias("records"))

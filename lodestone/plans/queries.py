@@ -244,10 +244,14 @@ def output_schema_checks(spark, sf_dir):
 
 @query("""SELECT 'big' AS recipe, count(*) AS n FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT 'lines', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def many_recipes(spark, sf_dir):
-    docs = order_xml(spark, sf_dir).persist()
-    big = run(spark, docs, recipe([BASIC[0]], "//Order[Total > 100000]")).data.agg(F.lit("big").alias("recipe"), F.count("*").alias("n"))
-    lines = run(spark, docs, recipe([field("no", "@no")], "//Line")).data.agg(F.lit("lines").alias("recipe"), F.count("*").alias("n"))
-    return big.union(lines)
+    """Two recipes over the same documents, each parsed once."""
+    from .extract import extract_many
+
+    ids = {"record_type": "big", "match_selectors": [{"xpath": "//Order[Total > 100000]"}], "field_mappings": [BASIC[0]]}
+    lines = {"record_type": "lines", "match_selectors": [{"xpath": "//Line"}], "field_mappings": [field("no", "@no")]}
+    made = extract_many(order_xml(spark, sf_dir), [build(ids), build(lines)])
+    big, other = (e.data.agg(F.lit(n).alias("recipe"), F.count("*").alias("n")) for n, e in made.items())
+    return big.union(other)
 
 
 @query("""SELECT o_orderkey AS order_id, '{"customer":"' || CAST(o_custkey AS VARCHAR) || '","order_id":' || CAST(o_orderkey AS VARCHAR) || ',"status":"' || o_orderstatus || '"}' AS body FROM orders""")

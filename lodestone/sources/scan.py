@@ -170,8 +170,21 @@ class Extractor:
             raise DocumentError("the signature has no patterns with a weight")
         return got / total
 
-    def documents(self, data: bytes) -> list[tuple[Node, int, int]]:
-        """The trees to select from: the whole document, or one for each record."""
+    def documents(self, data: bytes, shared: dict | None = None) -> list[tuple[Node, int, int]]:
+        """The trees to select from: the whole document, or one for each record. Whole trees are kept in ``shared`` by format."""
+        key = self.r.format if self.r.match_scope == "document" else None
+        if shared is None or key is None:
+            return self._parsed(data)
+        if key not in shared:
+            try:
+                shared[key] = self._parsed(data)
+            except DocumentError as e:
+                shared[key] = e
+        if isinstance(shared[key], DocumentError):
+            raise shared[key]
+        return shared[key]
+
+    def _parsed(self, data: bytes) -> list[tuple[Node, int, int]]:
         fmt = self.r.format
         if fmt == "ndjson":
             return doctree.parse_ndjson(data)
@@ -183,10 +196,10 @@ class Extractor:
             return [(doctree.node_of_record(n), n.start, n.stop) for n in outermost(doc, name, fmt, self.r.selectors[0].xpath)]
         return [(doc, 0, len(data))]
 
-    def rows(self, data: bytes) -> Iterator[dict]:
+    def rows(self, data: bytes, shared: dict | None = None) -> Iterator[dict]:
         """The records of a document, or one row with its disposition."""
         try:
-            docs = self.documents(data)
+            docs = self.documents(data, shared)
         except (DocumentError, XPathError) as e:
             yield {"disposition": "failed", "reason": "parse_error", "error": str(e)}
             return
@@ -334,6 +347,47 @@ def scan(docs: DataFrame, recipe: Recipe, content: str = "content", run_on: list
     return src.mapInArrow(run, schema)
 
 
+def scan_many(docs: DataFrame, recipes: list[Recipe], content: str = "content") -> DataFrame:
+    """The rows of :func:`scan` for several recipes over the same documents, each parsed once: ``recipe`` is the place of the recipe
+    that a row is of, ``fields_<recipe>`` its fields."""
+    keep = T.StructType([f for f in docs.schema.fields if f.name != content])
+    own = [f for f in scan_schema(recipes[0], keep).fields if f.name != "fields"]
+    schema = T.StructType([*own, T.StructField("recipe", T.IntegerType()), *(T.StructField(f"fields_{k}", fields_type(r)) for k, r in enumerate(recipes))])
+    arrow, columns = to_arrow_schema(schema), [f.name for f in keep.fields]
+    src = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(content).cast("binary").alias("_content"))
+    path_at = columns.index("source_file") if "source_file" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        extractors, number = [Extractor(r) for r in recipes], TaskContext.get().partitionId() << 36
+        for b in batches:
+            kept = [b.column(k).to_pylist() for k in range(len(columns))]
+            out: list[dict] = []
+            size = 0
+            for row, data in zip(zip(*kept, strict=True) if kept else [()] * b.num_rows, b.column(len(columns)).to_pylist(), strict=True):
+                own_keys = dict(zip(columns, row, strict=True)) | {"document": number}
+                shared: dict = {}
+                failed = {"disposition": "failed", "reason": "input_unavailable", "error": "no content"} if data is None else None
+                if data is not None:
+                    try:
+                        data = unpacked(data, str(row[path_at]) if path_at is not None else "")
+                    except DocumentError as e:
+                        failed = {"disposition": "failed", "reason": "parse_error", "error": str(e)}
+                for k, ex in enumerate(extractors):
+                    for r in [failed] if failed else ex.rows(data, shared):
+                        out.append(own_keys | {"recipe": k, **{(f"fields_{k}" if n == "fields" else n): v for n, v in r.items()}})
+                number += 1
+                size += len(data or b"")
+                if size > 4 << 20 or len(out) > 5000:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return src.mapInArrow(run, schema)
+
+
 def _empty(raw: DataFrame, counted: int) -> DataFrame | None:
     """The empty files of a file source, of which ``counted`` others are read: Spark leaves them out. None where there are none."""
     names = raw.inputFiles()

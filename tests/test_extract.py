@@ -168,3 +168,28 @@ def test_empty_table_and_null_document(spark):
     assert E.extract(empty, r).data.count() == 0
     e = E.extract(spark.createDataFrame([("x", None)], "source_file string, content binary"), r)
     assert e.dispositions.first().reason == "input_unavailable"
+
+
+def test_many_recipes_parse_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"f{k}", d) for k, d in enumerate([ORDERS, "<bad", "<Shop/>", None])], "source_file string, content string")
+    ids = build({"record_type": "ids", "match_selectors": [{"xpath": "//Order"}], "field_mappings": [field("id", "@id"), field("n", "Total", "number"), field("half", type="number", expression="n / 2")]})
+    lines = build({"record_type": "lines", "match_selectors": [{"xpath": "//Line", "min_occurrences": 1}], "field_mappings": [field("sku", "@sku")]})
+    own = build({"record_type": "own", "match_selectors": [{"xpath": "Order"}], "field_mappings": [field("up", "ancestor::Section/@code"), field("bad", type="number", expression="1 / 0")]}, {"match_scope": "record"})
+    many = E.extract_many(docs, [ids, lines, own])
+    for name, r in (("ids", ids), ("lines", lines), ("own", own)):
+        alone = E.extract(docs, r)
+        assert sorted(map(str, many[name].data.collect())) == sorted(map(str, alone.data.collect()))
+        assert sorted(map(str, many[name].dispositions.collect())) == sorted(map(str, alone.dispositions.collect()))
+    plan = many["ids"].data._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "fields_1" not in plan.split("ReadSchema")[1]
+    from lodestone.sources import scan
+
+    calls = []
+    plain = scan.doctree.parse_xml
+    monkeypatch.setattr(scan.doctree, "parse_xml", lambda d: (calls.append(1), plain(d))[1])
+    shared = {}
+    for r in (ids, lines):
+        list(scan.Extractor(r).rows(ORDERS.encode(), shared))
+    assert len(calls) == 1
+    with pytest.raises(RecipeError):
+        E.extract_many(docs, [ids, ids])
