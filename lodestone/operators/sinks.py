@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.plans.extract import Extraction, envelope
 from lodestone.plans.staging import create_file, written
 
+from .profile import FieldState, ProfileConfig, report, states_as_json, states_from_json, texts_of
+
 
 def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
     """``df`` in ranges of an order, as a table: ``_p`` is a row's range, ``_k`` its place there from 0; and (range, rows) of each.
@@ -165,51 +167,68 @@ def write_shards(e: Extraction, path: str, rows: int | None = None, limit: int |
     is to be seen below ``shards`` before all shards are whole; the manifest, written last, commits the run.
     """
     order = (["input_ordinal"] if "input_ordinal" in e.keys else e.keys) + ["record_num"]
-    env = envelope(e, meta)
+    config = ProfileConfig.of(e.recipe.value_profile) if e.recipe.value_profile else None
+    more = {}
+    if config:
+        types = {f.name: f.dataType.simpleString() for f in e.rows.schema["data"].dataType.fields}
+        more = {f"_v{k}": c for k, c in enumerate(texts_of(types, config, lambda n: F.col(f"data.{n}")))}
+    env = envelope(e, meta, more)
     size = F.octet_length("value") + 1
     parts = shards_by_bytes(env, order, size, limit, rows) if limit else shards_by_rows(env, order, rows or 1 << 62)
-    shards = commit_shards(parts.select("shard", F.col(order[0]).cast("string").alias("input"), "value", *order), order, path)
-    manifest = manifest_of(e) | {"shards": shards}
+    messages = commit_shards(parts.select("shard", F.col(order[0]).cast("string").alias("input"), "value", *more, *order), order, path, config)
+    names = [c.split()[0] for c in MESSAGE.split(", ")][:-1]
+    manifest = manifest_of(e) | {"shards": [r.asDict() for r in messages.select(*names).orderBy("shard").collect()]}
+    if config:
+        manifest["value_profile"] = report(messages.select(states_from_json("profile").alias("s")).select("s.*"), config)
     write_json(env, f"{path}/manifest", manifest)
     return manifest
 
 
-MESSAGE = "shard long, file string, rows long, bytes long, sha256 string, first_input string, last_input string"
+MESSAGE = "shard long, file string, rows long, bytes long, sha256 string, first_input string, last_input string, profile string"
 
 
-def commit_shards(rows: DataFrame, order: list[str], path: str) -> list[dict[str, Any]]:
+def commit_shards(rows: DataFrame, order: list[str], path: str, config: ProfileConfig | None = None) -> DataFrame:
     """Writes rows (shard, input, value, order columns) as a file for each shard: staged by tasks, then moved by the driver.
 
     A task hashes and counts a shard while it writes it, and tells so in one message (rows, bytes, sha256, span of inputs)
     when it ends; a task that fails or runs again tells nothing of its first try. If any of them fails for good the staged
-    files are deleted and nothing is visible. Moving needs the name of each shard at the driver.
+    files are deleted and nothing is visible. Moving needs the name of each shard at the driver. With a profile its fields
+    are observed in the same pass (columns ``_v0``, ... beside the value). Returns the messages.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     staging = f"{path}/_staging-{uuid.uuid4().hex}"
     if _fs(spark, path).exists(_path(spark, f"{path}/shards")):
         raise FileExistsError(f"{path}/shards is there already")
+    fields = [f.name for f in config.fields] if config else []
+    most = config.max_distinct if config else 0
+    schema = pa.schema([(c.split()[0], pa.int64() if c.endswith(" long") else pa.string()) for c in MESSAGE.split(", ")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        shard, sink, at = None, None, {}
+        sink, at, sha, held = None, {}, None, {}
 
         def close() -> pa.RecordBatch:
             sink.close()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, at["file"], at["rows"], at["bytes"], at["sha"].hexdigest(), at["first"], at["last"]), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [c.split()[0] for c in MESSAGE.split(", ")])
+            return pa.RecordBatch.from_pylist([at | {"sha256": sha.hexdigest(), "profile": states_as_json(held) if held else None}], schema)
 
         try:
             for b in batches:
-                for own, name, value in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    if own != shard:
+                own = b.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
+                for a, z in zip(edges, edges[1:], strict=False):
+                    shard, names = int(own[a]), b.column(1)
+                    if shard != at.get("shard"):
                         if sink is not None:
                             yield close()
-                        shard = own
-                        at = {"file": f"shard-{own:06d}.ndjson-{uuid.uuid4().hex}", "rows": 0, "bytes": 0, "sha": hashlib.sha256(), "first": name, "last": name}
+                        at = {"shard": shard, "file": f"shard-{shard:06d}.ndjson-{uuid.uuid4().hex}", "rows": 0, "bytes": 0, "first_input": names[a].as_py()}
+                        sha, held = hashlib.sha256(), {f: FieldState(most) for f in fields}
                         sink = create_file(f"{staging}/{at['file']}")
-                    data = value.encode() + b"\n"
+                    data = "".join(f"{v}\n" for v in b.column(2).slice(a, z - a).to_pylist()).encode()
                     sink.write(data)
-                    at["sha"].update(data)
-                    at |= {"rows": at["rows"] + 1, "bytes": at["bytes"] + len(data), "last": name}
+                    sha.update(data)
+                    at |= {"rows": at["rows"] + z - a, "bytes": at["bytes"] + len(data), "last_input": names[z - 1].as_py()}
+                    for k, state in enumerate(held.values()):
+                        state.observe(b.column(3 + k).slice(a, z - a))
             if sink is not None:
                 yield close()
                 sink = None
@@ -218,11 +237,11 @@ def commit_shards(rows: DataFrame, order: list[str], path: str) -> list[dict[str
                 sink.close()
 
     try:
-        dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", *order).select("shard", "input", "value")
-        messages = written(dealt.mapInArrow(write, MESSAGE), "messages").orderBy("shard").collect()
+        dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", *order).select("shard", "input", "value", *(f"_v{k}" for k in range(len(fields))))
+        messages = written(dealt.mapInArrow(write, MESSAGE), "messages")
         fs = _fs(spark, path)
         fs.mkdirs(_path(spark, f"{path}/shards"))
-        for m in messages:
+        for m in messages.select("file").collect():
             if not fs.rename(_path(spark, f"{staging}/{m['file']}"), _path(spark, f"{path}/shards/{m['file'].rsplit('-', 1)[0]}")):
                 raise OSError(f"can't move {m['file']}")
     except BaseException:
@@ -230,7 +249,7 @@ def commit_shards(rows: DataFrame, order: list[str], path: str) -> list[dict[str
         raise
     finally:
         _fs(spark, path).delete(_path(spark, staging), True)
-    return [{"shard": m["shard"], "file": m["file"].rsplit("-", 1)[0], **{k: m[k] for k in ("rows", "bytes", "sha256", "first_input", "last_input")}} for m in messages]
+    return messages.withColumn("file", F.regexp_replace("file", "-[0-9a-f]+$", ""))
 
 
 def _path(spark: SparkSession, path: str):

@@ -389,8 +389,8 @@ def extract_many(docs: DataFrame, recipes: list[Recipe], parameters: dict[str, A
     return {n: extract(staged.where(F.col("recipe") == k).select(*(F.col(f"`{c}`") for c in shared), F.col(f"fields_{k}").alias("fields")), r, None, references, scanned=True) for k, (n, r) in enumerate(zip(names, ready, strict=True))}
 
 
-def envelope(e: Extraction, meta: dict[str, Any] | None = None) -> DataFrame:
-    """Records as JSON envelopes (``value``), with the document's columns and record_num.
+def envelope(e: Extraction, meta: dict[str, Any] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Records as JSON envelopes (``value``), with the document's columns, record_num and ``more`` columns.
 
     Absent top-level fields are left out; items of arrays keep explicit nulls, but those of polymorphic ones don't. With a
     uniform schema all fields are there.
@@ -417,7 +417,7 @@ def envelope(e: Extraction, meta: dict[str, Any] | None = None) -> DataFrame:
     if "summary" in e.rows.columns:
         inner.append(F.concat(F.lit('"summary":'), F.to_json("summary")))
     parts.append(F.concat(F.lit('"extract":{'), F.concat_ws(",", *inner), F.lit("}")))
-    return e.records.select(*(F.col(f"`{k}`") for k in e.keys), "record_num", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+    return e.records.select(*(F.col(f"`{k}`") for k in e.keys), "record_num", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"), *(c.alias(n) for n, c in (more or {}).items()))
 
 
 def run_workspace(spark: SparkSession, path: str, inputs: str | list[str] | DataFrame, parameters: dict[str, Any] | None = None) -> Extraction:

@@ -101,7 +101,7 @@ def test_a_failed_run_leaves_no_shard(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         S.commit_shards(bad, ["id"], str(tmp_path / "o"))
     assert not list((tmp_path / "o").rglob("*shard*"))
-    got = S.commit_shards(rows, ["id"], str(tmp_path / "o"))
+    got = S.commit_shards(rows, ["id"], str(tmp_path / "o")).orderBy("shard").collect()
     assert [(m["shard"], m["rows"], m["bytes"]) for m in got] == [(0, 5, 10), (1, 5, 10), (2, 5, 15), (3, 5, 15)]
     assert sorted(p.name for p in (tmp_path / "o").rglob("*") if p.is_file() and not p.name.startswith(".")) == [m["file"] for m in got]
     with pytest.raises(FileExistsError):
@@ -236,3 +236,22 @@ def test_a_folder_as_a_stream(spark, shop, tmp_path):
     assert [json.loads(x)["event"] for x in lines] == ["started", "progress", "completed"]
     with pytest.raises(RuntimeError):
         ev.emit("failed")
+
+
+def test_the_profile_of_a_run_leaves_failed_inputs_out(spark, tmp_path):
+    """In the pass that writes and in one of its own: the same; values beyond the limit stop growing in each task."""
+    docs = spark.createDataFrame([(f"f{k}", "<R>" + "".join(f"<O><c>{c}</c><n>{j}</n></O>" for j, c in enumerate(cs)) + "</R>") for k, cs in enumerate([["a", "b", "a"], ["secret", "x", ""], ["b"], ["c", "d"]])], "source_file string, content string").repartition(3)
+    raw = {"record_type": "o", "match_selectors": [{"xpath": "//O", "min_occurrences": 1}], "field_mappings": [{"output_field": "c", "xpath": "c"}, {"output_field": "n", "xpath": "n", "type": "integer"}], "output_schema": {"properties": {"c": {"maxLength": 2}}}}
+    public = {"safe_to_profile": True, "sensitivity": "public"}
+    r = build(raw, None, {"defaults": {"value_profile": {"max_distinct": 4, "fields": [{"field": "c", **public}, {"field": "n", **public}, {"field": "gone"}]}}})
+    e = E.extract(docs, r)
+    m = S.write_shards(e, str(tmp_path / "p"), 2)
+    want = {"c": {"tier": "enumeration", "status": "complete", "count": 6, "nulls": 0, "distinct": "4", "values": {"a": 2, "b": 2, "c": 1, "d": 1}}, "n": {"tier": "enumeration", "status": "complete", "count": 6, "nulls": 0, "distinct": "3", "low": 0.0, "high": 2.0, "values": {"0": 3, "1": 2, "2": 1}}}
+    assert {k: m["value_profile"][k] for k in ("c", "n")} == want and m["value_profile"]["gone"]["nulls"] == 6
+    assert P.run_profile(e) == m["value_profile"] and [s["rows"] for s in m["shards"]] == [2, 2, 2]
+    state = P.FieldState(3)
+    import pyarrow as pa
+
+    for k in range(20):
+        state.observe(pa.array([f"v{k}", None, ""]))
+    assert state.capped and not state.vals and (state.count, state.nulls) == (60, 40)
