@@ -1,8 +1,9 @@
-"""Command line: ``python -m lodestone VERB ...`` (extract, inspect, starter, index, verify-index, manifest, transforms)."""
+"""Command line: ``python -m lodestone VERB ...`` (extract, inspect, starter, index, boundaries, verify-index, manifest, transforms)."""
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 
@@ -12,9 +13,11 @@ def parser() -> argparse.ArgumentParser:
     verbs = p.add_subparsers(dest="verb", required=True)
     x = verbs.add_parser("extract", help="run a recipe workspace over files")
     x.add_argument("workspace")
-    x.add_argument("input", nargs="+")
-    x.add_argument("--out", required=True)
-    x.add_argument("--format", choices=("ndjson", "shards", "parquet"), default="ndjson")
+    x.add_argument("input", nargs="*", help="files, folders or patterns")
+    x.add_argument("--file-list", help="a list of inputs, with sizes and digests where declared")
+    x.add_argument("--out", help="where the output goes; not needed for stdout")
+    x.add_argument("--format", choices=("ndjson", "shards", "parquet", "stdout"), default="ndjson")
+    x.add_argument("--events", help="a file for the events of the run, one JSON object a line")
     x.add_argument("--rows", type=int)
     x.add_argument("--bytes", type=int)
     x.add_argument("--param", action="append", default=[], metavar="NAME=VALUE", help="repeat a name for a list")
@@ -27,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--record", required=True)
     i.add_argument("--format", choices=("xml", "json", "ndjson"), default="xml")
     i.add_argument("--out", required=True)
+    b = verbs.add_parser("boundaries", help="records of large files: counts, sizes, offsets, the largest ones")
+    b.add_argument("input", nargs="+")
+    b.add_argument("--record", required=True)
+    b.add_argument("--format", choices=("xml", "json", "ndjson"), default="xml")
+    b.add_argument("--max-records", type=int, help="the first records of each file only")
     verbs.add_parser("verify-index", help="check an index against its files").add_argument("index")
     verbs.add_parser("manifest", help="sizes and digests of files").add_argument("input", nargs="+")
     verbs.add_parser("transforms", help="the field transforms")
@@ -45,6 +53,36 @@ def parameters(given: list[str]) -> dict[str, str | list[str]]:
     return out
 
 
+def extract(a, e) -> int:
+    """Writes an extraction; 1 where an input has failed."""
+    from lodestone.operators import profile, sinks
+    from lodestone.plans.extract import envelope
+
+    if a.format == "stdout":
+        order = [c for c in ("input_ordinal", "source_file") if c in e.keys]
+        for r in envelope(e).orderBy(*order, "record_num").select("value").toLocalIterator():
+            print(r["value"])
+        failed = [r.asDict() for r in e.dispositions.where("disposition = 'failed'").limit(1000).collect()]
+        for r in failed:
+            print(json.dumps(r, default=str), file=sys.stderr)
+        return 1 if failed else 0
+    m = None
+    if a.format == "ndjson":
+        sinks.write_ndjson(e, f"{a.out}/records")
+    elif a.format == "parquet":
+        sinks.write_parquet(e, f"{a.out}/records", e.recipe.parquet.get("compression") or "zstd", e.recipe.parquet.get("withhold_columns"))
+    else:
+        m = sinks.write_shards(e, a.out, a.rows, a.bytes)
+    sinks.write_dispositions(e, a.out)
+    if m is None:
+        m = sinks.manifest_of(e)
+        shown = profile.run_profile(e)
+        m |= {"value_profile": shown} if shown else {}
+        sinks.write_json(e.rows, f"{a.out}/manifest", m)
+    print(json.dumps(m))
+    return 1 if m["inputs_failed"] else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.verb == "transforms":
@@ -55,23 +93,34 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from lodestone.operators import artifacts, index, inspect, sinks
+    from lodestone.operators import artifacts, index, inspect
     from lodestone.plans.extract import run_workspace
+    from lodestone.sources.inputs import parse_file_list, read_list
     from lodestone.sources.scan import listed, read_files
+    from lodestone.streaming.files import Watched
 
     spark = SparkSession.builder.getOrCreate()
     if a.verb == "extract":
-        e = run_workspace(spark, a.workspace, a.input, parameters(a.param))
-        if a.format == "ndjson":
-            sinks.write_ndjson(e, f"{a.out}/records")
-        elif a.format == "parquet":
-            sinks.write_parquet(e, f"{a.out}/records", e.recipe.parquet.get("compression") or "zstd", e.recipe.parquet.get("withhold_columns"))
-        else:
-            sinks.write_shards(e, a.out, a.rows, a.bytes)
-        sinks.write_dispositions(e, a.out)
-        m = sinks.manifest_of(e)
-        print(json.dumps(m))
-        return 1 if m["inputs_failed"] else 0
+        if bool(a.input) == bool(a.file_list):
+            raise SystemExit("give either inputs or a file list")
+        if not a.out and a.format != "stdout":
+            raise SystemExit("--out is missing")
+        with contextlib.ExitStack() as stack:
+            if a.events:
+                log = stack.enter_context(open(a.events, "a", buffering=1))  # the driver's own file
+                stack.enter_context(Watched(spark, lambda line: print(line, file=log)))
+            inputs = a.input
+            if a.file_list:
+                text = spark.read.text(a.file_list, wholetext=True).first()
+                inputs = read_list(spark, parse_file_list(text[0] if text else ""))
+            return extract(a, run_workspace(spark, a.workspace, inputs, parameters(a.param)))
+    if a.verb == "boundaries":
+        records = index.build(listed(spark, a.input), a.record, a.format, a.max_records)
+        for r in inspect.boundaries(records).orderBy("source_file").toLocalIterator():
+            print(json.dumps(r.asDict()))
+        for r in inspect.largest(records).collect():
+            print(json.dumps(r.asDict()))
+        return 0
     if a.verb == "inspect":
         for r in inspect.path_report(inspect.paths(read_files(spark, a.input), a.format)).toLocalIterator():
             print(json.dumps(r.asDict(), default=str))

@@ -204,3 +204,28 @@ def merge_dialects(base: dict[str, dict], own: dict[str, dict], mode: str = "ble
     if mode != "blend":
         raise ValueError(f"unknown mode {mode!r}")
     return {k: {**base.get(k, {}), **own.get(k, {})} for k in sorted({*base, *own})}
+
+
+def boundaries(records: DataFrame, large: int = 10 << 20) -> DataFrame:
+    """Of each file of an index: records, bytes, mean, first offset, three sample offsets, how many are ``large``, advice on streaming.
+
+    Samples are a ring of three: the first records fill it in order, record n then takes place n mod 3. All of it is
+    aggregated before the shuffle, three rows a file at most for the ring.
+    """
+    n, size = F.col("record_num"), F.col("size_bytes")
+    slot = F.when(n <= 3, n - 1).otherwise(n % 3)
+    ring = records.groupBy("source_file", slot.alias("slot")).agg(F.max_by("start_offset", "record_num").alias("offset"))
+    ring = ring.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "offset"))), lambda x: x["offset"]).alias("sample_offsets"))
+    bucket = F.greatest(F.lit(10), F.least(F.lit(30), F.ceil(F.log2(F.greatest(size, F.lit(1))))))
+    hist = records.groupBy("source_file", bucket.alias("b")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy("source_file")  # at most 21 rows
+    upto = hist.withColumns({"upto": F.sum("k").over(w.orderBy("b")), "all": F.sum("k").over(w)})
+    p95 = upto.where(F.col("upto") >= F.ceil(F.col("all") * 0.95)).groupBy("source_file").agg(F.min(F.pow(F.lit(2.0), F.col("b"))).cast("long").alias("p95_size"))
+    agg = records.groupBy("source_file").agg(F.count("*").alias("records"), F.sum(size).alias("bytes"), F.avg(size).alias("mean_size"), F.max(size).alias("max_size"), F.min("start_offset").alias("first_offset"), F.count_if(size > large).alias("large_records"))
+    out = agg.join(ring, "source_file").join(p95, "source_file")
+    return out.withColumn("streaming", suitability(F.col("records"), F.col("p95_size"), F.col("max_size")))
+
+
+def largest(records: DataFrame, k: int = 5, above: int = 0) -> DataFrame:
+    """The ``k`` largest records above a size: source_file, record_num, start_offset, size_bytes; ties in the order of files and records."""
+    return records.where(F.col("size_bytes") > above).select("source_file", "record_num", "start_offset", "size_bytes").orderBy(F.desc("size_bytes"), "source_file", "record_num").limit(k)

@@ -155,3 +155,22 @@ def recipes_and_documents(spark, sf_dir):
     made = extract_many(docs, [strict, build({"record_type": "loose", **maps})])
     parts = [e.dispositions.withColumn("recipe", F.lit(n)) for n, e in made.items()]
     return parts[0].unionByName(parts[1]).groupBy("kind", "recipe", "disposition", "reason").agg(F.count("*").alias("documents"), F.sum("records").alias("records"))
+
+
+@query(f"""WITH r AS (SELECT c_nationkey AS nation, o_orderkey, strlen({ORDER_SQL}) AS size, row_number() OVER w AS n, 62 + coalesce(sum(strlen({ORDER_SQL}) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos {_ORDERS_OF} WHERE c_nationkey % 7 <> 0 WINDOW w AS (PARTITION BY c_nationkey ORDER BY o_orderkey)),
+s AS (SELECT nation, CASE WHEN n <= 3 THEN n - 1 ELSE n % 3 END AS slot, arg_max(pos, n) AS pos FROM r GROUP BY 1, 2)
+SELECT nation, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes, CAST(min(pos) AS BIGINT) AS first_offset, CAST(count(*) FILTER (size > 74) AS BIGINT) AS large_records, (SELECT string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR), ' ' ORDER BY slot) FROM s WHERE s.nation = r.nation) AS samples, CASE WHEN count(*) >= 10000 THEN 'high' WHEN count(*) >= 1000 THEN 'medium' ELSE 'low' END AS streaming FROM r GROUP BY nation""")
+def record_boundaries(spark, sf_dir):
+    """Counts, offsets and advice for the records of large files."""
+    from lodestone.operators import inspect as IN
+
+    ix = IX.build_index(listed(spark, xml_files(spark, sf_dir)), "Order", piece=PIECE)
+    return IN.boundaries(ix.records, 74).select(key_of().alias("nation"), "records", "bytes", "first_offset", "large_records", F.concat_ws(" ", "sample_offsets").alias("samples"), "streaming")
+
+
+@query(f"""SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS record_num, CAST(strlen({ORDER_SQL}) AS BIGINT) AS size_bytes {_ORDERS_OF} WHERE c_nationkey % 7 <> 0 ORDER BY size_bytes DESC, 'key=' || CAST(c_nationkey AS VARCHAR) || '/', record_num LIMIT 5""")
+def largest_records(spark, sf_dir):
+    from lodestone.operators import inspect as IN
+
+    ix = IX.build_index(listed(spark, xml_files(spark, sf_dir)), "Order", piece=PIECE)
+    return IN.largest(ix.records, 5).select(key_of().alias("nation"), "record_num", "size_bytes")

@@ -75,3 +75,24 @@ def discover(spark: SparkSession, root: str, include: str = "*", exclude: str |
         raw = raw.where(F.size(F.filter(F.split(F.regexp_replace("source_file", r"^file:/+", "/"), "/"), lambda p: p != "")) - 1 - base <= depth)
     ordered = raw.orderBy("source_file").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1] + 1))
     return spark.createDataFrame(ordered, "source_file string, size_bytes long, input_ordinal long")
+
+
+def read_list(spark: SparkSession, declared: list[Declared]) -> DataFrame:
+    """The inputs of a file list as documents in declared order; missing ones and those that aren't as declared have no content.
+
+    Which inputs are there is found before the run, by their names alone.
+    """
+    from .scan import read_files
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(uri: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(uri)
+        return path.getFileSystem(conf).isFile(path)
+
+    found = [d.uri for d in declared if there(d.uri)]
+    if found:
+        files = read_files(spark, sorted(set(found)))
+    else:
+        files = spark.createDataFrame([], "source_file string, size_bytes long, input_ordinal long, input_sha256 string, content binary")
+    return verified(files, declared_frame(spark, declared))

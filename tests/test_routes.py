@@ -90,6 +90,17 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert parameters(["a=1", "b=x", "b=y", "c="]) == {"a": "1", "b": ["x", "y"], "c": ""}
     with pytest.raises(SystemExit):
         parameters(["a"])
+    (tmp_path / "list").write_text(f"{shop}/b.xml\n{shop}/none.xml\n# c\n{shop}/a.xml\n")
+    assert main(["extract", str(w), "--file-list", str(tmp_path / "list"), "--format", "stdout", "--events", str(tmp_path / "log")]) == 1
+    told = capsys.readouterr()
+    lines = [json.loads(x) for x in told.out.splitlines()]
+    assert len(lines) == 80 and lines[0]["_runtime"]["source_file"].endswith("b.xml") and lines[79]["_runtime"]["source_file"].endswith("a.xml")
+    assert json.loads(told.err.splitlines()[-1])["reason"] == "input_unavailable"
+    events = [json.loads(x)["event"] for x in (tmp_path / "log").read_text().splitlines()]
+    assert events[0] == "started" and events[-1] == "completed" and events.count("completed") == 1
+    assert main(["boundaries", str(shop), "--record", "Order", "--max-records", "5"]) == 0
+    shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["records"] for x in shown[:2]] == [5, 5] and len(shown) == 7
 
 
 def outcomes(e):
@@ -152,3 +163,52 @@ def test_of_two_inputs_with_one_key_the_bad_one_fails_alone(spark):
     for maps in (MAPS, [*MAPS, {"output_field": "t", "type": "number", "expression": "total + 1"}]):
         e = extract(docs, recipe(maps=maps))
         assert [r.id for r in e.data.collect()] == [1] and sorted(r.disposition for r in e.dispositions.collect()) == ["applied", "failed"]
+
+
+def test_a_run_tells_its_progress_and_exactly_one_end(spark):
+    import time
+
+    from lodestone.streaming.files import Watched
+
+    log = []
+    with Watched(spark, log.append, "r1", every=0.05):
+        spark.range(8).repartition(8).mapInPandas(lambda it: (time.sleep(0.2) or b for b in it), "id long").count()
+        time.sleep(0.2)
+    events = [json.loads(x) for x in log]
+    names = [x["event"] for x in events]
+    assert names[0] == "started" and names[-1] == "completed" and "progress" in names and "heartbeat" in names
+    assert [x["seq"] for x in events] == list(range(1, len(events) + 1)) and {x["run_id"] for x in events} == {"r1"}
+    for error, end in ((ValueError("no"), "failed"), (KeyboardInterrupt(), "cancelled")):
+        log.clear()
+        with pytest.raises(type(error)), Watched(spark, log.append):
+            raise error
+        assert [json.loads(x)["event"] for x in log] == ["started", end]
+
+
+def test_streams_tell_their_end(spark, shop, tmp_path):
+    from lodestone.streaming import files as ST
+
+    log = []
+    listener = ST.StreamEvents(log.append)
+    spark.streams.addListener(listener)
+    try:
+        for k, sink in enumerate((ST.parquet_sink(str(tmp_path / "o")), lambda e, n: 1 / 0)):
+            q = ST.extract_stream(ST.stream_files(spark, str(shop)), recipe(), sink, str(tmp_path / f"c{k}"))
+            try:
+                q.awaitTermination()
+            except Exception:
+                assert k == 1
+        for _ in range(100):
+            if sum('"completed"' in x or '"failed"' in x for x in log) == 2:
+                break
+            import time
+
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    runs = {}
+    for x in map(json.loads, log):
+        runs.setdefault(x["run_id"], []).append(x["event"])
+    ends = sorted(r[-1] for r in runs.values())
+    assert ends == ["completed", "failed"] and all(r[0] == "started" and sum(e in ("completed", "failed") for e in r) == 1 for r in runs.values())
+    assert spark.read.parquet(str(tmp_path / "o/data")).count() == 80
