@@ -15,9 +15,10 @@ successor search in the compressed level (two selects and a binary search on low
 Witten and Bell: p(w | h) = (c + d p(w | shorter h)) / (T + d), with T the tokens and d the distinct words seen after h.
 The unigram level is the smoothed base distribution itself.
 
-A context so frequent that it would outgrow a shard is divided into classes by a hash of the word before it, so that no
-shard has more than a bounded share of the text. Its bigrams are counted over all classes in a pass of their own and kept
-in mapped files as the vocabulary is: estimates, and so scores, don't depend on the number of shards.
+A context so frequent that it would outgrow a shard is divided into classes by a hash of the word before it; the starts of
+documents, which have none, by a hash of their first word. Its bigrams are counted over all classes in a pass of their own
+and kept in mapped files as the vocabulary is: estimates, and so scores, don't depend on the number of shards. What isn't
+divided is one frequent pair of words: all tokens that follow it lie in one shard.
 
 One shuffle carries each token once, as (word before, context, word, document) in packed columns; one more carries sums
 per document and shard, and one the pre-aggregated bigrams of frequent contexts.
@@ -248,12 +249,17 @@ def build_vocabulary(docs: DataFrame, path: str, held_out_mod: int, top: int = T
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Numbers that aren't negative as byte planes, compressed: as many planes as the largest one needs, told by the first byte."""
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    own = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(own.tobytes())
 
 
 def _numbers(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+    own = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = own.T
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
 @dataclass
@@ -272,14 +278,14 @@ class Routes:
         hot = [(w, n) for w, c in frequent if (n := -(-2 * c * shards // max(1, v.tokens))) > 1]
         return cls(shards, v.wide, np.array([w for w, _ in hot], np.int64), np.array([n for _, n in hot], np.int64))
 
-    def contexts(self, before: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context ids and shards."""
+    def contexts(self, before: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context ids and shards. Before a document's first word there is no other: its starts are dealt by that word."""
         out = context.copy()
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
             hit = np.flatnonzero(self.hot[at] == context)
             first = np.cumsum(self.classes) - self.classes
-            out[hit] = self.base + first[at[hit]] + (mix64(before[hit] + 77) % self.classes[at[hit]].astype(np.uint64)).astype(np.int64)
+            out[hit] = self.base + first[at[hit]] + (mix64(np.where(context[hit] == BOS, word[hit], before[hit]) + 77) % self.classes[at[hit]].astype(np.uint64)).astype(np.int64)
         return out, (mix64(out) % np.uint64(self.shards)).astype(np.int64)
 
     def hot_of(self, context: np.ndarray) -> np.ndarray:
@@ -424,6 +430,7 @@ class Trie:
     def build(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, words: int, routes: Routes | None = None, hot: HotBigrams | None = None) -> dict[str, np.ndarray]:
         """Levels from distinct trigrams (ascending by context, before, word), their training counts (0: asked for only) and their words' unigram probabilities."""
         ctx, ci = np.unique(context, return_inverse=True)
+        starts = ctx[:0]
         bk, bi = np.unique(ci * words + word, return_inverse=True)
         low = np.zeros(len(bk))
         low[bi] = p1
@@ -435,6 +442,8 @@ class Trie:
             t2, d2 = (np.where(which >= 0, x[np.maximum(which, 0)], y) for x, y in ((hot.tokens, t2), (hot.distinct, d2)))
             own = np.flatnonzero(which[b_ctx] >= 0)
             c2[own] = hot.counts(which[b_ctx[own]], b_word[own])
+            first = routes.hot.tolist().index(BOS) if BOS in routes.hot else -2
+            starts = np.flatnonzero(which == first)  # a class of document starts: its node has the tokens and words of all
         all2 = np.maximum(t2 + d2, 1)
         p2 = (c2 + d2[b_ctx] * low) / all2[b_ctx]
         seen = c2 > 0  # successors of the context; of a frequent one those that this shard is asked for
@@ -442,8 +451,14 @@ class Trie:
         begin = np.searchsorted(b_ctx[seen], np.arange(len(ctx) + 1))
         live = np.flatnonzero(count > 0)
         del bk, low
-        nk, ni = np.unique(ci[live] * words + before[live], return_inverse=True)
-        t3, d3 = np.bincount(ni, count[live], len(nk)), np.bincount(ni, minlength=len(nk))
+        own = ci[live] * words + before[live]
+        nk = np.unique(np.concatenate([own, starts * words + BOS]))
+        ni = np.searchsorted(nk, own)
+        kids = np.bincount(ni, minlength=len(nk))
+        t3, d3 = np.bincount(ni, count[live], len(nk)), kids.copy()
+        if len(starts):
+            at_start = np.searchsorted(nk, starts * words + BOS)
+            t3[at_start], d3[at_start] = hot.tokens[first], hot.distinct[first]
         p3 = (count[live] + d3[ni] * p2[bi[live]]) / (t3 + d3)[ni] if len(live) else np.zeros(0)
         wide = int(np.diff(begin).max(initial=0)) + 1
         child = ni * wide + at[bi[live]] - begin[ci[live]]
@@ -455,7 +470,7 @@ class Trie:
         new[known] = np.arange(len(known))
         levels = {
             "contexts": lambda: ctx[known], "successor_at": lambda: np.append(begin[known], begin[-1]), "successors": lambda: new[b_ctx[seen]] * words + b_word[seen],
-            "nodes": lambda: new[nk // words] * words + nk % words, "child_at": lambda: np.append(0, np.cumsum(d3)), "children": lambda: child[order],
+            "nodes": lambda: new[nk // words] * words + nk % words, "child_at": lambda: np.append(0, np.cumsum(kids)), "children": lambda: child[order],
         }
         for k, values in levels.items():
             e = EliasFano.build(values()).arrays()
@@ -567,7 +582,7 @@ def score_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             facts["held"] = [py_id_crc(i) % held_out_mod == 0 for i in ids]
             facts["n"], facts["known"] = lens, np.add.reduceat((count > 0).astype(np.int64), starts)
             facts["base"] = np.add.reduceat(v.base(count), starts)
-            context, shard = routes.contexts(before, context)
+            context, shard = routes.contexts(before, context, word)
             order = np.argsort(shard.astype(np.uint16 if routes.shards < 1 << 16 else np.int64), kind="stable")
             cut = np.searchsorted(shard[order], np.arange(routes.shards + 1))
             tag = 2 * doc + (1 - facts["held"][doc])

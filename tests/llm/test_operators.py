@@ -403,6 +403,7 @@ def witten_bell(rows, mod):
 def test_scores_are_those_of_the_model_whatever_the_shards(spark):
     r = random.Random(9)
     rows = [(k, " ".join(r.choice(["the", "the", "of", *prose(k % 25, 6).split()]) for _ in range(r.randrange(60)))) for k in range(150)] + odd_texts()[:8]
+    rows += [(500 + k, r.choice(["", "the", "of", "x", f"y{k}"])) for k in range(120)]  # many starts
     want = sorted((r.held_out, n, s) for (r, n), s in zip([(type("R", (), {"held_out": crc(i) % 10 == 0}), len((x or "").split()) + 1) for i, x in rows], witten_bell(rows, 10), strict=True))
     scores = []
     for tokens in (1_500_000, 300, 60):
@@ -412,6 +413,20 @@ def test_scores_are_those_of_the_model_whatever_the_shards(spark):
     assert scores[0] == scores[1] == scores[2]
 
 
+def test_starts_of_documents_are_dealt_over_shards():
+    v = ngram_lm.Vocabulary([None], 10, 50_000, 200_000, 220_000, np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    routes = ngram_lm.Routes.of(v, 10_000)
+    n = 50_000
+    _, shard = routes.contexts(np.full(n, ngram_lm.BOS), np.full(n, ngram_lm.BOS), np.arange(n))
+    assert np.bincount(shard).max() < 2 * 10_000 and len(np.unique(shard)) > 5
+
+
+def test_ids_beyond_32_bits_are_kept():
+    for a in ([], [0], [3, 255, 256], [4_294_967_301, 5, 1 << 55]):
+        x = np.array(a, np.int64)
+        assert ngram_lm._numbers(ngram_lm._planes(x)).tolist() == a
+
+
 def test_trie_holds_the_model_and_sums_to_one():
     r = np.random.default_rng(3)
     tri = np.unique(r.zipf(1.5, (4000, 3)) % 30, axis=0)
