@@ -96,10 +96,7 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, least_docs: in
         return out
 
     w, bias = fit_logistic(forward, back, y, len(keep), l2, rounds=60)
-    v = r * w
-    live = np.abs(v) > 1e-3 * np.abs(v).max()
-    slot[keep] = np.where(live, np.cumsum(live), 0)
-    return NbLinear(slot, np.concatenate([[0.0], v[live]]), bias)
+    return NbLinear(slot, np.concatenate([[0.0], r * w]), bias)
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = 4000) -> NbLinear:
