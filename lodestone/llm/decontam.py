@@ -6,8 +6,8 @@ is searched with are windows of twice its longest possible item, half overlappin
 them, and what is found for an item doesn't depend on the other items' lengths or on how items are cut into blocks. Before
 WAND, the largest impacts in ranges of items bound the scores of the passages of many texts in one product; only passages
 whose bound reaches the threshold are searched: this skips no hit. What is retrieved counts when question and answer both
-overlap. Items of fewer than ``LEAST_WORDS`` words are no passages of their own: such an item is found in the texts that
-consist of just its words. Items come in blocks of bounded size, each a file in the shared folder; one scan of the texts
+overlap. Items of fewer than ``LEAST_WORDS`` words are no passages of their own: such an item is found wherever its words
+stand beside each other in that order. Items come in blocks of bounded size, each a file in the shared folder; one scan of the texts
 goes through all of them. Document frequencies cover all items.
 """
 
@@ -161,7 +161,8 @@ class BlockMaxIndex:
 class ItemIndex:
     """The items of one block: an index for each length class, and the short items by their words."""
 
-    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_len: float, threshold: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_len: float, threshold: float, anywhere: bool = True) -> None:
+        self.anywhere = anywhere
         by: dict[int, list] = {}
         self.short: dict[tuple[str, ...], list[int | None]] = {}
         for i, t in items:
@@ -170,15 +171,30 @@ class ItemIndex:
                 self.short.setdefault(tuple(q + a), []).append(i)
             else:
                 by.setdefault(max(SHORTEST, 1 << (len(q) + len(a) - 1).bit_length()), []).append((i, q, a))
+        self.openers = {w[0] for w in self.short if w}
+        self.short_lengths = sorted({len(w) for w in self.short if w})
         many = sum(map(len, by.values()))
         self.classes = [BlockMaxIndex(part, df, n_items, mean_len, threshold, n, max(8, RANGES * len(part) // many)) for n, part in sorted(by.items())]
         names = sorted({w for c in self.classes for w in c.term})
         self.term = {w: j for j, w in enumerate(names)}
         self.own = [np.array([*(c.term.get(w, -1) for w in names), -1], np.int64) for c in self.classes]
 
+    def _short(self, words: list[str]) -> list[tuple[int | None, float, float, float, int]]:
+        """The short items of a text, each at its first place."""
+        if not self.anywhere:
+            return [(i, 1.0, 1.0, 1.0, 0) for i in self.short.get(tuple(words), ())] if len(words) < LEAST_WORDS else []
+        places = [k for k, w in enumerate(words) if w in self.openers] if self.openers else ()
+        found: dict[tuple[str, ...], int] = {}
+        for k in places:
+            for n in self.short_lengths:
+                run = tuple(words[k : k + n])
+                if len(run) == n and run in self.short:
+                    found.setdefault(run, k)
+        return [(i, 1.0, 1.0, 1.0, k) for run, k in sorted(found.items()) for i in self.short[run]]
+
     def hits(self, texts: list[list[str]], least_question: float = 0.5, least_answer: float = 0.5) -> list[list[tuple[int | None, float, float, float, int]]]:
         """Of each text (its words) the verified items: (item id, score, question overlap, answer overlap, first word of the passage)."""
-        out: list[list] = [[(i, 1.0, 1.0, 1.0, 0) for i in self.short.get(tuple(w), ())] if len(w) < LEAST_WORDS else [] for w in texts]
+        out: list[list] = [self._short(w) for w in texts]
         lengths = np.array([len(w) for w in texts], np.int64)
         get, none = self.term.get, len(self.term)
         term = np.fromiter((get(w, none) for w in chain.from_iterable(texts)), np.int64, int(lengths.sum()))
@@ -208,10 +224,11 @@ class ItemIndex:
         return out
 
 
-def build_index(items: DataFrame, threshold: float = 0.5, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+def build_index(items: DataFrame, threshold: float = 0.5, id_col: str = "item_id", text_col: str = "text", anywhere: bool = True) -> list[str]:
     """Writes the items' index files, ``INDEX_BYTES`` of text each at the driver at a time; returns their URIs.
 
-    Items without id are indexed as any others; items without words can't be found and are left out.
+    Items without id are indexed as any others; items without words can't be found and are left out. Without ``anywhere``
+    items of fewer than ``LEAST_WORDS`` words are found in texts of just their words only.
     """
     spark = items.sparkSession
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
@@ -250,7 +267,7 @@ def build_index(items: DataFrame, threshold: float = 0.5, id_col: str = "item_id
         store, at = file_system(out[-1])
         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(at, compression=None) as sink:
-            sink.write(pickle.dumps(ItemIndex(part, known, total[" "], total[""] / total[" "], threshold), 5))
+            sink.write(pickle.dumps(ItemIndex(part, known, total[" "], total[""] / total[" "], threshold, anywhere), 5))
     return out
 
 
@@ -311,9 +328,13 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go, those with null or empty texts stay; all columns of ``docs`` stay."""
+    """Pipeline stage: documents that hold a test item go, those with null or empty texts stay; all columns of ``docs`` stay.
+
+    An item of fewer than ``LEAST_WORDS`` words takes only documents away that consist of just its words: a word or two of
+    common language would take clean ones too.
+    """
     at = docs.columns.index("text")
-    uris = build_index(table(spark, sf_dir, "benchmark"))
+    uris = build_index(table(spark, sf_dir, "benchmark"), anywhere=False)
     if not uris:
         return docs
 

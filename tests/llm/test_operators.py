@@ -183,8 +183,9 @@ def brute_contaminated(docs, rows, threshold=0.5):
         w = decontam.WORD.findall((text or "").lower())
         for k, own in words.items():
             if len(own) < 4:
-                if w == own:
-                    out.add((d, rows[k][0], 1.0, 1.0, 1.0, 0))
+                first = next((j for j in range(len(w) - len(own) + 1) if w[j : j + len(own)] == own), -1)
+                if own and first >= 0:
+                    out.add((d, rows[k][0], 1.0, 1.0, 1.0, first))
                 continue
             impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / mean)) for x, f in Counter(own).items()}
             q, a = decontam.split_item(rows[k][1])
@@ -203,8 +204,8 @@ def brute_contaminated(docs, rows, threshold=0.5):
 
 
 def test_whole_query_against_every_passage_whatever_the_blocks(spark, monkeypatch):
-    rows = [*items()[:25], (70, prose(3000, 150)), (71, prose(3001, 300)), (72, prose(3002, 9)), (73, "zq1a"), (74, "The of"), (None, prose(3003, 40)), (None, prose(3004, 40)), (76, None), (77, "!")]
-    r, docs = random.Random(4), [(900, "zq1a"), (901, "the OF!"), (902, "zq1a the"), (903, None), (904, ""), (905, f"y {rows[30][1]} x")]
+    rows = [*items()[:25], (70, prose(3000, 150)), (71, prose(3001, 300)), (72, prose(3002, 9)), (73, "zq1a"), (74, "Zq2b of zq3c"), (None, prose(3003, 40)), (None, prose(3004, 40)), (76, None), (77, "!")]
+    r, docs = random.Random(4), [(900, "zq1a"), (901, "zq2b OF zq3c!"), (902, "the zq1a the zq1a"), (907, "zq2b of of zq3c"), (908, f"{prose(5, 50)} zq2b, of zq3c {prose(6, 50)}"), (903, None), (904, ""), (905, f"y {rows[30][1]} x")]
     for k in range(60):
         own = r.choice(rows[:28])[1].split()
         own = own[: r.randrange(len(own) // 2, len(own) + 1)]
@@ -212,7 +213,7 @@ def test_whole_query_against_every_passage_whatever_the_blocks(spark, monkeypatc
             own.insert(r.randrange(len(own)), prose(k, r.choice([1, 30])))
         docs.append((k, f"{prose(k, r.randrange(200))} {' '.join(own)} {prose(k + 7, r.randrange(90))}"))
     want = brute_contaminated(docs, rows)
-    assert len(want) > 20 and {(900, 73), (901, 74)} == {x[:2] for x in want if x[1] in (73, 74)} and any(x[1] is None for x in want)
+    assert len(want) > 20 and {(900, 73), (902, 73), (901, 74), (908, 74)} == {x[:2] for x in want if x[1] in (73, 74)} and any(x[1] is None for x in want)
     df, bench = rows_of(spark, docs), spark.createDataFrame(rows, "item_id long, text string")
     for size in (8 << 20, 1500):
         monkeypatch.setattr(decontam, "INDEX_BYTES", size)
@@ -228,11 +229,17 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     docs += [(200 + k, f"{prose(k, 200)} {rows[k][1].upper().replace('.', ' ;')}") for k in range(10)]  # other case and marks
     docs += [(300, f"{prose(0, 100_000)} {rows[7][1]}")]  # at the end of a very long text
     docs += [(400 + k, prose(k, 40) + " " + " ".join(rows[k][1].split()[:4])) for k in range(10)]  # a few words only
-    bench = spark.createDataFrame([*rows, (None, "x"), (900, None), (901, "")], "item_id long, text string")
+    bench = spark.createDataFrame([*rows, (None, "zq4x"), (900, None), (901, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows_of(spark, docs), bench).collect()}
     assert got == {(100 + k, k) for k in range(20)} | {(200 + k, k) for k in range(10)} | {(300, 7)}
 
 
+def test_the_stage_keeps_texts_that_only_mention_short_items(spark, tmp_path):
+    spark.createDataFrame([(1, "the of"), (2, prose(50, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = rows_of(spark, [(1, "The of"), (2, f"say the of {prose(1, 20)}"), (3, f"{prose(2, 40)} {prose(50, 30)}"), (4, None), (5, "of the")])
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [2, 4, 5]
+
+
 def test_decontamination_over_odd_tables(spark, odd, none):
     bench = spark.createDataFrame(items(), "item_id long, text string")
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0
@@ -653,6 +660,15 @@ def test_languages_of_held_out_documents(spark):
     assert all(got[i] == g for i, _, g in rows if crc(i) % 5 == 0)
 
 
+def test_rows_without_letters_take_no_share_and_one_language_may_fill_all(spark):
+    rows = [(k, "12 34" if k % 3 else f"das {prose(k, 9)}", "de") for k in range(3000)] + [(5000 + k, f"le {prose(k, 9)}", "fr") for k in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 16)
+    assert model.langs == ["de", "fr"]
+    many = spark.createDataFrame([("g", k, (k * 7919) % 5003) for k in range(5000)], "g string, i long, h long").repartition(3)
+    got = langid.lowest(many, 40).collect()
+    assert len(got) <= 120 and {r.h for r in got} >= {r.h for r in many.orderBy("h").limit(40).collect()}
+
+
 def test_nystrom_with_all_landmarks_is_kernel_ridge():
     texts, langs = [prose(k, 12, TONGUES[g]) for k, g in enumerate(list(TONGUES) * 8)], list(TONGUES) * 8
     m = langid.fit(texts, langs, landmarks=len(texts), ridge=1e-2)
