@@ -174,3 +174,63 @@ def largest_records(spark, sf_dir):
 
     ix = IX.build_index(listed(spark, xml_files(spark, sf_dir)), "Order", piece=PIECE)
     return IN.largest(ix.records, 5).select(key_of().alias("nation"), "record_num", "size_bytes")
+
+
+# ---- recipes that Columns can say: Spark's own reader, no Python on the data --------------------------------------
+
+
+def order_files(spark: SparkSession, sf_dir: str, lines: bool = True) -> str:
+    """Orders in XML files of a thousand keys each."""
+    from .queries import order_xml
+
+    own = order_xml(spark, sf_dir, lines).select(F.floor(F.col("doc") / 1000).cast("int").alias("key"), F.regexp_replace("content", "^<Orders>|</Orders>$", "").alias("x"))
+    docs = own.groupBy("key").agg(F.concat_ws("\n", F.collect_list("x")).alias("x"))
+    return files_of(docs.select("key", F.concat(F.lit("<Orders>"), F.col("x"), F.lit("</Orders>")).alias("content")))
+
+
+def native(spark: SparkSession, path: str, maps: list[dict], selector: str = "//Order") -> DataFrame:
+    """The fields of a recipe that needs no evaluator."""
+    from .extract import extract
+    from .native import scan_native
+
+    r = build({"record_type": "order", "match_selectors": [{"xpath": selector}], "field_mappings": maps})
+    return extract(scan_native(spark, path, r), r, settle=False, scanned=True).data
+
+
+ID = field("order_id", "@id", "integer")
+
+
+@query("""SELECT o_orderkey AS order_id, o_orderstatus AS status, o_totalprice AS total, CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority AS priority FROM orders""")
+def native_records(spark, sf_dir):
+    maps = [ID, field("status", "@status"), field("total", "Total", "number"), field("customer", "Customer"), field("priority", "Priority")]
+    return native(spark, order_files(spark, sf_dir, False), maps).select("order_id", "status", "total", "customer", "priority")
+
+
+@query("""SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS no, l_partkey AS part, l_returnflag AS flag, l_quantity AS quantity, l_extendedprice AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def native_item_mapping(spark, sf_dir):
+    items = [field("no", "@no", "integer"), field("part", "@part", "integer"), field("flag", "Flag"), field("quantity", "Quantity", "number"), field("price", "Price", "number")]
+    rows = native(spark, order_files(spark, sf_dir), [ID, field("lines", "Lines/Line", "array", item_mapping=items)])
+    return rows.select("order_id", F.explode("lines").alias("l")).select("order_id", "l.no", "l.part", "l.flag", "l.quantity", "l.price")
+
+
+@query("""SELECT o_orderkey AS order_id, o_totalprice AS total FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000""")
+def native_predicate_selector(spark, sf_dir):
+    return native(spark, order_files(spark, sf_dir, False), [ID, field("total", "Total", "number")], "//Order[@status='F' and Total > 1000]").select("order_id", "total")
+
+
+@query("""SELECT l_orderkey AS order_id, count(*) AS lines, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, round(sum(l_quantity), 6) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def native_count_and_sum(spark, sf_dir):
+    maps = [ID, field("lines", "count(Lines/Line)", "integer"), field("returned", "count(Lines/Line[Flag='R'])", "integer"), field("quantity", "sum(Lines/Line/Quantity)", "number")]
+    return native(spark, order_files(spark, sf_dir), maps, "//Order[Lines/Line]").select("order_id", "lines", "returned", F.round("quantity", 6).alias("quantity"))
+
+
+@query("""SELECT o_orderkey AS order_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned, o_orderpriority LIKE '%T' AS ends_t, contains(o_orderpriority, 'IG') AS has_ig, o_totalprice > 100000 AS dear, false AS has_note FROM orders""")
+def native_booleans(spark, sf_dir):
+    maps = [ID, field("returned", "Lines/Line[Flag='R']", "boolean", transform="exists"), field("ends_t", "ends-with(Priority, 'T')", "boolean"), field("has_ig", "contains(Priority, 'IG')", "boolean"), field("dear", "boolean(Total[. > 100000])", "boolean"), field("has_note", "Note", "boolean", transform="exists")]
+    return native(spark, order_files(spark, sf_dir), maps).select("order_id", "returned", "ends_t", "has_ig", "dear", "has_note")
+
+
+@query("""SELECT o_orderkey AS order_id, CAST(o_orderkey AS VARCHAR) || '/' || o_orderpriority AS joined, lower(o_orderpriority) AS low, split_part(o_orderpriority, '-', 1) AS before, substr(o_orderpriority, strpos(o_orderpriority, '-') + 1) AS after, CAST(strlen(o_orderpriority) AS BIGINT) AS size, upper(o_orderstatus) AS status FROM orders""")
+def native_strings(spark, sf_dir):
+    maps = [ID, field("joined", "concat(@id, '/', Priority)"), field("low", "lower-case(Priority)"), field("before", "substring-before(Priority, '-')"), field("after", "substring-after(Priority, '-')"), field("size", "string-length(Priority)", "integer"), field("status", "normalize-space(@status)", transform="upper")]
+    return native(spark, order_files(spark, sf_dir, False), maps).select("order_id", "joined", "low", "before", "after", "size", "status")

@@ -13,15 +13,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.operators import index as IX
-from lodestone.operators.validation import kind_of
 from lodestone.sources.reference import ReferenceTable
-from lodestone.sources.scan import NAMES, PLAIN, listed, read_files, read_lines, read_records
+from lodestone.sources.scan import NAMES, listed, read_files, read_lines
 from lodestone.sources.xpath import compile_xpath
 
 from .extract import Extraction, extract
+from .native import scan_native
 from .recipe import Mapping, Recipe, RecipeError, Selector, record_name
 from .staging import written
 
@@ -173,28 +172,21 @@ def _numbered_lines(e: Extraction, names: DataFrame, many: int) -> Extraction:
     return replace(e, rows=rows.select("source_file", "nr", *(c for c in rows.columns if c not in ("file", "block", "first", "lines", "bases", "source_file", "nr"))))
 
 
-def extract_native(spark: SparkSession, path: str, r: Recipe) -> DataFrame:
-    """Scalar plain-path XML recipes by Spark's own record reader, without Python: one column per field.
+def extract_native(spark: SparkSession, files: DataFrame | str | list[str], r: Recipe, parameters: dict[str, Any] | None = None, references: list[ReferenceTable] | None = None) -> Extraction:
+    """Recipes that Columns can say (``native.compile_recipe``) by Spark's own record reader: no Python on the data, files are split.
 
-    Only children and attributes of the record itself; values are trimmed and converted, bad numbers raise.
+    Records and outcomes by file are those of the other routes, but faults of a file outside its records aren't seen, and the
+    text of an element that holds elements isn't refused where only the data shows it.
     """
-    name = record_name(r.selectors[0].xpath) if len(r.selectors) == 1 else None
-    if r.format != "xml" or name is None or r.namespaces or any(not m.xpath or not PLAIN.match(m.xpath) or m.xpath.count("/") or m.type == "array" or m.transform for m in r.mappings):
-        raise RecipeError("the recipe isn't one of plain scalar paths")
-    columns = {m.name: ("_" + m.xpath[1:] if m.xpath.startswith("@") else m.xpath) for m in r.mappings}
-    raw = read_records(spark, path, name, T.StructType([T.StructField(c, T.StringType()) for c in dict.fromkeys(columns.values())]))
-    out = []
-    for m in r.mappings:
-        c = F.trim(F.col(f"`{columns[m.name]}`"))
-        t = m.spark_type()
-        if kind_of(t) == "boolean":
-            c = F.coalesce(~F.lower(c).isin("", "0", "false", "no", "off"), F.lit(False))
-        elif kind_of(t) == "integer":
-            c = F.when(c.contains("."), c.cast("double").cast("long")).otherwise(F.nullif(c, F.lit("")).cast("long"))
-        elif kind_of(t) == "number":
-            c = F.nullif(c, F.lit("")).cast("double")
-        out.append(c.alias(m.name))
-    return raw.select(*out)
+    files = _keyed(files if isinstance(files, DataFrame) else listed(spark, files))
+    names = files if "file" in files.columns else files.join(listed(spark, [x["source_file"] for x in files.select("source_file").collect()]).select("source_file", "file"), "source_file")
+    paths = [x["source_file"] for x in names.select("source_file").toLocalIterator()]
+    own = replace(r, selectors=[Selector(x.xpath) for x in r.selectors])
+    e = extract(scan_native(spark, paths, own), own, parameters, references, settle=False, scanned=True)
+    rows = written(e.rows, "extracted")
+    first = rows.groupBy("file", "block").agg(F.min("document").alias("_first"))
+    rows = rows.join(_small(first, first.count()), ["file", "block"]).withColumn("record_num", F.when(F.col("record_num").isNotNull(), F.col("document") - F.col("_first") + 1)).drop("_first")
+    return _by_file(_numbered_lines(replace(e, rows=rows), names, names.count()), files, r, None)
 
 
 def extract_files(spark: SparkSession, paths: str | list[str] | DataFrame, r: Recipe, parameters: dict[str, Any] | None = None, references: list[ReferenceTable] | None = None) -> Extraction:

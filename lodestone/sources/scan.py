@@ -437,11 +437,3 @@ def read_files(spark: SparkSession, paths: list[str] | str, pattern: str | None
 
         ordered = numbered(names, ["path"], "input_ordinal")
     return raw.join(ordered, "path").select(F.col("path").alias("source_file"), F.col("length").alias("size_bytes"), "input_ordinal", F.sha2("content", 256).alias("input_sha256"), "content")
-
-
-def read_records(spark: SparkSession, path: str, row_tag: str, fields: T.StructType | str) -> DataFrame:
-    """Fast route for XML recipes whose paths are plain children and attributes: Spark's own record reader, without Python.
-
-    Attributes are columns ``_name``; nested records of the same name stay inside the outer one.
-    """
-    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").schema(fields).load(path)

@@ -35,7 +35,7 @@ def test_routes_agree(spark, shop, monkeypatch):
     r = recipe()
     whole = rows(extract(read_files(spark, str(shop)), r).data)
     assert len(whole) == 80 and rows(RT.extract_records(spark, str(shop), r).data) == whole
-    assert rows(RT.extract_native(spark, str(shop), r)) == whole
+    assert rows(RT.extract_native(spark, str(shop), r).data) == whole
     monkeypatch.setattr(RT, "LARGE", 1000)
     assert rows(RT.extract_files(spark, str(shop), r).data) == whole
     monkeypatch.setattr(RT, "LARGE", 1 << 30)
