@@ -35,15 +35,18 @@ def nation_orders(spark: SparkSession, sf_dir: str, body: Column, ends: tuple[Co
     return grouped.select(F.col("c_nationkey").alias("key"), F.concat(ends[0], F.col("x"), ends[1]).alias("content"))
 
 
-ORDER = F.concat(F.lit('<q:Order id="'), F.col("o_orderkey").cast("string"), F.lit('"><Status>'), F.col("o_orderstatus"), F.lit("</Status><Priority>"), F.col("o_orderpriority"), F.lit("</Priority></q:Order>\n"))
+def order_element() -> Column:
+    return F.concat(F.lit('<q:Order id="'), F.col("o_orderkey").cast("string"), F.lit('"><Status>'), F.col("o_orderstatus"), F.lit("</Status><Priority>"), F.col("o_orderpriority"), F.lit("</Priority></q:Order>\n"))
+
+
 #: The same text in SQL.
 ORDER_SQL = """'<q:Order id="' || CAST(o_orderkey AS VARCHAR) || '"><Status>' || o_orderstatus || '</Status><Priority>' || o_orderpriority || '</Priority></q:Order>'"""
-HEAD, TAIL = F.lit('<?xml version="1.0"?>\n<!-- <q:Order> --><R xmlns:q="urn:q"><S>'), F.lit("</S></R>")
+HEAD, TAIL = '<?xml version="1.0"?>\n<!-- <q:Order> --><R xmlns:q="urn:q"><S>', "</S></R>"
 
 
 def xml_files(spark: SparkSession, sf_dir: str) -> str:
     """An XML file of orders for every nation; every seventh one ends too early."""
-    docs = nation_orders(spark, sf_dir, ORDER, (HEAD, F.when(F.col("c_nationkey") % 7 == 0, F.lit("</S>")).otherwise(TAIL)))
+    docs = nation_orders(spark, sf_dir, order_element(), (F.lit(HEAD), F.when(F.col("c_nationkey") % 7 == 0, F.lit("</S>")).otherwise(F.lit(TAIL))))
     return files_of(docs)
 
 
@@ -234,3 +237,135 @@ def native_booleans(spark, sf_dir):
 def native_strings(spark, sf_dir):
     maps = [ID, field("joined", "concat(@id, '/', Priority)"), field("low", "lower-case(Priority)"), field("before", "substring-before(Priority, '-')"), field("after", "substring-after(Priority, '-')"), field("size", "string-length(Priority)", "integer"), field("status", "normalize-space(@status)", transform="upper")]
     return native(spark, order_files(spark, sf_dir, False), maps).select("order_id", "joined", "low", "before", "after", "size", "status")
+
+
+# ---- inputs and sinks -------------------------------------------------------------------------------------------
+
+
+def nation_files(spark: SparkSession, sf_dir: str, **options) -> str:
+    """A small XML file for each nation, with its suppliers."""
+    s = t(spark, sf_dir, "supplier").select("s_nationkey", F.struct("s_suppkey", F.concat(F.lit('<Order id="'), F.col("s_suppkey").cast("string"), F.lit('"><Name>'), F.col("s_name"), F.lit("</Name></Order>")).alias("x")).alias("p"))
+    rows = s.groupBy("s_nationkey").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
+    n = t(spark, sf_dir, "nation").join(rows, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("<R>"), F.coalesce("x", F.lit("")), F.lit("</R>")).alias("content"))
+    path = fresh_path(spark, "nations")
+    n.repartition("key").write.partitionBy("key").options(**options).text(path)
+    return path + "/*"
+
+
+def supplier_recipe(**manifest) -> Recipe:
+    return build({"record_type": "supplier", "match_selectors": [{"xpath": "//Order"}], "field_mappings": [field("supp", "@id", "integer"), field("name", "Name", description="the supplier's name")]}, None, manifest)
+
+
+_PATH = "'key=' || CAST(n_nationkey AS VARCHAR) || '/'"
+
+
+@query("SELECT s_nationkey AS nation, s_suppkey AS supp, s_name AS name FROM supplier")
+def gzip_inputs(spark, sf_dir):
+    """Compressed files are read as they are named."""
+    from lodestone.sources.scan import read_files
+
+    from .extract import extract
+
+    return extract(read_files(spark, nation_files(spark, sf_dir, compression="gzip")), supplier_recipe()).data.select(key_of().alias("nation"), "supp", "name")
+
+
+@query(f"SELECT n_nationkey AS nation, row_number() OVER (ORDER BY {_PATH}) AS input_ordinal, CAST(7 + coalesce(s, 0) + 1 AS BIGINT) AS size_bytes FROM nation LEFT JOIN (SELECT s_nationkey, sum(strlen(CAST(s_suppkey AS VARCHAR)) + strlen(s_name) + 34) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def input_ordinals(spark, sf_dir):
+    """Inputs are numbered by their paths."""
+    from lodestone.sources.scan import read_files
+
+    return read_files(spark, nation_files(spark, sf_dir)).select(key_of().alias("nation"), "input_ordinal", "size_bytes")
+
+
+@query("""SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'failed' ELSE 'applied' END AS disposition, CASE WHEN n_nationkey % 3 = 0 THEN 'input_unavailable' END AS reason, CASE WHEN n_nationkey % 6 = 3 THEN 'sha256_mismatch' WHEN n_nationkey % 6 = 0 THEN 'size_mismatch' END AS error, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE coalesce(n, 0) END AS records FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey UNION ALL SELECT -1, 'failed', 'input_unavailable', 'input_unavailable', 0""")
+def file_lists(spark, sf_dir):
+    """Inputs of a list: those that are missing, or of another size or digest than declared, fail alone."""
+    from lodestone.sources.inputs import Declared, read_list
+    from lodestone.sources.scan import read_files
+
+    files = read_files(spark, nation_files(spark, sf_dir)).select("source_file", "size_bytes", "input_sha256", key_of().alias("k")).orderBy("k").collect()  # a row a nation
+    declared = [Declared(j, f["source_file"], f["size_bytes"] + (f["k"] % 6 == 0), "0" * 64 if f["k"] % 6 == 3 else f["input_sha256"]) for j, f in enumerate(files, 1)]
+    declared.append(Declared(len(declared) + 1, files[0]["source_file"].rsplit("/", 2)[0] + "/key=-1/none.xml"))
+    e = RT.extract_files(spark, read_list(spark, declared), supplier_recipe())
+    return e.dispositions.select(key_of().alias("nation"), "disposition", "reason", "error", "records")
+
+
+@query("""SELECT s_suppkey AS supp, s_nationkey AS code, n_name AS nation, r_name AS region, s_nationkey % 2 = 0 AS even FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def reference_files(spark, sf_dir):
+    """Reference tables of the three formats, by their files."""
+    from lodestone.sources import reference as R
+
+    from .extract import extract
+
+    base = fresh_path(spark, "reference")
+    n = t(spark, sf_dir, "nation")
+    n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).write.option("header", True).csv(f"{base}/a.csv")
+    n.join(t(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("key"), F.col("r_name").alias("name")).write.option("header", True).option("sep", "\t").csv(f"{base}/b.tsv")
+    n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("key")).write.json(f"{base}/c.ndjson")
+    tables = [R.load(spark, {"name": k, "source": f"{base}/{f}", "format": f.split(".")[1], **c}) for k, f, c in (("names", "a.csv", {"key_column": "key", "value_column": "name"}), ("regions", "b.tsv", {"key_column": "key", "value_column": "name"}), ("evens", "c.ndjson", {"column": "key"}))]
+    docs = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), F.concat(F.lit("<O><k>"), F.col("s_nationkey").cast("string"), F.lit("</k></O>")).alias("content"))
+    maps = [field("k", "k"), field("code", "k", "integer"), *(field(n, type=k, expression=x) for n, k, x in (("nation", "string", "lookup_reference('names', k, '')"), ("region", "string", "lookup_reference('regions', k, '')"), ("even", "boolean", "in_reference('evens', k)")))]
+    r = build({"record_type": "o", "match_selectors": [{"xpath": "//O"}], "field_mappings": maps})
+    return extract(docs, r, references=tables).data.select(F.col("doc").alias("supp"), "code", "nation", "region", "even")
+
+
+@query("SELECT s_suppkey AS supp, 'the supplier''s name' AS comment FROM supplier")
+def parquet_projection(spark, sf_dir):
+    """Data as Parquet, a column withheld, descriptions kept, read back."""
+    from lodestone.operators import sinks as S
+    from lodestone.sources.scan import read_files
+
+    from .extract import extract
+
+    e = extract(read_files(spark, nation_files(spark, sf_dir)), supplier_recipe())
+    path = fresh_path(spark, "parquet")
+    S.write_parquet(e, f"{path}/all")
+    S.write_parquet(e, f"{path}/less", withhold=["name"])
+    note = spark.read.parquet(f"{path}/all").schema["name"].metadata["comment"]
+    return spark.read.parquet(f"{path}/less").withColumn("comment", F.lit(note))
+
+
+_SUPPLIER_JSON = """'{"name":"' || s_name || '","supp":' || CAST(s_suppkey AS VARCHAR) || '}'"""
+
+
+@query(f"SELECT s_nationkey AS nation, {_SUPPLIER_JSON} AS data FROM supplier")
+def ndjson_by_input(spark, sf_dir):
+    """Envelopes as lines, a folder for each input, read back."""
+    from lodestone.operators import sinks as S
+    from lodestone.sources.scan import read_files
+
+    from .extract import extract
+
+    docs = read_files(spark, nation_files(spark, sf_dir)).select(key_of().alias("nation"), "content")
+    path = fresh_path(spark, "lines")
+    S.write_ndjson(extract(docs, supplier_recipe()), path)
+    return spark.read.text(path).select("input", F.regexp_extract("value", r'"data":(\{[^}]*\})', 1).alias("data")).select(F.col("input").cast("int").alias("nation"), "data")
+
+
+@query(f"""WITH o AS (SELECT row_number() OVER (ORDER BY {_PATH}) AS ordinal, n_nationkey FROM nation), r AS (SELECT (row_number() OVER (ORDER BY ordinal, s_suppkey) - 1) // 7 AS shard, ordinal FROM supplier JOIN o ON n_nationkey = s_nationkey) SELECT CAST(shard AS BIGINT) AS shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 6, '0') || '.ndjson' AS file, count(*) AS rows, CAST(min(ordinal) AS VARCHAR) AS first_input, CAST(max(ordinal) AS VARCHAR) AS last_input, true AS whole FROM r GROUP BY 1, 2""")
+def shard_manifest(spark, sf_dir):
+    """Shards that tasks hash while they write them: the manifest's figures, and whether the files are what it says."""
+    from lodestone.operators import sinks as S
+    from lodestone.sources.scan import read_files
+
+    from .extract import extract
+
+    path = fresh_path(spark, "run")
+    m = S.write_shards(extract(read_files(spark, nation_files(spark, sf_dir)), supplier_recipe()), path, 7)
+    told = spark.createDataFrame([tuple(s[k] for k in ("shard", "file", "rows", "first_input", "last_input", "bytes", "sha256")) for s in m["shards"]], "shard long, file string, rows long, first_input string, last_input string, bytes long, sha256 string")
+    there = spark.read.format("binaryFile").load(f"{path}/shards").select(F.element_at(F.split("path", "/"), -1).alias("f"), F.sha2("content", 256).alias("h"), "length")
+    return told.join(there, F.col("file") == F.col("f"), "left").select("shard", "file", "rows", "first_input", "last_input", (F.coalesce("h", F.lit("")).eqNullSafe(F.col("sha256")) & F.col("length").eqNullSafe(F.col("bytes"))).alias("whole"))
+
+
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS value, count(*) AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1""")
+def profile_of_a_run(spark, sf_dir):
+    """The value profile in a run's manifest: inputs that failed have no part in it."""
+    from lodestone.operators import sinks as S
+    from lodestone.sources.scan import read_files
+
+    from .extract import extract
+
+    docs = read_files(spark, nation_files(spark, sf_dir)).withColumn("content", F.when(key_of() % 4 == 0, F.expr("substr(content, 1, length(content) - 3)")).otherwise(F.col("content")))
+    r = supplier_recipe(defaults={"source_extraction": [{"source": "absolute_path", "pattern": r"/key=(?P<nation>\d+)/"}], "value_profile": {"fields": [{"field": "nation", "safe_to_profile": True, "sensitivity": "public"}, {"field": "name"}]}})
+    m = S.write_shards(extract(docs, r), fresh_path(spark, "run"), 50)
+    return spark.createDataFrame(sorted(m["value_profile"]["nation"]["values"].items()), "value string, n long")

@@ -1,7 +1,7 @@
 """Recipes compiled to Spark's own XML reader and to Columns: no Python runs on the data.
 
-The reader cuts files at the record's tag, on any store and in parallel, with a schema that holds just what the recipe
-names. Child steps and attributes are fields and arrays of it, predicates are ``filter``, item mappings ``transform``,
+The reader cuts files at the record's tag, on any store, with a schema that holds just what the recipe names; a file is one
+task, so large ones take the route by byte ranges. Child steps and attributes are fields and arrays of it, predicates are ``filter``, item mappings ``transform``,
 ``count`` and ``sum`` folds over arrays, string functions Columns. What can't be said so is refused: other axes, namespaces,
 regular expressions, text of elements that hold elements.
 """

@@ -173,7 +173,7 @@ def _numbered_lines(e: Extraction, names: DataFrame, many: int) -> Extraction:
 
 
 def extract_native(spark: SparkSession, files: DataFrame | str | list[str], r: Recipe, parameters: dict[str, Any] | None = None, references: list[ReferenceTable] | None = None) -> Extraction:
-    """Recipes that Columns can say (``native.compile_recipe``) by Spark's own record reader: no Python on the data, files are split.
+    """Recipes that Columns can say (``native.compile_recipe``) by Spark's own record reader: no Python on the data; a file is one task.
 
     Records and outcomes by file are those of the other routes, but faults of a file outside its records aren't seen, and the
     text of an element that holds elements isn't refused where only the data shows it.
