@@ -8,6 +8,12 @@ import json
 import sys
 
 
+def artifacts_ladder() -> tuple[str, ...]:
+    from lodestone.operators.artifacts import LADDER
+
+    return LADDER
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lodestone")
     verbs = p.add_subparsers(dest="verb", required=True)
@@ -17,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--file-list", help="a list of inputs, with sizes and digests where declared")
     x.add_argument("--out", help="where the output goes; not needed for stdout")
     x.add_argument("--format", choices=("ndjson", "shards", "parquet", "stdout"), default="ndjson")
+    x.add_argument("--validate-output", choices=artifacts_ladder(), default="off", help="checks of written shards, each with all before it")
     x.add_argument("--events", help="a file for the events of the run, one JSON object a line")
     x.add_argument("--rows", type=int)
     x.add_argument("--bytes", type=int)
@@ -80,7 +87,15 @@ def extract(a, e) -> int:
         m |= {"value_profile": shown} if shown else {}
         sinks.write_json(e.rows, f"{a.out}/manifest", m)
     print(json.dumps(m))
-    return 1 if m["inputs_failed"] else 0
+    bad = []
+    if a.format == "shards":
+        from lodestone.operators import artifacts
+
+        sinks.write_json(e.rows, f"{a.out}/artifact", artifacts.descriptor(e, a.out, "ndjson"))
+        bad = [r.asDict() for r in artifacts.validate_output(e.rows.sparkSession, a.out, a.validate_output).limit(1000).collect()]
+        for r in bad:
+            print(json.dumps(r), file=sys.stderr)
+    return 1 if m["inputs_failed"] or bad else 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -105,6 +120,8 @@ def main(argv: list[str] | None = None) -> int:
             raise SystemExit("give either inputs or a file list")
         if not a.out and a.format != "stdout":
             raise SystemExit("--out is missing")
+        if a.validate_output != "off" and a.format != "shards":
+            raise SystemExit("--validate-output checks shards")
         with contextlib.ExitStack() as stack:
             if a.events:
                 log = stack.enter_context(open(a.events, "a", buffering=1))  # the driver's own file

@@ -369,3 +369,27 @@ def profile_of_a_run(spark, sf_dir):
     r = supplier_recipe(defaults={"source_extraction": [{"source": "absolute_path", "pattern": r"/key=(?P<nation>\d+)/"}], "value_profile": {"fields": [{"field": "nation", "safe_to_profile": True, "sensitivity": "public"}, {"field": "name"}]}})
     m = S.write_shards(extract(docs, r), fresh_path(spark, "run"), 50)
     return spark.createDataFrame(sorted(m["value_profile"]["nation"]["values"].items()), "value string, n long")
+
+
+@query("""WITH s AS (SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 3 AS BIGINT) AS shard FROM nation) SELECT DISTINCT 'strict' AS rung, 'shard-' || lpad(CAST(shard AS VARCHAR), 6, '0') || '.ndjson' AS what, CASE shard % 4 WHEN 0 THEN 'its digest differs' WHEN 1 THEN 'its size differs' ELSE 'its rows differ' END AS problem FROM s WHERE shard % 4 < 3
+UNION ALL SELECT 'sidecars', 'manifest', 'the rows of its shards aren''t its records' UNION ALL SELECT 'sidecars', 'dispositions', (SELECT CAST(count(*) AS VARCHAR) FROM nation) || ' inputs applied, the manifest has ' || (SELECT CAST(count(*) - 1 AS VARCHAR) FROM nation) UNION ALL SELECT 'sidecars', 'dispositions', '0 inputs failed, the manifest has 1'""")
+def output_validation(spark, sf_dir):
+    """All rungs of the checks of a run's output, against a manifest that says other things of its shards."""
+    from lodestone.operators import artifacts as A
+    from lodestone.operators import sinks as S
+
+    from .extract import extract
+
+    docs = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"), F.concat(F.lit("<O><n>"), F.col("n_name"), F.lit("</n></O>")).alias("content"))
+    e = extract(docs, build({"record_type": "o", "match_selectors": [{"xpath": "//O"}], "field_mappings": [field("n", "n")]}))
+    path = fresh_path(spark, "run")
+    m = S.write_shards(e, path, 3)
+    S.write_dispositions(e, path)
+    S.write_json(e.rows, f"{path}/artifact", A.descriptor(e, path, "ndjson"))
+    if A.validate_output(spark, path, "strict").count():
+        raise ValueError("a sound output has problems")
+    for s in m["shards"]:
+        k = s["shard"] % 4
+        s |= {"sha256": s["sha256"][::-1]} if k == 0 else {"bytes": s["bytes"] + 1} if k == 1 else {"rows": s["rows"] + 1} if k == 2 else {}
+    m |= {"inputs_applied": m["inputs_applied"] - 1, "inputs_failed": 1}
+    return A.validate_output(spark, path, "strict", m)

@@ -83,7 +83,9 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert main(["extract", str(w), str(shop), "--out", str(tmp_path / "o"), "--format", "parquet", "--param", "site=s2"]) == 0
     out = spark.read.parquet(str(tmp_path / "o/records"))
     assert out.count() == 80 and {r.site for r in out.collect()} == {"s2"}
-    assert main(["extract", str(w), str(shop), "--out", str(tmp_path / "s"), "--format", "shards", "--rows", "30"]) == 0
+    assert main(["extract", str(w), str(shop), "--out", str(tmp_path / "s"), "--format", "shards", "--rows", "30", "--validate-output", "strict"]) == 0
+    with pytest.raises(SystemExit):
+        main(["extract", str(w), str(shop), "--out", str(tmp_path / "p"), "--validate-output", "strict"])
     assert main(["inspect", str(shop)]) == 0 and main(["starter", str(shop)]) == 0 and main(["manifest", str(shop)]) == 0 and main(["transforms"]) == 0
     assert main(["index", str(shop), "--record", "Order", "--out", str(tmp_path / "ix")]) == 0 and main(["verify-index", str(tmp_path / "ix")]) == 0
     assert '"path": "/R/S/Order"' in capsys.readouterr().out
@@ -212,3 +214,26 @@ def test_streams_tell_their_end(spark, shop, tmp_path):
     ends = sorted(r[-1] for r in runs.values())
     assert ends == ["completed", "failed"] and all(r[0] == "started" and sum(e in ("completed", "failed") for e in r) == 1 for r in runs.values())
     assert spark.read.parquet(str(tmp_path / "o/data")).count() == 80
+
+
+def test_rungs_of_output_validation(spark, shop, tmp_path):
+    from lodestone.operators import sinks as S
+
+    e, out = RT.extract_files(spark, str(shop), recipe()), str(tmp_path / "o")
+    S.write_shards(e, out, 30)
+    assert {r.what for r in A.validate_output(spark, out, "artifact").collect()} == {"dispositions", "descriptor"}
+    S.write_dispositions(e, out)
+    S.write_json(e.rows, f"{out}/artifact", A.descriptor(e, out, "ndjson"))
+    assert [A.validate_output(spark, out, mode).count() for mode in A.LADDER] == [0] * 5
+    shard = tmp_path / "o/shards/shard-000001.ndjson"
+    lines = shard.read_text().splitlines()
+    lines[7] = '{"extract": 1}'
+    shard.write_text("\n".join(lines) + "\n")
+    (tmp_path / "o/shards/shard-000009.ndjson").write_text(lines[0] + "\n")
+    got = {mode: {(r.what[-7:], r.problem) for r in A.validate_output(spark, out, mode, every=5).collect()} for mode in A.LADDER[2:]}
+    assert got["artifact"] == set() == got["envelope-sample"]  # the eighth line isn't in the sample
+    assert got["strict"] == {(".ndjson", "1 envelopes don't fit the contract"), (".ndjson", "its size differs"), (".ndjson", "the manifest doesn't name it")}
+    assert A.validate_output(spark, out, "envelope-sample", every=7).count() == 1
+    assert A.check_manifest({}) == ["it is missing"] and "its inputs don't add up" in A.check_manifest({"record_type": "o", "inputs_total": 3, "inputs_applied": 1, "inputs_not_applicable": 0, "inputs_failed": 0, "records": 0, "fields": []})
+    with pytest.raises(ValueError):
+        A.validate_output(spark, out, "much")
