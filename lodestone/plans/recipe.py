@@ -231,15 +231,20 @@ def build(extract: dict, signature: dict | None = None, manifest: dict | None =
                 raise RecipeError(f"unknown accumulation {a.get('operation')!r}")
             if a.get("operation") in ("sum", "avg", "min", "max") and not a.get("field"):
                 raise RecipeError(f"accumulation {a.get('name')} needs a field")
-    declared_tables = {t.get("name") for t in r.reference_tables}
-    for m in r.mappings:
-        if m.expression:
-            unknown = X.reference_tables(X.parse(m.expression)) - declared_tables
-            if unknown and declared_tables:
-                raise RecipeError(f"{m.name}: undeclared reference tables {sorted(unknown)}")
+    if r.reference_tables:
+        check_references(r)
     return r
 
 
+def check_references(r: Recipe) -> None:
+    """Refuses expressions that ask for reference tables which the recipe doesn't declare."""
+    declared = {t.get("name") for t in r.reference_tables}
+    for m in r.mappings:
+        unknown = X.reference_tables(X.parse(m.expression)) - declared if m.expression else set()
+        if unknown:
+            raise RecipeError(f"{m.name}: undeclared reference tables {sorted(unknown)}")
+
+
 def load_yaml(text: str) -> dict:
     """YAML text to a mapping."""
     import yaml
@@ -262,4 +267,6 @@ def load_workspace(path: str) -> Recipe:
 
     manifest = read("recipe.yaml")
     assets = manifest.get("assets") or {}
-    return build(read(assets["extract"]), read(assets["signature"]) if assets.get("signature") else None, manifest, read(assets["applicability"]) if assets.get("applicability") else None)
+    r = build(read(assets["extract"]), read(assets["signature"]) if assets.get("signature") else None, manifest, read(assets["applicability"]) if assets.get("applicability") else None)
+    check_references(r)  # a workspace has no other tables than its own
+    return r

@@ -6,6 +6,7 @@ below a bound, else by a shuffled join. A literal table is limited by its declar
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,10 @@ def load(spark: SparkSession, decl: dict, base: str = "") -> ReferenceTable:
     path = path if "://" in path or path.startswith("/") or not base else f"{base}/{path}"
     if ".." in path.split("/"):
         raise ReferenceError_(f"{decl['name']}: the source lies outside the workspace")
+    if base and "://" not in path and not str(decl["source"]).startswith("/"):  # a link may lead out of a local workspace
+        home = os.path.realpath(base.removeprefix("file:"))
+        if os.path.commonpath([home, os.path.realpath(path.removeprefix("file:"))]) != home:
+            raise ReferenceError_(f"{decl['name']}: the source is linked to a place outside the workspace")
     fmt = str(decl.get("format") or "").lower()
     if fmt in ("csv", "tsv"):
         raw = spark.read.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("mode", "FAILFAST").option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)

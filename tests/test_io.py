@@ -255,3 +255,24 @@ def test_the_profile_of_a_run_leaves_failed_inputs_out(spark, tmp_path):
     for k in range(20):
         state.observe(pa.array([f"v{k}", None, ""]))
     assert state.capped and not state.vals and (state.count, state.nulls) == (60, 40)
+
+
+def test_a_workspace_holds_its_reference_tables(spark, tmp_path):
+    from lodestone.plans.recipe import RecipeError, load_workspace
+
+    w = tmp_path / "w"
+    w.mkdir()
+    (w / "x.yaml").write_text("record_type: o\nmatch_selectors: [{xpath: //O}]\nfield_mappings: [{output_field: a, type: boolean, expression: \"in_reference('t', 'x')\"}]\n")
+    (w / "recipe.yaml").write_text("id: r\nassets: {extract: x.yaml}\n")
+    with pytest.raises(RecipeError, match="undeclared"):
+        load_workspace(str(w))
+    (w / "recipe.yaml").write_text("id: r\nassets: {extract: x.yaml}\ndefaults: {reference_tables: [{name: t, source: t.csv, format: csv, column: k}]}\n")
+    (w / "t.csv").write_text("k\nx\n")
+    (decl,) = load_workspace(str(w)).reference_tables
+    assert R.load(spark, decl, str(w)).rows == 1
+    (tmp_path / "out.csv").write_text("k\nx\n")
+    (w / "t.csv").unlink()
+    (w / "t.csv").symlink_to(tmp_path / "out.csv")
+    for bad in (decl, {**decl, "source": "../out.csv"}):
+        with pytest.raises(R.ReferenceError_, match="outside"):
+            R.load(spark, bad, str(w))
