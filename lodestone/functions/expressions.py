@@ -215,6 +215,14 @@ def first_error(*errors: Column | None) -> Column | None:
     return F.coalesce(*live) if len(live) > 1 else live[0] if live else None
 
 
+def once(c: Column) -> Column:
+    """A column that is computed once a row: under a condition that isn't deterministic the optimizer copies it into none of its users.
+
+    Filters that Spark infers and pushes down (those of ``explode`` too) would otherwise hold every step below them, again and again.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _fail(text: str) -> Column:
     return F.lit(text)
 

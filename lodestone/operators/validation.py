@@ -187,9 +187,9 @@ def _reconcile(out: Validated, record: T.StructType, scope: Scope, r: dict, scal
         if e is not None:
             out.errors.append(e)
         parts.append(F.array(F.struct(F.lit(str(c.get("name") or "")).alias("name"), F.lit(str(c.get("description") or "")).alias("description"), v.alias("value"))))
-    out.df = out.df.withColumn(f"{col}_components", F.concat(*parts) if parts else F.array().cast(f"array<{COMPONENT}>"))
+    out.df = out.df.withColumn(f"{col}_components", X.once(F.concat(*parts)) if parts else F.array().cast(f"array<{COMPONENT}>"))
     components = F.col(f"`{col}_components`")
-    out.df = out.df.withColumn(f"{col}_total", F.aggregate(components, F.lit(0.0), lambda a, c: a + c["value"]))
+    out.df = out.df.withColumn(f"{col}_total", X.once(F.aggregate(components, F.lit(0.0), lambda a, c: a + c["value"])))
     total = F.col(f"`{col}_total`")
     tolerance = float(r.get("tolerance") or 0) or 0.01
     residual = base_c - total
@@ -232,11 +232,11 @@ def group_items(schema: T.StructType, path: str) -> tuple[Column, T.StructType]:
 def _grouped(out: Validated, col: str, record: T.StructType, scope: Scope, g: dict, base: Column) -> Column:
     """Adds components by group (name, description, value, slug), ascending by group, sums in item order; returns the error.
 
-    Each step is a column of its own, so that no array is folded twice.
+    Each step is a column of its own that is computed once, so that no array is folded twice.
     """
 
     def step(name: str, c: Column) -> Column:
-        out.df = out.df.withColumn(f"{col}_{name}", c)
+        out.df = out.df.withColumn(f"{col}_{name}", X.once(c))
         return F.col(f"`{col}_{name}`")
 
     if str(g.get("aggregation") or "sum").strip().lower() != "sum":
@@ -282,7 +282,7 @@ def _grouped(out: Validated, col: str, record: T.StructType, scope: Scope, g: di
         ),
     )
     sums = step("sums", sums)
-    total = F.aggregate(sums, F.lit(0.0), lambda a, s: a + s["v"])
+    total = step("sum", F.aggregate(sums, F.lit(0.0), lambda a, s: a + s["v"]))
     limit = F.abs(base)
     scale = F.when((total > 0) & (limit < total), limit / total).otherwise(F.lit(1.0)) if str(g.get("overflow_strategy") or "").strip().lower() == "cap_to_base" else F.lit(1.0)
 
