@@ -223,6 +223,11 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _fail(text: str) -> Column:
     return F.lit(text)
 

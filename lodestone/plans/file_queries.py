@@ -31,7 +31,7 @@ def key_of(column: str = "source_file") -> Column:
 def nation_orders(spark: SparkSession, sf_dir: str, body: Column, ends: tuple[Column, Column], sep: str = "") -> DataFrame:
     """One document per nation that holds its customers' orders by key."""
     rows = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", F.struct("o_orderkey", body.alias("x")).alias("p"))
-    grouped = rows.groupBy("c_nationkey").agg(F.concat_ws(sep, F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
+    grouped = rows.groupBy("c_nationkey").agg(F.concat_ws(sep, F.sort_array(F.collect_list("p"))["x"]).alias("x"))
     return grouped.select(F.col("c_nationkey").alias("key"), F.concat(ends[0], F.col("x"), ends[1]).alias("content"))
 
 
@@ -184,9 +184,9 @@ def largest_records(spark, sf_dir):
 
 def order_files(spark: SparkSession, sf_dir: str, lines: bool = True) -> str:
     """Orders in XML files of a thousand keys each."""
-    from .queries import order_xml
+    from .queries import order_texts
 
-    own = order_xml(spark, sf_dir, lines).select(F.floor(F.col("doc") / 1000).cast("int").alias("key"), F.regexp_replace("content", "^<Orders>|</Orders>$", "").alias("x"))
+    own = order_texts(spark, sf_dir, lines).select(F.floor(F.col("doc") / 1000).cast("int").alias("key"), F.regexp_replace("content", "^<Orders>|</Orders>$", "").alias("x"))
     docs = own.groupBy("key").agg(F.concat_ws("\n", F.collect_list("x")).alias("x"))
     return files_of(docs.select("key", F.concat(F.lit("<Orders>"), F.col("x"), F.lit("</Orders>")).alias("content")))
 
@@ -245,7 +245,7 @@ def native_strings(spark, sf_dir):
 def nation_files(spark: SparkSession, sf_dir: str, **options) -> str:
     """A small XML file for each nation, with its suppliers."""
     s = t(spark, sf_dir, "supplier").select("s_nationkey", F.struct("s_suppkey", F.concat(F.lit('<Order id="'), F.col("s_suppkey").cast("string"), F.lit('"><Name>'), F.col("s_name"), F.lit("</Name></Order>")).alias("x")).alias("p"))
-    rows = s.groupBy("s_nationkey").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
+    rows = s.groupBy("s_nationkey").agg(F.concat_ws("", F.sort_array(F.collect_list("p"))["x"]).alias("x"))
     n = t(spark, sf_dir, "nation").join(rows, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("<R>"), F.coalesce("x", F.lit("")), F.lit("</R>")).alias("content"))
     path = fresh_path(spark, "nations")
     n.repartition("key").write.partitionBy("key").options(**options).text(path)

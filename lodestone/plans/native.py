@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.expressions import WHITE
+from lodestone.functions.expressions import WHITE, let, once
 from lodestone.sources.xpath import compile_xpath
 
 from .recipe import Mapping, Recipe, RecipeError, record_name
@@ -280,107 +280,92 @@ class Compiler:
 
     # ---- fields
 
-    def field(self, m: Mapping, ctx: Context) -> tuple[Column, list[Column]]:
-        """A mapping's value, and the errors that it may have."""
+    def field(self, m: Mapping, ctx: Context) -> Column:
+        """A mapping's value ``v`` and its error ``e``, each part computed once."""
         if m.variants:
             raise NotNative("polymorphic arrays")
         v = self.value(compile_xpath(m.xpath).tree, ctx)
         if m.transform == "exists":
-            return self.boolean(v), []
+            return self.made(self.boolean(v), m)
         if m.type == "array":
             return self.array(m, v)
         if v.kind == "nodes" and v.shape is not None:
             v.shape.text = True
         if self.collect:
-            return F.lit(None), []
+            return F.lit(None)
         if v.kind == "nodes":
             first = F.get(v.col, F.lit(0))
-            v = Value("string", F.when(F.size(v.col) > 0, self.trimmed(self.text_of(first, v.shape))))
+            v = Value("string", let(first, lambda x: F.when(x.isNotNull(), self.trimmed(self.text_of(x, v.shape)))) if v.shape is None or v.shape.leaf else let(v.col, lambda c: F.when(F.size(c) > 0, self.trimmed(self.text_of(F.get(c, F.lit(0)), v.shape)))))
         elif v.kind == "string":
             v = Value("string", self.trimmed(v.col))
         if m.transform:
             if v.kind != "string":
                 raise NotNative("a transform of a number or boolean")
-            return v.col, []
-        return self.coerced(v, m)
+            return self.made(v.col, m)
+        return let(v.col, lambda c: self.coerced(Value(v.kind, c), m))
 
-    def array(self, m: Mapping, v: Value) -> tuple[Column, list[Column]]:
+    @staticmethod
+    def made(c: Column, m: Mapping, error: Column | None = None) -> Column:
+        return F.struct(c.cast(m.spark_type()).alias("v"), (F.lit(None) if error is None else error).cast("string").alias("e"))
+
+    def array(self, m: Mapping, v: Value) -> Column:
         if v.kind != "nodes":
             raise NotNative("an array that isn't a path")
         if not m.items:
             if v.shape is not None:
                 v.shape.text = True
             if self.collect:
-                return F.lit(None), []
+                return F.lit(None)
             texts = F.filter(F.transform(v.col, lambda x: self.trimmed(self.text_of(x, v.shape))), lambda x: x != "")
-            return F.when(F.size(texts) > 0, texts), []
+            return let(texts, lambda c: self.made(F.when(F.size(c) > 0, c), m))
         if v.shape is None:
             raise NotNative("items of attributes")
         if self.collect:
             for f in m.items:
                 self.field(f, (lambda n: F.lit(None), v.shape, F.lit(None)))
-            return F.lit(None), []
+            return F.lit(None)
         if v.shape.leaf:
             raise NotNative("items without fields of their own")
-        errors: list[Column] = []
 
         def item(x: Column) -> Column:
-            cols = []
-            for f in m.items:
-                c, bad = self.field(f, (lambda n: x[n], v.shape, x))
-                cols.append(c.cast(f.spark_type()).alias(f.name))
-                own.extend(bad)
-            return F.struct(*cols)
-
-        own: list[Column] = []
-        made = F.transform(v.col, item)
-
-        def faults(x: Column) -> Column:
-            own.clear()
-            item(x)
-            return F.coalesce(*own) if own else F.lit(None).cast("string")
+            parts = F.struct(*(self.field(f, (lambda n: x[n], v.shape, x)).alias(f.name) for f in m.items))
+            return let(parts, lambda p: F.struct(F.struct(*(p[f.name]["v"].alias(f.name) for f in m.items)).alias("v"), F.coalesce(*(p[f.name]["e"] for f in m.items)).alias("e")))
 
-        if own:
-            errors.append(F.get(F.filter(F.transform(v.col, faults), lambda e: e.isNotNull()), F.lit(0)))
-        return F.when(F.size(v.col) > 0, made), errors
+        return let(F.transform(v.col, item), lambda c: self.made(F.when(F.size(c) > 0, F.transform(c, _getter("v"))), m, F.get(F.filter(F.transform(c, _getter("e")), lambda e: e.isNotNull()), F.lit(0))))
 
     @staticmethod
     def trimmed(c: Column) -> Column:
         return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
-    def coerced(self, v: Value, m: Mapping) -> tuple[Column, list[Column]]:
+    def coerced(self, v: Value, m: Mapping) -> Column:
         if m.type == "boolean":
             if v.kind == "string":
-                return F.coalesce(~F.lower(v.col).isin("", "0", "false", "no", "off"), F.lit(False)), []
-            return self.boolean(v), []
+                return self.made(F.coalesce(~F.lower(v.col).isin("", "0", "false", "no", "off"), F.lit(False)), m)
+            return self.made(self.boolean(v), m)
         if m.type == "string":
-            return self.string(v), []
+            return self.made(self.string(v), m)
         if v.kind == "boolean":
             v = Value("number", v.col.cast("double"))
         if v.kind == "number":
             if m.type == "number":
-                return v.col, []
+                return self.made(v.col, m)
             bad = F.isnan(v.col) | (F.abs(v.col) == float("inf"))
-            return F.when(~bad, v.col.cast("long")), [F.when(bad, F.concat(F.lit(f"{m.name}: "), v.col.cast("string"), F.lit(" isn't an integer")))]
+            return self.made(F.when(~bad, v.col.cast("long")), m, F.when(bad, F.concat(F.lit(f"{m.name}: "), v.col.cast("string"), F.lit(" isn't an integer"))))
         s = F.nullif(v.col, F.lit(""))
         plain = s.rlike(DECIMAL) | F.lower(s).rlike(r"^[+-]?(inf|infinity|nan)$")
         number = F.when(plain, s.try_cast("double"))
-        if m.type == "number":
-            out, ok = number, number.isNotNull()
-        else:
-            out = F.when(s.contains("."), number.try_cast("long")).otherwise(F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("long")))
-            ok = out.isNotNull()
-        return out, [F.when(s.isNotNull() & ~ok, F.concat(F.lit(f"{m.name}: failed to parse {m.type} '"), s, F.lit("'")))]
+        out = number if m.type == "number" else F.when(s.contains("."), number.try_cast("long")).otherwise(F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("long")))
+        return let(out, lambda o: self.made(o, m, F.when(s.isNotNull() & o.isNull(), F.concat(F.lit(f"{m.name}: failed to parse {m.type} '"), s, F.lit("'")))))
 
 
 @dataclass
 class Native:
-    """A compiled recipe: the record's tag, what is read of it, the fields, the first error, and which records count."""
+    """A compiled recipe: the record's tag, what is read of it, the fields (each with ``v``, its value, and ``e``, its error), and which records count."""
 
     row_tag: str
     schema: T.StructType
-    fields: list[Column]
-    error: Column
+    names: list[str]
+    fields: Column
     selected: Column
 
 
@@ -405,13 +390,12 @@ def compile_recipe(r: Recipe) -> Native:
         if any(t.kind == "number" for t in tests):
             raise NotNative("a place among records")
         made = [c.field(m, ctx) for m in mappings]
-    fields = [col.cast(m.spark_type()).alias(m.name) for m, (col, _) in zip(mappings, made, strict=True)]
-    errors = [e for _, bad in made for e in bad]
     selected = F.lit(True)
     for t in tests:
         selected = selected & F.coalesce(c.boolean(t), F.lit(False))
     schema = T.StructType([*root.fields(), T.StructField(CORRUPT, T.StringType())])
-    return Native(tag, schema, fields, F.coalesce(*errors, F.lit(None).cast("string")), selected)
+    names = [m.name for m in mappings]
+    return Native(tag, schema, names, F.struct(*(col.alias(k) for k, col in zip(names, made, strict=True))), selected)
 
 
 def scan_native(spark: SparkSession, paths: str | list[str], r: Recipe) -> DataFrame:
@@ -419,13 +403,15 @@ def scan_native(spark: SparkSession, paths: str | list[str], r: Recipe) -> DataF
     n = compile_recipe(r)
     raw = spark.read.format("xml").option("rowTag", n.row_tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("ignoreSurroundingSpaces", "false").schema(n.schema).load(paths)
     none = F.lit(None).cast("string")
-    bad = F.col(CORRUPT).isNotNull()
-    error = F.when(bad, F.lit("malformed record")).otherwise(n.error)
-    out = raw.where(bad | n.selected).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    raw = raw.where(F.col(CORRUPT).isNotNull() | n.selected).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("document"), F.col(CORRUPT).isNotNull().alias("_bad"), once(n.fields).alias("_made"))
+    bad, of = F.col("_bad"), lambda k, part: F.col("_made")[k][part]
+    raw = raw.withColumn("_error", F.when(bad, F.lit("malformed record")).otherwise(F.coalesce(*(of(k, "e") for k in n.names), none)))
+    error = F.col("_error")
+    out = raw.select(
+        "file", "block",
         F.when(~bad, F.lit(1).cast("long")).alias("record_num"), F.lit(0).alias("selector"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<long>").alias("selector_counts"),
         F.when(error.isNull(), "applied").otherwise("failed").alias("disposition"), F.when(bad, "parse_error").when(error.isNotNull(), "internal_error").alias("reason"), error.alias("error"), none.alias("late"),
-        F.monotonically_increasing_id().alias("document"), F.when(error.isNull(), F.struct(*n.fields)).alias("fields"),
+        "document", F.when(error.isNull(), F.struct(*(of(k, "v").alias(k) for k in n.names))).alias("fields"),
     )
     return out
 

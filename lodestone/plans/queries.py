@@ -73,11 +73,16 @@ def line_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         element("Quantity", F.col("l_quantity")), element("Price", F.col("l_extendedprice")), element("Discount", F.col("l_discount")), element("Flag", F.col("l_returnflag")), F.lit("</Line>"),
     )
     rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", x.alias("x")).alias("p"))
-    return rows.groupBy("l_orderkey").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("lines"))
+    return rows.groupBy("l_orderkey").agg(F.concat_ws("", F.sort_array(F.collect_list("p"))["x"]).alias("lines"))
 
 
 def order_xml(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
     """One document per order: doc (its key), content."""
+    return spread(order_texts(spark, sf_dir, lines))
+
+
+def order_texts(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+    """The same where the rows of the tables lie: for those who deal them by a key of their own."""
     o = t(spark, sf_dir, "orders")
     if lines:
         o = o.join(line_elements(spark, sf_dir), o.o_orderkey == F.col("l_orderkey"), "left")
@@ -86,13 +91,13 @@ def order_xml(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame
         element("Customer", F.col("o_custkey")), element("Total", F.col("o_totalprice")), element("Priority", F.col("o_orderpriority")),
         F.concat(F.lit("<Lines>"), F.coalesce("lines", F.lit("")), F.lit("</Lines>")) if lines else F.lit(""), F.lit("</Order></Orders>"),
     )
-    return spread(o.select(F.col("o_orderkey").alias("doc"), body.alias("content")))
+    return o.select(F.col("o_orderkey").alias("doc"), body.alias("content"))
 
 
 def customer_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per customer with orders: a section that holds the orders by key."""
     x = F.concat(F.lit('<Order id="'), F.col("o_orderkey").cast("string"), F.lit('">'), F.when(F.col("o_orderkey") % 2 == 0, F.concat(element("Beta", F.col("o_orderstatus")), element("Alpha", F.col("o_orderpriority")))).otherwise(element("Alpha", F.col("o_orderpriority"))), F.lit("</Order>"))
-    rows = t(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", x.alias("x")).alias("p")).groupBy("o_custkey").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
+    rows = t(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", x.alias("x")).alias("p")).groupBy("o_custkey").agg(F.concat_ws("", F.sort_array(F.collect_list("p"))["x"]).alias("x"))
     return spread(rows.select(F.col("o_custkey").alias("doc"), F.concat(F.lit('<Shop><Section code="C'), F.col("o_custkey").cast("string"), F.lit('">'), F.col("x"), F.lit("</Section></Shop>")).alias("content")))
 
 
@@ -171,7 +176,7 @@ def json_records(spark, sf_dir):
 @query("""SELECT user_id AS doc, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS record_num FROM events""")
 def ndjson_records(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}")).alias("x")).alias("p"))
-    docs = e.groupBy("user_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("content")).withColumnRenamed("user_id", "doc")
+    docs = e.groupBy("user_id").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("p"))["x"]).alias("content")).withColumnRenamed("user_id", "doc")
     r = recipe([field("id", "id", "integer")], "record", {"format_type": "ndjson", "match_scope": "record"})
     return run(spark, docs, r).data.select("doc", "id", "record_num")
 

@@ -10,3 +10,8 @@ def optimized(df) -> str:
 def test_steps_of_a_grouped_reconciliation_are_computed_once(spark):
     plan = optimized(Q.QUERIES["reconciliation_cap_to_base"](spark, "/root/testdata/sf0.001"))
     assert plan.count("array_distinct(") == 1 and plan.count("aggregate(") <= 8
+
+
+def test_fields_of_native_recipes_are_computed_once(spark):
+    plan = optimized(Q.QUERIES["native_item_mapping"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("failed to parse number") == 2 and plan.count("failed to parse integer") == 3
