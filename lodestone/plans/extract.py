@@ -272,6 +272,16 @@ def extract(docs: DataFrame, recipe: Recipe, parameters: dict[str, Any] | None =
     return Extraction(df, r, list(public), keys)
 
 
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A copy that holds nothing of its message, equal texts once: a large document's rows wait for its last one."""
+    b = b.take(pa.array(np.arange(b.num_rows)))
+    return pa.RecordBatch.from_arrays([c.dictionary_encode() if pa.types.is_string(c.type) else c for c in b.columns], b.schema.names)
+
+
+def _unpacked(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.dictionary_decode() if pa.types.is_dictionary(c.type) else c for c in b.columns], schema=schema)
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """One row of each document that has an error, all rows of the others: documents are runs of rows, nothing is shuffled."""
     doc_at, class_at = df.columns.index("document"), df.columns.index("_class")
@@ -295,20 +305,22 @@ def _settled(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        schema = None
         for b in batches:
             if not b.num_rows:
                 continue
+            schema = b.schema
             doc = b.column(doc_at).to_numpy()
             if held and held[-1].column(doc_at)[-1].as_py() != doc[0]:
-                yield from whole(held)
+                yield from (_unpacked(x, schema) for x in whole(held))
                 held = []
             last = int(np.searchsorted(doc, doc[-1]))  # documents are numbered in the order of their rows
             if last:
-                yield from whole([*held, b.slice(0, last)])
+                yield from (_unpacked(x, schema) for x in whole([*held, b.slice(0, last)]))
                 held = []
-            held.append(b.slice(last))
+            held.append(_packed(b.slice(last)))
         if held:
-            yield from whole(held)
+            yield from (_unpacked(x, schema) for x in whole(held))
 
     return df.mapInArrow(run, df.schema)
 

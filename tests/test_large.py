@@ -57,3 +57,33 @@ def test_small_documents_are_read_without_trees(monkeypatch):
     monkeypatch.setattr(doctree, "parse_xml", lambda data: 1 / 0)
     (row,) = Extractor(Q.recipe([*Q.BASIC, Q.LINES], "//Order[Lines/Line]")).rows(b"<Orders><Order id='1'><Total>2</Total><Lines><Line no='3'/></Lines></Order></Orders>")
     assert row["fields"]["order_id"] == 1 and row["fields"]["lines"][0]["no"] == 3
+
+
+def test_large_documents_are_read_record_by_record(monkeypatch):
+    from lodestone.sources import scan
+    from lodestone.sources.scan import Extractor
+
+    body = b"".join(b"<Order id='%d'><Total>%d</Total>\n</Order><Other><x/></Other>" % (k, k) for k in range(12_000))
+    nested = body + b"<Order id='a'><Order id='7'/></Order>"
+    r = Q.recipe([Q.field("id", "@id"), Q.field("total", "Total", "number")], namespaces={"q": "u"})
+    ex = Extractor(r)
+    assert ex.streamed(b"<R>" + nested + b"</R>") is None
+    monkeypatch.setattr(scan, "STREAMED", 1 << 16)
+    for d in (b"<R>" + nested + b"</R>", b"<R>" + body, b"<R>" + body.replace(b">77<", b">x<") + b"</R>"):
+        slow = Extractor(r)
+        slow.plain = None
+        want = list(slow.rows(d))
+        (common,), chunks = ex.streamed(d)
+        got = [common | {"record_num": k, "fields": f} for k, f in enumerate((f for c in chunks for f in c.to_pylist()), 1)] or [common]
+        keys = ("record_num", "fields", "disposition", "reason", "error", "late", "selector_counts")
+        assert [[x.get(k) for k in keys] for x in got] == [[x.get(k) for k in keys] for x in want]
+
+
+def test_waiting_rows_hold_equal_texts_once():
+    import pyarrow as pa
+
+    from lodestone.plans.extract import _packed, _unpacked
+
+    b = pa.RecordBatch.from_pylist([{"k": j, "s": "x" * 200, "n": None if j % 2 else "y", "d": {"t": str(j)}} for j in range(5000)])
+    p = _packed(b.slice(1000))
+    assert p.nbytes < b.nbytes / 5 and _unpacked(p, b.schema).equals(b.slice(1000))
