@@ -19,6 +19,13 @@ def _with_least(edges: DataFrame, spread: int) -> DataFrame:
     return e.join(low, (F.col("a") == F.col("u")) & (F.col("s") == F.col("v"))).select("a", "b", "m")
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges (a, b; b at most a) are stars: a vertex that points to another one points to no third, and none to it."""
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.lit(None).cast("long").alias("to")))
+    of = e.where("a <> b").select(F.explode(ends).alias("p")).select("p.v", "p.to").groupBy("v").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.count_if(F.col("to").isNull()).alias("pointed"))
+    return of.where("low <> high or low is not null and pointed > 0").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every vertex of the undirected ``edges`` (a, b): the smallest vertex that it reaches.
 
@@ -29,7 +36,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spread = max(16, partitions(edges.sparkSession))
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "edges")
-    seen = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every greater neighbour of a vertex points to the smallest neighbour
@@ -37,10 +43,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a vertex, and itself, point to the smallest of them
         small = _with_least(large, spread).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
         e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if _settled(e):
             break
-        seen = now
     else:
         raise RuntimeError("the components didn't settle")
     return e.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, labelled_sample, sigmoid, table, written
+from .common import arrow_map, give_back, labelled_sample, sigmoid, table, written
 from .linear import fit_dense
 
 PAIRS, STATS = 1024, 13
@@ -212,7 +212,12 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = 3000, unlabel
     rows = [rows[k] for k in order]
     xt, xm = _features(rows)
     free = docs.select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").limit(unlabelled).count()
-    return co_train(xt, xm, np.array([r["label"] for r in rows]), _offer(docs, labels, sure), max(1, int(share * free)) if free else 0)
+    y = np.array([r["label"] for r in rows])
+    del rows
+    model = co_train(xt, xm, y, _offer(docs, labels, sure), max(1, int(share * free)) if free else 0)
+    del xt, xm
+    give_back()  # the driver's too, which plans the stages to come
+    return model
 
 
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
