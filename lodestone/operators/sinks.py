@@ -23,6 +23,10 @@ from lodestone.plans.staging import create_file, written
 from .profile import FieldState, ProfileConfig, report, states_as_json, states_from_json, texts_of
 
 
+#: Rows that share the list of the shards that begin among them; runs and starts up to which the lists are broadcast.
+RUN, RUNS = 256, 2_000_000
+
+
 def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
     """``df`` in ranges of an order, as a table: ``_p`` is a row's range, ``_k`` its place there from 0; and (range, rows) of each.
 
@@ -140,17 +144,23 @@ def shards_by_bytes(df: DataFrame, order: list[str], size: Column, limit: int, r
     first = {r["p"]: r["i"] for r in reached.collect()}  # one for each range that a shard begins in
 
     def mark(t: pa.Table) -> pa.Table:
+        """Of each run of ``RUN`` rows how many shards of its range begin before it, and those that begin in it."""
         j, r = of(t)
-        got = r.starts(first[j] - r.first) if j in first else []
-        return pa.table({"_p": pa.array([parts[j]], pa.int32()), "_starts": pa.array([got], pa.list_(pa.int64()))})
+        got = np.array(r.starts(first[j] - r.first) if j in first else [], np.int64)
+        cut = np.searchsorted(got, r.first + np.arange(-(-r.n // RUN) + 1) * RUN)
+        inside = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(got, pa.int64()))
+        return pa.table({"_p": pa.array(np.full(len(inside), parts[j]), pa.int32()), "_run": pa.array(np.arange(len(inside)), pa.int64()), "_before": pa.array(cut[:-1], pa.int64()), "_starts": inside})
 
-    starts = written(slim.groupBy("_p").applyInArrow(mark, "_p int, _starts array<long>"), "starts")
-    many = sorted((r["_p"], r["n"]) for r in starts.select("_p", F.size("_starts").alias("n")).collect())
+    starts = written(slim.groupBy("_p").applyInArrow(mark, "_p int, _run long, _before long, _starts array<long>"), "starts")
+    many = sorted((r["_p"], r["n"]) for r in starts.groupBy("_p").agg(F.sum(F.size("_starts")).alias("n")).collect())
     upto = spark.createDataFrame(list(zip((p for p, _ in many), accumulate((n for _, n in many), initial=0), strict=False)), "_p int, _upto long")
-    # one number for each shard: as many as there will be files
-    rows_of = _with_numbers(own, counts, "_n").join(F.broadcast(starts.join(upto, "_p")), "_p")
+    runs = starts.join(F.broadcast(upto), "_p")
+    if sum(-(-n // RUN) for _, n in counts) <= RUNS and sum(n for _, n in many) <= RUNS:
+        runs = F.broadcast(runs)
+    # one number for each shard: as many as there will be files; a row looks through the starts of its own run only
+    rows_of = _with_numbers(own, counts, "_n").withColumn("_run", F.floor(F.col("_k") / RUN).cast("long")).join(runs, ["_p", "_run"])
     inside = F.size(F.filter("_starts", lambda x: x < F.col("_n")))
-    return rows_of.withColumn("shard", F.col("_upto") + inside - 1).drop("_p", "_k", "_n", "_size", "_starts", "_upto")
+    return rows_of.withColumn("shard", F.col("_upto") + F.col("_before") + inside - 1).drop("_p", "_k", "_n", "_size", "_run", "_before", "_starts", "_upto")
 
 
 def write_ndjson(e: Extraction, path: str, meta: dict[str, Any] | None = None) -> None:
