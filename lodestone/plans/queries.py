@@ -56,9 +56,16 @@ JSON = {"format_type": "json"}
 # ---- documents rendered from the tables -------------------------------------------------------------------------
 
 
+#: Documents of a task.
+SPREAD = 50_000
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """Documents dealt over all cores: a small table is one split, and the scan's work is in the Python behind it."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    """Documents dealt over all cores: a small table is one split, and the scan's work is in the Python behind it.
+
+    Large ones go to more tasks, of about ``SPREAD`` documents, so that what a task groups or sorts doesn't grow with the table.
+    """
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // SPREAD)))
 
 
 def element(name: str, value: Column) -> Column:

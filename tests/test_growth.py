@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import sinks as S
+from lodestone.plans import queries as Q
 
 
 def test_rows_look_through_the_starts_of_their_own_run_only(spark, monkeypatch):
@@ -31,3 +32,10 @@ def test_rows_look_through_the_starts_of_their_own_run_only(spark, monkeypatch):
         got = {x.k: x.shard for x in S.shards_by_bytes(df, ["k"], F.col("s"), limit, rows).collect()}
         assert got == want
         assert held.pop().agg(F.max(F.size("_starts"))).first()[0] <= 256
+
+
+def test_documents_of_large_tables_go_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SPREAD", 50, raising=False)
+    assert Q.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    out = Q.spread(spark.range(1000))
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
