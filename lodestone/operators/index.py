@@ -213,8 +213,12 @@ def reads(rows: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
         k = z
 
 
-def read_ranges(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The index with each record's bytes (``content``): neighbouring ranges of a file are read at once, in order by each task."""
+def read_ranges(index: DataFrame, partitions: int | None = None, documents: bool = False) -> DataFrame:
+    """The index with each record's bytes (``content``): neighbouring ranges of a file are read at once, in order by each task.
+
+    With ``documents`` XML records are documents of their own (:func:`_document`), made where they are read: no second
+    Python worker for a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         at, src = None, None
@@ -230,7 +234,10 @@ def read_ranges(index: DataFrame, partitions: int | None = None) -> DataFrame:
                         at, src = path, open_file(path)
                     src.seek(low)
                     data = src.read(high - low)
-                    yield pa.RecordBatch.from_arrays([*b.slice(k, z - k).columns, pa.array([data[s - low : e - low] for _, s, e in rows[k:z]], pa.binary())], [*names, "content"])
+                    content = [data[s - low : e - low] for _, s, e in rows[k:z]]
+                    if documents:
+                        content = list(map(_document, b.column(names.index("namespaces")).slice(k, z - k).to_pylist(), content))
+                    yield pa.RecordBatch.from_arrays([*b.slice(k, z - k).columns, pa.array(content, pa.binary())], [*names, "content"])
         finally:
             if src is not None:
                 src.close()
@@ -240,26 +247,28 @@ def read_ranges(index: DataFrame, partitions: int | None = None) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields) + ", content binary")
 
 
+def _document(namespaces: str, c: bytes) -> bytes:
+    """A record as a document of its own: the namespaces in scope are declared on its start tag."""
+    end = len(c) if not c else min(x for x in (c.find(b" "), c.find(b">"), c.find(b"/"), c.find(b"\n"), len(c)) if x > 0)
+    head = c[: c.find(b">")]
+    more = b""
+    for line in filter(None, namespaces.split("\n")):
+        p, u = line.split("=", 1)
+        key = f"xmlns:{p}=" if p else "xmlns="
+        if key.encode() not in head:
+            more += f' {key}"{u}"'.encode()
+    return c[:end] + more + c[end:]
+
+
 def wrap(ranges: DataFrame) -> DataFrame:
-    """Records as documents of their own: the namespaces in scope are declared on the record's start tag."""
+    """Records that were read as they are, as documents of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            ns_at, c_at = b.schema.names.index("namespaces"), b.schema.names.index("content")
-            out = []
-            for ns, c in zip(b.column(ns_at).to_pylist(), b.column(c_at).to_pylist(), strict=True):
-                end = len(c) if not c else min(x for x in (c.find(b" "), c.find(b">"), c.find(b"/"), c.find(b"\n"), len(c)) if x > 0)
-                head = c[: c.find(b">")]
-                more = b""
-                for line in filter(None, ns.split("\n")):
-                    p, u = line.split("=", 1)
-                    key = f"xmlns:{p}=" if p else "xmlns="
-                    if key.encode() not in head:
-                        more += f' {key}"{u}"'.encode()
-                out.append(c[:end] + more + c[end:])
+            names = b.schema.names
             cols = list(b.columns)
-            cols[c_at] = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+            cols[names.index("content")] = pa.array(map(_document, b.column(names.index("namespaces")).to_pylist(), b.column(names.index("content")).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return ranges.mapInArrow(run, ranges.schema)
 

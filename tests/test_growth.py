@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import index as IX
 from lodestone.operators import sinks as S
 from lodestone.plans import queries as Q
 
@@ -39,3 +40,13 @@ def test_documents_of_large_tables_go_to_more_tasks(spark, monkeypatch):
     assert Q.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     out = Q.spread(spark.range(1000))
     assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
+
+
+def test_records_are_made_documents_where_they_are_read(spark, tmp_path):
+    f = tmp_path / "a.xml"
+    f.write_text('<R xmlns:q="urn:q"><q:O id="1"/><q:O>x</q:O></R>')
+    files = spark.createDataFrame([(str(f), f.stat().st_size)], "source_file string, size_bytes long")
+    ix = IX.build_index(files, "O").records
+    own = IX.read_ranges(ix, documents=True)
+    assert own._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(bytes(x.content) for x in own.collect()) == sorted(bytes(x.content) for x in IX.wrap(IX.read_ranges(ix)).collect()) == [b'<q:O xmlns:q="urn:q" id="1"/>', b'<q:O xmlns:q="urn:q">x</q:O>']
