@@ -136,12 +136,7 @@ def outcomes_by_line(spark, sf_dir):
 @query(f"""SELECT nation, record_num, order_id, urgent FROM (SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS record_num, o_orderkey AS order_id, o_orderpriority = '1-URGENT' AS urgent, count(*) FILTER (o_orderkey % 50 = 7) OVER (PARTITION BY c_nationkey) AS bad {_ORDERS_OF}) WHERE nation % 5 <> 1 AND (nation % 5 NOT IN (2, 3) OR bad = 0)""")
 def lines_split(spark, sf_dir):
     """Records of NDJSON files that several tasks read, numbered over the whole file."""
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", PIECE)
-    try:
-        rows = RT.extract_lines(spark, mixed_files(spark, sf_dir, "ndjson"), order_recipe("ndjson")).data
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    rows = RT.extract_lines(spark, mixed_files(spark, sf_dir, "ndjson"), order_recipe("ndjson"), split=PIECE).data
     return rows.select(key_of().alias("nation"), "record_num", "order_id", "urgent")
 
 
