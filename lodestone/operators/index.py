@@ -42,8 +42,8 @@ class Index:
     files: DataFrame
 
 
-FOUND = "source_file string, piece long, kind string, state string, blob binary, start long, end long, after int, pops int, depth int, namespaces string, sha256 string"
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+FOUND = "source_file string, piece long, kind string, state string, blob binary, start long, end long, after int, pops int, depth int, namespaces string, sha256 string, nr long"
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -55,35 +55,35 @@ def _sha(data: bytes) -> str:
 
 
 def _scan_piece(path: str, size: int, k: int, name: str, fmt: str, piece: int) -> Iterator[tuple]:
-    """One piece's rows: its digest (d), transitions (s) and records (r); a JSON file is one piece."""
+    """One piece's rows: its digest (d), transitions (s) and records (r, numbered where none is left out later); a JSON file is one piece."""
     try:
         with open_file(path) as src:
             if fmt == "json":
                 own = P.Digests(src, piece)
                 problem = None
                 try:
-                    for s, e, body in P.json_records(own, name):
-                        yield path, k, "r", "text", None, s, e, 0, 0, 1, "{}", _sha(body)
+                    for nr, (s, e, body) in enumerate(P.json_records(own, name), 1):
+                        yield path, k, "r", "text", None, s, e, 0, 0, 1, "{}", _sha(body), nr
                 except DocumentError as error:
                     problem = str(error)
                 while own.read(1 << 20):
                     pass
-                yield path, k, "d", None, pickle.dumps((own.all(), problem)), *[None] * 7
+                yield path, k, "d", None, pickle.dumps((own.all(), problem)), *[None] * 8
                 return
             begin, data, digest = (P.line_piece if fmt == "ndjson" else P.xml_piece)(src, k * piece, piece, size)
     except OSError as error:
-        yield path, k, "d", None, pickle.dumps(([], f"input_unavailable: {error}")), *[None] * 7
+        yield path, k, "d", None, pickle.dumps(([], f"input_unavailable: {error}")), *[None] * 8
         return
     wide = fmt == "xml" and k == 0 and data[:2] in (b"\xff\xfe", b"\xfe\xff")
-    yield path, k, "d", None, pickle.dumps(([digest], "UTF-16 can't be cut into pieces" if wide else None)), *[None] * 7
+    yield path, k, "d", None, pickle.dumps(([digest], "UTF-16 can't be cut into pieces" if wide else None)), *[None] * 8
     if fmt == "ndjson":
-        for s, e in P.lines_of(data, begin):
-            yield path, k, "r", "text", None, s, e, 0, 0, 1, "{}", _sha(data[s - begin : e - begin])
+        for nr, (s, e) in enumerate(P.lines_of(data, begin), 1):
+            yield path, k, "r", "text", None, s, e, 0, 0, 1, "{}", _sha(data[s - begin : e - begin]), nr
         return
     for state, (t, found) in (P.transitions_of(data, begin, name.encode()) if data and not wide else {}).items():
-        yield path, k, "s", state, pickle.dumps(t), *[None] * 7
+        yield path, k, "s", state, pickle.dumps(t), *[None] * 8
         for f in found:
-            yield path, k, "r", state, None, f.start, f.end, f.after, f.pops, f.depth, json.dumps(f.namespaces), _sha(data[f.start - begin : f.end - begin])
+            yield path, k, "r", state, None, f.start, f.end, f.after, f.pops, f.depth, json.dumps(f.namespaces), _sha(data[f.start - begin : f.end - begin]), None
 
 
 ENTRIES = "source_file string, kind string, piece long, state string, scopes string, open_records int, start long, end long, depth int, file_digest string, problem string"
@@ -139,7 +139,7 @@ def build_index(files: DataFrame, name: str, fmt: str = "xml", piece: int = PIEC
     told = written(small.groupBy("source_file").applyInArrow(_compose, ENTRIES), "index-entries")
     seen = told.where("kind = 'f'").select("source_file", "file_digest", "problem")
     sound = seen.where("problem is null").select("source_file")
-    candidates = found.where("kind = 'r'").select("source_file", "piece", "state", "start", "end", "after", "pops", "depth", "namespaces", "sha256")
+    candidates = found.where("kind = 'r'").select("source_file", "piece", "state", "start", "end", "after", "pops", "depth", "namespaces", "sha256", "nr")
     if fmt == "xml":
         entry = told.where("kind = 'e'").select("source_file", "piece", "state", "scopes", "open_records")
         hit = candidates.join(entry, ["source_file", "piece", "state"]).where("after >= open_records")
@@ -150,16 +150,18 @@ def build_index(files: DataFrame, name: str, fmt: str = "xml", piece: int = PIEC
         long = told.where("kind = 'l'").select("source_file", "piece", "start", "end", "depth", F.lit("[]").alias("outer"), F.col("scopes").alias("namespaces"))
         whole = whole.unionByName(_digested(long))
     else:
-        whole = candidates.select("source_file", "piece", "start", "end", "depth", F.lit("[]").alias("outer"), "namespaces", "sha256")
+        whole = candidates.select("source_file", "piece", "start", "end", "depth", "nr", "sha256")
     whole = whole.join(sound, "source_file", "left_semi")
     counts = written(whole.groupBy("source_file", "piece").agg(F.count("*").alias("n")), "index-counts")
     before = Window.partitionBy("source_file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("source_file", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = whole.withColumn("nr", F.row_number().over(Window.partitionBy("source_file", "piece").orderBy("start"))).join(base, ["source_file", "piece"])
+    if fmt == "xml":
+        whole = whole.withColumn("nr", F.row_number().over(Window.partitionBy("source_file", "piece").orderBy("start")))
+    numbered = whole.join(base, ["source_file", "piece"])
     about = own.join(seen, "source_file")
     records = numbered.join(about.select("source_file", "size", "file_digest"), "source_file").select(
         "source_file", F.col("size").alias("file_size"), "file_digest", F.lit(piece).cast("long").alias("piece_size"), (F.col("nr") + F.col("base")).alias("record_num"),
-        F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), (F.col("end") - F.col("start")).alias("size_bytes"), "depth", "sha256", _scope_lines().alias("namespaces"),
+        F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), (F.col("end") - F.col("start")).alias("size_bytes"), "depth", "sha256", (_scope_lines() if fmt == "xml" else F.lit("")).alias("namespaces"),
     )
     total = counts.groupBy("source_file").agg(F.sum("n").alias("records"))
     about = about.join(total, "source_file", "left").select("source_file", F.col("size").alias("file_size"), "file_digest", F.coalesce("records", F.lit(0)).alias("records"), "problem")

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from xml.parsers import expat
 
 from .doctree import MAX_DEPTH, DocumentError
+from .values import DECODER
 
 #: States a piece can be entered in, and what ends them.
 ENDS = {"comment": b"-->", "cdata": b"]]>", "instruction": b"?>"}
@@ -273,13 +274,26 @@ def lines_of(data: bytes, base: int) -> Iterator[tuple[int, int]]:
 _JSON = re.compile(rb"""[ \t\n\r]*(?:(?P<mark>[{}\[\]:,])|(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<other>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))""")
 
 
+def _whole(text: str, start: int, quoted: str, above: int) -> int:
+    """Where the object at ``start`` ends, of bytes as code points; -1 where its tokens must tell: it may hold records, have a fault or go on."""
+    try:
+        _, end = DECODER.scan_once(text, start)
+    except (StopIteration, ValueError, RecursionError):
+        return -1
+    # keys may be written with escapes, and then be the name or equal others
+    plain = text.find(quoted, start, end) < 0 and text.find("\\u", start, end) < 0
+    return end if plain and above + text.count("{", start, end) + text.count("[", start, end) <= MAX_DEPTH else -1
+
+
 def json_records(src, name: str, piece: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, bytes) of the values of a name in a JSON file, in the order of their starts.
 
     The file is read in pieces and forgotten as far as no record is open: memory holds a piece, the largest record and the
     keys of the objects that are open. Items of an array have the name of the array; the tree of ``parse_json`` has the same.
+    Objects that are records and hold none are found by the scanner of the standard library, others token by token.
     """
     buffer, base, pos, over = b"", 0, 0, False
+    text, quoted = None, f'"{name}"'.encode().decode("latin-1")
     stack: list[list] = []  # of open containers: kind, name, keys seen, start where it is a record
     waiting: list[tuple[int, int, bytes]] = []
     open_records, expect, key, first_open = 0, "value", "", -1
@@ -297,7 +311,7 @@ def json_records(src, name: str, piece: int = 1 << 20) -> Iterator[tuple[int, in
             except UnicodeDecodeError:
                 raise DocumentError("invalid UTF-8") from None
             keep = min(pos, first_open - base) if open_records else pos
-            buffer, base, pos = buffer[keep:] + more, base + keep, pos - keep
+            buffer, base, pos, text = buffer[keep:] + more, base + keep, pos - keep, None
             if base == 0 and pos == 0 and buffer.startswith(codecs.BOM_UTF8):
                 pos = 3
             over = not more
@@ -342,6 +356,13 @@ def json_records(src, name: str, piece: int = 1 << 20) -> Iterator[tuple[int, in
                 own = "item"
             # an array isn't a value of its own unless it lies in an array
             named = bool(stack) and own == name and (token == b"{" or stack[-1][0] == "[")
+            if named and token == b"{" and not open_records:
+                text = buffer.decode("latin-1") if text is None else text
+                stop = _whole(text, start, quoted, len(stack))
+                if stop >= 0:
+                    yield base + start, base + stop, buffer[start:stop]
+                    pos, expect = stop, "next"
+                    continue
             if named:
                 if not open_records:
                     first_open = base + start

@@ -78,3 +78,64 @@ def test_small_splits_make_no_small_tasks(spark, tmp_path, monkeypatch):
     assert staged[0].select("file", "block").distinct().count() > 50 and len(staged[0].inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
     got = sorted((r.source_file[-8], r.record_num, r.id) for r in e.data.collect())
     assert got == [(f, k + 1, k) for f, many in (("a", 5000), ("b", 3000), ("c", 1)) for k in range(many)]
+
+
+def test_records_of_json_are_found_whole(monkeypatch):
+    """Records are found by one scan each; those that hold records, escapes or faults, or go on, give what their tokens give."""
+    import io
+    import random
+
+    from lodestone.sources import pieces as P
+
+    tokens = []
+    plain = P._JSON
+
+    class Counted:
+        def match(self, *a):
+            tokens.append(1)
+            return plain.match(*a)
+
+    monkeypatch.setattr(P, "_JSON", Counted())
+    whole = json.dumps({"o": [{"a": k, "b": {"c": [k, "x"]}} for k in range(500)]}).encode()
+    assert len(list(P.json_records(io.BytesIO(whole), "o"))) == 500 and len(tokens) < 500 * 3
+    monkeypatch.setattr(P, "_JSON", plain)
+
+    def found(data, step, fast):
+        monkeypatch.setattr(P, "_whole", own if fast else lambda *a: -1)
+        out = []
+        try:
+            out.extend(P.json_records(io.BytesIO(data), "é", step))
+        except P.DocumentError as e:
+            return str(e)
+        return out
+
+    own, r = P._whole, random.Random(5)
+    bodies = ['{"a":1}', '{"a":1,"a":2}', '{"\\u00e9":{"a":2}}', '{"é":[{"x":1},2]}', '{"k":"é"}', '{"é":1,"\\u00e9":2}', '{"/":1,"\\/":2}', '{"a":NaN}', '{"a":01}', '{"a":"\\ud800"}', '{"a":[[{"é":3}]]}', '{"a":"\x01"}', "{}", "3", "[{}]", '{"a" :\n"é😀}{"}', "{" * 3, '{"a":' * 1030 + "1" + "}" * 1030, '{"a":' * 900 + "1" + "}" * 900, '{"b":1]']
+    for k in range(300):
+        few = [r.choice(bodies[:1] * 9 + bodies) for _ in range(r.randrange(6))]
+        data = ('{"q":' * (150 * (k % 2)) + '{"é":[' + ", ".join(few) + "]}" + "}" * (150 * (k % 2))).encode()[: r.choice((None, None, -1))]
+        for step in (1, 7, 1 << 20):
+            assert found(data, step, True) == found(data, step, False), (few, step)
+    assert found(b'{"\xc3\xa9":[{"a":"\xff"}]}', 1 << 20, True) == "invalid UTF-8"
+
+
+def test_json_records_are_numbered_as_they_are_found(spark, tmp_path, monkeypatch):
+    from lodestone.operators import index as IX
+
+    for f in "ab":
+        (tmp_path / f"{f}.json").write_text(json.dumps({"o": [{"id": k, "o": {"x": 1}} if k % 5 == 0 else {"id": k} for k in range(300)]}))
+    files = spark.createDataFrame([(str(f), f.stat().st_size) for f in tmp_path.iterdir()], "source_file string, size_bytes long")
+    seen = []
+    plain = IX.written
+
+    def written(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, name)
+
+    monkeypatch.setattr(IX, "written", written)
+    rows = IX.build_index(files, "o", "json").records.collect()
+    plan = dict(seen)["index-records"]
+    assert "row_number" not in plan and "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
+    for f in "ab":
+        own = sorted((x for x in rows if x.source_file.endswith(f"{f}.json")), key=lambda x: x.start_offset)
+        assert [x.record_num for x in own] == list(range(1, 361)) and {x.namespaces for x in own} == {""}
