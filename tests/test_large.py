@@ -87,3 +87,28 @@ def test_waiting_rows_hold_equal_texts_once():
     b = pa.RecordBatch.from_pylist([{"k": j, "s": "x" * 200, "n": None if j % 2 else "y", "d": {"t": str(j)}} for j in range(5000)])
     p = _packed(b.slice(1000))
     assert p.nbytes < b.nbytes / 5 and _unpacked(p, b.schema).equals(b.slice(1000))
+
+
+def test_records_do_not_carry_their_documents_content(spark, monkeypatch):
+    import types
+
+    import pyarrow as pa
+    import pyspark
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lodestone.sources.scan import scan
+
+    held = {}
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: held.setdefault("run", f))
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    scan(spark.createDataFrame([], "source_file string, content string"), Q.recipe([Q.field("id", "@id")]))
+    content = b"<R>" + b"<Order id='a'/>".join([b" " * 100] * 2001) + b"</R>"
+    b = pa.RecordBatch.from_arrays([pa.array(["x", "y"]), pa.array([content, b"<R/>"])], ["source_file", "_content"])
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        rows = [r["source_file"] for x in held["run"](iter([b])) for r in x.to_pylist()]
+    finally:
+        pa.set_memory_pool(before)
+    assert rows == ["x"] * 2000 + ["y"] and pool.max_memory() < 10 * len(content)
