@@ -50,3 +50,41 @@ def test_records_are_made_documents_where_they_are_read(spark, tmp_path):
     own = IX.read_ranges(ix, documents=True)
     assert own._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(bytes(x.content) for x in own.collect()) == sorted(bytes(x.content) for x in IX.wrap(IX.read_ranges(ix)).collect()) == [b'<q:O xmlns:q="urn:q" id="1"/>', b'<q:O xmlns:q="urn:q">x</q:O>']
+
+
+def test_files_of_nations_are_put_together_in_runs(spark, monkeypatch):
+    from lodestone.plans import file_queries as FQ
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(FQ, "RUN", 100)
+    rows = Q.t(spark, sf, "orders").join(Q.t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey").collect()
+    for ends, sep in (((F.lit("<"), F.lit(">")), ""), ((F.lit("["), F.lit("]")), ","), (None, "")):
+        path = FQ.nation_orders(spark, sf, F.col("o_orderkey").cast("string"), ends, sep)
+        got = {r.nation: r.text for r in spark.read.text(path, wholetext=True).select(FQ.key_of("_metadata.file_path").alias("nation"), F.col("value").alias("text")).collect()}
+        files = spark.read.format("binaryFile").load(path).count()
+        want: dict[int, list[int]] = {}
+        for nation, key in sorted((r[0], r[1]) for r in rows):
+            want.setdefault(nation, []).append(key)
+        assert files == len(want) == len(got)
+        for nation, keys in want.items():
+            a, z = ("", "") if ends is None else ("[", "\n]") if sep else ("<", "\n>")
+            text = a + "\n".join(map(str, keys)) + z + "\n"
+            assert got[nation] == text if not sep else got[nation].replace("\n", "") == a + ",".join(map(str, keys)) + "]"
+
+
+def test_contents_of_files_above_the_limit_are_not_read(spark, monkeypatch):
+    from lodestone.plans import file_queries as FQ
+    from lodestone.plans import routes as RT
+
+    sf = "/root/testdata/sf0.01"
+    path = FQ.mixed_files(spark, sf, "xml")
+    recipe = FQ.order_recipe("xml", min_occurrences=50)
+    want = sorted(map(tuple, FQ.outcomes(RT.extract_files(spark, path, recipe)).collect()))
+    seen = []
+    plain = RT.extract
+    monkeypatch.setattr(RT, "extract", lambda docs, *a, **k: (seen.append(docs), plain(docs, *a, **k))[1])
+    sizes = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect())
+    monkeypatch.setattr(RT, "LARGE", sizes[len(sizes) // 2])
+    e = RT.extract_files(spark, path, recipe)
+    assert f"LessThanOrEqual(length,{RT.LARGE})" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, FQ.outcomes(e).collect())) == want
